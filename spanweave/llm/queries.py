@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.quality import quality_rules
 
 
@@ -44,9 +45,40 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 """
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, t.i - 1 AS pos, string_split(text, chr(10))[t.i] AS raw
+           FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
+n AS (SELECT doc_id, pos, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM l),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e, sum(n) OVER (PARTITION BY doc_id) AS total
+      FROM (SELECT *, len(string_split(line, ' ')) AS n FROM n WHERE line <> '')),
+p AS (SELECT *, e - n AS p FROM c),
+f AS (SELECT doc_id, p, total, pos AS a, max(pos) OVER w AS b, md5(string_agg(line, chr(10)) OVER w) AS run
+      FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+g AS (SELECT doc_id, e, min(pos) OVER w AS a, pos AS b, md5(string_agg(line, chr(10)) OVER w) AS run
+      FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT doc_id, a, b, run FROM f WHERE total - p >= 50 UNION ALL SELECT doc_id, a, b, run FROM g WHERE e >= 50),
+k AS (SELECT *, min((doc_id, a)) OVER (PARTITION BY run) AS first_place FROM r),
+x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM k WHERE (doc_id, a) <> first_place),
+o AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed_lines,
+             coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS text
+      FROM l LEFT JOIN x USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT doc_id, text, n_lines, n_removed_lines FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_quality_rules": op4_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {
+        "op1_line_dedup": OP1_SQL,
+        "op4_quality_rules": OP4_SQL,
+    }
