@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.llm.jaccard import jaccard_classes
 from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.quality import quality_rules
 
@@ -70,10 +71,15 @@ SELECT doc_id, text, n_lines, n_removed_lines FROM o
 """
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
