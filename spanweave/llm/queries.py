@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanweave.llm.jaccard import jaccard_classes
 from spanweave.llm.line_dedup import line_dedup
+from spanweave.llm.mixing import mix
+from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
 
 
@@ -71,6 +74,35 @@ SELECT doc_id, text, n_lines, n_removed_lines FROM o
 """
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_copies", "copy", "shuffle_key")
+
+
+OP7_SQL = r"""
+WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT s, pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * sum(n) OVER () / n AS rate FROM n),
+k AS (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::INT + 1)) AS k FROM r),
+p AS (SELECT s, sum(exp(k * ln(rate) - rate - f)) OVER (PARTITION BY s ORDER BY k) AS p
+      FROM (SELECT *, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY s ORDER BY k) AS f FROM k)),
+c AS (SELECT s, list(p ORDER BY p) AS steps FROM p GROUP BY s),
+d AS (SELECT d.*, len(list_filter(steps, lambda p: p <= ('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0)) AS n_copies
+      FROM documents d JOIN c ON coalesce(source, '') = s),
+e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM d)
+SELECT doc_id, source, text, n_copies::INT AS n_copies, copy::INT AS copy, md5('42-order:' || doc_id || ':' || copy) AS shuffle_key FROM e
+"""
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op6_packing": op6_packing,
+        "op7_mixing": op7_mixing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
@@ -87,4 +121,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op7_mixing": OP7_SQL,
     }

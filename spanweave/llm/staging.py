@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
