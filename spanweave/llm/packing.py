@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.llm.staging import sized, staged
-from spanweave.llm.tokens import encoder
+from spanweave.llm.tokens import TEXTS, encoder
 
 #: Queues at most; the sources with the fewest tokens share the last one.
 QUEUES = 64
-#: Texts that a task encodes together.
-_TEXTS = 512
 
 
 def _encode(path: str, end_id: int):
@@ -25,8 +23,8 @@ def _encode(path: str, end_id: int):
         enc, part, sent = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], dtype=enc.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                b = batch.slice(at, _TEXTS)
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
                 ids = [x + end for x in enc.ids(b.column("text").to_pylist())]
                 sizes = [len(x) // enc.kind.itemsize for x in ids]
                 sources, before = b.column("source").to_pylist(), []
@@ -88,8 +86,8 @@ class Schedule:
 def _cut(schedule: Schedule, window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                b = batch.slice(at, _TEXTS)
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
                 col = {k: b.column(k).to_numpy() for k in ("queue", "offset", "before", "n")}
                 doc, start, length, seq, offset = schedule.pieces(col["queue"].astype(np.int64), col["offset"] + col["before"], col["n"])
                 kind = {2: "<u2", 4: "<u4"}

@@ -12,6 +12,7 @@ from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
+from spanweave.llm.tokens import count_tokens, tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +75,6 @@ SELECT doc_id, text, n_lines, n_removed_lines FROM o
 """
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
     return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -103,6 +98,10 @@ SELECT doc_id, source, text, n_copies::INT AS n_copies, copy::INT AS copy, md5('
 """
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -113,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 

@@ -1,55 +1,70 @@
-"""Token ids of whole texts, with each distinct pre-token encoded once a task."""
+"""Token ids and token counts of whole texts, with each distinct pre-token encoded once a task."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from operator import mul
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Letters that are one pre-token together and have one lower-case letter each, then ASCII punctuation, which is another.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _JOINED = 2000
+#: Texts that a task encodes together.
+TEXTS = 512
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizers' package has a file; every node has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and marks the last piece of each pre-token.
+    """What a tokenizer makes of texts; the tokenizer drops white space and marks the last piece of each pre-token.
 
-    A text is cut at ASCII white space, which no pre-token crosses; each distinct part is encoded once and kept
-    as bytes. Parts of letters and punctuation share their pre-tokens. When the parts kept reach max_parts, they
-    are dropped and gathered anew, so that memory stays bounded.
+    A text is cut at ASCII white space, which no pre-token crosses. Each distinct part is encoded once; its ids
+    (as bytes) are kept, or only their number. Parts of letters and punctuation share their pre-tokens. When the
+    parts kept reach max_parts, they are dropped and gathered anew, so that memory stays bounded.
     """
 
-    def __init__(self, path: str, max_parts: int = 400_000) -> None:
+    def __init__(self, path: str, counts: bool = False, max_parts: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_parts = Tokenizer.from_file(path), max_parts
+        self.tokenizer, self.counts, self.max_parts = Tokenizer.from_file(path), counts, max_parts
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.parts: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes | int] = {}
+        self.words: dict[str, bytes | int] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+    def _kept(self, ids: list[int]) -> bytes | int:
+        return len(ids) if self.counts else np.array(ids, dtype=self.kind).tobytes()
 
     def _learn_words(self, words: list[str]) -> None:
+        """Many words in one text; the pieces that end a word tell them apart."""
         groups = [words[a : a + _JOINED] for a in range(0, len(words), _JOINED)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(group):  # never so for letters; each word by itself is right in any case
-                self.words.update((w, self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in group)
-                continue
-            raw, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
-            self.words.update(zip(group, (raw[a:z] for a, z in zip([0, *at], at, strict=False)), strict=True))
+                self.words.update((w, self._kept(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in group)
+            elif self.counts:
+                self.words.update(zip(group, np.diff(ends, prepend=0).tolist(), strict=True))
+            else:
+                raw, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                self.words.update(zip(group, (raw[a:z] for a, z in zip([0, *at], at, strict=False)), strict=True))
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.parts) + len(new) > self.max_parts:
-            self.parts, self.words = {}, {}
         plain, other = [], []
         for part in new:
             text = part.decode()
@@ -61,31 +76,66 @@ class Encoder:
         words = self.words
         self.parts.update((part, words[word] + words[marks] if marks else words[word]) for part, word, marks in plain)
         encoded = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
-        self.parts.update((part, self._bytes(e.ids)) for (part, _), e in zip(other, encoded, strict=True))
+        self.parts.update((part, self._kept(e.ids)) for (part, _), e in zip(other, encoded, strict=True))
 
-    def split(self, texts: Iterable[str | None]) -> list[list[bytes]]:
-        """The parts of each text, every one of them known from now on until the next call."""
-        out = [(t or "").encode().split() for t in texts]
+    def split(self, texts: Iterable[bytes]) -> list[list[bytes]]:
+        """The parts of each text; all of them are known until the next call."""
+        out = [t.split() for t in texts]
         new: set[bytes] = set()
         for parts in out:
             new.update(parts)
         missing = new.difference(self.parts)
+        if missing and len(self.parts) + len(missing) > self.max_parts:
+            self.parts, self.words, missing = {}, {}, new
         if missing:
-            if len(self.parts) + len(missing) > self.max_parts:
-                missing = new
             self._learn(missing)
         return out
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text, little-endian in self.kind; a null text has none."""
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in self.split(texts)]
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in self.split((t or "").encode() for t in texts)]
+
+    def numbers(self, texts: Iterable[bytes]) -> list[int]:
+        """The number of tokens of each text: the frequencies of its parts times the parts' counts."""
+        out = []
+        for parts in self.split(texts):
+            often = Counter(parts)
+            out.append(sum(map(mul, map(self.parts.__getitem__, often), often.values())))
+        return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, counts: bool = False) -> Encoder:
     """The encoder of this worker for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, counts) not in _ENCODERS:
+        _ENCODERS[path, counts] = Encoder(path, counts)
+    return _ENCODERS[path, counts]
+
+
+def _count(path: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, counts=True)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
+                texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(enc.numbers(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    return run
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) for each of docs: tokens of the whole text without added ones.
+
+    Each task counts the pieces of a distinct pre-token once, joins the counts to the pre-token frequencies of
+    its documents and sums; no ids are made up for a document, and nothing is shuffled. A cluster-wide table of
+    pre-tokens would spare the encoding of those that several tasks meet, but its two shuffles by pre-token
+    move more bytes than the texts have; see the README.
+
+    Nulls: a null text is empty (0 bytes, 0 tokens); a null doc_id stays null. Each row counts, repeated ones
+    too. An empty table gives an empty result. Other columns are left out.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return d.mapInArrow(_count(tokenizer), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
