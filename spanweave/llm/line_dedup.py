@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanweave.llm.staging import staged
+from spanweave.llm.staging import let, staged
 
 ID = ["doc_id", "_key"]
 
@@ -81,12 +81,11 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_gone")
     d = docs.withColumn("_key", F.xxhash64(_text()))
     d = d.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-    d = d.withColumn("_lines", F.split(_text(), "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    shorter = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    return (
-        d.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("n_removed_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .drop("_key", "_id", "_k", "_gone", "_lines")
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+    shorter = let(F.split(_text(), "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(_text(), "\n"))).cast("long")
+    return d.select(
+        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter).alias("text") if c == "text" else d[c] for c in docs.columns if c not in ("n_lines", "n_removed_lines")],
+        n_lines.alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanweave.llm.staging import sized, staged
+from spanweave.llm.staging import let, sized, staged
 
 
 def uniform(*key) -> F.Column:
@@ -58,8 +58,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     steps = sized(staged(poisson_steps(source_rates(docs, weights, temper, target_rows)), "rates"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     d = docs.drop("rate", "n_copies", "copy", "shuffle_key").withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    d = d.join(steps, "_source").withColumn("_u", uniform(F.lit(str(seed)), doc))
-    d = d.withColumn("n_copies", F.size(F.filter("steps", lambda p: p <= F.col("_u")))).where("n_copies > 0")
+    number = let(uniform(F.lit(str(seed)), doc), lambda u: F.size(F.filter("steps", lambda p: p <= u)))
+    d = d.join(steps, "_source").withColumn("n_copies", number).where("n_copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")))).drop("_source", "steps", "_u")
+    d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")))).drop("_source", "steps")
     return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.staging import sized, staged
+from spanweave.llm.staging import let, sized, staged
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -25,37 +25,27 @@ def _windows(w: Column) -> Column:
 FEW = 24
 
 
-def _near(s: Column, x: Column, j: Column) -> Column:
-    return F.coalesce(F.get(s, j) == x, F.lit(False))
+def _starts(g: Column, repeated: Column) -> Column:
+    """Where the repeated windows start. g: hashes of all windows in order."""
+    here = lambda k, j, x: F.coalesce(F.get(k, j)["g"] == x["g"], F.lit(False))
+    meet = lambda k: F.filter(k, lambda x, i: here(k, i + 1, x) | F.when(i > 0, here(k, i - 1, x)).otherwise(False))
+    sorted_starts = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    looked_up = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(repeated, x), i)), lambda i: i.isNotNull())
+    return (
+        F.when(F.size(repeated) == 0, F.array().cast("array<int>"))
+        .when(F.size(repeated) > FEW, let(sorted_starts, lambda k: F.transform(meet(k), lambda x: x["i"])))
+        .otherwise(looked_up)
+    )
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); a null text counts as empty.
+def repeat_words(w: Column) -> Column:
+    """How many of the words lie in a three-word window that occurs twice or more.
 
-    One pass over each row, no shuffle. Columns of docs with these names are replaced.
+    Windows are compared by 64-bit hashes; equal ones meet by sorting, so that n words take n log n steps.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Each array is a column of its own that the next step reads more than once, so that it's computed once a row.
-    d = docs.withColumns({"_w": words(text), "_full": full})
-    d = d.withColumn("_g", _windows(F.col("_w")))
-    d = d.withColumn("_s", F.sort_array("_g"))
-    d = d.withColumn("_r", F.array_distinct(F.filter("_s", lambda x, i: _near(F.col("_s"), x, i + 1))))
-    by_start = F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    d = d.withColumn("_k", F.when(F.size("_r") > FEW, F.sort_array(by_start)).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
-    g_at = lambda j: F.get("_k", j)["g"]
-    runs = F.filter("_k", lambda x, i: F.coalesce(g_at(i + 1) == x["g"], F.lit(False)) | F.when(i > 0, g_at(i - 1) == x["g"]).otherwise(False))
-    looked_up = F.filter(F.transform("_g", lambda g, i: F.when(F.array_contains("_r", g), i)), lambda i: i.isNotNull())
-    none = F.array().cast("array<int>")
-    d = d.withColumn("_i", F.when(F.size("_r") == 0, none).when(F.size("_r") > FEW, F.transform(runs, lambda x: x["i"])).otherwise(looked_up))
-    covered = F.array_distinct(F.concat("_i", F.transform("_i", lambda i: i + 1), F.transform("_i", lambda i: i + 2)))
-    return d.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
-        "n_repeat_words": F.size(covered).cast("long"),
-    }).drop("_w", "_full", "_g", "_s", "_r", "_k", "_i")
+    near = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1) == x, F.lit(False)))
+    covered = lambda i: F.size(F.array_distinct(F.concat(i, F.transform(i, lambda x: x + 1), F.transform(i, lambda x: x + 2))))
+    return let(_windows(w), lambda g: let(let(F.sort_array(g), lambda s: F.array_distinct(near(s))), lambda r: let(_starts(g, r), covered))).cast("long")
 
 
 def normal_lines(text: Column) -> Column:
@@ -98,14 +88,26 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
     """
     # The limits are few rows a host; the join is by broadcast within a counted bound and by shuffling beyond it.
     bad = sized(staged(frequent_lines(docs, host, min_docs, max_share), "frequent-lines"))
-    d = text_statistics(_hosted(docs, host)).join(bad, "_host", "left")
-    lines = normal_lines(F.coalesce(F.col("text"), F.lit("")))
-    removed = F.filter(lines, lambda x: F.array_contains("_bad", F.xxhash64(x)))
-    left = F.col("n_words") - F.aggregate(removed, F.lit(0), lambda a, x: a + F.size(F.split(x, " "))).cast("long")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        d.withColumn("n_words_left", F.when(F.col("_bad").isNull(), F.col("n_words")).otherwise(left))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.lit(min_left) * F.col("n_words")))
-        .drop("_host", "_bad")
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    removed = F.filter(normal_lines(text), lambda x: F.array_contains("_bad", F.xxhash64(x)))
+    cut = F.when(F.col("_bad").isNull(), 0).otherwise(F.aggregate(removed, F.lit(0), lambda a, x: a + F.size(F.split(x, " ")))).cast("long")
+
+    def verdict(w: Column, n_words: Column, repeated: Column, left: Column) -> Column:
+        failed = (n_words < min_words) | (100 * repeated > 50 * n_words)
+        return F.struct(
+            n_words.alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"),
+            left.alias("n_words_left"),
+            failed.alias("base_failed"),
+            (~failed & (left >= F.lit(min_left) * n_words)).alias("kept"),
+        )
+
+    # One expression, so that a filter on kept that Catalyst moves down computes it once a row.
+    all_of = let(words(text), lambda w: let(F.size(w).cast("long"), lambda n: let(repeat_words(w), lambda r: let(n - cut, lambda left: verdict(w, n, r, left)))))
+    d = _hosted(docs, host).join(bad, "_host", "left").withColumn("_q", all_of)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
+    return d.select(*[c for c in docs.columns if c not in names], *[F.col(f"_q.{c}").alias(c) for c in names])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -15,6 +16,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 MAX_BROADCAST_ROWS = 200_000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, wherever Catalyst moves the expression and however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (tests), a local one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
