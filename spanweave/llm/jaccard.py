@@ -17,8 +17,9 @@ from spanweave.llm.staging import staged
 TOKENS = 64
 #: A bucket with so many sets is compared pair by pair.
 SMALL = 64
-#: Sets of a block; larger buckets and clusters are compared block against block.
-BLOCK = 256
+#: Sets of a block; larger buckets and clusters are compared block against block. Buckets hold sampled tokens
+#: only, clusters whole sets.
+BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
 DEPTH, BRANCHES = 3, 2
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -179,13 +180,13 @@ def _exact_in_cluster(n: int, threshold: float):
     return run
 
 
-def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
     """rows with block and the pair of blocks (x, y) in which they are compared; sizes: (key, m), one row a key.
 
-    A key with up to BLOCK rows is one block. Of a larger one each block meets every other once, so that no
+    A key with up to most rows is one block. Of a larger one each block meets every other once, so that no
     task gets more than two blocks of a key and no pair is left out.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("m") / most).cast("int")
     d = rows.join(sizes, key).withColumn("_b", blocks)
     d = d.withColumn("block", F.when(F.col("_b") > 1, F.pmod(F.xxhash64("node", F.lit(7)), F.col("_b"))).otherwise(0).cast("int"))
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
@@ -241,7 +242,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
 
     ends = staged(_buckets(classes, runs), "buckets")
     sizes = ends.groupBy("path").agg(F.first("m").alias("m"))
-    met = _in_blocks(ends.drop("m"), "path", sizes).join(classes.select("node", "tokens"), "node")
+    met = _in_blocks(ends.drop("m"), "path", sizes, BUCKET_BLOCK).join(classes.select("node", "tokens"), "node")
     met = met.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
     near = met.select("path", "x", "y", "block", "node", "tokens").mapInArrow(_near_in_bucket(0.5), "a long, b long")
     clusters = components(near).withColumnRenamed("label", "cluster")
@@ -253,7 +254,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     sets = texts.join(one.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).where((F.xxhash64("w") == F.col("node")) & (F.xxhash64(F.lit(1), "w") == F.col("k2")))
     sets = sets.groupBy("cluster", "node").agg(F.first("w").alias("w"), F.first("copies").alias("copies"))
     sets = staged(sets, "sets")
-    spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(F.count("*").alias("m")))
+    spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(F.count("*").alias("m")), CLUSTER_BLOCK)
     spread = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = spread.select("cluster", "x", "y", "block", "node", "copies", "w").mapInArrow(_exact_in_cluster(n, threshold), "a long, b long, links long")
     links = staged(links, "exact")
