@@ -12,6 +12,7 @@ from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
+from spanweave.llm.secrets import ACCESS, ASSIGN, CLIENT, ENDPOINT, HEX, SECRET, secret_report
 from spanweave.llm.tokens import count_tokens, tokenizer_path
 
 
@@ -19,6 +20,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    """Matches with positions by splitting at each pattern, then the linking as joins within a document."""
+    quoted = lambda p: p.replace("'", "''")
+    kinds = [(0, ASSIGN, f"length(regexp_extract(m, '{quoted(ASSIGN)}', 2)) >= 6"), (1, ACCESS, "true"), (2, HEX, "true"), (3, CLIENT, "true"), (4, ENDPOINT, "true"), (5, SECRET, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')")]
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS kind, good, e - length(m) AS a, e AS z FROM (
+              SELECT doc_id, m, ({good}) AS good, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+                SELECT doc_id, i, ms[i] AS m, gs[i] AS g FROM (
+                  SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+                    SELECT doc_id, regexp_extract_all(text, '{quoted(p)}') AS ms, regexp_split_to_array(text, '{quoted(p)}') AS gs FROM documents))))"""
+        for k, p, good in kinds
+    )
+    near = lambda kinds, scope: f"EXISTS (SELECT 1 FROM s o WHERE o.doc_id = w.doc_id AND o.kind IN {kinds} AND o.a < w.z + {scope} AND o.z + {scope} > w.a)"
+    return f"""
+WITH s0 AS (SELECT doc_id, kind, a, z FROM ({each}) WHERE good),
+s AS (SELECT * FROM s0 w WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM s0 o WHERE o.doc_id = w.doc_id AND o.kind < 3 AND o.a < w.z AND o.z > w.a)),
+l AS (SELECT * FROM s w WHERE kind < 3 OR (kind = 3 AND {near('(0, 2, 5)', 300)}) OR (kind = 5 AND {near('(1, 3)', 300)})
+        OR (kind = 4 AND {near('(1, 3)', 300)} AND {near('(0, 2, 5)', 300)})),
+n AS (SELECT *, ['assign', 'access', 'hex', 'client', 'endpoint', 'secret'][kind + 1] || ':' || a || ':' || z AS name FROM l),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+             count(*) FILTER (WHERE kind > 2) AS n_linked, string_agg(name, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY a, kind) AS spans
+      FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
@@ -109,6 +142,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_secret_scans": op2_secret_scans,
         "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
@@ -120,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op2_secret_scans": _op2_sql(),
         "op4_quality_rules": OP4_SQL,
         "op7_mixing": OP7_SQL,
     }
