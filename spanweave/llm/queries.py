@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.html_text import extract_text
 from spanweave.llm.jaccard import jaccard_classes
 from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
@@ -139,6 +140,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -148,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
