@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.html_text import extract_text
 from spanweave.llm.jaccard import jaccard_classes
+from spanweave.llm.licence_texts import TEMPLATES
+from spanweave.llm.licences import licence_scan, template_bigrams
 from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.packing import pack
@@ -109,6 +111,34 @@ SELECT doc_id, text, n_lines, n_removed_lines FROM o
 """
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    rows = ", ".join(f"({i}, '{n}', {template_bigrams(t)!r})" for i, (n, t) in enumerate(TEMPLATES))
+    return rf"""
+WITH t(template, licence, t) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+l AS (SELECT doc_id, string_split(x, chr(10)) AS p FROM d),
+p AS (SELECT doc_id, regexp_split_to_array(x, '
+[ 	]*
+[ 	
+]*') AS p FROM d),
+u AS (SELECT doc_id, 0 AS unit, i - 1 AS pos, p[i] AS x FROM l, unnest(range(1, len(p) + 1)) AS r(i)
+      UNION ALL SELECT doc_id, 1, i - 1, p[i] FROM p, unnest(range(1, len(p) + 1)) AS r(i) UNION ALL SELECT doc_id, 2, 0, x FROM d),
+w AS (SELECT doc_id, unit, pos, list_filter(string_split(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' '), lambda y: y <> '') AS w FROM u),
+g AS (SELECT doc_id, unit, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+m AS (SELECT doc_id, unit, pos, template, licence, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM g, t WHERE len(g) BETWEEN 1 AND 2000),
+h AS (SELECT * FROM m WHERE dice >= 0.8),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template, unit, pos) AS k FROM h),
+a AS (SELECT doc_id, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences FROM h GROUP BY doc_id)
+SELECT d.doc_id, b.licence, coalesce(b.dice, 0.0::DOUBLE) AS dice, ['line', 'paragraph', 'text'][b.unit + 1] AS unit, coalesce(b.pos, -1)::INT AS pos,
+       coalesce(a.licences, '') AS licences, coalesce(a.n_matches, 0) AS n_matches
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id AND b.k = 1 LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
     return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -149,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_secret_scans": op2_secret_scans,
         "op4_quality_rules": op4_quality_rules,
+        "op5_license_scans": op5_license_scans,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
@@ -162,5 +193,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": OP1_SQL,
         "op2_secret_scans": _op2_sql(),
         "op4_quality_rules": OP4_SQL,
+        "op5_license_scans": _op5_sql(),
         "op7_mixing": OP7_SQL,
     }
