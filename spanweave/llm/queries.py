@@ -13,6 +13,7 @@ from spanweave.llm.licence_texts import TEMPLATES
 from spanweave.llm.licences import licence_scan, template_bigrams
 from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
+from spanweave.llm.neighbours import nearest
 from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
 from spanweave.llm.secrets import ACCESS, ASSIGN, CLIENT, ENDPOINT, HEX, SECRET, secret_report
@@ -55,6 +56,10 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
@@ -122,9 +127,11 @@ WITH t(template, licence, t) AS (VALUES {rows}),
 d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 l AS (SELECT doc_id, string_split(x, chr(10)) AS p FROM d),
 p AS (SELECT doc_id, regexp_split_to_array(x, '
-[ 	]*
 [ 	
-]*') AS p FROM d),
+]*
+[ 	
+
+]*') AS p FROM d),
 u AS (SELECT doc_id, 0 AS unit, i - 1 AS pos, p[i] AS x FROM l, unnest(range(1, len(p) + 1)) AS r(i)
       UNION ALL SELECT doc_id, 1, i - 1, p[i] FROM p, unnest(range(1, len(p) + 1)) AS r(i) UNION ALL SELECT doc_id, 2, 0, x FROM d),
 w AS (SELECT doc_id, unit, pos, list_filter(string_split(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' '), lambda y: y <> '') AS w FROM u),
@@ -178,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_secret_scans": op2_secret_scans,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scans": op5_license_scans,
         "op6_packing": op6_packing,
