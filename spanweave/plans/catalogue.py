@@ -1,4 +1,8 @@
-"""Every query of the library on the driver's tables, and its SQL."""
+"""Every query of the library on the driver's tables, and its SQL.
+
+The tables hold no source code, so each query gives a table a role: events are spans, page paths are routes and
+calls, parts are functions, parts that follow each other in an order call each other.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +10,422 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from spanweave.functions import scalars as S
+from spanweave.operators import facts, graph, resolve, spans, stats
 from spanweave.session import table
+from spanweave.sources.files import line_slice, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Roles.
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(
+        "event_id", "ts", F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("name"), F.lit("get").alias("method"), F.concat(F.lit("/"), "event_type").alias("route"),
+        F.col("value").alias("duration_ms"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.get_json_object("props", "$.k").alias("k"),
+    )
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", "url", S.url_path(F.col("url")).alias("path"))
+
+
+def _template(path: F.Column) -> F.Column:
+    return F.regexp_replace(path, "/[0-9]+", "/:id")
+
+
+def _routes(spark: SparkSession, d: str) -> DataFrame:
+    p = _paths(spark, d).select("page_id", _template(F.col("path")).alias("path"), F.when(F.col("page_id") % 7 == 0, "ANY").otherwise("GET").alias("method"))
+    return facts.first_wins(p, ["path", "method"], ["page_id"]).select(F.concat_ws("::", "method", "path").alias("route_id"), "method", "path", F.col("page_id").alias("ord"))
+
+
+_ROUTES_SQL = r"""
+p AS (SELECT page_id, url, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) END AS path FROM pages),
+t AS (SELECT page_id, regexp_replace(path, '/[0-9]+', '/:id', 'g') AS path, CASE WHEN page_id % 7 = 0 THEN 'ANY' ELSE 'GET' END AS method FROM p),
+r AS (SELECT method || '::' || path AS route_id, method, path, min(page_id) AS ord FROM t GROUP BY method, path)"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    nxt = F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "src"))
+    return x.withColumn("dst", nxt).where("dst is not null").select("src", "dst").distinct()
+
+
+_EDGES_SQL = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
+
+
+def _root(spark: SparkSession, node: int = 1) -> DataFrame:
+    return spark.createDataFrame([(node,)], "root long")
+
+
+def _functions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(".", F.split("p_type", " ")[0], "p_brand").alias("name"), F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), F.col("p_size").cast("string"), F.lit(".js")).alias("file"), F.lit(0).alias("file_ord"), F.col("p_partkey").alias("row_ord"))
+
+
+_FUNCTIONS_SQL = "f AS (SELECT p_partkey AS id, string_split(p_type, ' ')[1] || '.' || p_brand AS name, 'src/' || lower(p_brand) || '/' || p_size || '.js' AS file, p_partkey AS row_ord FROM part)"
+
+
+# Spans and telemetry.
+
+
+@query("""SELECT *, CASE WHEN average_ms > 1000 THEN 'CRITICAL' WHEN average_ms > 500 THEN 'WARNING' ELSE 'HEALTHY' END AS status
+FROM (SELECT 'GET:/' || event_type AS metric_key, count(*) AS hits, sum(round(value * 1000)::BIGINT)::BIGINT / count(*) / 1000 AS average_ms,
+             arg_max(value, (ts, event_id)) AS last_ms, arg_max(user_id, (ts, event_id))::VARCHAR AS latest_trace FROM events GROUP BY event_type)""")
+def route_metrics(spark, d):
+    return spans.route_metrics(_spans(spark, d), ["ts", "event_id"])
+
+
+@query("""SELECT event_id, event_type AS name, count(*) OVER w AS hits, (sum(round(value * 100)::BIGINT) OVER w)::BIGINT / count(*) OVER w AS mean_cents
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_route_metrics(spark, d):
+    return spans.running_metrics(_spans(spark, d), "name", "duration_ms", ["ts", "event_id"]).select("event_id", "name", "hits", "mean_cents")
+
+
+@query("""SELECT user_id::VARCHAR AS trace_id, coalesce(arg_min(event_type, (ts, event_id)) FILTER (WHERE event_id % 5 = 0), arg_min(event_type, (ts, event_id))) AS name,
+coalesce(arg_min(epoch_us(ts), (ts, event_id)) FILTER (WHERE event_id % 5 = 0), arg_min(epoch_us(ts), (ts, event_id))) AS start, count(*) AS span_count FROM events GROUP BY user_id""")
+def trace_summary(spark, d):
+    s = _spans(spark, d).withColumn("parent_span_id", F.when(F.col("event_id") % 5 != 0, "p")).withColumn("start", F.unix_micros(F.col("ts").cast("timestamp")))
+    return spans.trace_summaries(s, ["ts", "event_id"])
+
+
+@query("SELECT event_id, ts::DATE::VARCHAR AS day, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY ts::DATE)) / 1000 AS offset_ms FROM events")
+def waterfall_offsets(spark, d):
+    s = _spans(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return spans.waterfall(s, "day", "us", 1000).select("event_id", "day", "offset_ms")
+
+
+@query("""SELECT event_id, offset_ms + 100 * (row_number() OVER (PARTITION BY day ORDER BY offset_ms, event_id) - 1) AS delay_ms
+FROM (SELECT event_id, ts::DATE::VARCHAR AS day, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY ts::DATE)) / 1000 AS offset_ms FROM events)""")
+def pulse_schedule(spark, d):
+    s = _spans(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return spans.pulse_delays(spans.waterfall(s, "day", "us", 1000), "day", ["event_id"]).select("event_id", "delay_ms")
+
+
+@query("""WITH f AS (SELECT user_id, min((ts, event_id)) AS first FROM events GROUP BY user_id), k AS (SELECT user_id FROM f ORDER BY first DESC LIMIT 100)
+SELECT event_id, user_id::VARCHAR AS trace_id FROM events JOIN k USING (user_id)""")
+def trace_fifo_cap(spark, d):
+    return spans.keep_latest_traces(_spans(spark, d), ["ts", "event_id"], 100).select("event_id", "trace_id")
+
+
+@query("""SELECT ts::DATE::VARCHAR AS day, arg_min(user_id, (ts, event_id))::VARCHAR AS trace_id, arg_min(CASE WHEN k % 2 = 0 THEN event_type ELSE 'get /' || event_type END, (ts, event_id)) AS root_name,
+arg_min(k % 2 <> 0, (ts, event_id)) AS is_route FROM (SELECT *, (props->>'k')::INT AS k FROM events) WHERE event_type <> 'click' GROUP BY 1""")
+def root_candidate(spark, d):
+    even = F.col("k").cast("int") % 2 == 0
+    s = _spans(spark, d).where("name <> 'click'").withColumns({"file": F.when(even, F.lit("a.js")), "line": F.when(even, F.lit("3")), "function": F.lit(None).cast("string")})
+    return spans.root_candidates(s, "day", ["ts", "event_id"]).select("day", "trace_id", "root_name", "is_route")
+
+
+@query("SELECT event_id, props->>'k' AS k FROM events")
+def attr_fold(spark, d):
+    pair = lambda v: F.struct(F.lit("k").alias("key"), F.struct(v.alias("stringValue"), F.lit(None).cast("string").alias("intValue"), F.lit(None).cast("boolean").alias("boolValue")).alias("value"))
+    s = _spans(spark, d).withColumn("attributes", F.array(pair(F.lit("0")), pair(F.col("k"))))
+    return s.select("event_id", spans.attributes_map(F.col("attributes"))["k"].alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN event_id::VARCHAR ELSE event_type || ':' || (props->>'k') END AS live_id FROM events")
+def live_node_id(spark, d):
+    return _spans(spark, d).select("event_id", S.live_node_id(F.when(F.col("name") != "view", F.col("name")), F.col("k"), F.col("event_id").cast("string")).alias("live_id"))
+
+
+# Scalars.
+
+
+@query(f"""WITH {_ROUTES_SQL}
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'route' WHEN 1 THEN 'event' ELSE 'function' END AS type, CASE WHEN page_id % 3 = 0 THEN 'GET' END AS method,
+CASE WHEN page_id % 3 = 0 THEN path END AS path, CASE WHEN page_id % 3 = 1 THEN 'onClick' END AS event, CASE WHEN page_id % 3 = 1 THEN 'b' || page_id END AS element, CASE WHEN page_id % 3 = 2 THEN 'fn' || page_id END AS name FROM p""")
+def entry_classify(spark, d):
+    i = F.col("page_id")
+    text = F.when(i % 3 == 0, F.concat(F.lit(" get  "), "path")).when(i % 3 == 1, F.concat(F.lit("onClick:b"), i)).otherwise(F.concat(F.lit("fn"), i))
+    return _paths(spark, d).select("page_id", S.classify_entry(text).alias("e")).select("page_id", "e.*")
+
+
+@query(f"""WITH {_ROUTES_SQL}
+SELECT page_id, regexp_replace(regexp_replace(lower(trim(url || '//')), '/+$', ''), '/{{2,}}', '/', 'g') AS normalized,
+regexp_replace(regexp_replace(regexp_replace(lower(trim(path)), '/+$', ''), '/{{2,}}', '/', 'g'), '/[0-9]+', '/:param', 'g') AS match_key FROM p""")
+def url_normalize(spark, d):
+    key = S.route_match_key(F.coalesce(S.normalize_url(_template(F.col("path"))), F.lit("")))
+    return _paths(spark, d).select("page_id", S.normalize_url(F.concat("url", F.lit("//"))).alias("normalized"), F.coalesce(key, F.lit("")).alias("match_key"))
+
+
+@query(f"""WITH {_ROUTES_SQL}, s AS (SELECT page_id, i, string_split(path, '/')[i] AS seg FROM t, unnest(range(1, len(string_split(path, '/')) + 1)) AS u(i))
+SELECT page_id, seg[2:] AS name, seg AS segment, (i - 1)::INT AS segment_index FROM s WHERE starts_with(seg, ':')""")
+def route_params(spark, d):
+    return _paths(spark, d).select("page_id", F.inline(S.path_params(_template(F.col("path")))))
+
+
+@query(f"WITH {_ROUTES_SQL} SELECT page_id, path, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM p")
+def url_path_host(spark, d):
+    return _paths(spark, d).select("page_id", "path", S.url_host(F.col("url")).alias("host"))
+
+
+@query(f"""WITH {_ROUTES_SQL} SELECT page_id, CASE WHEN regexp_matches(lower(path), 'frontend|client|ui|pages|components|views|\\.jsx$') THEN 'frontend' ELSE 'backend' END AS layer FROM p""")
+def layer_classify(spark, d):
+    return _paths(spark, d).select("page_id", S.layer(F.col("path")).alias("layer"))
+
+
+@query("SELECT doc_id, substr(sha1(source || '::' || lang || '::' || doc_id || '::' || n_chars), 1, 12) AS content_hash, source || '::' || substr(text, 1, 200) AS cache_key FROM documents")
+def content_hash(spark, d):
+    doc = table(spark, d, "documents")
+    return doc.select("doc_id", S.content_hash(F.col("source"), F.col("lang"), F.col("doc_id"), F.col("n_chars")).alias("content_hash"), S.cache_key(F.col("source"), F.col("text")).alias("cache_key"))
+
+
+@query("""SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines,
+CASE WHEN len(string_split(text, chr(10))) >= 2 THEN array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) END AS code FROM documents""")
+def code_slice(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(lines(F.col("text"))).alias("n_lines"), line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("code"))
+
+
+@query("""SELECT i, raw, owner, repo FROM (VALUES (0, 'git@github.com:a/b.git', 'a', 'b'), (1, 'https://www.github.com/a/b-c/tree?x#y', 'a', 'b-c'), (2, 'github.com/O_o/r.js', 'O_o', 'r.js'),
+(3, 'https://example.com/a/b', NULL, NULL), (4, 'github.com/a', NULL, NULL), (5, 'www.github.com/a/b?z', 'a', 'b'), (6, 'https://github.com/a b/c', NULL, NULL)) AS t(i, raw, owner, repo)""")
+def repo_url_parse(spark, d):
+    raw = ["git@github.com:a/b.git", "https://www.github.com/a/b-c/tree?x#y", "github.com/O_o/r.js", "https://example.com/a/b", "github.com/a", "www.github.com/a/b?z", "https://github.com/a b/c"]
+    return spark.createDataFrame(list(enumerate(raw)), "i int, raw string").withColumn("r", S.parse_repo_url(F.col("raw"))).select("i", "raw", "r.owner", "r.repo")
+
+
+# Facts.
+
+
+@query("""SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+def dedup_collector(spark, d):
+    return facts.first_wins(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source", "n_chars"], ["doc_id"])
+
+
+@query("SELECT event_id, 'missing k' AS reason FROM events WHERE event_type = 'click'")
+def schema_errors(spark, d):
+    s = _spans(spark, d).withColumn("k", F.when(F.col("name") != "click", F.col("k")))
+    return facts.split_valid(s, ["name", "k"])[1].select("event_id", "reason")
+
+
+@query(f"WITH {_ROUTES_SQL} SELECT path, min(page_id) AS page_id FROM t GROUP BY path")
+def route_index_first_wins(spark, d):
+    return facts.first_wins(_paths(spark, d).select(_template(F.col("path")).alias("path"), "page_id"), ["path"], ["page_id"])
+
+
+@query(f"WITH {_ROUTES_SQL} SELECT path, page_id, rn::INT AS rn FROM (SELECT path, page_id, row_number() OVER (PARTITION BY path ORDER BY page_id) AS rn FROM t) WHERE rn > 1")
+def route_duplicates(spark, d):
+    return facts.later_rows(_paths(spark, d).select(_template(F.col("path")).alias("path"), "page_id"), ["path"], ["page_id"])
+
+
+@query("SELECT role AS key, array_to_string(list(turn ORDER BY conv_id, turn), ',') AS turns FROM conversations GROUP BY role")
+def grouped_in_order(spark, d):
+    g = facts.grouped(table(spark, d, "conversations"), "role", "turn", ["conv_id", "turn"])
+    return g.select(F.col("role").alias("key"), F.array_join(F.col("values").cast("array<string>"), ",").alias("turns"))
+
+
+@query("SELECT source AS file, lang AS category, count(*) AS n FROM documents GROUP BY source, lang")
+def fact_summary(spark, d):
+    doc = table(spark, d, "documents").withColumnRenamed("source", "file")
+    return facts.summary({k: doc.where(F.col("lang") == k) for k in ("en", "fr", "de", "es")})
+
+
+# Resolution.
+
+
+@query(f"""WITH {_FUNCTIONS_SQL}, q AS (SELECT l_orderkey AS o, l_linenumber AS i, (CASE l_linenumber % 2 WHEN 0 THEN string_split(p_type, ' ')[1] || '.' ELSE '' END) || p_brand AS name,
+  'src/' || lower(p_brand) || '/' || (p_size + l_linenumber % 3) || '.js' AS caller FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1),
+m AS (SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 0 WHEN file = caller THEN 1 WHEN ends_with(file, caller) OR ends_with(caller, file) OR split_part(file, '/', 2) || '/' || split_part(file, '/', 3) = split_part(caller, '/', 2) || '/' || split_part(caller, '/', 3) THEN 2
+  WHEN starts_with(file, regexp_replace(caller, '/?[^/]*$', '')) THEN 3 ELSE 4 END AS rank FROM q JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM f) USING (name)
+  UNION ALL SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 5 WHEN file = caller THEN 6 ELSE 7 END FROM q JOIN (SELECT id, file, row_ord, string_split(name, '.')[2] AS name, count(*) OVER (PARTITION BY string_split(name, '.')[2]) AS n FROM f) s USING (name))
+SELECT q.o || '-' || q.i AS ref_id, b.id AS function_id, b.rank::INT AS rank FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o, i ORDER BY rank, row_ord) AS k FROM m) b ON q.o = b.o AND q.i = b.i AND b.k = 1""")
+def resolve_ranked(spark, d):
+    n = F.col("l_linenumber")
+    x = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.concat(F.when(n % 2 == 0, F.concat(F.split("p_type", " ")[0], F.lit("."))).otherwise(""), "p_brand")
+    caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + n % 3).cast("string"), F.lit(".js"))
+    refs = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref_id"), name.alias("name"), caller.alias("caller_file"))
+    return resolve.resolve_functions(refs, _functions(spark, d)).select("ref_id", "function_id", "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
+def known_function_semi(spark, d):
+    refs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_partkey").alias("name"))
+    known = table(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("m.p"), "p_partkey").alias("name"))
+    return resolve.known_names(refs, known).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {_ROUTES_SQL},
+m AS (SELECT page_id, route_id, ord, CASE WHEN r.method = 'GET' THEN 0 ELSE 1 END AS rank, 0 AS level FROM p JOIN r ON p.path = r.path
+  UNION ALL SELECT page_id, route_id, ord, 2, 0 FROM p JOIN r ON contains(r.path, ':') AND regexp_matches(p.path, '^' || regexp_replace(r.path, ':[^/ ]+', '([^/]+)', 'g') || '$')
+  UNION ALL SELECT page_id, route_id, ord, 3, i FROM (SELECT page_id, i - 1 AS i, '/' || array_to_string(s[i:], '/') AS trial FROM (SELECT page_id, list_filter(string_split(path, '/'), lambda y: y <> '') AS s FROM p), unnest(range(1, len(s) + 1)) AS u(i)) x JOIN r ON x.trial = r.path)
+SELECT p.page_id AS call_id, b.route_id, b.rank::INT AS rank FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, level, ord) AS k FROM m) b ON p.page_id = b.page_id AND b.k = 1""")
+def route_match_ranked(spark, d):
+    calls = _paths(spark, d).select(F.col("page_id").alias("call_id"), F.lit("GET").alias("method"), "url")
+    return resolve.match_routes(calls, _routes(spark, d)).select("call_id", "route_id", "rank")
+
+
+@query(f"""WITH {_ROUTES_SQL}, k AS (SELECT DISTINCT path FROM t WHERE page_id % 2 = 0) SELECT page_id FROM p WHERE page_id % 2 = 1 AND path NOT IN (SELECT path FROM k)""")
+def api_unresolved(spark, d):
+    p = _paths(spark, d)
+    return resolve.unmatched(p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0").select(_template(F.col("path")).alias("path")), "path").select("page_id")
+
+
+@query(f"""WITH {_ROUTES_SQL}, l AS (SELECT page_id, i, '/' || array_to_string(s[i:], '/') AS key FROM (SELECT page_id, list_filter(string_split('/api' || path, '/'), lambda y: y <> '') AS s FROM t), unnest(range(1, len(s) + 1)) AS u(i)),
+h AS (SELECT page_id, i, route_id, r.method, min(i) OVER (PARTITION BY page_id) AS first FROM l JOIN r ON l.key = r.path) SELECT DISTINCT page_id AS call_id, route_id FROM h WHERE i = first AND method = 'GET'""")
+def link_api_calls(spark, d):
+    calls = _paths(spark, d).select(F.col("page_id").alias("call_id"), F.lit("get").alias("method"), F.concat(F.lit("/api"), _template(F.col("path"))).alias("key"))
+    return resolve.link_api_calls(calls, _routes(spark, d).withColumnRenamed("path", "key"))
+
+
+@query("""SELECT metric_key, coalesce(hits, 0) AS hits FROM (SELECT 'GET:/' || x AS metric_key, x FROM (VALUES ('click'), ('view'), ('none')) AS t(x)) LEFT JOIN (SELECT event_type AS x, count(*) AS hits FROM events GROUP BY 1) USING (x)""")
+def metrics_join(spark, d):
+    routes = spark.createDataFrame([("get", f"/{x}") for x in ("click", "view", "none")], "method string, path string")
+    return resolve.attach_metrics(routes, spans.route_metrics(_spans(spark, d), ["ts", "event_id"])).select("metric_key", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT src, dst FROM e")
+def call_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query("""SELECT event_id, event_type AS name, (event_type NOT IN ('map', 'click')) AND event_type IN ('view', 'purchase') AS relevant FROM events""")
+def relevance_gate(spark, d):
+    s = _spans(spark, d).withColumn("call", F.when(F.col("name") == "click", "map").otherwise(F.col("name")))
+    return s.select("event_id", "name", resolve.relevant(F.col("call"), F.lit(None).cast("string"), F.col("name").isin("view", "purchase", "click")).alias("relevant"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' OR event_type NOT IN ('click')")
+def flow_filter(spark, d):
+    s = _spans(spark, d).withColumn("type", F.when(F.col("name") == "view", "api").otherwise("function")).withColumn("label", F.when(F.col("name").isin("click", "view"), "list.map()").otherwise(F.col("name")))
+    return resolve.filter_flow(s).select("event_id")
+
+
+@query("SELECT DISTINCT a.conv_id AS function_id, b.conv_id || '-' || b.turn AS event_id FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.role = 'user'")
+def event_handler_join(spark, d):
+    c = table(spark, d, "conversations")
+    functions = c.where("turn = 0").select(F.col("conv_id").alias("id"), F.col("conv_id").alias("file"), F.lit("user").alias("name"))
+    events = c.select(F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.col("conv_id").alias("file"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("handler"), F.array(F.col("role"), F.lit("other")).alias("calls_inside"))
+    return resolve.events_of(functions, events)
+
+
+# Graphs.
+
+_REACH = "g AS (SELECT DISTINCT 1::BIGINT AS node, 0 AS depth UNION SELECT e.{dst}, depth + 1 FROM g JOIN e ON g.node = e.{src} WHERE depth < {n}), m AS (SELECT node, min(depth) AS depth FROM g GROUP BY node)"
+
+
+@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=3)} SELECT node, depth FROM m")
+def trace_forward_set(spark, d):
+    return graph.trace_forward(_edges(spark, d), _root(spark), 3)[0].select("node", "depth")
+
+
+@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='dst', dst='src', n=2)} SELECT e.src, e.dst FROM e JOIN m ON e.dst = m.node WHERE depth < 2 AND src <> dst")
+def trace_backward_bfs(spark, d):
+    return graph.trace_backward(_edges(spark, d), _root(spark), 2)[1].select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)} SELECT e.src, e.dst FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)")
+def reachable_subgraph(spark, d):
+    e = _edges(spark, d)
+    return graph.induced(graph.reach(e, _root(spark), 2), e).select("src", "dst")
+
+
+def _small_levels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reach(_edges(spark, d), _root(spark), 2).select("node", F.col("depth").alias("level"))
+
+
+@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)} SELECT depth AS level, count(*) AS n FROM m GROUP BY depth")
+def graph_levels(spark, d):
+    e = _edges(spark, d)
+    near = graph.reach(e, _root(spark), 2)
+    return graph.levels(graph.induced(near, e), _root(spark), 2).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)}, r AS (SELECT depth, count(*) AS n FROM m GROUP BY depth), w AS (SELECT max(n * 260 - 40) AS widest, max(depth) AS deepest FROM r)
+SELECT node, depth AS level, (widest - (n * 260 - 40)) / 2 + (row_number() OVER (PARTITION BY depth ORDER BY node) - 1) * 260 AS x, (depth * 142)::BIGINT AS y, greatest(800, widest + 112)::BIGINT AS width, ((deepest + 1) * 142 - 72 + 132)::BIGINT AS height
+FROM m JOIN r USING (depth), w""")
+def graph_layout(spark, d):
+    return graph.layout(_small_levels(spark, d))
+
+
+@query("SELECT r_regionkey::BIGINT AS root, r_regionkey || '>' || (100 + n_nationkey) || coalesce('>' || (1000 + c_custkey), '') AS path FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey")
+def path_enumeration(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    down = n.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
+    leaf = c.select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
+    roots = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("root"))
+    return graph.paths(down.unionByName(leaf), roots, 5).select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o, x, c = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "customer")
+    key = lambda p, col: F.concat(F.lit(p), F.col(col))
+    return graph.linked_graph(
+        o.select(key("o", "o_orderkey").alias("id")), c.select(key("c", "c_custkey").alias("id")), x.select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst")),
+        o.select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst")), x.select(key("s", "l_suppkey").alias("src"), key("o", "l_orderkey").alias("dst")), c.select(key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst")),
+    )
+
+
+@query("""SELECT 'edge:calls' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'edge:handles', count(*) FROM orders UNION ALL SELECT 'edge:requests', count(*) FROM lineitem UNION ALL SELECT 'edge:imports', count(*) FROM customer
+UNION ALL SELECT 'node:function', count(*) FROM orders UNION ALL SELECT 'node:route', count(*) FROM customer UNION ALL SELECT 'node:apiCall', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'node:file', count(DISTINCT c_nationkey) FROM customer""")
+def linker_stats(spark, d):
+    return stats.linker_stats(*_linked(spark, d))
+
+
+@query("""SELECT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst, 'requests' AS type FROM lineitem""")
+def linker_union_graph(spark, d):
+    return graph.edges_of(_linked(spark, d)[1], "requests")
+
+
+@query("SELECT p_partkey AS node, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS num FROM part")
+def numeric_ids(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("ord"))
+    return graph.numeric_graph(nodes, spark.createDataFrame([], "src long, dst long"))[0]
+
+
+# Statistics.
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size") % 5
+    kind = F.when(n == 0, "api").when(n == 1, "external").when(n == 2, "event").when(n == 3, "route").otherwise("function")
+    file = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("src/"), F.when(F.col("p_partkey") % 2 == 0, "ui/").otherwise("db/"), "p_brand"))
+    return table(spark, d, "part").select(kind.alias("type"), file.alias("file"), S.layer(file).alias("layer"))
+
+
+_STEPS_SQL = "s AS (SELECT CASE p_size % 5 WHEN 0 THEN 'api' WHEN 1 THEN 'external' WHEN 2 THEN 'event' WHEN 3 THEN 'route' ELSE 'function' END AS type, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'src/' || CASE WHEN p_partkey % 2 = 0 THEN 'ui/' ELSE 'db/' END || p_brand END AS file FROM part)"
+
+
+@query(f"WITH {_STEPS_SQL} SELECT count(*) AS steps, count(DISTINCT file) AS unique_files, count(*) FILTER (WHERE type = 'function') AS functions, count(*) FILTER (WHERE type = 'api') AS api_calls, count(*) FILTER (WHERE type = 'external') AS \"external\", count(*) FILTER (WHERE type = 'event') AS events, count(*) FILTER (WHERE type = 'route') AS routes FROM s")
+def flow_stats_forward(spark, d):
+    return stats.forward_stats(_steps(spark, d))
+
+
+@query(f"WITH {_STEPS_SQL} SELECT count(*) FILTER (WHERE type = 'function') AS total_callers, count(DISTINCT file) AS unique_files, count(*) FILTER (WHERE type = 'event') AS events FROM s")
+def flow_stats_backward(spark, d):
+    return stats.backward_stats(_steps(spark, d))
+
+
+@query(f"""WITH {_STEPS_SQL}, c AS (SELECT count(*) AS t, count(*) FILTER (WHERE contains(coalesce(file, ''), 'ui')) AS f, count(*) FILTER (WHERE type IN ('api', 'external')) AS a, count(*) FILTER (WHERE type IN ('event', 'route')) AS e FROM s)
+SELECT card, n, floor(100 * n / greatest(1, t) + 0.5)::BIGINT AS percent FROM c, LATERAL (VALUES ('total', t), ('frontend', f), ('backend', t - f), ('api', a), ('entry', e)) AS v(card, n)""")
+def stat_cards(spark, d):
+    return stats.stat_cards(_steps(spark, d))
 
 
-def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits, mean and last duration, latest trace and health of each route (event types as routes)."""
-    e = table(spark, sf_dir, "events")
-    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
-    arrival = F.struct("ts", "event_id")
-    d = e.groupBy(F.col("event_type").alias("route")).agg(
-        F.count("*").alias("hits"), (cents / F.count("*") / 100).alias("average_ms"), F.max_by("user_id", arrival).alias("latest_trace"), F.max_by("value", arrival).alias("last_ms")
-    )
-    return d.withColumn("status", F.when(F.col("average_ms") > 1000, "CRITICAL").when(F.col("average_ms") > 500, "WARNING").otherwise("HEALTHY"))
+@query(f"WITH {_EDGES_SQL} SELECT count(*) AS connections, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e)) AS nodes FROM e")
+def distinct_connections(spark, d):
+    return stats.connection_counts(_edges(spark, d))
 
 
 def queries() -> dict[str, Query]:
-    return {"route_metrics": route_metrics}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "route_metrics": """
-            SELECT *, CASE WHEN average_ms > 1000 THEN 'CRITICAL' WHEN average_ms > 500 THEN 'WARNING' ELSE 'HEALTHY' END AS status
-            FROM (SELECT event_type AS route, count(*) AS hits, sum(CAST(round(value * 100) AS BIGINT))::BIGINT / count(*) / 100 AS average_ms,
-                         arg_max(user_id, (ts, event_id)) AS latest_trace, arg_max(value, (ts, event_id)) AS last_ms
-                  FROM events GROUP BY event_type)"""
-    }
+    return dict(SQL)
