@@ -89,7 +89,7 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     patterned = r.where(F.contains("path", F.lit(":"))).withColumn("depth", depth(F.col("path"))).withColumn("head", head(F.col("path"))).withColumn("pattern", route_pattern(F.col("path")))
     segments = F.split("clean", "/")
     heads = c.withColumn("depth", depth(F.col("clean"))).withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/")))))
-    by_pattern = heads.join(patterned, ["depth", "head"]).where(F.col("clean").rlike(F.col("pattern")) & (F.col("method").isNull() | same | F.col("r_method").isin("ANY", "ALL")))
+    by_pattern = heads.join(patterned, ["depth", "head"]).where(F.rlike("clean", F.col("pattern")) & (F.col("method").isNull() | same | F.col("r_method").isin("ANY", "ALL")))
     by_pattern = by_pattern.withColumn("rank", F.lit(2)).withColumn("level", F.lit(0))
     full = F.array_remove(segments, "")
     trials = F.transform(F.sequence(F.lit(1), F.size(full)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(full, i, F.size(full)), "/")))
