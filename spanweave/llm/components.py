@@ -1,4 +1,4 @@
-"""Connected components of a link table, by smallest labels and shortcuts."""
+"""Connected components of a link table, by contraction to smallest neighbours."""
 
 from __future__ import annotations
 
@@ -11,16 +11,18 @@ from spanweave.llm.staging import staged
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each end of links (a, b): label is the smallest node that it's connected to.
 
-    Each round gives a node the smallest label among its neighbours and then the label's own label, so that a
-    path shortens by half; a round is written to the shared folder. It ends when no label changes.
+    Each round maps a node to the smallest of itself and its neighbours and replaces the ends of every link by
+    what they map to. Links that become loops or equal go, so that a round has at most half of the nodes of the
+    one before it. Each round is written to the shared folder; it ends when no link is left.
     """
-    both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        seen = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = staged(near.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+    left = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
+        low = staged(ends.groupBy(F.col("a").alias("end")).agg(F.min("b").alias("m")).select("end", F.least("end", "m").alias("low")), "lowest")
+        at = lambda c: low.select(F.col("end").alias(c), F.col("low").alias(f"low_{c}"))  # noqa: E731, B023
+        labels = labels.join(low, labels.label == low.end, "left").select("node", F.coalesce("low", "label").alias("label"))
+        new = left.join(at("a"), "a").join(at("b"), "b").where("low_a <> low_b")
+        left = staged(new.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct(), "links")
+        labels = staged(labels, "labels")
+    return labels

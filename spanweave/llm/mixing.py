@@ -26,9 +26,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_source string, w double")
         weighed = counts.join(given, "_source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    all_of = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    rows = F.lit(target_rows) if target_rows is not None else F.col("all_n")
-    return weighed.join(F.broadcast(all_of)).select("_source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * rows / F.col("n")).otherwise(0.0).alias("rate"))
+    weighed = staged(weighed, "weights")
+    all_w, all_n = weighed.agg(F.sum("w"), F.sum("n")).head()
+    rows = float(target_rows if target_rows is not None else all_n or 0)
+    rate = F.col("w") / F.lit(all_w) * F.lit(rows) / F.col("n") if all_w else F.lit(0.0)
+    return weighed.select("_source", rate.alias("rate"))
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
