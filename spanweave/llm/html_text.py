@@ -35,6 +35,8 @@ MARKS = set(
     "contentinfo complementary form skip copyright".split()
 )
 HEADS = {"header", "masthead"}
+#: Elements nested deeper than this belong to the one at this depth.
+DEEP = 256
 
 
 class _Element:
@@ -129,7 +131,8 @@ def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
                 p = p.parent
             if p is not None and p.tag == "p":
                 top = p.parent
-        top = _Element(tag, m[3], top)
+        if top is None or top.depth < DEEP:
+            top = _Element(tag, m[3], top)
     yield from flush()
 
 
@@ -165,17 +168,21 @@ def text_of(page: str, path: str | None) -> str:
     parts = list(blocks(page))
     known: dict[int, bool] = {}
 
-    def inside(e: _Element | None, wanted: str) -> bool:
-        if e is None:
-            return False
-        if id(e) not in known:
-            known[id(e)] = (e.tag in CONTAINER and e.path() == wanted) or inside(e.parent, wanted)
-        return known[id(e)]
+    def inside(e: _Element | None, wanted: str, depth: int) -> bool:
+        way = []
+        while e is not None and e.depth >= depth and id(e) not in known:
+            way.append(e)
+            e = e.parent
+        found = e is not None and known.get(id(e), False)
+        for x in reversed(way):
+            found = found or (x.depth == depth and x.tag in CONTAINER and x.path() == wanted)
+            known[id(x)] = found
+        return found
 
     for choose in (lambda: path, lambda: _best(page)):
         wanted = choose()
         known.clear()
-        if wanted and (found := [t for t, owner, _ in parts if inside(owner, wanted)]):
+        if wanted and (found := [t for t, owner, _ in parts if inside(owner, wanted, wanted.count(">"))]):
             return "\n".join(found)
     return "\n".join(t for t, _, _ in parts)
 
