@@ -14,42 +14,56 @@ SKIP_NAMES = "map filter reduce push pop slice splice split replace trim then ca
 ALLOWED_EXTERNALS = ["axios", "fetch", "mongoose", "prisma"]
 
 
-def tail(path: Column) -> Column:
-    """The last two segments of a path."""
-    parts = F.split(F.regexp_replace(path, r"\\", "/"), "/")
-    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/")
+def _segments(path: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(path, r"\\", "/"), "/"), "")
 
 
-def _tails_meet(a: Column, b: Column) -> Column:
-    return a.endswith(b) | b.endswith(a) | (tail(a) == tail(b))
+def _joined(parts: Column, start: Column | int, length: Column | int) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.array_join(F.slice(parts, lit(start), lit(length)), "/")
+
+
+def _place_keys(path: Column, of_function: bool) -> Column:
+    """array<struct<rank, key>> on which a function's file and a caller's file meet: 1 the file, 2 the tail, 3 the folder, 4 anything.
+
+    Tails meet in their last two segments, or where one of the paths is only the last segment of the other.
+    """
+    p = _segments(path)
+    n = F.size(p)
+    key = lambda rank, k, cond=None: F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(rank).alias("rank"), k.alias("key")))
+    last = F.element_at(p, -1)
+    short, long = ("b", "a") if of_function else ("a", "b")
+    keys = [key(1, F.concat(F.lit("f:"), path)), key(2, F.concat(F.lit("t:"), _joined(p, F.greatest(n - 1, F.lit(1)), 2)), n >= 2), key(2, F.concat(F.lit(f"{long}:"), last)), key(2, F.concat(F.lit(f"{short}:"), last), n == 1), key(4, F.lit(""))]
+    folders = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(3).alias("rank"), F.concat(F.lit("d:"), _joined(p, 1, i)).alias("key")))
+    own = F.array(F.element_at(folders, -1))
+    none = F.array(F.struct(F.lit(4).alias("rank"), F.lit("").alias("key")))
+    return F.when(path.isNull() | (n < 1), none).otherwise(F.concat(F.filter(F.array(*keys), lambda x: x.isNotNull()), folders if of_function else own))
 
 
 def resolve_functions(refs: DataFrame, functions: DataFrame) -> DataFrame:
     """refs(ref_id, name, caller_file) with function_id and rank of the best function, null if there is none.
 
     functions: (id, name, file, file_ord, row_ord). Ranks: 0 the only one of that name; 1 in the caller's file;
-    2 with the caller's path tail; 3 below the caller's folder (a prefix test); 4 the first of that name; then,
-    for names that no function has, those that end in .name: 5 the only one; 6 with the caller's tail; 7 the first.
-    Two equi-joins (on the name and on the last part of dotted names) and one ranking; no pairwise comparison.
+    2 with the caller's path tail; 3 in the caller's folder or below; 4 the first of that name; then, for names
+    that no function has, those that end in .name: 5 the only one; 6 with the caller's tail; 7 the first.
+
+    Each function gives a few keys (its file, tail and folders), and the first function of each name and key is
+    found by an aggregation; a reference meets at most one row of a key. So a name that many functions share and
+    many references use makes no pairs.
     """
-    f = functions.select("id", "name", "file", "file_ord", "row_ord")
-    exact = f.withColumn("n", F.count("*").over(Window.partitionBy("name")))
+    f = functions.select("id", "name", "file", F.struct("file_ord", "row_ord", "id").alias("at"))
     # Each dotted suffix of a name, so that "a.b.c" is found by "c" and by "b.c".
     parts = F.split("name", r"\.")
-    suffixes = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    short = f.where(F.contains("name", F.lit("."))).select("id", "file", "file_ord", "row_ord", suffixes.alias("name"))
-    short = short.withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    folder = F.regexp_replace("caller_file", "/?[^/]*$", "")
-    c, file = F.col("caller_file"), F.col("file")
-    has = c.isNotNull()
-    by_name = refs.join(exact, "name").withColumn(
-        "rank", F.when(F.col("n") == 1, 0).when(has & (file == c), 1).when(has & _tails_meet(file, c), 2).when(has & file.startswith(folder), 3).otherwise(4)
-    )
-    no_name = refs.join(f.select("name").distinct(), "name", "left_anti")
-    by_suffix = no_name.join(short, "name").withColumn("rank", F.when(F.col("n") == 1, 5).when(has & _tails_meet(file, c), 6).otherwise(7))
-    cols = ["ref_id", "id", "rank", "file_ord", "row_ord"]
-    best = by_name.select(*cols).unionByName(by_suffix.select(*cols)).groupBy("ref_id").agg(F.min(F.struct("rank", "file_ord", "row_ord", "id")).alias("b"))
-    return refs.join(best.select("ref_id", F.col("b.id").alias("function_id"), F.col("b.rank").alias("rank")), "ref_id", "left")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct((i > 1).alias("short"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("name")))
+    named = f.select("at", "file", F.explode(suffixes).alias("s")).select("at", F.col("s.short").alias("short"), F.col("s.name").alias("name"), F.explode(_place_keys(F.col("file"), True)).alias("k"))
+    firsts = named.groupBy("name", "short", F.col("k.rank").alias("place"), F.col("k.key").alias("key")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    asked = refs.select("name", "caller_file").distinct().select("name", "caller_file", F.explode(_place_keys(F.col("caller_file"), False)).alias("k"))
+    hit = asked.select("name", "caller_file", F.col("k.rank").alias("place"), F.col("k.key").alias("key")).join(firsts, ["name", "place", "key"])
+    alone = (F.col("place") == 4) & (F.col("n") == 1)
+    rank = F.when(~F.col("short"), F.when(alone, 0).otherwise(F.col("place"))).when(alone, 5).when(F.col("place") == 2, 6).when(F.col("place") == 4, 7)
+    best = hit.withColumn("rank", rank).where("rank is not null").groupBy("name", "caller_file").agg(F.min(F.struct("rank", "at")).alias("b"))
+    best = best.select(F.col("name").alias("_n"), F.col("caller_file").alias("_c"), F.col("b.at.id").alias("function_id"), F.col("b.rank").alias("rank"))
+    return refs.join(best, (F.col("name") == F.col("_n")) & F.col("caller_file").eqNullSafe(F.col("_c")), "left").drop("_n", "_c")
 
 
 def known_names(refs: DataFrame, functions: DataFrame) -> DataFrame:

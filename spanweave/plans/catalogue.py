@@ -239,10 +239,10 @@ def fact_summary(spark, d):
 # Resolution.
 
 
-@query(f"""WITH {_FUNCTIONS_SQL}, q AS (SELECT l_orderkey AS o, l_linenumber AS i, (CASE l_linenumber % 2 WHEN 0 THEN string_split(p_type, ' ')[1] || '.' ELSE '' END) || p_brand AS name,
+@query(f"""WITH {_FUNCTIONS_SQL}, q AS (SELECT DISTINCT l_orderkey AS o, l_linenumber || '-' || l_partkey AS i, (CASE l_linenumber % 2 WHEN 0 THEN string_split(p_type, ' ')[1] || '.' ELSE '' END) || p_brand AS name,
   'src/' || lower(p_brand) || '/' || (p_size + l_linenumber % 3) || '.js' AS caller FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1),
 m AS (SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 0 WHEN file = caller THEN 1 WHEN ends_with(file, caller) OR ends_with(caller, file) OR split_part(file, '/', 2) || '/' || split_part(file, '/', 3) = split_part(caller, '/', 2) || '/' || split_part(caller, '/', 3) THEN 2
-  WHEN starts_with(file, regexp_replace(caller, '/?[^/]*$', '')) THEN 3 ELSE 4 END AS rank FROM q JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM f) USING (name)
+  WHEN split_part(file, '/', 2) = split_part(caller, '/', 2) THEN 3 ELSE 4 END AS rank FROM q JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM f) USING (name)
   UNION ALL SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 5 WHEN file = caller THEN 6 ELSE 7 END FROM q JOIN (SELECT id, file, row_ord, string_split(name, '.')[2] AS name, count(*) OVER (PARTITION BY string_split(name, '.')[2]) AS n FROM f) s USING (name))
 SELECT q.o || '-' || q.i AS ref_id, b.id AS function_id, b.rank::INT AS rank FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o, i ORDER BY rank, row_ord) AS k FROM m) b ON q.o = b.o AND q.i = b.i AND b.k = 1""")
 def resolve_ranked(spark, d):
@@ -250,7 +250,7 @@ def resolve_ranked(spark, d):
     x = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     name = F.concat(F.when(n % 2 == 0, F.concat(F.split("p_type", " ")[0], F.lit("."))).otherwise(""), "p_brand")
     caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + n % 3).cast("string"), F.lit(".js"))
-    refs = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref_id"), name.alias("name"), caller.alias("caller_file"))
+    refs = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), name.alias("name"), caller.alias("caller_file")).distinct()
     return resolve.resolve_functions(refs, _functions(spark, d)).select("ref_id", "function_id", "rank")
 
 
