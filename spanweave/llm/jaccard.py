@@ -275,5 +275,5 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without those whose class has a smaller doc_id; rows with a null doc_id stay. Columns stay as they are."""
-    others = jaccard_classes(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
+    others = jaccard_classes(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__other_id")).distinct()
+    return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__other_id"), "left_anti")

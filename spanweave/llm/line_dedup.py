@@ -77,15 +77,15 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ordered by a hash of the text. Empty tables give empty results. Other columns stay as they are.
     """
     gone = repeated_runs(docs, min_words).select(*ID, F.explode(F.sequence("start", "end")).alias("pos"))
-    gone = gone.groupBy(*ID).agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_gone")
-    d = docs.withColumn("_key", F.xxhash64(_text()))
-    d = d.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+    gone = gone.groupBy(*ID).agg(F.collect_set("pos").alias("__dedup_gone"))
+    gone = gone.select(F.col("doc_id").alias("__dedup_id"), F.col("_key").alias("__dedup_k"), "__dedup_gone")
+    d = docs.withColumn("__dedup_key", F.xxhash64(_text()))
+    d = d.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__dedup_id")) & (F.col("__dedup_key") == F.col("__dedup_k")), "left")
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__dedup_gone"))
     shorter = let(F.split(_text(), "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(_text(), "\n"))).cast("long")
     return d.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter).alias("text") if c == "text" else d[c] for c in docs.columns if c not in ("n_lines", "n_removed_lines")],
+        *[F.when(F.col("__dedup_gone").isNull(), F.col("text")).otherwise(shorter).alias("text") if c == "text" else d[c] for c in docs.columns if c not in ("n_lines", "n_removed_lines")],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("__dedup_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
     )

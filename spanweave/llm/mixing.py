@@ -57,11 +57,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     of results are replaced.
     """
     # Few rows a source: by broadcast within a counted bound, by shuffling beyond it.
-    steps = sized(staged(poisson_steps(source_rates(docs, weights, temper, target_rows)), "rates"))
+    steps = poisson_steps(source_rates(docs, weights, temper, target_rows)).withColumnsRenamed({"_source": "__mix_source", "steps": "__mix_steps"})
+    steps = sized(staged(steps, "rates"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = docs.drop("rate", "n_copies", "copy", "shuffle_key").withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    number = let(uniform(F.lit(str(seed)), doc), lambda u: F.size(F.filter("steps", lambda p: p <= u)))
-    d = d.join(steps, "_source").withColumn("n_copies", number).where("n_copies > 0")
+    d = docs.drop("rate", "n_copies", "copy", "shuffle_key").withColumn("__mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    number = let(uniform(F.lit(str(seed)), doc), lambda u: F.size(F.filter("__mix_steps", lambda p: p <= u)))
+    d = d.join(steps, "__mix_source").withColumn("n_copies", number).where("n_copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")))).drop("_source", "steps")
+    d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")))).drop("__mix_source", "__mix_steps")
     return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -55,7 +55,7 @@ def normal_lines(text: Column) -> Column:
 
 
 def _hosted(docs: DataFrame, host: str) -> DataFrame:
-    return docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    return docs.withColumn("__quality_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
@@ -67,12 +67,12 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, ma
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     hashes = F.array_distinct(F.transform(normal_lines(text), lambda x: F.xxhash64(x)))
-    d = _hosted(docs, host).select("_host", F.xxhash64(text).alias("_key"), hashes.alias("_lines")).groupBy("_host", "_key").agg(F.first("_lines").alias("_lines"))
+    d = _hosted(docs, host).select("__quality_host", F.xxhash64(text).alias("_key"), hashes.alias("_lines")).groupBy("__quality_host", "_key").agg(F.first("_lines").alias("_lines"))
     d = staged(d, "host-lines")
-    per_line = d.select("_host", F.explode("_lines").alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    per_host = d.groupBy("_host").agg(F.count("*").alias("all_docs"))
-    over = per_line.join(sized(staged(per_host, "hosts")), "_host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("all_docs")))
-    return over.groupBy("_host").agg(F.collect_set("h").alias("_bad"))
+    per_line = d.select("__quality_host", F.explode("_lines").alias("h")).groupBy("__quality_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    per_host = d.groupBy("__quality_host").agg(F.count("*").alias("all_docs"))
+    over = per_line.join(sized(staged(per_host, "hosts")), "__quality_host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("all_docs")))
+    return over.groupBy("__quality_host").agg(F.collect_set("h").alias("__quality_bad"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.3, min_words: int = 50) -> DataFrame:
@@ -90,8 +90,8 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
     bad = sized(staged(frequent_lines(docs, host, min_docs, max_share), "frequent-lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    removed = F.filter(normal_lines(text), lambda x: F.array_contains("_bad", F.xxhash64(x)))
-    cut = F.when(F.col("_bad").isNull(), 0).otherwise(F.aggregate(removed, F.lit(0), lambda a, x: a + F.size(F.split(x, " ")))).cast("long")
+    removed = F.filter(normal_lines(text), lambda x: F.array_contains("__quality_bad", F.xxhash64(x)))
+    cut = F.when(F.col("__quality_bad").isNull(), 0).otherwise(F.aggregate(removed, F.lit(0), lambda a, x: a + F.size(F.split(x, " ")))).cast("long")
 
     def verdict(w: Column, n_words: Column, repeated: Column, left: Column) -> Column:
         failed = (n_words < min_words) | (100 * repeated > 50 * n_words)
@@ -108,6 +108,6 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
 
     # One expression, so that a filter on kept that Catalyst moves down computes it once a row.
     all_of = let(words(text), lambda w: let(F.size(w).cast("long"), lambda n: let(repeat_words(w), lambda r: let(n - cut, lambda left: verdict(w, n, r, left)))))
-    d = _hosted(docs, host).join(bad, "_host", "left").withColumn("_q", all_of)
+    d = _hosted(docs, host).join(bad, "__quality_host", "left").withColumn("__quality", all_of)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
-    return d.select(*[c for c in docs.columns if c not in names], *[F.col(f"_q.{c}").alias(c) for c in names])
+    return d.select(*[c for c in docs.columns if c not in names], *[F.col(f"__quality.{c}").alias(c) for c in names])
