@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Letters that are one pre-token together and have one lower-case letter each, then ASCII punctuation, which is another.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _JOINED = 2000
-#: Texts that a task encodes together.
+#: Texts that a task encodes together, and bytes of them that it splits at a time.
 TEXTS = 512
+STEP = 1 << 20
+_WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,29 +80,52 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
         self.parts.update((part, self._kept(e.ids)) for (part, _), e in zip(other, encoded, strict=True))
 
-    def split(self, texts: Iterable[bytes]) -> list[list[bytes]]:
-        """The parts of each text; all of them are known until the next call."""
-        out = [t.split() for t in texts]
+    def _parts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+        """(text's number, parts) of each text, a long one in several steps; the parts are known until the next step.
+
+        Steps hold at most about 2 * STEP bytes of text, unless one part alone has more.
+        """
+        group: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text) or not text:
+                cut = _WHITE.search(text, at + STEP)
+                end = cut.start() if cut else len(text)
+                group.append((i, text[at:end].split()))
+                size += end - at
+                at = end
+                if size >= STEP:
+                    yield from self._known(group)
+                    group, size = [], 0
+                if not text:
+                    break
+        yield from self._known(group)
+
+    def _known(self, group: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
         new: set[bytes] = set()
-        for parts in out:
+        for _, parts in group:
             new.update(parts)
         missing = new.difference(self.parts)
         if missing and len(self.parts) + len(missing) > self.max_parts:
             self.parts, self.words, missing = {}, {}, new
         if missing:
             self._learn(missing)
-        return out
+        return group
 
-    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian in self.kind; a null text has none."""
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in self.split((t or "").encode() for t in texts)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, parts in self._parts((t or "").encode() for t in texts):
+            out[i].append(b"".join(map(self.parts.__getitem__, parts)))
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def numbers(self, texts: Iterable[bytes]) -> list[int]:
+    def numbers(self, texts: list[bytes]) -> list[int]:
         """The number of tokens of each text: the frequencies of its parts times the parts' counts."""
-        out = []
-        for parts in self.split(texts):
+        out = [0] * len(texts)
+        for i, parts in self._parts(texts):
             often = Counter(parts)
-            out.append(sum(map(mul, map(self.parts.__getitem__, often), often.values())))
+            out[i] += sum(map(mul, map(self.parts.__getitem__, often), often.values()))
         return out
 
 

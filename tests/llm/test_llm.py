@@ -206,6 +206,16 @@ def test_encoder_equals_library():
         assert np.frombuffer(ids.ids([t])[0], ids.kind).tolist() == want and counts.numbers([t.encode()]) == [len(want)]
 
 
+def test_encoder_long_text(monkeypatch):
+    import spanweave.llm.tokens as T
+
+    whole = T.Encoder(tokenizer_path()).ids([words(3000, 4)])
+    monkeypatch.setattr(T, "STEP", 100)
+    texts = [words(3000, 4), "", None, "x" * 500, " " * 300]
+    assert T.Encoder(tokenizer_path()).ids(texts)[:3] == [whole[0], b"", b""]
+    assert T.Encoder(tokenizer_path(), counts=True).numbers([(t or "").encode() for t in texts])[0] == len(whole[0]) // 2
+
+
 def check_packing(rows, want, size=2048):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
