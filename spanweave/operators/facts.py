@@ -52,3 +52,23 @@ def grouped(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """(key, values): an array of the key's values in order."""
     v = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.groupBy(key).agg(F.transform(v, lambda x: x["_v"]).alias("values"))
+
+
+def ast_map(functions: DataFrame) -> DataFrame:
+    """(key, file, line): where each file:name first stands; functions without file, name or start_line give no row. functions: (file, name, start_line)."""
+    d = functions.where("file is not null and file <> '' and name is not null and name <> '' and start_line is not null")
+    return d.groupBy(F.concat_ws(":", "file", "name").alias("key")).agg(F.first("file").alias("file"), F.min("start_line").alias("line"))
+
+
+def located(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """spans(file, function) with line from places(key, line), null where the place isn't known."""
+    return spans.withColumn("key", F.concat_ws(":", "file", "function")).join(places.select("key", "line"), "key", "left").drop("key")
+
+
+def index_summary(files: DataFrame, functions: DataFrame, routes: DataFrame, events: DataFrame) -> DataFrame:
+    """(what, n): the sizes of an index."""
+    out = None
+    for what, d in (("files", files), ("functions", functions), ("routes", routes), ("events", events)):
+        one = d.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

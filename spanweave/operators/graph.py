@@ -91,6 +91,11 @@ def paths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
     return ended.unionByName(open_)
 
 
+def trace_ui_to_backend(edges: DataFrame, events: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(root, path) from UI events(root) over edges(src, dst, type) of calls and handles."""
+    return paths(edges.where(F.col("type").isin("calls", "handles")), events, max_depth)
+
+
 def linked_graph(functions: DataFrame, routes: DataFrame, calls: DataFrame, handles: DataFrame, requests: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, type), edges(src, dst, type)) of all kinds; equal edges stay, a node's first kind wins.
 

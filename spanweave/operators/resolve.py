@@ -158,3 +158,48 @@ def resolve_event_entries(entries: DataFrame, events: DataFrame, functions: Data
     tried = e.select("event_id", F.col("file").alias("caller_file"), F.posexplode(names).alias("pos", "name")).where("name is not null").withColumn("ref_id", F.concat_ws("#", "event_id", "pos"))
     found = resolve_functions(tried, functions).where("function_id is not null").groupBy("event_id").agg(F.min_by("function_id", "pos").alias("function_id"))
     return e.select("event", "element", "event_id").join(found, "event_id", "left")
+
+
+def calls_of(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """calls(file, from, ...) of each of functions(id, file, name), with function_id: by file and caller name."""
+    f = functions.select(F.col("id").alias("function_id"), "file", F.col("name").alias("from"))
+    return calls.join(f, ["file", "from"])
+
+
+def routes_of(functions: DataFrame, routes: DataFrame) -> DataFrame:
+    """(function_id, route_id): routes whose handler is a function's name, also a dotted one's last part."""
+    handler = F.explode(F.array_distinct(F.array("handler", F.element_at(F.split("handler", r"\."), -1))))
+    r = routes.where("handler is not null").select("route_id", handler.alias("name"))
+    return functions.select(F.col("id").alias("function_id"), "name").join(r, "name").select("function_id", "route_id").distinct()
+
+
+def events_by_handler(functions: DataFrame, events: DataFrame) -> DataFrame:
+    """(function_id, event_id) of events whose handler_function_id is the function."""
+    return events.where("handler_function_id is not null").select(F.col("handler_function_id").alias("function_id"), "event_id").join(functions.select(F.col("id").alias("function_id")), "function_id", "left_semi")
+
+
+def link_functions(refs: DataFrame, functions: DataFrame) -> DataFrame:
+    """refs(ref_id, target) with function_id: the function of that id, else of file::name, else the first of the last part of its name.
+
+    functions: (id, name, file, file_ord, row_ord). Each way is an equi-join on the first function of its key.
+    """
+    at = F.struct("file_ord", "row_ord", "id")
+    short = F.element_at(F.split("name", r"\."), -1)
+    keys = F.array(*[F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((F.col("id"), F.concat_ws("::", "file", "name"), short))])
+    firsts = functions.select(F.explode(keys).alias("k"), at.alias("at")).groupBy(F.col("k.rank").alias("rank"), F.col("k.key").alias("key")).agg(F.min("at").alias("at"))
+    last = F.element_at(F.split(F.element_at(F.split("target", "::"), -1), r"\."), -1)
+    file_name = F.when(F.col("target").rlike("::.*::"), F.regexp_replace("target", "::[^:]*$", "")).otherwise(F.col("target"))
+    bare = F.when(F.col("target").rlike("::.*::"), F.element_at(F.split(F.element_at(F.split("target", "::"), -2), r"\."), -1)).otherwise(last)
+    tried = F.array(*[F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((F.col("target"), file_name, bare))])
+    hit = refs.select("ref_id", F.explode(tried).alias("k")).select("ref_id", "k.*").join(firsts, ["rank", "key"])
+    best = hit.groupBy("ref_id").agg(F.min(F.struct("rank", "at")).alias("b")).select("ref_id", F.col("b.at.id").alias("function_id"), F.col("b.rank").alias("rank"))
+    return refs.join(best, "ref_id", "left")
+
+
+def pulses_on_nodes(pulses: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pulses(pulse_id, node_id, method, route) with node: the node of that live id, else of METHOD:route. nodes(node, live_id)."""
+    by_id = nodes.select(F.col("live_id").alias("node_id"), F.col("node").alias("_by_id"))
+    key = F.concat_ws(":", F.upper("method"), "route")
+    by_route = nodes.select(F.col("live_id").alias("_key"), F.col("node").alias("_by_route"))
+    d = pulses.withColumn("_key", key).join(by_id, "node_id", "left").join(by_route, "_key", "left")
+    return d.withColumn("node", F.coalesce("_by_id", "_by_route")).drop("_key", "_by_id", "_by_route")

@@ -315,6 +315,27 @@ def event_handler_join(spark, d):
     return resolve.events_of(functions, events)
 
 
+@query("""WITH n AS (SELECT event_type || ':' || k AS live_id, min(event_id) AS node FROM (SELECT *, props->>'k' AS k FROM events WHERE event_id % 3 = 0) GROUP BY 1),
+r AS (SELECT 'GET:/' || event_type AS live_id, min(event_id) + 1000000 AS node FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT event_id AS pulse_id, coalesce(n.node, r.node, -1) AS node FROM (SELECT *, event_type || ':' || (props->>'k') AS a, 'GET:/' || event_type AS b FROM events) e LEFT JOIN n ON e.a = n.live_id LEFT JOIN r ON e.b = r.live_id""")
+def pulse_node_join(spark, d):
+    s = _spans(spark, d).withColumn("node_id", F.concat_ws(":", "name", "k")).withColumnRenamed("event_id", "pulse_id")
+    by_id = s.where("pulse_id % 3 = 0").groupBy(F.col("node_id").alias("live_id")).agg(F.min("pulse_id").alias("node"))
+    by_route = s.where("name in ('view', 'click')").groupBy(F.concat(F.lit("GET:"), "route").alias("live_id")).agg((F.min("pulse_id") + 1000000).alias("node"))
+    return resolve.pulses_on_nodes(s, by_id.unionByName(by_route)).select("pulse_id", F.coalesce("node", F.lit(-1)).alias("node"))
+
+
+@query("SELECT source || ':' || lang AS key, source AS file, min(n_chars) AS line FROM documents GROUP BY source, lang")
+def ast_map(spark, d):
+    doc = table(spark, d, "documents")
+    return facts.ast_map(doc.select(F.col("source").alias("file"), F.col("lang").alias("name"), F.col("n_chars").alias("start_line")))
+
+
+@query("SELECT 'files' AS what, count(*) AS n FROM documents UNION ALL SELECT 'functions', count(*) FROM part UNION ALL SELECT 'routes', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events")
+def index_summary(spark, d):
+    return facts.index_summary(*[table(spark, d, t) for t in ("documents", "part", "pages", "events")])
+
+
 # Graphs.
 
 _REACH = "g AS (SELECT DISTINCT 1::BIGINT AS node, 0 AS depth UNION SELECT e.{dst}, depth + 1 FROM g JOIN e ON g.node = e.{src} WHERE depth < {n}), m AS (SELECT node, min(depth) AS depth FROM g GROUP BY node)"

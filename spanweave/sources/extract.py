@@ -197,3 +197,20 @@ def extract_events(files: DataFrame, lines: DataFrame | None = None) -> DataFram
     calls = F.when(arrow, inner).when(conditional, both).otherwise(F.array().cast("array<string>"))
     handler = F.when(plain, F.col("e")).when(computed, "dynamic").when(arrow & (F.size(inner) == 1), F.get(inner, F.lit(0))).when(arrow & (F.size(inner) > 1), "inline").when(conditional, "conditional")
     return d.select("file", "start_line", "pos", "event", "element", handler.alias("handler"), calls.alias("calls_inside"), computed.alias("is_dynamic"), conditional.alias("is_conditional"))
+
+
+#: The extractors by category; each takes (files, functions, lines). More can be added.
+EXTRACTORS = {
+    "functions": lambda files, functions, lines: functions,
+    "calls": extract_calls,
+    "api_calls": extract_api_calls,
+    "routes": extract_routes,
+    "ui_events": lambda files, functions, lines: extract_events(files, lines),
+}
+
+
+def extract_all(files: DataFrame) -> dict[str, DataFrame]:
+    """The fact tables of a source tree by category; lines and functions are found once for all."""
+    lines = cut(source_lines(files))
+    functions = cut(extract_functions(files, lines))
+    return {name: run(files, functions, lines) for name, run in EXTRACTORS.items()}

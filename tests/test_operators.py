@@ -147,3 +147,16 @@ def test_explain_stub(spark):
     got = explain.explain(nodes).collect()
     assert len(got) == 3 and {r["purpose"] for r in got} == {explain.FALLBACK["purpose"], None}
     assert explain.parse_answer('```json\n{"purpose": "p", "details": "d"}\n```') == {"purpose": "p", "details": "d"}
+
+
+def test_links_by_key(spark):
+    fs = spark.createDataFrame([("a.js::run::1", "run", "a.js", 0, 0), ("b.js::S.run::4", "S.run", "b.js", 1, 0)], "id string, name string, file string, file_ord int, row_ord int")
+    refs = spark.createDataFrame([("1", "b.js::S.run::4"), ("2", "b.js::S.run"), ("3", "c.js::run::9"), ("4", "c.js::none::9")], "ref_id string, target string")
+    got = {r["ref_id"]: (r["function_id"], r["rank"]) for r in resolve.link_functions(refs, fs).collect()}
+    assert got == {"1": ("b.js::S.run::4", 0), "2": ("b.js::S.run::4", 1), "3": ("a.js::run::1", 2), "4": (None, None)}
+    routes = spark.createDataFrame([("r1", "run"), ("r2", "ctrl.run"), ("r3", None)], "route_id string, handler string")
+    assert {(r["function_id"], r["route_id"]) for r in resolve.routes_of(fs, routes).collect()} == {("a.js::run::1", "r1"), ("a.js::run::1", "r2")}
+    calls = spark.createDataFrame([("a.js", "run", "x"), ("z.js", "run", "y")], "file string, from string, name string")
+    assert [(r["function_id"], r["name"]) for r in resolve.calls_of(fs, calls).collect()] == [("a.js::run::1", "x")]
+    edges = spark.createDataFrame([("e", "a", "handles"), ("a", "b", "calls"), ("b", "c", "imports")], "src string, dst string, type string")
+    assert [r["path"] for r in graph.trace_ui_to_backend(edges, spark.createDataFrame([("e",)], "root string")).collect()] == [["e", "a", "b"]]
