@@ -37,7 +37,7 @@ class Encoder:
     parts kept reach max_parts, they are dropped and gathered anew, so that memory stays bounded.
     """
 
-    def __init__(self, path: str, counts: bool = False, max_parts: int = 400_000) -> None:
+    def __init__(self, path: str, counts: bool = False, max_parts: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,7 +108,9 @@ class Encoder:
             new.update(parts)
         missing = new.difference(self.parts)
         if missing and len(self.parts) + len(missing) > self.max_parts:
-            self.parts, self.words, missing = {}, {}, new
+            self.parts, missing = {}, new
+            if len(self.words) > self.max_parts:
+                self.words = {}
         if missing:
             self._learn(missing)
         return group
