@@ -35,6 +35,7 @@ MARKS = set(
     "contentinfo complementary form skip copyright".split()
 )
 HEADS = {"header", "masthead"}
+WITH = {"no", "has", "with", "without"}
 #: Elements nested deeper than this belong to the one at this depth.
 DEEP = 256
 
@@ -44,7 +45,8 @@ class _Element:
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None) -> None:
         found = {k.lower(): (a or b or c) for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
-        words = set(re.split(r"[^a-z]+", " ".join(found.values()).lower())) if found else set()
+        # A name like has-sidebar or no-ads tells of a part that is elsewhere.
+        words = {w for name in " ".join(found.values()).lower().split() if WITH.isdisjoint(own := re.split(r"[^a-z]+", name)) for w in own} if found else set()
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.inside = (parent is not None and parent.inside) or tag in ("article", "main")
         head = tag == "header" or bool(words & HEADS)

@@ -304,14 +304,14 @@ def test_chi_square():
 
 
 PAGE = """<html><head><title>T</title></head><body><header class="site">Site</header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>
-<div class="wrap-12"><div class="post"><h1>Head&amp;line</h1><p>First  para <a href="x">link</a> &lt;b&gt; goes on and on for a while.<p>Second<br>line <b>bold</b></p><div class="ad">Buy</div><ul><li>one<li>two</ul></div>
+<div class="wrap-12 has-sidebar"><div class="post"><h1>Head&amp;line</h1><p>First  para <a href="x">link</a> &lt;b&gt; goes on and on for a while.<p>Second<br>line <b>bold</b></p><div class="ad">Buy</div><ul><li>one<li>two</ul></div>
 <aside>Side</aside><form><input><p>Sign up</p></form><div id="comments"><p>Nice post, really a long comment here</p></div></div><script>var x = "<p>no</p>";</script><footer>&copy; me</footer></body></html>"""
 
 
 def test_html_blocks(spark):
     want = "Head&line\nFirst para link <b> goes on and on for a while.\nSecond\nline bold\none\ntwo"
     assert text_of(PAGE, None) == want
-    assert max(scored(PAGE), key=scored(PAGE).get) == "html>body>div.wrap-#>div.post"
+    assert max(scored(PAGE), key=scored(PAGE).get) == "html>body>div.has-sidebar.wrap-#>div.post"
     rows = [(1, "http://h/1", PAGE), (2, "http://h/2", PAGE.replace("wrap-12", "wrap-7")), (3, None, None), (4, "x", "plain & text"), (4, "x", "plain & text"), (5, "http://h/5", "")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r["page_id"], r["text"]) for r in got) == [(1, want), (2, want), (3, ""), (4, "plain & text"), (4, "plain & text"), (5, "")]
