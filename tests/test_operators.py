@@ -63,12 +63,12 @@ def test_x6_collector(spark):
 
 def test_j1_ranks(spark):
     fs = spark.createDataFrame(
-        [("1", "run", "src/a/x.js", 0, 0), ("2", "run", "src/b/y.js", 1, 0), ("3", "run", "lib/z.js", 2, 0), ("4", "only", "q.js", 3, 0), ("5", "Index.build", "i.js", 4, 0), ("6", "A.go", "m/a.js", 5, 0), ("7", "B.go", "m/b.js", 6, 0)],
+        [("1", "run", "src/a/x.js", 0, 0), ("2", "run", "src/b/y.js", 1, 0), ("3", "run", "lib/z.js", 2, 0), ("4", "only", "q.js", 3, 0), ("5", "Index.build", "i.js", 4, 0), ("6", "A.go", "m/a.js", 5, 0), ("7", "B.go", "m/b.js", 6, 0), ("8", "trap", "zz.js", 7, 0), ("9", "trap", "src/ab/x.js", 8, 0)],
         "id string, name string, file string, file_ord int, row_ord int",
     )
-    refs = [("a", "only", "x.js"), ("b", "run", "src/b/y.js"), ("c", "run", "/abs/src/b/y.js"), ("d", "run", "src/b/other.js"), ("e", "run", None), ("f", "build", None), ("g", "go", "m/b.js"), ("h", "go", None), ("i", "none", None)]
+    refs = [("a", "only", "x.js"), ("b", "run", "src/b/y.js"), ("c", "run", "/abs/src/b/y.js"), ("d", "run", "src/b/other.js"), ("e", "run", None), ("f", "build", None), ("g", "go", "m/b.js"), ("h", "go", None), ("i", "none", None), ("j", "trap", "src/a/q.js")]
     got = {r["ref_id"]: (r["function_id"], r["rank"]) for r in resolve.resolve_functions(spark.createDataFrame(refs, "ref_id string, name string, caller_file string"), fs).collect()}
-    assert got == {"a": ("4", 0), "b": ("2", 1), "c": ("2", 2), "d": ("2", 3), "e": ("1", 4), "f": ("5", 5), "g": ("7", 6), "h": ("6", 7), "i": (None, None)}
+    assert got == {"a": ("4", 0), "b": ("2", 1), "c": ("2", 2), "d": ("2", 3), "e": ("1", 4), "f": ("5", 5), "g": ("7", 6), "h": ("6", 7), "i": (None, None), "j": ("8", 4)}
 
 
 def test_j4_routes(spark):
