@@ -78,7 +78,10 @@ def _with_tokens(n: int):
             doc, h = shingles(w.flatten().to_numpy(zero_copy_only=False), ends, n)
             tokens = sampled_tokens(doc, h, b.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TOKENS), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "k1", "k2", "n")] + [lists], names=["doc_id", "k1", "k2", "n", "tokens"])
+            sizes = np.bincount(doc, minlength=b.num_rows)
+            sizes[sizes > TOKENS] = 0
+            few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h[sizes[doc] > 0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "k1", "k2", "n")] + [lists, few], names=["doc_id", "k1", "k2", "n", "tokens", "few"])
 
     return run
 
@@ -125,7 +128,34 @@ def _pairs_within(hit: np.ndarray, side: np.ndarray) -> np.ndarray:
     return np.argwhere(hit)
 
 
-def _near_in_bucket(least: float):
+def _shared(doc: np.ndarray, h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, m x m sizes of intersections) of m sets given as pairs of a set's number and a hash, repeats allowed."""
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    doc, h = doc[once], h[once]
+    sizes = np.bincount(doc, minlength=m)
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    token = np.cumsum(new) - 1
+    shared = np.bincount(token, minlength=1) > 1
+    keep = shared[token]
+    doc, token = doc[keep], (np.cumsum(shared) - 1)[token[keep]]
+    common = np.zeros((m, m), dtype=np.float32)
+    for a in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(token, [a, a + 4096])
+        x = np.zeros((m, 4096), dtype=np.float32)
+        x[doc[lo:hi], token[lo:hi] - a] = 1
+        common += x @ x.T
+    return sizes, common
+
+
+def _similar(sizes: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    return (common > 0) & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6)
+
+
+def _near_in_bucket(least: float, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["path", "x", "y"]):
             node = g.column("node").to_numpy()
@@ -133,7 +163,14 @@ def _near_in_bucket(least: float):
             same = np.zeros((len(node), len(node)), dtype=np.int16)
             for k in range(TOKENS):
                 same += tokens[:, k, None] == tokens[None, :, k]
-            pairs = _pairs_within(same >= least * TOKENS, g.column("block").to_numpy() != g.column("x").to_numpy())
+            hit = same >= least * TOKENS
+            few = g.column("few").combine_chunks()
+            sizes = np.diff(few.offsets.to_numpy())
+            small = np.flatnonzero(sizes)
+            if len(small) > 1:  # sets as small as the samples are compared whole
+                found, common = _shared(np.repeat(np.arange(len(small)), sizes[small]), few.flatten().to_numpy(zero_copy_only=False), len(small))
+                hit[np.ix_(small, small)] = _similar(found, common, threshold)
+            pairs = _pairs_within(hit, g.column("block").to_numpy() != g.column("x").to_numpy())
             root = _roots(pairs, len(node))
             own = np.flatnonzero(root != np.arange(len(node)))
             if len(own):
@@ -148,27 +185,9 @@ def _exact_in_cluster(n: int, threshold: float):
             node, copies = g.column("node").to_numpy(), g.column("copies").to_numpy()
             w = g.column("w").combine_chunks()
             doc, h = shingles(w.flatten().to_numpy(zero_copy_only=False), w.offsets.to_numpy() - w.offsets[0].as_py(), n)
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            once = np.ones(len(h), dtype=bool)
-            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[once], h[once]
             m = len(node)
-            sizes = np.bincount(doc, minlength=m)
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = h[1:] != h[:-1]
-            token = np.cumsum(new) - 1
-            shared = np.bincount(token) > 1
-            keep = shared[token]
-            doc, token = doc[keep], (np.cumsum(shared) - 1)[token[keep]]
-            common = np.zeros((m, m), dtype=np.float32)
-            for a in range(0, int(shared.sum()), 4096):
-                lo, hi = np.searchsorted(token, [a, a + 4096])
-                x = np.zeros((m, 4096), dtype=np.float32)
-                x[doc[lo:hi], token[lo:hi] - a] = 1
-                common += x @ x.T
-            hit = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-            pairs = _pairs_within(hit & (common > 0), g.column("block").to_numpy() != g.column("x").to_numpy())
+            sizes, common = _shared(doc, h, m)
+            pairs = _pairs_within(_similar(sizes, common, threshold), g.column("block").to_numpy() != g.column("x").to_numpy())
             if not len(pairs):
                 continue
             links = np.zeros(m, dtype=np.int64)
@@ -226,8 +245,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     Documents with the same words are joined by a hash of them and take part once. Each run starts with all sets
     in one bucket; a bucket with more than SMALL sets is split on BRANCHES sampled tokens, DEPTH times at most,
     and the rest of a larger one is compared in blocks. The runs are as many as a pair at the threshold needs to
-    meet in one with probability target_recall. Sets that agree on half of their sampled tokens form clusters,
-    and within a cluster every pair is verified on whole sets.
+    meet in one with probability target_recall. Sets that agree on half of their sampled tokens form clusters
+    (sets of at most TOKENS shingles are compared whole), and within a cluster every pair is verified on whole sets.
 
     Nulls: a null text is empty; a document with a null doc_id has a class_id from the others of its class, or null.
     Repeated rows count as copies of each other. Empty tables give empty results. Other columns take no part.
@@ -236,15 +255,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     w = word_hashes(F.col("text"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("w"))
     keyed = keyed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").alias("n"), "w")
-    each = staged(keyed.mapInArrow(_with_tokens(n), "doc_id long, k1 long, k2 long, n int, tokens array<int>"), "tokens")
-    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+    each = staged(keyed.mapInArrow(_with_tokens(n), "doc_id long, k1 long, k2 long, n int, tokens array<int>, few array<bigint>"), "tokens")
+    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("few").alias("few"))
     classes = staged(classes.withColumn("node", F.col("k1")), "classes")
 
     ends = staged(_buckets(classes, runs), "buckets")
     sizes = ends.groupBy("path").agg(F.first("m").alias("m"))
-    met = _in_blocks(ends.drop("m"), "path", sizes, BUCKET_BLOCK).join(classes.select("node", "tokens"), "node")
+    met = _in_blocks(ends.drop("m"), "path", sizes, BUCKET_BLOCK).join(classes.select("node", "tokens", "few"), "node")
     met = met.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
-    near = met.select("path", "x", "y", "block", "node", "tokens").mapInArrow(_near_in_bucket(0.5), "a long, b long")
+    near = met.select("path", "x", "y", "block", "node", "tokens", "few").mapInArrow(_near_in_bucket(0.5, threshold), "a long, b long")
     clusters = components(near).withColumnRenamed("label", "cluster")
 
     # Whole sets only of documents in clusters: one text of each class.

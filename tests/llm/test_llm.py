@@ -147,6 +147,15 @@ def test_jaccard_matches_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_jaccard_short_texts(spark):
+    texts = []
+    for i in range(150):
+        base = words(int(np.random.default_rng(i).integers(9, 24)), 500 + i)
+        texts += [base, base + " more", "more " + base]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_jaccard_large_group_in_blocks(spark, monkeypatch):
     import spanweave.llm.jaccard as J
 
