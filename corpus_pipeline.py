@@ -17,8 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    """Documents that the quality rules keep, without the lines that too many documents of their host share."""
+    d = quality_rules(docs).where("kept").withColumn("text", F.col("text_left"))
+    return d.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,10 +48,14 @@ def repeat_words(w: Column) -> Column:
     return let(_windows(w), lambda g: let(let(F.sort_array(g), lambda s: F.array_distinct(near(s))), lambda r: let(_starts(g, r), covered))).cast("long")
 
 
+def _all_normal(text: Column) -> Column:
+    plain = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
+
+
 def normal_lines(text: Column) -> Column:
     """The lines with a word, as they are hashed: trimmed, inner white space as one space, letters in lower case."""
-    plain = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    return F.array_remove(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "")
+    return F.array_remove(_all_normal(text), "")
 
 
 def _hosted(docs: DataFrame, host: str) -> DataFrame:
@@ -76,13 +80,14 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, ma
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.3, min_words: int = 50) -> DataFrame:
-    """docs with the statistics, base_failed, n_words_left and kept.
+    """docs with the statistics, base_failed, n_words_left, kept and text_left.
 
     base_failed: fewer than min_words words, or more than half of them in repeated three-word windows.
     n_words_left: words outside the lines that frequent_lines() names for the document's host.
     kept: not base_failed, and at least min_left of the words are left (a depleted document is rejected).
+    text_left: text without those lines; the others stay as they are.
 
-    Nulls: a null text is empty (base_failed); a null host is a host of its own. Repeated rows: each row gets
+    Nulls: a null text is empty (base_failed) and has a null text_left; a null host is a host of its own. Repeated rows: each row gets
     its own result. An empty table gives an empty result. Other columns of docs stay as they are; those with
     the names of results are replaced.
     """
@@ -110,4 +115,6 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
     all_of = let(words(text), lambda w: let(F.size(w).cast("long"), lambda n: let(repeat_words(w), lambda r: let(n - cut, lambda left: verdict(w, n, r, left)))))
     d = _hosted(docs, host).join(bad, "__quality_host", "left").withColumn("__quality", all_of)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
-    return d.select(*[c for c in docs.columns if c not in names], *[F.col(f"__quality.{c}").alias(c) for c in names])
+    stays = lambda lines: F.filter(F.split(F.col("text"), "\n"), lambda _, i: ~F.array_contains("__quality_bad", F.xxhash64(F.get(lines, i))))
+    shorter = F.when(F.col("__quality_bad").isNull(), F.col("text")).otherwise(let(_all_normal(F.col("text")), lambda x: F.array_join(stays(x), "\n")))
+    return d.select(*[c for c in docs.columns if c not in [*names, "text_left"]], *[F.col(f"__quality.{c}").alias(c) for c in names], shorter.alias("text_left"))

@@ -91,6 +91,17 @@ def test_quality_counts_copies_once(spark):
     assert all(r["kept"] for r in quality_rules(d).collect())
 
 
+def test_quality_stage_drops_frequent_lines(spark):
+    menu = "  Home\tNews ABOUT Σ"
+    bodies = [f"{words(50, i)}\n\n {words(40, 500 + i)} \n" for i in range(40)]
+    d = docs_of(spark, [b.replace("\n\n", f"\n{menu if i % 2 else menu.lower()}\n\n{menu}\n") for i, b in enumerate(bodies)] + [None])
+    d = d.unionByName(docs_of(spark, [f"{menu}\n{bodies[0]}"], source="other").withColumn("doc_id", F.lit(99).cast("long")))
+    got = {r["doc_id"]: r for r in corpus_pipeline.quality(spark, d, SF).collect()}
+    want = {**dict(enumerate(bodies)), 99: f"{menu}\n{bodies[0]}"}
+    assert {k: r["text"] for k, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert [r["text_left"] for r in quality_rules(d).where("text is null").collect()] == [None]
+
+
 def brute_runs(texts, least=50):
     """Texts without the lines of runs with at least this many words that occur earlier, by comparing all runs."""
     lines = [[(p, " ".join(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for t in texts]
