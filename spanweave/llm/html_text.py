@@ -19,8 +19,8 @@ _SPACE = re.compile(r"\s+")
 
 # Fixed lists of HTML: elements without content, with raw content, that never hold the article, that end a block.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas"}
-NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "label", "fieldset"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas"}
+NEVER = {"head", "nav", "footer", "aside", "button", "select", "dialog", "menu", "label", "fieldset"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
     "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -35,13 +35,15 @@ MARKS = set(
     "contentinfo complementary form skip copyright".split()
 )
 HEADS = {"header", "masthead"}
+#: Of these, what readers wrote; they can be longer than the article.
+COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 WITH = {"no", "has", "with", "without"}
 #: Elements nested deeper than this belong to the one at this depth.
 DEEP = 256
 
 
 class _Element:
-    __slots__ = ("tag", "name", "out", "inside", "link", "parent", "depth")
+    __slots__ = ("tag", "name", "never", "mark", "below", "remarks", "out", "inside", "link", "parent", "depth", "held", "clear")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None) -> None:
         found = {k.lower(): (a or b or c) for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
@@ -51,7 +53,11 @@ class _Element:
         self.inside = (parent is not None and parent.inside) or tag in ("article", "main")
         head = tag == "header" or bool(words & HEADS)
         body = tag in ("body", "html", "article", "main")
-        self.out = (parent is not None and parent.out) or (tag in NEVER) or (not body and bool(words & MARKS)) or (head and not self.inside)
+        self.never = (parent is not None and parent.never) or tag in NEVER
+        self.mark = tag == "form" or (not body and bool(words & MARKS)) or (head and not self.inside)
+        self.below = self.mark or (parent is not None and parent.below)
+        self.remarks = (parent is not None and parent.remarks) or (not body and bool(words & COMMENTS))
+        self.out, self.held, self.clear = False, 0, 0
         self.link = tag == "a" or (parent is not None and parent.link)
         cls = sorted(re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split())
         self.name = ".".join([tag, *cls])
@@ -64,36 +70,76 @@ class _Element:
         return ">".join(reversed(names))
 
 
+def _leave_out(elements: list[_Element], plain: int) -> None:
+    """Set out of each element, given in page order with held and clear of their own texts.
+
+    A mark counts unless its element holds the page's largest main element, the largest article (if no less than
+    all that is outside marks; those in comments only where no other is outside marks), or, unless it marks comments, more than half of the page's text while no article
+    outside marks has a tenth. Where marks would leave no text, none counts.
+    """
+    if any(e.mark for e in elements):
+        free = plain - sum(e.held - e.clear for e in elements)
+        for e in reversed(elements):
+            if e.parent is not None:
+                e.parent.held += e.held
+                e.parent.clear += e.clear
+        solid = max((e.clear for e in elements if e.tag in ("article", "main")), default=0)
+        spared: set[_Element] = set()
+        for tag, least in (("main", 1), ("article", max(1, free))):
+            e = max((e for e in elements if e.tag == tag and not e.never and not (e.remarks and solid)), key=lambda e: e.held, default=None)
+            if e is not None and e.held >= least:
+                while e is not None:
+                    spared.add(e)
+                    e = e.parent
+        for e in elements:
+            kept = e in spared or (2 * e.held > plain and 10 * solid < plain and not e.remarks)
+            e.out = (e.parent is not None and e.parent.out) or (e.mark and not kept)
+
+
 def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
     """(text, nearest container, characters outside links) of each block that isn't in a part marked as other than the article."""
-    low = None
-    top: _Element | None = None
+    elements, texts = _parsed(page)
+    for e, text in texts:
+        if e is not None and text is not None and not e.link and not text.isspace():
+            e.held += len(text)
+            e.clear += 0 if e.below else len(text)
+    _leave_out(elements, sum(len(t) for e, t in texts if t is not None and (e is None or not e.link) and not t.isspace()))
+    if all(t is None or t.isspace() or (e is not None and e.out) for e, t in texts):
+        for e in elements:
+            e.out = False
     pieces: list[str] = []
     plain = 0
     owner: _Element | None = None
+    for top, text in [*texts, (None, None)]:
+        if text is None:
+            if pieces:
+                whole = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+                if whole:
+                    yield whole, owner, plain
+            pieces, plain, owner = [], 0, None
+        elif top is None or not top.out:
+            pieces.append(text)
+            if not text.isspace():
+                if owner is None:
+                    e = top
+                    while e is not None and e.tag not in CONTAINER:
+                        e = e.parent
+                    owner = e
+                if top is None or not top.link:
+                    plain += len(text)
+
+
+def _parsed(page: str) -> tuple[list[_Element], list[tuple[_Element | None, str | None]]]:
+    """The elements in page order, and each text with its element; a text of None ends a block."""
+    low = None
+    top: _Element | None = None
+    elements: list[_Element] = []
+    texts: list[tuple[_Element | None, str | None]] = []
     at, end = 0, len(page)
 
-    def flush() -> Iterator[tuple[str, _Element | None, int]]:
-        nonlocal pieces, plain, owner
-        if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-            if text:
-                yield text, owner, plain
-        pieces, plain, owner = [], 0, None
-
     def add(text: str) -> None:
-        nonlocal plain, owner
-        if not text or (top is not None and top.out):
-            return
-        pieces.append(text)
-        if not text.isspace():
-            if owner is None:
-                e = top
-                while e is not None and e.tag not in CONTAINER:
-                    e = e.parent
-                owner = e
-            if top is None or not top.link:
-                plain += len(text)
+        if text and (top is None or not top.never):
+            texts.append((top, text))
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -106,7 +152,7 @@ def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
         if not tag:
             continue
         if tag in BLOCK:
-            yield from flush()
+            texts.append((None, None))
         if closing:
             e = top
             while e is not None and e.tag != tag:
@@ -135,7 +181,8 @@ def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
                 top = p.parent
         if top is None or top.depth < DEEP:
             top = _Element(tag, m[3], top)
-    yield from flush()
+            elements.append(top)
+    return elements, texts
 
 
 def scored(page: str) -> dict[str, int]:
@@ -216,7 +263,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     digits as #) in Spark, and each host's best path (ties: the smaller one) is extracted from its pages. A page
     without it uses its own best container, one without any all its blocks. Menus, headers outside the article,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by their elements,
-    classes, ids and roles. A block's character references are decoded and its white space becomes single
+    classes, ids and roles; a form, class, id or role around the page's article or most of its text marks nothing. A block's character references are decoded and its white space becomes single
     spaces; blocks are joined by \\n in page order.
 
     Votes are summed in each task before they are shuffled. The winners are broadcast within a counted bound,

@@ -338,6 +338,20 @@ def test_html_blocks(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_html_marks_around_the_article():
+    body = "<article><h1>Head</h1><p>Long enough to be read.</p><p>E is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>mc^2</annotation></math>.</p></article>"
+    plain = body.replace("article>", "div>")
+    want = "Head\nLong enough to be read.\nE is mc2."
+    rest = '<div class="related"><article>Card</article></div><div id="comments"><p>A comment</p></div><div class="share">Share</div>'
+    for name in ("layout sidebar-right", "side", "share", "skip", "form", "search", "header", "comments"):
+        assert text_of(f'<html><body><div class="{name}">{body}</div></body></html>', None) == want
+        assert text_of(f'<html><body><p></p><div class="{name}">{plain}</div></body></html>', None) == want
+        assert text_of(f'<html><body><main><div id="{name}">{body}</div></main>{rest}<footer>End</footer></body></html>', None) == want
+    assert text_of(f"<html><body><form><div class='box'>{body}{rest}</div></form></body></html>", None) == want
+    # Marked parts stay out beside an article, however long.
+    assert text_of(f"<html><body>{body}<div id='comments'><article>{'A comment. ' * 50}</article></div><div class='related'>{'Other ' * 20}</div></body></html>", None) == want
+
+
 def test_html_never_fails():
     for page in ("<", "<p", "</p>", "<a <b>>", "<script>x", "<!-- x", "<p>" * 3000 + "x", "<div>" * 2000 + "y", "a<b & c>d", "\x00<p>\ud800</p>".encode("utf-8", "ignore").decode()):
         assert isinstance(text_of(page, None), str)
