@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from spanweave.llm.licence_texts import TEMPLATES
 from spanweave.llm.staging import let
 
-UNITS = ["line", "paragraph", "text"]
+UNITS = ["line", "paragraph", "text", "run"]
 _MATCH = "struct<dice:double,template:int,unit:int,pos:int>"
 
 
+def _template_words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    words = _template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -25,6 +29,10 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def _unit_words(unit: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " "), " "), "")
+
+
 def _matches(unit: Column, kind: int, pos: Column, threshold: float) -> Column:
     """The templates that a unit reaches; those whose size bounds the unit doesn't meet are not compared."""
     sets = [template_bigrams(t) for _, t in TEMPLATES]
@@ -46,17 +54,60 @@ def _matches(unit: Column, kind: int, pos: Column, threshold: float) -> Column:
         may = (F.size(w) - 1 >= least) & (F.size(F.array_distinct(w)) - 1 <= most)
         return F.when(may, let(bigrams, lambda g: F.when(F.size(g).between(least, most), compared(g)).otherwise(none))).otherwise(none)
 
-    return let(F.array_remove(F.split(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " "), " "), ""), by_words)
+    return let(_unit_words(unit), by_words)
+
+
+def _runs(text: Column, threshold: float) -> Column:
+    """The best run of words anywhere in a text for each template that one reaches, without runs inside a larger template's."""
+
+    def literal(i: int, words: list[str]) -> Column:
+        t, v = template_bigrams(TEMPLATES[i][1]), sorted(set(words))
+        least, most = size_bounds(len(t), threshold)
+        # Each missing word but one takes a bigram of its own away, and len(t) - least can be missing.
+        fields = {"t": F.array(*map(F.lit, t)), "v": F.array(*map(F.lit, v)), "i": F.lit(i), "least": F.lit(least), "most": F.lit(most + len(words) - 1 - len(t)), "need": F.lit(len(v) - (len(t) - least) - 1)}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    by_template = [_template_words(t) for _, t in TEMPLATES]
+    templates = F.array(*[literal(i, w) for i, w in enumerate(by_template)])
+    vocabulary = F.array(*map(F.lit, sorted({x for w in by_template for x in w})))
+    # A licence's template in a run of a larger one's place is part of that one.
+    names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    within = lambda x, y: (F.get(names, x["i"]) != F.get(names, y["i"])) & (y["size"] > x["size"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])
+
+    def best(b: Column, t: Column) -> Column:
+        def run(s: Column, e: Column) -> Column:
+            dice = let(F.slice(b, s + 1, e - s + 1), lambda g: 2.0 * F.size(F.array_intersect(g, t["t"])) / (F.size(F.array_distinct(g)) + F.size(t["t"])))
+            return F.struct(dice.alias("dice"), (-s).alias("first"), s.alias("s"), e.alias("e"), t["i"].alias("i"), F.size(t["t"]).alias("size"))
+
+        def from_each(p: Column) -> Column:
+            ends = lambda s, a: F.filter(F.slice(p, a + t["least"], F.greatest(F.size(p) - a - t["least"] + 1, F.lit(0))), lambda e: e - s < t["most"])
+            return F.array_max(F.flatten(F.transform(p, lambda s, a: F.transform(ends(s, a), lambda e: run(s, e)))))
+
+        return let(F.filter(F.transform(b, lambda x, j: F.when(F.array_contains(t["t"], x), j)), lambda j: j.isNotNull()), from_each)
+
+    def search(w: Column, may: Column) -> Column:
+        bigrams = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+        found = let(bigrams, lambda b: F.filter(F.transform(may, lambda t: best(b, t)), lambda x: x["dice"] >= threshold))
+        outer = let(found, lambda r: F.filter(r, lambda x: ~F.exists(r, lambda y: within(x, y))))
+        return F.transform(outer, lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("template"), F.lit(3).alias("unit"), x["s"].alias("pos")))
+
+    none = F.array().cast(f"array<{_MATCH}>")
+    may = lambda w: let(F.array_intersect(w, vocabulary), lambda k: F.filter(templates, lambda t: (F.size(k) >= t["need"]) & (F.size(F.array_intersect(k, t["v"])) >= t["need"])))
+    return let(_unit_words(text), lambda w: let(may(w), lambda m: F.when(F.size(m) == 0, none).otherwise(search(w, m))))
 
 
 def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, licence, dice, unit, pos, licences, n_matches) for each of docs.
 
     Compared are every line, every paragraph (lines between blank ones) and the whole text, each in lower case
-    with all but ASCII letters and digits as single spaces, as sets of word bigrams. licences: every licence
+    with all but ASCII letters and digits as single spaces, as sets of word bigrams; then, for licences that none of
+    these reaches, every run of the text's words that begins and ends with a template's bigrams and has no more
+    of them than its size bound (a licence over several paragraphs, or a notice inside other text). A run inside
+    the run of another licence's larger template doesn't count. licences: every licence
     that a unit reaches with a Dice coefficient of at least threshold, sorted and joined by commas. licence,
-    dice, unit (line, paragraph or text) and pos (its index from 0, -1 without a match): the best match; ties go to the earlier
-    template, the smaller unit and the earlier place. n_matches: pairs of a unit and a template that match.
+    dice, unit (line, paragraph, text or run) and pos (its index from 0, a run's
+    first word; -1 without a match): the best match; ties go to the earlier
+    template, the smaller unit and the earlier place. n_matches: pairs of a unit and a template that match; of runs, the best one of each template.
 
     Nulls: a null text is empty and has no match (licence null, dice 0); a null doc_id stays null. Each row has
     its result, repeated ones too. An empty table gives an empty result. Nothing is shuffled.
@@ -65,9 +116,12 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     each = lambda units, kind: F.flatten(F.transform(units, lambda x, i: _matches(x, kind, i, threshold)))
     lines = each(F.split(text, "\n"), 0)
     paragraphs = each(F.split(text, r"\n[\x20\x09\x0D]*\n[\x20\x09\x0A\x0D]*"), 1)
-    d = docs.select("doc_id", F.concat(lines, paragraphs, _matches(text, 2, F.lit(0), threshold)).alias("_m"))
-    best = F.get(F.sort_array(F.transform("_m", lambda x: F.struct((-x["dice"]).alias("d"), x["template"], x["unit"], x["pos"]))), F.lit(0))
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    whole = F.concat(lines, paragraphs, _matches(text, 2, F.lit(0), threshold))
+    named = lambda m: F.transform(m, lambda x: F.get(names, x["template"]))
+    others = lambda m: let(named(m), lambda n: F.filter(_runs(text, threshold), lambda x: ~F.array_contains(n, F.get(names, x["template"]))))
+    d = docs.select("doc_id", let(whole, lambda m: F.concat(m, others(m))).alias("_m"))
+    best = F.get(F.sort_array(F.transform("_m", lambda x: F.struct((-x["dice"]).alias("d"), x["template"], x["unit"], x["pos"]))), F.lit(0))
     d = d.withColumn("_b", best)
     return d.select(
         "doc_id",

@@ -214,6 +214,22 @@ def test_licences(spark):
     assert (got[0]["pos"], got[0]["unit"], got[0]["dice"]) == (1, "line", 1.0) and got[2]["unit"] == "paragraph"
 
 
+def test_licences_inside_other_text(spark):
+    long = {n: " ".join(t.split()) for n, t in TEMPLATES if len(t) > 160}
+    parts = {"MIT": ("The above copyright", "THE SOFTWARE IS PROVIDED"), "Apache-2.0": ("You may obtain", "http://www", "Unless required"), "GPL-3.0": ("This program is distributed", "You should have"), "BSD-3-Clause": ("1. Redis", "2. Redis", "3. Neither")}
+    texts, want = [], []
+    for name, begins in parts.items():
+        t = long[name]
+        for x in begins:
+            t = t.replace(x, "\n\n" + x)
+        texts += [f"{words(80, 1)}\n\n{t}\n\n{words(200, 2)}", f"{words(9, 3)} {long[name]} {words(200, 4)}"]
+        want += [name, name]
+    texts += [f"{words(30)} Released under the MIT License. {words(30, 5)}", f"{words(30)} released under many a license", " ".join(f"{x} {words(2, i)}" for i, x in enumerate(long["MIT"].split()))]
+    got = {r["doc_id"]: r for r in licence_scan(docs_of(spark, texts)).collect()}
+    assert [got[i]["licences"] for i in range(len(texts))] == [*want, "MIT", "", ""]
+    assert all(got[i]["unit"] == "run" and got[i]["dice"] == 1.0 for i in range(9)) and got[8]["pos"] == 30
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
