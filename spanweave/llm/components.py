@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.staging import staged
+from spanweave.llm.staging import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,16 +13,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round maps a node to the smallest of itself and its neighbours and replaces the ends of every link by
     what they map to. Links that become loops or equal go, so that a round has at most half of the nodes of the
-    one before it. Each round is written to the shared folder; it ends when no link is left.
+    one before it. Each round is written to the shared folder; it ends when no link is left. A link with a null
+    end is none; an empty table gives an empty result.
     """
     left = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = staged(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while not left.isEmpty():
         ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
         low = staged(ends.groupBy(F.col("a").alias("end")).agg(F.min("b").alias("m")).select("end", F.least("end", "m").alias("low")), "lowest")
         at = lambda c: low.select(F.col("end").alias(c), F.col("low").alias(f"low_{c}"))  # noqa: E731, B023
-        labels = labels.join(low, labels.label == low.end, "left").select("node", F.coalesce("low", "label").alias("label"))
+        mapped = staged(labels.join(low, labels.label == low.end, "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
         new = left.join(at("a"), "a").join(at("b"), "b").where("low_a <> low_b")
-        left = staged(new.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct(), "links")
-        labels = staged(labels, "labels")
+        fewer = staged(new.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct(), "links")
+        discard(left, labels, low)
+        left, labels = fewer, mapped
+    discard(left)
     return labels
