@@ -332,7 +332,44 @@ def test_neighbours_odd_vectors(spark):
     got = collections.defaultdict(list)
     for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
-    assert got[0] == list(range(1, 11)) and got[100] == list(range(10)) and got[200] == list(range(10)) and set(got) == {0, 100, 200}
+    assert got[0] == list(range(1, 11)) and got[100] == list(range(10)) and set(got) == {0, 100, 200}
+    assert got[200] == [x for x in (200, *range(9)) for _ in "ab"]  # each of the two rows finds the other
+
+
+def test_neighbours_stop_in_several_cells(spark):
+    """Recall against brute force where the search is partial: 20,000 vectors, cells and blocks of 2000."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got, seen = collections.defaultdict(list), {}
+    for r in nearest(d, every=200, block=2000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        seen[r["query_id"]] = r["n_verified"]
+    hits = 0
+    for i in range(0, 20_000, 200):
+        far = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1))
+        far[i] = np.inf
+        assert len(got[i]) == 10 and all(abs(far[j] - s) < 1e-12 for j, s in got[i]) and got[i] == sorted(got[i], key=lambda p: (p[1], p[0]))
+        hits += len(set(np.argsort(far, kind="stable")[:10].tolist()) & {j for j, _ in got[i]})
+    share = sum(seen.values()) / len(seen) / len(x)
+    assert hits / 1000 >= 0.9 and share < 0.6, (hits / 1000, share)
+
+
+def test_neighbours_ties_lengths_and_blocks(spark, monkeypatch):
+    import spanweave.llm.neighbours as N
+
+    monkeypatch.setattr(N, "CELLS", 2)
+    monkeypatch.setattr(N, "QUERIES", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.integers(0, 3, 3)]) for i in range(400)] + [(1000 + i, [1.0, float(i), 1.0, 1.0]) for i in range(30)]
+    got = collections.defaultdict(list)
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, block=20, certainty=0.999999).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for i, v in rows:
+        if i % 10 == 0 and any(v):
+            want = sorted((float(np.linalg.norm(np.array(v) - np.array(u))), j) for j, u in rows if len(u) == len(v) and j != i and any(u))[:10]
+            assert [(round(s, 9), j) for s, j in got[i]] == [(round(s, 9), j) for s, j in want]
 
 
 def test_chi_square():
