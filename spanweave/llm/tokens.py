@@ -1,24 +1,29 @@
-"""Token ids and token counts of whole texts, with each distinct pre-token encoded once a task."""
+"""Token ids of whole texts, and token counts from a table of distinct pre-tokens."""
 
 from __future__ import annotations
 
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import mul
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.staging import discard, staged
+
 #: Letters that are one pre-token together and have one lower-case letter each, then ASCII punctuation, which is another.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _JOINED = 2000
 #: Texts that a task encodes together, and bytes of them that it splits at a time.
 TEXTS = 512
 STEP = 1 << 20
+#: Most distinct pre-tokens, and bytes of them, whose counts are broadcast; longer ones than LONG aren't.
+FREQUENT, FREQUENT_BYTES, LONG = 200_000, 8 << 20, 1024
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -122,13 +127,10 @@ class Encoder:
             out[i].append(b"".join(map(self.parts.__getitem__, parts)))
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def numbers(self, texts: list[bytes]) -> list[int]:
-        """The number of tokens of each text: the frequencies of its parts times the parts' counts."""
-        out = [0] * len(texts)
-        for i, parts in self._parts(texts):
-            often = Counter(parts)
-            out[i] += sum(map(mul, map(self.parts.__getitem__, often), often.values()))
-        return out
+    def numbers(self, parts: list[bytes]) -> list[int]:
+        """The number of tokens of each pre-token."""
+        self._known([(0, parts)])
+        return list(map(self.parts.__getitem__, parts))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -141,28 +143,132 @@ def encoder(path: str, counts: bool = False) -> Encoder:
     return _ENCODERS[path, counts]
 
 
-def _count(path: str):
+def _steps(text: bytes) -> Iterator[list[bytes]]:
+    """The pre-tokens of a text, those of a long one in several steps."""
+    at = 0
+    while at < len(text):
+        cut = _WHITE.search(text, at + STEP)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            b = batch.slice(at, TEXTS)
+            yield b, [t or b"" for t in b.column("text").to_pylist()]
+
+
+def _pretokens(most: int = 500_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(piece, n): how often each distinct pre-token is in a task's texts; counted anew when most have been gathered."""
+
+    def out(often: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.binary()), pa.array(often.values(), pa.int64())], names=["piece", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: Counter[bytes] = Counter()
+        for _, texts in _texts(batches):
+            for text in texts:
+                for parts in _steps(text):
+                    often.update(parts)
+            if len(often) > most:
+                yield out(often)
+                often = Counter()
+        yield out(often)
+
+    return run
+
+
+def _counted(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, counts=True)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                b = batch.slice(at, TEXTS)
-                texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(enc.numbers(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("n"), pa.array(enc.numbers(b.column("piece").to_pylist()), pa.int64())], names=["piece", "n", "tokens"])
+
+    return run
+
+
+def pretoken_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(piece, n, tokens): each distinct pre-token of docs(text: binary), how often it is there, and its tokens.
+
+    A pre-token is what stands between ASCII white space (binary, UTF-8); each is encoded once, whatever texts
+    have it. Frequencies are added up in the tasks before they are shuffled.
+    """
+    often = docs.select("text").mapInArrow(_pretokens(), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return often.mapInArrow(_counted(tokenizer), "piece binary, n long, tokens long")
+
+
+def frequent(counts: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_BYTES) -> tuple[int, dict[bytes, int]]:
+    """(least, tokens by pre-token) of all pre-tokens up to LONG bytes with a frequency of least or more.
+
+    least is the smallest step of a scale of frequencies at which they are no more than most and most_bytes.
+    """
+    short = counts.where(F.octet_length("piece") <= LONG)
+    step = F.floor(4 * F.log2("n")).alias("step")
+    scale = short.groupBy(step).agg(F.min("n").alias("least"), F.count("*").alias("rows"), F.sum(F.octet_length("piece")).alias("bytes")).orderBy(F.desc("step")).collect()
+    least, rows, size = (1 << 62), 0, 0
+    for r in scale:
+        rows, size = rows + r["rows"], size + r["bytes"]
+        if rows > most or size > most_bytes:
+            break
+        least = r["least"]
+    return least, {bytes(r["piece"]): r["tokens"] for r in short.where(F.col("n") >= least).select("piece", "tokens").collect()}
+
+
+def _joined(known: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each text: its bytes, the tokens of its frequent pre-tokens, and its other pre-tokens with frequencies."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, part, row = known.value, TaskContext.get().partitionId(), 0
+        for b, texts in _texts(batches):
+            sums, pieces, often_of = [], [], []
+            for text in texts:
+                total, rare = 0, Counter()
+                for parts in _steps(text):
+                    often = Counter(parts)
+                    counts = list(map(tokens.get, often))
+                    if None in counts:
+                        rest = {p: f for (p, f), c in zip(often.items(), counts, strict=True) if c is None}
+                        rare.update(rest)
+                        total += sum(c * f for c, f in zip(counts, often.values(), strict=True) if c is not None)
+                    else:
+                        total += sum(map(mul, counts, often.values()))
+                sums.append(total)
+                pieces.append(list(rare))
+                often_of.append(list(rare.values()))
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(texts), part, dtype=np.int32)), pa.array(rows), b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.int64()), pa.array(pieces, pa.list_(pa.binary())), pa.array(often_of, pa.list_(pa.int64()))],
+                names=["part", "row", "doc_id", "n_bytes", "n_tokens", "pieces", "often"],
+            )
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, most_frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each of docs: tokens of the whole text without added ones.
 
-    Each task counts the pieces of a distinct pre-token once, joins the counts to the pre-token frequencies of
-    its documents and sums; no ids are made up for a document, and nothing is shuffled. A cluster-wide table of
-    pre-tokens would spare the encoding of those that several tasks meet, but its two shuffles by pre-token
-    move more bytes than the texts have; see the README.
+    The pieces of each distinct pre-token of the corpus are counted once, in a table (pretoken_counts). Each
+    document's pre-token frequencies are joined to it and the products summed; no ids are made up for a document.
+    The join has two ways for one result: the counts of the most frequent pre-tokens, at most most_frequent and
+    FREQUENT_BYTES of them, are broadcast, so that no frequent one is a key of a shuffle; the pairs of a document
+    and a rarer pre-token are shuffled by pre-token.
 
     Nulls: a null text is empty (0 bytes, 0 tokens); a null doc_id stays null. Each row counts, repeated ones
     too. An empty table gives an empty result. Other columns are left out.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(_count(tokenizer), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    counts = staged(pretoken_counts(d, tokenizer), "pretokens")
+    least, known = frequent(counts, most_frequent)
+    shape = "part int, row long, doc_id long, n_bytes long, n_tokens long, pieces array<binary>, often array<long>"
+    each = staged(d.mapInArrow(_joined(spark.sparkContext.broadcast(known)), shape), "frequencies")
+    pairs = each.select("part", "row", F.explode(F.arrays_zip("pieces", "often")).alias("x")).select("part", "row", F.col("x.pieces").alias("piece"), F.col("x.often").alias("often"))
+    rare = counts.where((F.col("n") < least) | (F.octet_length("piece") > LONG)).select("piece", "tokens")
+    sums = pairs.join(rare, "piece").select("part", "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("often") * F.col("tokens")).alias("n_tokens"))
+    all_of = each.select("part", "row", "doc_id", "n_bytes", "n_tokens").unionByName(sums).groupBy("part", "row")
+    out = staged(all_of.agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("part", "row"), "token-counts")
+    discard(counts, each)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -239,7 +239,7 @@ def test_encoder_equals_library():
     for _ in range(1500):
         t = "".join(rng.choice(letters, rng.integers(0, 25)))
         want = whole.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids.ids([t])[0], ids.kind).tolist() == want and counts.numbers([t.encode()]) == [len(want)]
+        assert np.frombuffer(ids.ids([t])[0], ids.kind).tolist() == want and sum(counts.numbers(t.encode().split())) == len(want)
 
 
 def test_encoder_long_text(monkeypatch):
@@ -249,7 +249,9 @@ def test_encoder_long_text(monkeypatch):
     monkeypatch.setattr(T, "STEP", 100)
     texts = [words(3000, 4), "", None, "x" * 500, " " * 300]
     assert T.Encoder(tokenizer_path()).ids(texts)[:3] == [whole[0], b"", b""]
-    assert T.Encoder(tokenizer_path(), counts=True).numbers([(t or "").encode() for t in texts])[0] == len(whole[0]) // 2
+    steps = [list(T._steps((t or "").encode())) for t in texts]
+    assert [sum(x, []) for x in steps] == [(t or "").encode().split() for t in texts] and len(steps[0]) > 100
+    assert sum(T.Encoder(tokenizer_path(), counts=True).numbers(sum(steps[0], []))) == len(whole[0]) // 2
 
 
 def check_packing(rows, want, size=2048):
@@ -311,6 +313,20 @@ def test_count_tokens(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in Q.op8_token_counts(spark, SF).collect()} == want
 
 
+def test_count_tokens_rare_and_frequent(spark, odd):
+    """The same counts whether all, some or no pre-tokens are broadcast."""
+    from spanweave.llm.tokens import frequent, pretoken_counts
+
+    texts = [words(200, i) for i in range(30)] + ["same " * 500, "x" * 3000, ("y" * 2000 + " ") * 3, "", None]
+    d = docs_of(spark, texts).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    every, some, none = (sorted(map(tuple, count_tokens(d, tokenizer_path(), most_frequent=m).collect()), key=repr) for m in (1 << 20, 40, 0))
+    assert every == some == none and len(every) == d.count()
+    counts = pretoken_counts(d.select(F.col("text").cast("binary").alias("text")), tokenizer_path())
+    assert counts.groupBy("piece").count().where("count > 1").isEmpty()
+    least, known = frequent(counts, 40)
+    assert 0 < len(known) <= 40 and b"same" in known and counts.where(F.col("n") >= least).where(F.octet_length("piece") <= 1024).count() == len(known)
+
+
 def test_neighbours_recall(spark):
     got = collections.defaultdict(list)
     for r in Q.op3_nearest_neighbours(spark, SF).orderBy("query_id", "rank").collect():
