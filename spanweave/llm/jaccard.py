@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.components import components
-from spanweave.llm.staging import staged
+from spanweave.llm.staging import discard, sized, staged
 
 #: Sampled tokens of a set: the smallest hash in each of so many ranges of the hash.
 TOKENS = 64
@@ -213,7 +213,7 @@ def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFr
 
 
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, node): the buckets with two sets or more in which the chosen paths of all runs end."""
+    """(path, node, m): the buckets with two sets or more in which the chosen paths of all runs end, written."""
 
     def split(d: DataFrame, level: int) -> DataFrame:
         branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
@@ -221,9 +221,11 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
         return d.select("node", F.xxhash64("path", "c", F.get("tokens", F.col("c"))).alias("path")).distinct()
 
     ends: DataFrame | None = None
+    levels: list[DataFrame] = []
     active = sets.select("node", "tokens", F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"))
     for level in range(DEPTH):
         rows = staged(split(active, level), "paths")
+        levels.append(rows)
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
         last = level == DEPTH - 1
         done = rows.join(sizes if last else sizes.where(F.col("m") <= SMALL), "path").select("path", "node", "m")
@@ -231,6 +233,8 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
         if not last:
             large = rows.join(sizes.where(F.col("m") > SMALL), "path", "left_semi")
             active = large.join(sets.select("node", "tokens"), "node")
+    ends = staged(ends, "buckets")
+    discard(*levels)
     return ends
 
 
@@ -259,24 +263,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("few").alias("few"))
     classes = staged(classes.withColumn("node", F.col("k1")), "classes")
 
-    ends = staged(_buckets(classes, runs), "buckets")
+    ends = _buckets(classes, runs)
     sizes = ends.groupBy("path").agg(F.first("m").alias("m"))
     met = _in_blocks(ends.drop("m"), "path", sizes, BUCKET_BLOCK).join(classes.select("node", "tokens", "few"), "node")
     met = met.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
     near = met.select("path", "x", "y", "block", "node", "tokens", "few").mapInArrow(_near_in_bucket(0.5, threshold), "a long, b long")
     clusters = components(near).withColumnRenamed("label", "cluster")
 
-    # Whole sets only of documents in clusters: one text of each class.
+    # Whole sets only of documents in clusters: one text of each class, found before its words are hashed or moved.
     one = clusters.join(classes.select("node", "k2", "copy_of", "copies"), "node")
-    one = one.select("cluster", "node", "k2", "copies", F.col("copy_of").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("w"))
-    sets = texts.join(one.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).where((F.xxhash64("w") == F.col("node")) & (F.xxhash64(F.lit(1), "w") == F.col("k2")))
+    one = sized(staged(one.select("cluster", "node", "k2", "copies", F.col("copy_of").alias("_id")), "clustered"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one, F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = texts.select("cluster", "node", "k2", "copies", word_hashes(F.col("text")).alias("w")).where((F.xxhash64("w") == F.col("node")) & (F.xxhash64(F.lit(1), "w") == F.col("k2")))
     sets = sets.groupBy("cluster", "node").agg(F.first("w").alias("w"), F.first("copies").alias("copies"))
     sets = staged(sets, "sets")
     spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(F.count("*").alias("m")), CLUSTER_BLOCK)
     spread = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = spread.select("cluster", "x", "y", "block", "node", "copies", "w").mapInArrow(_exact_in_cluster(n, threshold), "a long, b long, links long")
     links = staged(links, "exact")
+    discard(ends, sets)
     classed = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classed = classed.join(links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
     ids = classed.groupBy("label").agg(F.min("copy_of").alias("class_id"))
