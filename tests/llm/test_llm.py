@@ -20,7 +20,7 @@ from spanweave.llm.licences import licence_scan
 from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.neighbours import chi_square_quantile, nearest
-from spanweave.llm.packing import Schedule, pack
+from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
 from spanweave.llm.secrets import secret_report, secret_spans
 from spanweave.llm.tokens import Encoder, count_tokens, tokenizer_path
@@ -286,15 +286,51 @@ def test_packing_round_trip(spark):
     check_packing(pack(d, tokenizer_path(), size=64, weights={"src0": 3.0, "src1": 1.0}, window=4).collect(), want, 64)
 
 
-def test_schedule_keeps_shares():
-    s = Schedule([100 * 64, 300 * 64 + 5, 40 * 64 + 63], [1, 2, 1], 64)
-    q = np.repeat(np.arange(3), s.full)
-    k = np.concatenate([np.arange(n) for n in s.full])
-    rank = s.rank(q, k)
-    assert sorted(rank.tolist()) == list(range(440))
-    order = q[np.argsort(rank)]
-    for w in range(0, 160, 16):
-        assert np.abs(np.bincount(order[w : w + 16], minlength=3) - [4, 8, 4]).max() <= 1
+def shares_of_windows(rows, weights, size, window):
+    """The largest difference, in sequences, between a window's tokens of a source and the target, over windows in which no source is empty."""
+    by_window, left = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        by_window[r["window"]][r["source"]] += r["length"]
+        left[r["source"]] += r["length"]
+    total, worst, n = sum(weights.values()), 0.0, 0
+    for w in sorted(by_window):
+        left -= by_window[w]
+        if any(left[s] < size for s in weights):
+            break
+        n += 1
+        worst = max([worst, *[abs(by_window[w][s] / size - window * weights[s] / total) for s in weights]])
+    return n, worst
+
+
+def test_packing_windows_hold_targets(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = Q.op6_packing(spark, SF).collect()
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[r["source"]] += r["length"]
+    n, worst = shares_of_windows(rows, {s: t**0.7 for s, t in tokens.items()}, 2048, 64)
+    assert worst < 2
+    weights = {s: 1.0 + i % 3 for i, s in enumerate(sorted(tokens))}
+    n, worst = shares_of_windows(pack(d, tokenizer_path(), size=64, weights=weights, window=64).collect(), weights, 64, 64)
+    assert n > 10 and worst < 2
+
+
+def test_packing_many_sources(spark):
+    """More sources than one task's rows: no queue is shared, and those without weight follow the others."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    d = spark.createDataFrame([(i, words(30, i), "en", f"s{i % 300}", 1) for i in range(900)], DOCS).repartition(6)
+    want = {r["doc_id"]: [*whole.encode(r["text"], add_special_tokens=False).ids, 1] for r in d.collect()}
+    rows = pack(d, tokenizer_path(), size=32, weights=spark.createDataFrame([("s1", 2.0), ("s2", 1.0), ("s7", 1.0)], "source string, weight double"), window=4).collect()
+    check_packing(rows, want, 32)
+    full = collections.defaultdict(set)
+    for r in rows:
+        full[r["sequence_id"]].add(r["source"])
+    ends = sum(len(s) > 1 for s in full.values())
+    assert ends < len(full) and all(len(full[i]) == 1 for i in range(len(full) - 300 * 32 // 32))
+    first = [next(iter(full[i])) for i in range(20)]
+    assert first.count("s1") in (9, 10, 11) and set(first) == {"s1", "s2", "s7"}
 
 
 def test_mixing_rates(spark):
