@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.staging import discard, staged
 
-#: Letters that are one pre-token together and have one lower-case letter each, then ASCII punctuation, which is another.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_JOINED = 2000
+#: A line of letters that are one pre-token together, then ASCII punctuation, which is another; or any other line.
+_LINE = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
+_JOINED = 256
 #: Texts that a task encodes together, and bytes of them that it splits at a time.
 TEXTS = 512
 STEP = 1 << 20
@@ -39,10 +39,11 @@ class Encoder:
 
     A text is cut at ASCII white space, which no pre-token crosses. Each distinct part is encoded once; its ids
     (as bytes) are kept, or only their number. Parts of letters and punctuation share their pre-tokens. When the
-    parts kept reach max_parts, they are dropped and gathered anew, so that memory stays bounded.
+    parts kept reach max_parts, or the pre-tokens half as many, they are dropped and gathered anew, so that memory
+    stays bounded.
     """
 
-    def __init__(self, path: str, counts: bool = False, max_parts: int = 1_000_000) -> None:
+    def __init__(self, path: str, counts: bool = False, max_parts: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,18 +73,22 @@ class Encoder:
                 self.words.update(zip(group, (raw[a:z] for a, z in zip([0, *at], at, strict=False)), strict=True))
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, other = [], []
-        for part in new:
-            text = part.decode()
-            if (m := _PLAIN.fullmatch(text)) and "<|" not in text:
-                plain.append((part, m[1].lower(), m[2]))
-            else:
-                other.append((part, text))
-        self._learn_words(sorted({w for _, word, marks in plain for w in (word, marks) if w and w not in self.words}))
+        """Letters of one lower-case letter each are lowered here, so that words in any case are encoded once."""
+        parts = list(new)
+        text = b"\n".join(parts).decode()
+        pairs = _LINE.findall(text.lower())
+        if "<|" in text:  # may be a special string, which isn't lowered
+            pairs = [("", "") if "<|" in marks else (word, marks) for word, marks in pairs]
         words = self.words
-        self.parts.update((part, words[word] + words[marks] if marks else words[word]) for part, word, marks in plain)
-        encoded = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
-        self.parts.update((part, self._kept(e.ids)) for (part, _), e in zip(other, encoded, strict=True))
+        missing = {x for pair in pairs for x in pair}.difference(words)
+        missing.discard("")
+        self._learn_words(list(missing))
+        self.parts.update((part, words[word] + words[marks] if marks else words[word]) for part, (word, marks) in zip(parts, pairs, strict=True) if word)
+        other = [part for part, (word, _) in zip(parts, pairs, strict=True) if not word]
+        encoded = self.tokenizer.encode_batch_fast([part.decode() for part in other], add_special_tokens=False)
+        self.parts.update((part, self._kept(e.ids)) for part, e in zip(other, encoded, strict=True))
+        if len(words) > self.max_parts // 2:
+            self.words = {}
 
     def _parts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         """(text's number, parts) of each text, a long one in several steps; the parts are known until the next step.
@@ -114,8 +119,6 @@ class Encoder:
         missing = new.difference(self.parts)
         if missing and len(self.parts) + len(missing) > self.max_parts:
             self.parts, missing = {}, new
-            if len(self.words) > self.max_parts:
-                self.words = {}
         if missing:
             self._learn(missing)
         return group
@@ -139,7 +142,8 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, counts: bool = False) -> Encoder:
     """The encoder of this worker for a tokenizer file."""
     if (path, counts) not in _ENCODERS:
-        _ENCODERS[path, counts] = Encoder(path, counts)
+        # Distinct pre-tokens, which are counted, come once.
+        _ENCODERS[path, counts] = Encoder(path, counts, 50_000) if counts else Encoder(path)
     return _ENCODERS[path, counts]
 
 
@@ -160,7 +164,7 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield b, [t or b"" for t in b.column("text").to_pylist()]
 
 
-def _pretokens(most: int = 500_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pretokens(most: int = 400_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(piece, n): how often each distinct pre-token is in a task's texts; counted anew when most have been gathered."""
 
     def out(often: Counter[bytes]) -> pa.RecordBatch:
