@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, weights: DataFrame |
     Nulls: a null text has end_id only; a null source is ''; a null doc_id stays null. Each row is packed,
     repeated ones too. An empty table gives an empty result. Other columns are left out.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
     tokens = staged(d.mapInArrow(_encode(tokenizer, end_id), "doc_id long, source string, part int, before long, n long, wide int, ids binary"), "token-ids", dictionary=False)
     parts = staged(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
     if isinstance(weights, dict):

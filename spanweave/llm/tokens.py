@@ -39,11 +39,11 @@ class Encoder:
 
     A text is cut at ASCII white space, which no pre-token crosses. Each distinct part is encoded once; its ids
     (as bytes) are kept, or only their number. Parts of letters and punctuation share their pre-tokens. When the
-    parts kept reach max_parts, or the pre-tokens half as many, they are dropped and gathered anew, so that memory
+    parts kept reach max_parts, or the pre-tokens a third as many, they are dropped and gathered anew, so that memory
     stays bounded.
     """
 
-    def __init__(self, path: str, counts: bool = False, max_parts: int = 600_000) -> None:
+    def __init__(self, path: str, counts: bool = False, max_parts: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,7 +87,7 @@ class Encoder:
         other = [part for part, (word, _) in zip(parts, pairs, strict=True) if not word]
         encoded = self.tokenizer.encode_batch_fast([part.decode() for part in other], add_special_tokens=False)
         self.parts.update((part, self._kept(e.ids)) for part, e in zip(other, encoded, strict=True))
-        if len(words) > self.max_parts // 2:
+        if len(words) > self.max_parts // 3:
             self.words = {}
 
     def _parts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -123,10 +123,10 @@ class Encoder:
             self._learn(missing)
         return group
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, little-endian in self.kind; a null text has none."""
         out: list[list[bytes]] = [[] for _ in texts]
-        for i, parts in self._parts((t or "").encode() for t in texts):
+        for i, parts in self._parts(t or b"" for t in texts):
             out[i].append(b"".join(map(self.parts.__getitem__, parts)))
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 

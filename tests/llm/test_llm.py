@@ -239,16 +239,16 @@ def test_encoder_equals_library():
     for _ in range(1500):
         t = "".join(rng.choice(letters, rng.integers(0, 25)))
         want = whole.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids.ids([t])[0], ids.kind).tolist() == want and sum(counts.numbers(t.encode().split())) == len(want)
+        assert np.frombuffer(ids.ids([t.encode()])[0], ids.kind).tolist() == want and sum(counts.numbers(t.encode().split())) == len(want)
 
 
 def test_encoder_long_text(monkeypatch):
     import spanweave.llm.tokens as T
 
-    whole = T.Encoder(tokenizer_path()).ids([words(3000, 4)])
+    whole = T.Encoder(tokenizer_path()).ids([words(3000, 4).encode()])
     monkeypatch.setattr(T, "STEP", 100)
     texts = [words(3000, 4), "", None, "x" * 500, " " * 300]
-    assert T.Encoder(tokenizer_path()).ids(texts)[:3] == [whole[0], b"", b""]
+    assert T.Encoder(tokenizer_path()).ids([t and t.encode() for t in texts])[:3] == [whole[0], b"", b""]
     steps = [list(T._steps((t or "").encode())) for t in texts]
     assert [sum(x, []) for x in steps] == [(t or "").encode().split() for t in texts] and len(steps[0]) > 100
     assert sum(T.Encoder(tokenizer_path(), counts=True).numbers(sum(steps[0], []))) == len(whole[0]) // 2
