@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.staging import sized, staged
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"""[>"']""")
+_NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Fixed lists of HTML: elements without content, with raw content, that never hold the article, that end a block.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml"}
 NEVER = {"head", "nav", "footer", "aside", "button", "select", "dialog", "menu", "label", "fieldset"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
@@ -28,85 +30,188 @@ BLOCK = {
 CONTAINER = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
 #: Fixed: a new one of these ends an open one (before an element of the second set).
 ENDS = {"p": ("p", BLOCK - {"br"}), "li": ("li", {"li"}), "dt": ("dt", {"dt", "dd"}), "dd": ("dd", {"dt", "dd"}), "tr": ("tr", {"tr"}), "td": ("td", {"td", "th", "tr"}), "th": ("th", {"td", "th", "tr"}), "option": ("option", {"option"})}
-#: Fixed: words of a class, id or role that mark what isn't the article.
-MARKS = set(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner popup modal overlay menu nav navbar navigation sidebar side aside "
-    "footer comment comments disqus respond reply replies share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe signup widget toolbar pagination pager search login "
-    "contentinfo complementary form skip copyright".split()
-)
+#: Fixed: words of a class, id or role that mark what isn't the article, whatever stands beside them in a name.
+SURE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "nav", "navbar", "navigation", "sidebar", "footer", "comments", "disqus",
+    "breadcrumb", "breadcrumbs", "newsletter", "subscribe", "signup", "pagination", "pager", "popup", "modal", "contentinfo", "complementary",
+}
+#: Fixed: words that mark it where the rest of the name is about layout, or where the part is mostly links.
+LIKELY = {
+    "promo", "promotion", "notice", "notices", "alert", "banner", "overlay", "menu", "side", "aside", "comment", "respond", "reply", "replies", "share", "sharing", "social", "related",
+    "recommended", "widget", "toolbar", "search", "login", "form", "skip", "copyright",
+}
+#: Fixed: words of names about layout.
+LAYOUT = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "count", "field", "fixed", "float", "follow", "global", "header", "icon",
+    "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "message", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary",
+    "section", "site", "slot", "sticky", "stories", "text", "title", "to", "tools", "top", "unit", "us", "wrap", "wrapper",
+}
 HEADS = {"header", "masthead"}
-#: Of these, what readers wrote; they can be longer than the article.
+#: Of the marks, what readers wrote; they can be longer than the article.
 COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 WITH = {"no", "has", "with", "without"}
-#: Elements nested deeper than this belong to the one at this depth.
-DEEP = 256
+#: Names that a path spells out; of a deeper one the names above are a digest.
+SPELLED = 64
+
+
+def _words(attributes: str) -> tuple[dict[str, str], list[list[str]]]:
+    """The class, id and role of a tag, and the words of each name in them."""
+    found: dict[str, str] = {}
+    for k, a, b, c in _NAMES.findall(attributes):
+        found.setdefault(k.lower(), a or b or c)
+    # A name like has-sidebar or no-ads tells of a part that is elsewhere.
+    names = (re.split(r"[^a-z]+", name) for name in " ".join(found.values()).lower().split())
+    return found, [[w for w in own if w] for own in names if WITH.isdisjoint(own)]
 
 
 class _Element:
-    __slots__ = ("tag", "name", "never", "mark", "below", "remarks", "out", "inside", "link", "parent", "depth", "held", "clear")
+    __slots__ = ("tag", "name", "digest", "never", "mark", "maybe", "below", "remarks", "out", "link", "parent", "depth", "held", "linked", "clear", "block", "container", "inside")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None) -> None:
-        found = {k.lower(): (a or b or c) for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
-        # A name like has-sidebar or no-ads tells of a part that is elsewhere.
-        words = {w for name in " ".join(found.values()).lower().split() if WITH.isdisjoint(own := re.split(r"[^a-z]+", name)) for w in own} if found else set()
+        found, names = _words(attributes) if attributes else ({}, [])
+        words = {w for own in names for w in own}
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.inside = (parent is not None and parent.inside) or tag in ("article", "main")
         head = tag == "header" or bool(words & HEADS)
         body = tag in ("body", "html", "article", "main")
         self.never = (parent is not None and parent.never) or tag in NEVER
-        self.mark = tag == "form" or (not body and bool(words & MARKS)) or (head and not self.inside)
-        self.below = self.mark or (parent is not None and parent.below)
+        likely = [own for own in names if not LIKELY.isdisjoint(own)]
+        sure = bool(words & SURE) or any(LIKELY.union(LAYOUT, SURE, HEADS).issuperset(own) for own in likely)
+        self.mark = tag == "form" or (not body and sure) or (head and not self.inside)
+        self.maybe = not self.mark and not body and bool(likely)
         self.remarks = (parent is not None and parent.remarks) or (not body and bool(words & COMMENTS))
-        self.out, self.held, self.clear = False, 0, 0
+        self.below = self.out = False
+        self.held = self.linked = self.clear = 0
         self.link = tag == "a" or (parent is not None and parent.link)
-        cls = sorted(re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split())
-        self.name = ".".join([tag, *cls])
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.container = self if tag in CONTAINER else parent.container if parent else None
+        self.name = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split())])
+        self.digest: str | None = None
 
     def path(self) -> str:
         names, e = [], self
-        while e is not None:
+        while e is not None and len(names) < SPELLED:
             names.append(e.name)
             e = e.parent
-        return ">".join(reversed(names))
+        return ">".join([*([e.all_names()] if e else []), *reversed(names)])
+
+    def all_names(self) -> str:
+        """A digest of the names down to this element, kept for those below."""
+        way, e = [], self
+        while e is not None and e.digest is None:
+            way.append(e)
+            e = e.parent
+        for x in reversed(way):
+            x.digest = hashlib.blake2b(f"{x.parent.digest if x.parent else ''}>{x.name}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+        return self.digest
 
 
 def _leave_out(elements: list[_Element], plain: int) -> None:
-    """Set out of each element, given in page order with held and clear of their own texts.
+    """Set out of each element, given in page order with held and linked of their own texts.
 
-    A mark counts unless its element holds the page's largest main element, the largest article (if no less than
-    all that is outside marks; those in comments only where no other is outside marks), or, unless it marks comments, more than half of the page's text while no article
-    outside marks has a tenth. Where marks would leave no text, none counts.
+    A name that may be a mark is one where the part's text is mostly links. A mark counts unless its element
+    holds the page's largest main element, the largest article (if no less than all that is outside marks; those
+    in comments only where no other is outside marks), or, unless it marks comments, more than half of the page's
+    text while no article outside marks has a tenth.
     """
-    if any(e.mark for e in elements):
-        free = plain - sum(e.held - e.clear for e in elements)
-        for e in reversed(elements):
-            if e.parent is not None:
-                e.parent.held += e.held
-                e.parent.clear += e.clear
-        solid = max((e.clear for e in elements if e.tag in ("article", "main")), default=0)
-        spared: set[_Element] = set()
-        for tag, least in (("main", 1), ("article", max(1, free))):
-            e = max((e for e in elements if e.tag == tag and not e.never and not (e.remarks and solid)), key=lambda e: e.held, default=None)
-            if e is not None and e.held >= least:
-                while e is not None:
-                    spared.add(e)
-                    e = e.parent
-        for e in elements:
-            kept = e in spared or (2 * e.held > plain and 10 * solid < plain and not e.remarks)
-            e.out = (e.parent is not None and e.parent.out) or (e.mark and not kept)
+    own = [e.held for e in elements]
+    for e in reversed(elements):
+        e.mark = e.mark or (e.maybe and e.linked > e.held)
+        if e.parent is not None:
+            e.parent.held += e.held
+            e.parent.linked += e.linked
+    if not any(e.mark for e in elements):
+        return
+    for e in elements:
+        e.below = e.mark or (e.parent is not None and e.parent.below)
+    free = plain - sum(n for e, n in zip(elements, own, strict=True) if e.below)
+    for e, n in zip(reversed(elements), reversed(own), strict=True):
+        e.clear += 0 if e.below else n
+        if e.parent is not None:
+            e.parent.clear += e.clear
+    solid = max((e.clear for e in elements if e.tag in ("article", "main")), default=0)
+    spared: set[_Element] = set()
+    for tag, least in (("main", 1), ("article", max(1, free))):
+        e = max((e for e in elements if e.tag == tag and not e.never and not (e.remarks and solid)), key=lambda e: e.held, default=None)
+        if e is not None and e.held >= least:
+            while e is not None:
+                spared.add(e)
+                e = e.parent
+    for e in elements:
+        kept = e in spared or (2 * e.held > plain and 10 * solid < plain and not e.remarks)
+        e.out = (e.parent is not None and e.parent.out) or (e.mark and not kept)
 
 
-def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
-    """(text, nearest container, characters outside links) of each block that isn't in a part marked as other than the article."""
-    elements, texts = _parsed(page)
-    for e, text in texts:
-        if e is not None and text is not None and not e.link and not text.isspace():
-            e.held += len(text)
-            e.clear += 0 if e.below else len(text)
-    _leave_out(elements, sum(len(t) for e, t in texts if t is not None and (e is None or not e.link) and not t.isspace()))
-    if all(t is None or t.isspace() or (e is not None and e.out) for e, t in texts):
-        for e in elements:
-            e.out = False
+class Page:
+    """A parsed page: its elements in order, and its blocks outside marked parts as (text, nearest container, characters outside links).
+
+    Where marks would leave no text, none counts.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.elements, texts = _parsed(page)
+        plain = 0
+        for e, text in texts:
+            if text is not None and not text.isspace():
+                if e is None or not e.link:
+                    plain += len(text)
+                if e is not None:
+                    if e.link:
+                        e.linked += len(text)
+                    else:
+                        e.held += len(text)
+        _leave_out(self.elements, plain)
+        if all(t is None or t.isspace() or (e is not None and e.out) for e, t in texts):
+            for e in self.elements:
+                e.out = False
+        self.blocks = list(_blocks(texts))
+
+    def scores(self) -> dict[str, int]:
+        """Scores from 0 to some 1300 of the generalised paths of the page's containers.
+
+        A container's share is that of the page's characters outside links that it holds. One with most of them
+        scores, the more the deeper it is; an article or main element scores from two fifths on.
+        """
+        held: Counter[_Element] = Counter()
+        total = 0
+        for _, owner, plain in self.blocks:
+            total += plain
+            if owner is not None:
+                held[owner] += plain
+        for e in reversed(self.elements):
+            if e.container is e and e.parent is not None and e.parent.container is not None and held[e]:
+                held[e.parent.container] += held[e]
+        by_path: Counter[str] = Counter()
+        of: dict[str, _Element] = {}
+        for e in self.elements:
+            if held[e] > 0:
+                path = e.path()
+                by_path[path] += held[e]
+                of.setdefault(path, e)
+        out = {}
+        for path, n in by_path.items():
+            main = of[path].tag in ("article", "main")
+            if total and n >= (0.4 if main else 0.7) * total:
+                out[path] = 1000 * n // total + 5 * min(of[path].depth, 20) + 200 * main
+        return out
+
+    def text(self, path: str | None) -> str:
+        """The blocks inside containers with this path, joined by \\n; without such a container, those of the page's best one."""
+        for choose in (lambda: path, lambda: _best(self.scores())):
+            wanted = choose()
+            if not wanted:
+                continue
+            within: dict[_Element, bool] = {}
+            for e in self.elements:
+                if e.container is e:
+                    above = e.parent.container if e.parent is not None else None
+                    within[e] = (above is not None and within[above]) or e.path() == wanted
+            if found := [t for t, owner, _ in self.blocks if owner is not None and within[owner]]:
+                return "\n".join(found)
+        return "\n".join(t for t, _, _ in self.blocks)
+
+
+def _blocks(texts: list[tuple[_Element | None, str | None]]) -> Iterator[tuple[str, _Element | None, int]]:
     pieces: list[str] = []
     plain = 0
     owner: _Element | None = None
@@ -120,124 +225,126 @@ def blocks(page: str) -> Iterator[tuple[str, _Element | None, int]]:
         elif top is None or not top.out:
             pieces.append(text)
             if not text.isspace():
-                if owner is None:
-                    e = top
-                    while e is not None and e.tag not in CONTAINER:
-                        e = e.parent
-                    owner = e
+                if owner is None and top is not None:
+                    owner = top.container
                 if top is None or not top.link:
                     plain += len(text)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", tag, attributes) of each tag; comments and declarations have an empty tag.
+
+    One pass: a tag ends at the first > outside quotes. Where quotes don't match up to the page's end, quotes mean
+    nothing in this tag and all later ones. What has no > after it is text. send(at) goes on from there.
+    """
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            end, closing, tag, attributes = close + 3 if close >= 0 else len(page), "", "", ""
+        elif m := _OPEN.match(page, start):
+            end, i = -1, m.end()
+            while quotes and (q := _QUOTE.search(page, i)):
+                if q[0] == ">":
+                    end = q.end()
+                    break
+                i = page.find(q[0], q.end()) + 1
+                if not i:
+                    break
+            if end < 0:
+                quotes = False
+                end = page.find(">", m.end()) + 1
+            if not end:
+                return
+            closing, tag, attributes = m[1], m[2].lower(), page[m.end() : end - 1]
+        elif page.startswith(("<!", "<?", "</"), start):
+            end, closing, tag, attributes = page.find(">", start) + 1, "", "", ""
+            if not end:
+                return
+        else:
+            at = start + 1
+            continue
+        at = (yield start, end, closing, tag, attributes) or end
+
+
 def _parsed(page: str) -> tuple[list[_Element], list[tuple[_Element | None, str | None]]]:
     """The elements in page order, and each text with its element; a text of None ends a block."""
     low = None
     top: _Element | None = None
     elements: list[_Element] = []
     texts: list[tuple[_Element | None, str | None]] = []
-    at, end = 0, len(page)
-
-    def add(text: str) -> None:
-        if text and (top is None or not top.never):
-            texts.append((top, text))
-
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+    open_: Counter[str] = Counter()
+    at, go_on = 0, None
+    tags = _tags(page)
+
+    def close(e: _Element) -> _Element | None:
+        """Close elements up to and with e."""
+        x = top
+        while x is not e:
+            open_[x.tag] -= 1
+            x = x.parent
+        open_[e.tag] -= 1
+        return e.parent
+
+    while True:
+        try:
+            start, end, closing, tag, attributes = tags.send(go_on)
+        except StopIteration:
             break
-        add(page[at : m.start()])
-        at = m.end()
-        closing, tag = m[1], (m[2] or "").lower()
+        go_on = None
+        if start > at and (top is None or not top.never):
+            texts.append((top, page[at:start]))
+        at = end
         if not tag:
             continue
         if tag in BLOCK:
             texts.append((None, None))
         if closing:
-            e = top
-            while e is not None and e.tag != tag:
-                e = e.parent
-            if e is not None:
-                top = e.parent
+            if open_[tag]:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                top = close(e)
             continue
         if tag in VOID:
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 low = page.lower() if low is None else low
-                close = low.find(f"</{tag}", at)
-                stop = low.find(">", close) if close >= 0 else -1
-                at = stop + 1 if stop >= 0 else end
+                low = low if len(low) == len(page) else "".join(c.lower() if c.isascii() else c for c in page)
+                found = low.find(f"</{tag}", end)
+                stop = page.find(">", found) if found >= 0 else -1
+                at = go_on = stop + 1 if stop >= 0 else len(page)
             continue
-        e = top
-        while e is not None and e.tag in ENDS and tag in ENDS[e.tag][1]:
-            top = e = e.parent
-        if tag in BLOCK and e is not None and e.tag not in BLOCK:
+        while top is not None and top.tag in ENDS and tag in ENDS[top.tag][1]:
+            top = close(top)
+        if tag in BLOCK and top is not None and top.tag not in BLOCK and top.block.tag == "p":
             # An open inline element inside a paragraph doesn't keep a new block in the paragraph.
-            p = e
-            while p is not None and p.tag not in BLOCK:
-                p = p.parent
-            if p is not None and p.tag == "p":
-                top = p.parent
-        if top is None or top.depth < DEEP:
-            top = _Element(tag, m[3], top)
-            elements.append(top)
+            top = close(top.block)
+        top = _Element(tag, attributes, top)
+        open_[tag] += 1
+        elements.append(top)
+    if at < len(page) and (top is None or not top.never):
+        texts.append((top, page[at:]))
     return elements, texts
 
 
-def scored(page: str) -> dict[str, int]:
-    """Scores from 0 to some 1300 of the generalised paths of a page's containers.
-
-    A container's share is that of the page's characters outside links that it holds. One with most of them
-    scores, the more the deeper it is; an article or main element scores from two fifths on.
-    """
-    total, held, kind = 0, Counter(), {}
-    for _, owner, plain in blocks(page):
-        total += plain
-        e = owner
-        while e is not None:
-            if e.tag in CONTAINER:
-                held[e] += plain
-            e = e.parent
-    by_path: Counter[str] = Counter()
-    for e, n in held.items():
-        path = e.path()
-        by_path[path] += n
-        kind[path] = e
-    out = {}
-    for path, n in by_path.items():
-        main = kind[path].tag in ("article", "main")
-        if total and n >= (0.4 if main else 0.7) * total:
-            out[path] = 1000 * n // total + 5 * min(kind[path].depth, 20) + 200 * main
-    return out
+def blocks(page: str) -> list[tuple[str, _Element | None, int]]:
+    """(text, nearest container, characters outside links) of each block that isn't in a part marked as other than the article."""
+    return Page(page).blocks
 
 
-def text_of(page: str, path: str | None) -> str:
-    """The blocks inside containers with this path, joined by \\n; without such a container, those of the page's best one."""
-    parts = list(blocks(page))
-    known: dict[int, bool] = {}
+def scored(page: str) -> dict[str, int]:
+    """The scores of a page's container paths."""
+    return Page(page).scores()
 
-    def inside(e: _Element | None, wanted: str, depth: int) -> bool:
-        way = []
-        while e is not None and e.depth >= depth and id(e) not in known:
-            way.append(e)
-            e = e.parent
-        found = e is not None and known.get(id(e), False)
-        for x in reversed(way):
-            found = found or (x.depth == depth and x.tag in CONTAINER and x.path() == wanted)
-            known[id(x)] = found
-        return found
 
-    for choose in (lambda: path, lambda: _best(page)):
-        wanted = choose()
-        known.clear()
-        if wanted and (found := [t for t, owner, _ in parts if inside(owner, wanted, wanted.count(">"))]):
-            return "\n".join(found)
-    return "\n".join(t for t, _, _ in parts)
+def text_of(page: str, path: str | None) -> str:
+    """The text of a page inside the containers with this path."""
+    return Page(page).text(path)
 
 
-def _best(page: str) -> str | None:
-    scores = scored(page)
+def _best(scores: dict[str, int]) -> str | None:
     return max(sorted(scores), key=scores.__getitem__) if scores else None
 
 

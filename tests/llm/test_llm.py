@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import html.parser
 import re
+import time
 import zlib
 
 import numpy as np
@@ -457,6 +459,85 @@ def test_html_marks_around_the_article():
     assert text_of(f"<html><body>{body}<div id='comments'><article>{'A comment. ' * 50}</article></div><div class='related'>{'Other ' * 20}</div></body></html>", None) == want
 
 
+class ArticleText(html.parser.HTMLParser):
+    """By the standard library: the text of article elements, a block for each of the elements that break lines."""
+
+    LINES = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "br", "div", "section", "article", "blockquote", "pre", "table", "tr", "td", "th", "figure", "figcaption", "dl", "dt", "dd", "hr", "header", "footer", "aside", "nav"}
+    AWAY = {"script", "style", "nav", "aside", "form", "footer"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.away = 0
+        self.blocks = [""]
+
+    def handle_starttag(self, tag, attrs):
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+        self.inside += tag == "article"
+        if self.away:
+            self.away += tag in ("div", *self.AWAY)
+        else:
+            self.away = int(tag in self.AWAY or (tag == "div" and bool({"ad", "comments", "related", "share-buttons"} & set(names))))
+        if tag in self.LINES:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if self.away and tag in ("div", *self.AWAY):
+            self.away -= 1
+        if tag in self.LINES:
+            self.blocks.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.away:
+            self.blocks[-1] += data
+
+    @staticmethod
+    def of(page):
+        p = ArticleText()
+        p.feed(page or "")
+        p.close()
+        return "\n".join(y for b in p.blocks if (y := " ".join(b.split())))
+
+
+def test_html_against_the_standard_parser(spark):
+    rows = Q.op10_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(rows) == len(pages) and sum(bool(r["text"]) for r in rows) > 200
+    assert [r["page_id"] for r in rows if "<article" in (pages[r["page_id"]] or "") and r["text"] != ArticleText.of(pages[r["page_id"]])] == []
+
+
+def test_html_of_known_texts(spark):
+    """Pages of three hosts made around known articles: the text comes back whole, and nothing else."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(120):
+        host = i % 3
+        body = [words(int(rng.integers(3, 40)), 1000 + 10 * i + k) for k in range(int(rng.integers(2, 8)))]
+        tags = [("p", "blockquote", "li", "h2")[int(rng.integers(0, 4))] for _ in body]
+        inner = "".join(f"<{t}{' class=social-history' if k == 1 else ''}>{b} &amp; <b>so</b>\n\ton</{t}>" for k, (t, b) in enumerate(zip(tags, body, strict=True)))
+        inner = inner.replace("</h2>", "</h2><div class='ad slot-3'>Buy this now</div>", 1)
+        main = (f"<article>{inner}</article>", f"<div class='col wide-{i}'><div class='story body{i}'>{inner}</div></div>", f"<main id=top><div>{inner}</div></main>")[host]
+        chrome = f"<nav><ul><li><a href=/a>Home {i}</a></ul></nav><header class=masthead><p>The site</p></header>"
+        tail = f"<div class='related-posts'><a href=/x>{words(9, i)}</a></div><div id=comments><p>{words(60, i)}</p></div><form><p>Write to us</p></form><footer>All rights</footer><script>if (a < b) {{ x = '</div>' }}</script>"
+        rows.append((i, f"https://host{host}.example/{i}", f"<!doctype html><html><head><title>T</title></head><body>{chrome}{main}<aside><p>{words(30, i)}</p></aside>{tail}</body></html>"))
+        want[i] = "\n".join(f"{b} & so on" for b in body)
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_long_and_deep_pages():
+    """Time grows with the page: megabytes of open quotes, nesting and closing tags take seconds."""
+    began = time.monotonic()
+    for page in ('<a x="' * 800_000, "<p a='b " * 600_000, "<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" * 30_000 + "<p>x</p>" * 30_000, "<script>" * 200_000, "<div " + 'class="a ' * 100_000 + ">x", "<" * 1_000_000, "<article>" * 20_000 + "x"):
+        assert isinstance(text_of(page, None), str)
+    assert time.monotonic() - began < 40
+    assert text_of("<div>" * 300 + "<nav>menu</nav><p>Text</p>", None) == "Text"
+    assert text_of("<article><p>Energy is <math><mi>E</mi></math> here <canvas>and</canvas> <object>more</object> words</p></article>", None) == "Energy is E here and more words"
+    assert text_of('<p title="a > b">one</p><p title="open>two</p>', None) == "one\ntwo"
+    deep = "<div>" * 100 + "<p>Text of the page</p>"
+    assert text_of(deep, max(scored(deep), key=scored(deep).get)) == "Text of the page"
+
+
 def test_html_never_fails():
     for page in ("<", "<p", "</p>", "<a <b>>", "<script>x", "<!-- x", "<p>" * 3000 + "x", "<div>" * 2000 + "y", "a<b & c>d", "\x00<p>\ud800</p>".encode("utf-8", "ignore").decode()):
         assert isinstance(text_of(page, None), str)
