@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.staging import let, sized, staged
+from spanweave.llm.staging import discard, let, sized, staged, without
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -63,7 +63,7 @@ def _hosted(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
-    """(_host, _bad): for each host, the hashes of lines above its limit.
+    """(__quality_host, __quality_bad): for each host with some, the hashes of lines above its limit, written.
 
     The limit of a host is the larger of min_docs and max_share of its distinct documents; a line above it is
     found in more distinct documents. Documents with equal texts on one host count once, so that copies of a
@@ -76,7 +76,9 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, ma
     per_line = d.select("__quality_host", F.explode("_lines").alias("h")).groupBy("__quality_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     per_host = d.groupBy("__quality_host").agg(F.count("*").alias("all_docs"))
     over = per_line.join(sized(staged(per_host, "hosts")), "__quality_host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("all_docs")))
-    return over.groupBy("__quality_host").agg(F.collect_set("h").alias("__quality_bad"))
+    bad = staged(over.groupBy("__quality_host").agg(F.collect_set("h").alias("__quality_bad")), "frequent-lines")
+    discard(d)
+    return bad
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.3, min_words: int = 50) -> DataFrame:
@@ -87,12 +89,12 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
     kept: not base_failed, and at least min_left of the words are left (a depleted document is rejected).
     text_left: text without those lines; the others stay as they are.
 
-    Nulls: a null text is empty (base_failed) and has a null text_left; a null host is a host of its own. Repeated rows: each row gets
-    its own result. An empty table gives an empty result. Other columns of docs stay as they are; those with
-    the names of results are replaced.
+    Nulls: a null text is empty (base_failed) and has a null text_left; a null host is the host ''. Repeated rows:
+    each row gets its own result. An empty table gives an empty result. Other columns of docs stay as they are;
+    those with the names of results, in any case of letters, are replaced.
     """
     # The limits are few rows a host; the join is by broadcast within a counted bound and by shuffling beyond it.
-    bad = sized(staged(frequent_lines(docs, host, min_docs, max_share), "frequent-lines"))
+    bad = sized(frequent_lines(docs, host, min_docs, max_share))
     text = F.coalesce(F.col("text"), F.lit(""))
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = F.filter(normal_lines(text), lambda x: F.array_contains("__quality_bad", F.xxhash64(x)))
@@ -117,4 +119,4 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, max
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
     stays = lambda lines: F.filter(F.split(F.col("text"), "\n"), lambda _, i: ~F.array_contains("__quality_bad", F.xxhash64(F.get(lines, i))))
     shorter = F.when(F.col("__quality_bad").isNull(), F.col("text")).otherwise(let(_all_normal(F.col("text")), lambda x: F.array_join(stays(x), "\n")))
-    return d.select(*[c for c in docs.columns if c not in [*names, "text_left"]], *[F.col(f"__quality.{c}").alias(c) for c in names], shorter.alias("text_left"))
+    return d.select(*without(docs.columns, [*names, "text_left"]), *[F.col(f"__quality.{c}").alias(c) for c in names], shorter.alias("text_left"))

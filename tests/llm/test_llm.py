@@ -47,7 +47,7 @@ def odd(spark):
     long = "\n".join(words(60, i) for i in range(300))
     rows = [(1, "", "en", "a", 0), (2, None, None, None, None), (None, words(80, 1), "en", "a", 1), (3, " \n\t\n ", "en", "b", 1), (4, long, "en", "b", 1), (5, words(80, 1), "en", "a", 1), (5, words(80, 1), "en", "a", 1), (5, words(70, 2), "en", "a", 1), (6, "a", "en", "a", 1)]
     d = spark.createDataFrame(rows, DOCS)
-    for c in ("kept", "n_words", "copy", "class_id", "spans", "n_lines", "_key", "path", "rate", "dice", "n"):
+    for c in ("KEPT", "N_words", "copy", "class_id", "spans", "N_Lines", "_key", "path", "Rate", "dice", "n", "text_LEFT"):
         d = d.withColumn(c, F.lit("x"))
     return d
 
@@ -57,14 +57,29 @@ def test_query_matches_sql(spark, name):
     assert_same(Q.queries()[name](spark, SF), Q.oracle_sql()[name], SF)
 
 
-def test_odd_rows_keep_their_number(odd):
-    n = odd.count()
-    for f in (quality_rules, line_dedup, secret_report, licence_scan, jaccard_classes, lambda d: count_tokens(d, tokenizer_path())):
-        assert f(odd).count() == n
+def test_odd_rows_have_results(spark, odd):
+    n, key = odd.count(), lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    in_order = lambda d: sorted(d.collect(), key=key)
+    ids = [1, 2, 3, 4, 5, 5, 5, 6, None]
+    kept = in_order(quality_rules(odd))
+    assert [r["doc_id"] for r in kept] == ids and [r["kept"] for r in kept] == [False, False, False, True, True, True, True, False, True]
+    assert {r["doc_id"] for r in quality_rules(odd).where("kept").collect()} == {4, 5, None}
+    lines = in_order(line_dedup(odd))
+    texts = {r["doc_id"]: r["text"] for r in lines}
+    # The row without an id comes first; the two equal rows lose its line, and count as one document.
+    assert [r["doc_id"] for r in lines] == ids and texts[None] == words(80, 1) and texts[2] is None and texts[1] == "" and texts[3] == " \n\t\n "
+    assert sorted(r["text"] for r in lines if r["doc_id"] == 5) == ["", "", words(70, 2)]
+    assert [r["n_removed_lines"] for r in lines if r["doc_id"] in (1, 2, 3, 4, 6, None)] == [0] * 6 and [r["n_lines"] for r in lines if r["doc_id"] in (1, 2)] == [1, 0]
+    classes = in_order(jaccard_classes(odd))
+    assert [r["doc_id"] for r in classes] == ids and [(r["class_id"], r["n_links"]) for r in classes if r["doc_id"] in (1, 2, 3, 6)] == [(1, 0), (2, 0), (3, 0), (6, 0)]
+    assert sorted(r["n_links"] for r in classes if r["doc_id"] == 5) == [0, 2, 2] and classes[-1]["n_links"] == 2 and classes[-1]["class_id"] == 5
+    assert sorted(map(str, (r["doc_id"] for r in one_of_each(odd).collect()))) == sorted(map(str, ids))
+    for f in (secret_report, licence_scan, lambda d: count_tokens(d, tokenizer_path())):
+        assert [r["doc_id"] for r in in_order(f(odd))] == ids
     packed = pack(odd, tokenizer_path()).collect()
     assert sum(r["length"] for r in packed) == sum(r["n_tokens"] + 1 for r in count_tokens(odd, tokenizer_path()).collect())
-    assert mix(odd, weights={"a": 1.0, "b": 1.0, "": 1.0}).count() >= 0
-    assert one_of_each(odd).count() <= n
+    mixed = mix(odd, weights={"a": 1.0, "b": 1.0, "": 1.0}, target_rows=900).collect()
+    assert len(mixed) > 500 and {r["source"] for r in mixed} == {"a", "b", None} and n == 9
 
 
 def test_empty_tables(spark, odd):
