@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import html.parser
+import math
+import pathlib
 import re
 import time
 import zlib
@@ -558,10 +560,26 @@ def test_html_never_fails():
         assert isinstance(text_of(page, None), str)
 
 
+def poisson_count(rate, u):
+    """The smallest number of copies at which the Poisson distribution exceeds u."""
+    p = total = math.exp(-rate)
+    k = 0
+    while total <= u:
+        k += 1
+        p *= rate / k
+        total += p
+        if k > 1000:
+            break
+    return k
+
+
 def test_pipeline_stages(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     d = spark.read.parquet(f"{SF}/documents.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r["doc_id"]: r["text"] for r in d.collect()}
+        rows = d.collect()
+        before = {r["doc_id"]: r["text"] for r in rows}
         out = stage(spark, d, SF)
         out.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
@@ -578,5 +596,53 @@ def test_pipeline_stages(spark, tmp_path):
             ids = sorted(before)
             classes = brute_classes([before[k] for k in ids])
             assert {r["doc_id"] for r in after} == {k for j, k in enumerate(ids) if classes[j][0] == j}
+        if name == "mixture":
+            n = collections.Counter(r["source"] or "" for r in rows)
+            sum_w = sum(v**0.7 for v in n.values())
+            copies = collections.Counter()
+            for r in rows:
+                rate = n[r["source"] or ""] ** 0.7 / sum_w * len(rows) / n[r["source"] or ""]
+                u = int(hashlib.md5(f"42:{r['doc_id']}".encode()).hexdigest()[:13], 16) / (1 << 52)
+                copies[r["doc_id"]] += poisson_count(rate, u)
+            assert collections.Counter(r["doc_id"] for r in after) == +copies and all(before[r["doc_id"]] == r["text"] for r in after)
+        if name == "packing":
+            whole = Tokenizer.from_file(tokenizer_path())
+            want = collections.Counter()
+            for r in rows:
+                want[r["source"] or ""] += len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+            got, place = collections.Counter(), set()
+            for r in after:
+                got[r["source"]] += r["length"]
+                place.update((r["sequence_id"], r["offset"] + j) for j in range(r["length"]))
+            total = sum(want.values())
+            assert got == want and place == {divmod(j, 2048) for j in range(total)}
+            chars = collections.Counter()
+            for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+                chars[r["source"] or ""] += r["n_chars"] or 0
+            assert shares_of_windows(after, {s: chars[s] ** 0.7 for s in got}, 2048, 64)[1] < 2
         d = out
-    assert d.where("sequence_id < 0").count() == 0 and d.count() > 0
+
+
+def test_pipeline_on_empty_and_odd_documents(spark, odd, tmp_path):
+    """Each stage takes tables without rows, and rows with nulls, repeats and clashing columns."""
+    folder = tmp_path / "sf"
+    odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(folder / "documents.parquet"))
+    for d in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, d, str(folder)).collect()
+            assert bool(rows) == (d is odd), name
+    assert corpus_pipeline.run(spark, str(folder)).agg(F.sum("length")).head()[0] > 0
+
+
+def test_tables_are_deleted_after_use(spark):
+    from spanweave.llm.staging import _WRITTEN, discard, shared_dir, sized, staged
+
+    before = set(_WRITTEN)
+    t = staged(spark.range(10), "some")
+    path = t._staged_at
+    assert path.startswith(shared_dir(spark)) and t.count() == 10
+    discard(t, spark.range(1))
+    assert set(_WRITTEN) == before and not pathlib.Path(path.removeprefix("file:")).exists()
+    wide = spark.range(200).select(F.repeat(F.lit("x"), 2000).alias("x"))
+    hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(sized(wide)) and not hinted(sized(wide, max_bytes=100_000)) and not hinted(sized(wide, max_rows=10))
