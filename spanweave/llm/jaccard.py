@@ -20,6 +20,8 @@ SMALL = 64
 #: Sets of a block; larger buckets and clusters are compared block against block. Buckets hold sampled tokens
 #: only, clusters whole sets.
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
+#: Words of the sets that a task hashes at a time, and of a cluster's block on average.
+WORDS = 500_000
 DEPTH, BRANCHES = 3, 2
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -70,9 +72,19 @@ def sampled_tokens(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     return (_mix(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows with about WORDS words at a time, or one row."""
+    for b in batches:
+        ends, a = b.column("w").offsets.to_numpy(), 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + WORDS, side="right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def _with_tokens(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             w = b.column("w")
             ends = w.offsets.to_numpy() - w.offsets[0].as_py()
             doc, h = shingles(w.flatten().to_numpy(zero_copy_only=False), ends, n)
@@ -202,10 +214,10 @@ def _exact_in_cluster(n: int, threshold: float):
 def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
     """rows with block and the pair of blocks (x, y) in which they are compared; sizes: (key, m), one row a key.
 
-    A key with up to most rows is one block. Of a larger one each block meets every other once, so that no
+    A key with m up to most is one block. Of a larger one each block meets every other once, so that no
     task gets more than two blocks of a key and no pair is left out.
     """
-    blocks = F.ceil(F.col("m") / most).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / most)).cast("int")
     d = rows.join(sizes, key).withColumn("_b", blocks)
     d = d.withColumn("block", F.when(F.col("_b") > 1, F.pmod(F.xxhash64("node", F.lit(7)), F.col("_b"))).otherwise(0).cast("int"))
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
@@ -277,7 +289,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     sets = texts.select("cluster", "node", "k2", "copies", word_hashes(F.col("text")).alias("w")).where((F.xxhash64("w") == F.col("node")) & (F.xxhash64(F.lit(1), "w") == F.col("k2")))
     sets = sets.groupBy("cluster", "node").agg(F.first("w").alias("w"), F.first("copies").alias("copies"))
     sets = staged(sets, "sets")
-    spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(F.count("*").alias("m")), CLUSTER_BLOCK)
+    # A cluster of long texts has smaller blocks, so that a task's two have a bounded number of words.
+    weight = F.greatest(F.count("*"), F.sum(F.size("w")) * CLUSTER_BLOCK / WORDS).alias("m")
+    spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(weight), CLUSTER_BLOCK)
     spread = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = spread.select("cluster", "x", "y", "block", "node", "copies", "w").mapInArrow(_exact_in_cluster(n, threshold), "a long, b long, links long")
     links = staged(links, "exact")
