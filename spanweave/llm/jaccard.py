@@ -211,14 +211,14 @@ def _exact_in_cluster(n: int, threshold: float):
     return run
 
 
-def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
-    """rows with block and the pair of blocks (x, y) in which they are compared; sizes: (key, m), one row a key.
+def _in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """rows with block and the pair of blocks (x, y) in which they are compared; m is the size of a row's key.
 
     A key with m up to most is one block. Of a larger one each block meets every other once, so that no
     task gets more than two blocks of a key and no pair is left out.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / most)).cast("int")
-    d = rows.join(sizes, key).withColumn("_b", blocks)
+    d = rows.withColumn("_b", blocks)
     d = d.withColumn("block", F.when(F.col("_b") > 1, F.pmod(F.xxhash64("node", F.lit(7)), F.col("_b"))).otherwise(0).cast("int"))
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return d.withColumn("x", F.least("block", "_o").cast("int")).withColumn("y", F.greatest("block", "_o").cast("int")).drop("_b", "_o", "m")
@@ -238,7 +238,9 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     for level in range(DEPTH):
         rows = staged(split(active, level), "paths")
         levels.append(rows)
-        sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
+        # Written before the joins, so that a bucket with many sets can be split as a skewed one.
+        sizes = staged(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        levels.append(sizes)
         last = level == DEPTH - 1
         done = rows.join(sizes if last else sizes.where(F.col("m") <= SMALL), "path").select("path", "node", "m")
         ends = done if ends is None else ends.unionByName(done)
@@ -276,8 +278,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     classes = staged(classes.withColumn("node", F.col("k1")), "classes")
 
     ends = _buckets(classes, runs)
-    sizes = ends.groupBy("path").agg(F.first("m").alias("m"))
-    met = _in_blocks(ends.drop("m"), "path", sizes, BUCKET_BLOCK).join(classes.select("node", "tokens", "few"), "node")
+    met = _in_blocks(ends, BUCKET_BLOCK).join(classes.select("node", "tokens", "few"), "node")
     met = met.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
     near = met.select("path", "x", "y", "block", "node", "tokens", "few").mapInArrow(_near_in_bucket(0.5, threshold), "a long, b long")
     clusters = components(near).withColumnRenamed("label", "cluster")
@@ -291,7 +292,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     sets = staged(sets, "sets")
     # A cluster of long texts has smaller blocks, so that a task's two have a bounded number of words.
     weight = F.greatest(F.count("*"), F.sum(F.size("w")) * CLUSTER_BLOCK / WORDS).alias("m")
-    spread = _in_blocks(sets, "cluster", sets.groupBy("cluster").agg(weight), CLUSTER_BLOCK)
+    # Written before the join, so that a cluster with many sets can be split as a skewed one.
+    spread = _in_blocks(sets.join(staged(sets.groupBy("cluster").agg(weight), "sizes"), "cluster"), CLUSTER_BLOCK)
     spread = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     links = spread.select("cluster", "x", "y", "block", "node", "copies", "w").mapInArrow(_exact_in_cluster(n, threshold), "a long, b long, links long")
     links = staged(links, "exact")
