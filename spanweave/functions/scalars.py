@@ -27,15 +27,16 @@ def normalize_url(url: Column) -> Column:
 
 def route_match_key(normalized: Column) -> Column:
     """The key on which calls and routes meet: no dynamic: mark, every named segment as :param."""
+    # Fixed: the form of a named segment.
     key = F.regexp_replace(F.regexp_replace(normalized, "^dynamic:", ""), "/:[a-zA-Z_][a-zA-Z0-9_]*", "/:param")
     return F.when(normalized == "", None).otherwise(key)
 
 
 def merge_base_url(base: Column, path: Column) -> Column:
-    """A path after its client's base URL; an absolute URL or a rooted path stands alone. '' counts as null."""
-    b, p = F.nullif(base, F.lit("")), F.nullif(path, F.lit(""))
-    alone = p.rlike("^https?://") | p.startswith("/")
-    return F.when(b.isNull(), p).when(p.isNull(), b).when(alone, p).otherwise(normalize_url(F.concat(b, F.lit("/"), p)))
+    """A relative path after its client's base URL; an absolute URL, a rooted path or a lone part is as it is. '' counts as null."""
+    own = F.nullif(path, F.lit(""))
+    relative = (base != "") & ~own.rlike("^(https?:/)?/")
+    return F.when(relative, normalize_url(F.concat_ws("/", base, own))).otherwise(F.coalesce(own, F.nullif(base, F.lit(""))))
 
 
 def normalize_path(path: Column) -> Column:
@@ -45,16 +46,11 @@ def normalize_path(path: Column) -> Column:
 
 
 def join_paths(base: Column, child: Column) -> Column:
-    """A route's path below a mount prefix; either being dynamic makes the whole dynamic."""
-    b, c = F.coalesce(base, F.lit("")), F.coalesce(child, F.lit(""))
-    bare = lambda x: F.regexp_replace(x, "^dynamic:", "")
-    dynamic = b.startswith("dynamic:") | c.startswith("dynamic:")
-    return (
-        F.when(b.isin("", "/"), normalize_path(c))
-        .when(c.isin("", "/"), normalize_path(b))
-        .when(dynamic, F.concat(F.lit("dynamic:"), bare(b), bare(c)))
-        .otherwise(normalize_path(F.concat(normalize_path(b), normalize_path(c))))
-    )
+    """A route's path below a mount prefix: the parts that aren't empty or / in a row; with two, either being dynamic makes the whole dynamic."""
+    parts = F.filter(F.array(base, child), lambda p: p.isNotNull() & ~p.isin("", "/"))
+    in_a_row = lambda change: F.array_join(F.transform(parts, change), "")
+    dynamic = (F.size(parts) > 1) & F.exists(parts, lambda p: p.startswith("dynamic:"))
+    return F.when(dynamic, F.concat(F.lit("dynamic:"), in_a_row(lambda p: F.regexp_replace(p, "^dynamic:", "")))).otherwise(normalize_path(in_a_row(normalize_path)))
 
 
 def path_params(path: Column) -> Column:
@@ -84,6 +80,7 @@ def url_host(url: Column) -> Column:
 def classify_entry(entry: Column) -> Column:
     """struct<type, method, path, event, element, name>: 'VERB path' is a route, 'onX' or 'onX:el' an event, else a function."""
     t = F.trim(F.coalesce(entry, F.lit("null")))
+    # Fixed: the two patterns of entries.
     route, event = rf"^(?i)({'|'.join(ENTRY_METHODS)})\s+(\S+)$", r"^(on[A-Z][a-zA-Z]*)(?::(.+))?$"
     is_route, is_event = t.rlike(route), t.rlike(event)
     only = lambda cond, c: F.when(cond, c)
@@ -113,14 +110,31 @@ def normalize_repo_url(raw: Column) -> Column:
     return F.concat(F.lit("https://github.com/"), r["owner"], F.lit("/"), r["repo"])
 
 
+def split_repo_url(url: Column, made_up: Column | None = None) -> Column:
+    """struct<host, owner, repo> of any URL's host and first two path segments, https where it names no scheme.
+
+    Missing segments are unknown and repo-<made_up>; what is no URL is local, local and project-<made_up>. made_up
+    (by default new) tells such repositories apart.
+    """
+    label = F.lit("new") if made_up is None else made_up
+    full = F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
+    host = F.lower(F.try_parse_url(full, F.lit("HOST")))
+    parts = F.array_remove(F.split(F.coalesce(F.try_parse_url(full, F.lit("PATH")), F.lit("")), "/"), "")
+    repo = F.regexp_replace(F.get(parts, F.lit(1)), r"\.git", "")
+    found = F.struct(host.alias("host"), F.coalesce(F.get(parts, F.lit(0)), F.lit("unknown")).alias("owner"), F.coalesce(repo, F.concat(F.lit("repo-"), label)).alias("repo"))
+    local = F.struct(F.lit("local").alias("host"), F.lit("local").alias("owner"), F.concat(F.lit("project-"), label).alias("repo"))
+    return F.when(host.isNull() | (host == ""), local).otherwise(found)
+
+
 def archive_url(url: Column, branch: Column) -> Column:
-    """Where a host serves a branch as an archive."""
-    base = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?i)\.git$", ""), "/+$", "")
-    name = F.regexp_extract(base, "([^/]+)$", 1)
+    """Where the URL's host serves a branch as an archive; without a branch the default branch of each host."""
+    r = split_repo_url(F.trim(url))
+    main, master = F.coalesce(branch, F.lit("main")), F.coalesce(branch, F.lit("master"))
+    own = F.concat(r["owner"], F.lit("/"), r["repo"])
     return (
-        F.when(F.contains(base, F.lit("gitlab")), F.concat(base, F.lit("/-/archive/"), F.coalesce(branch, F.lit("master")), F.lit("/"), name, F.lit("-"), F.coalesce(branch, F.lit("master")), F.lit(".zip")))
-        .when(F.contains(base, F.lit("bitbucket")), F.concat(base, F.lit("/get/"), F.coalesce(branch, F.lit("master")), F.lit(".zip")))
-        .otherwise(F.concat(base, F.lit("/archive/refs/heads/"), F.coalesce(branch, F.lit("main")), F.lit(".zip")))
+        F.when(F.contains(r["host"], F.lit("gitlab.com")), F.concat(F.lit("https://gitlab.com/"), own, F.lit("/-/archive/"), master, F.lit("/"), r["repo"], F.lit("-"), master, F.lit(".zip")))
+        .when(F.contains(r["host"], F.lit("bitbucket.org")), F.concat(F.lit("https://bitbucket.org/"), own, F.lit("/get/"), master, F.lit(".zip")))
+        .otherwise(F.concat(F.lit("https://codeload.github.com/"), own, F.lit("/zip/refs/heads/"), main))
     )
 
 

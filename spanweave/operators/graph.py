@@ -18,7 +18,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     A frontier of new nodes is joined to the edges once a level; visited nodes are left out by an anti-join.
     Each level is checkpointed, so that the plan stays flat. edges: (src, dst); roots: (root).
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     visited = frontier = cut(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
@@ -31,9 +31,10 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 
 def trace_forward(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
     """(nodes with depth, edges that start at an expanded node) of what the roots call, as sets."""
+    edges = cut(edges.select("src", "dst").distinct())
     nodes = reach(edges, roots, max_depth)
     inner = nodes.where(F.col("depth") < max_depth)
-    return nodes, inner.join(edges.select("src", "dst").distinct(), inner.node == F.col("src")).where("src <> dst").select("root", "src", "dst")
+    return nodes, inner.join(edges, inner.node == F.col("src")).where("src <> dst").select("root", "src", "dst")
 
 
 def trace_backward(edges: DataFrame, roots: DataFrame, max_depth: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +52,7 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, root: DataFrame, max_steps: int = 100) -> DataFrame:
     """(node, level): distance from root(root); then nodes with an edge into a levelled node get that one's level + 1, until none does."""
+    edges = cut(edges.select("src", "dst").distinct())
     done = reach(edges, root, max_steps).groupBy("node").agg(F.min("depth").alias("level"))
     done = cut(done)
     while True:
@@ -76,19 +78,22 @@ def layout(levelled: DataFrame, backward: bool = False) -> DataFrame:
 
 
 def paths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(root, path): every path without a repeated node from a root to a node without further edges, or to max_depth edges."""
-    open_ = cut(roots.select("root", F.array("root").alias("path")))
-    ended = None
+    """(root, path): for each root the path to every node without further edges, at most max_depth edges away.
+
+    A node is visited once for a root, so the work grows with the edges and not with the number of paths: by the
+    shortest path, ties by the smaller one. A node whose ends are all visited gives none.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    starts = edges.select(F.col("src").alias("node")).distinct()
+    visited = open_ = cut(roots.select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
     for _ in range(max_depth):
-        step = open_.withColumn("last", F.element_at("path", -1)).join(edges.select("src", "dst").distinct(), F.col("last") == F.col("src"), "left")
-        step = step.withColumn("on", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst")))
-        step = step.groupBy("root", "path").agg(F.collect_set(F.when(F.col("on"), F.col("dst"))).alias("next"))
-        leaf = step.where(F.size("next") == 0).select("root", "path")
-        ended = leaf if ended is None else ended.unionByName(leaf)
-        open_ = cut(step.where(F.size("next") > 0).select("root", F.explode("next").alias("n"), "path").select("root", F.concat("path", F.array("n")).alias("path")))
+        step = open_.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.join(visited.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
+        open_ = cut(step)
         if open_.isEmpty():
-            return ended
-    return ended.unionByName(open_)
+            break
+        visited = visited.unionByName(open_)
+    return visited.join(starts, "node", "left_anti").select("root", "path")
 
 
 def trace_ui_to_backend(edges: DataFrame, events: DataFrame, max_depth: int = 20) -> DataFrame:

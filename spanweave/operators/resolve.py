@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.functions.scalars import route_pattern, url_path
+from spanweave.sources.files import attach_code
 
 #: Receivers and names that are noise, and outside libraries that are worth a step.
 SKIP_OBJECTS = ["console", "Math", "JSON", "Object", "Array", "Promise", "Date", "String", "Number", "process", "fs", "path", "util", "stream", "http", "https", "Buffer", "crypto"]
-SKIP_NAMES = "map filter reduce push pop slice splice split replace trim then catch finally name line file type path handler length size has get set add delete clear".split()
+SKIP_NAMES = [
+    "map", "filter", "reduce", "push", "pop", "slice", "splice", "split", "replace", "trim", "then", "catch", "finally", "name", "line", "file", "type", "path", "handler", "length", "size",
+    "has", "get", "set", "add", "delete", "clear",
+]
 ALLOWED_EXTERNALS = ["axios", "fetch", "mongoose", "prisma"]
 
 
@@ -66,6 +70,18 @@ def resolve_functions(refs: DataFrame, functions: DataFrame) -> DataFrame:
     return refs.join(best, (F.col("name") == F.col("_n")) & F.col("caller_file").eqNullSafe(F.col("_c")), "left").drop("_n", "_c")
 
 
+def function_definition(asked: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    """asked(ref_id, name, caller_file) with the definition found: function_id, file, start_line, end_line and code, null if none."""
+    f = functions.select(F.col("id").alias("function_id"), "file", "start_line", "end_line")
+    found = resolve_functions(asked, functions).drop("rank").join(f, "function_id", "left")
+    return attach_code(found, files)
+
+
+def functions_by_id(refs: DataFrame, functions: DataFrame) -> DataFrame:
+    """refs(function_id) with the function's name, file and lines, null if there is none."""
+    return refs.join(functions.select(F.col("id").alias("function_id"), "name", "file", "start_line", "end_line"), "function_id", "left")
+
+
 def known_names(refs: DataFrame, functions: DataFrame) -> DataFrame:
     """The rows of refs(name) that some function has as its name or as the end of its dotted name."""
     parts = F.split("name", r"\.")
@@ -91,27 +107,35 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
     routes: (route_id, method, path, ord). Ranks: 0 method and path; 1 path; 2 a pattern with named segments
     whose method is the call's or ANY or ALL; 3 on the longest suffix of the path. dynamic: URLs match none.
-    Exact paths and suffixes meet by equality; patterns by equality of the number of segments and of the
-    leading literal segments, and only then by the expression.
+
+    Distinct methods and paths are matched once. Exact paths and suffixes meet by equality. Patterns that have
+    named segments at the same places are a shape, and a path meets a shape's patterns by all its literal segments
+    at once; the first route of a shape, literals and method stands for all of them, so a route like /:a/:b that
+    every path of its length fits makes one row a path. The expression is only checked for the pairs left.
     """
-    c = calls.where(F.coalesce(F.length("url") > 0, F.lit(False)) & ~F.col("url").startswith("dynamic:")).withColumn("clean", url_path(F.col("url")))
+    c = calls.where(F.coalesce(F.length("url") > 0, F.lit(False)) & ~F.col("url").startswith("dynamic:")).select(F.upper("method").alias("asked"), url_path(F.col("url")).alias("clean")).distinct()
     r = routes.select("route_id", F.col("method").alias("r_method"), "path", "ord")
-    depth = lambda p: F.size(F.split(p, "/"))
-    head = lambda p: F.regexp_extract(p, "^([^:]*/)", 1)
-    same = F.col("method").isNotNull() & (F.upper("method") == F.col("r_method"))
+    same = F.coalesce(F.col("asked") == F.col("r_method"), F.lit(False))
     by_path = c.join(r, c.clean == r.path).withColumn("rank", F.when(same, 0).otherwise(1)).withColumn("level", F.lit(0))
-    patterned = r.where(F.contains("path", F.lit(":"))).withColumn("depth", depth(F.col("path"))).withColumn("head", head(F.col("path"))).withColumn("pattern", route_pattern(F.col("path")))
+    parts = F.split("path", "/")
+    named = lambda x: F.contains(x, F.lit(":"))
+    patterned = r.where(F.contains("path", F.lit(":"))).select("*", F.transform(parts, named).alias("shape"), F.array_join(F.filter(parts, lambda x: ~named(x)), "/").alias("literals"), route_pattern(F.col("path")).alias("pattern"))
+    firsts = patterned.groupBy("shape", "literals", "pattern", "r_method").agg(F.min(F.struct("ord", "route_id")).alias("f")).select("shape", "literals", "pattern", "r_method", "f.ord", "f.route_id")
+    shapes = patterned.select("shape", F.size("shape").alias("depth")).distinct()
     segments = F.split("clean", "/")
-    heads = c.withColumn("depth", depth(F.col("clean"))).withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/")))))
-    by_pattern = heads.join(patterned, ["depth", "head"]).where(F.rlike("clean", F.col("pattern")) & (F.col("method").isNull() | same | F.col("r_method").isin("ANY", "ALL")))
+    literal = F.array_join(F.transform(F.filter(F.arrays_zip(segments.alias("s"), F.col("shape").alias("n")), lambda x: ~x["n"]), lambda x: x["s"]), "/")
+    shaped = c.withColumn("depth", F.size(segments)).join(F.broadcast(shapes), "depth").withColumn("literals", literal)
+    by_pattern = shaped.join(firsts, ["shape", "literals"]).where(F.rlike("clean", F.col("pattern")) & (F.col("asked").isNull() | same | F.col("r_method").isin("ANY", "ALL")))
     by_pattern = by_pattern.withColumn("rank", F.lit(2)).withColumn("level", F.lit(0))
     full = F.array_remove(segments, "")
     trials = F.transform(F.sequence(F.lit(1), F.size(full)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(full, i, F.size(full)), "/")))
-    suffixes = c.where(F.size(full) > 0).select("call_id", F.posexplode(trials).alias("level", "trial"))
+    suffixes = c.where(F.size(full) > 0).select("asked", "clean", F.posexplode(trials).alias("level", "trial"))
     by_suffix = suffixes.join(r, suffixes.trial == r.path).withColumn("rank", F.lit(3))
-    cols = ["call_id", "rank", "level", "ord", "route_id"]
-    best = by_path.select(*cols).unionByName(by_pattern.select(*cols)).unionByName(by_suffix.select(*cols)).groupBy("call_id").agg(F.min(F.struct(*cols[1:])).alias("b"))
-    return calls.join(best.select("call_id", F.col("b.route_id").alias("route_id"), F.col("b.rank").alias("rank")), "call_id", "left")
+    cols = ["asked", "clean", "rank", "level", "ord", "route_id"]
+    best = by_path.select(*cols).unionByName(by_pattern.select(*cols)).unionByName(by_suffix.select(*cols)).groupBy("asked", "clean").agg(F.min(F.struct(*cols[2:])).alias("b"))
+    best = best.select("asked", "clean", F.col("b.route_id").alias("route_id"), F.col("b.rank").alias("rank"))
+    keyed = calls.withColumn("_asked", F.upper("method")).withColumn("_clean", F.when((F.length("url") > 0) & ~F.col("url").startswith("dynamic:"), url_path(F.col("url"))))
+    return keyed.join(best, F.col("_asked").eqNullSafe(F.col("asked")) & (F.col("_clean") == F.col("clean")), "left").drop("_asked", "_clean", "asked", "clean")
 
 
 def unmatched(calls: DataFrame, routes: DataFrame, key: str) -> DataFrame:

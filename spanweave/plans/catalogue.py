@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.functions import scalars as S
-from spanweave.operators import facts, graph, resolve, spans, stats
+from spanweave.operators import facts, graph, linker, resolve, spans, stats, trace
 from spanweave.session import table
 from spanweave.sources.files import line_slice, lines
 
@@ -239,15 +239,18 @@ def fact_summary(spark, d):
 # Resolution.
 
 
-@query(f"""WITH {_FUNCTIONS_SQL}, q AS (SELECT DISTINCT l_orderkey AS o, l_linenumber || '-' || l_partkey AS i, (CASE l_linenumber % 2 WHEN 0 THEN string_split(p_type, ' ')[1] || '.' ELSE '' END) || p_brand AS name,
-  'src/' || lower(p_brand) || '/' || (p_size + l_linenumber % 3) || '.js' AS caller FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1),
-m AS (SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 0 WHEN file = caller THEN 1 WHEN ends_with(file, caller) OR ends_with(caller, file) OR split_part(file, '/', 2) || '/' || split_part(file, '/', 3) = split_part(caller, '/', 2) || '/' || split_part(caller, '/', 3) THEN 2
+_BEST_SQL = """m AS (SELECT q.name, caller, id, row_ord, CASE WHEN n = 1 THEN 0 WHEN file = caller THEN 1 WHEN ends_with(file, caller) OR ends_with(caller, file) OR split_part(file, '/', 2) || '/' || split_part(file, '/', 3) = split_part(caller, '/', 2) || '/' || split_part(caller, '/', 3) THEN 2
   WHEN split_part(file, '/', 2) = split_part(caller, '/', 2) THEN 3 ELSE 4 END AS rank FROM q JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM f) USING (name)
-  UNION ALL SELECT o, i, id, row_ord, CASE WHEN n = 1 THEN 5 WHEN file = caller THEN 6 ELSE 7 END FROM q JOIN (SELECT id, file, row_ord, string_split(name, '.')[2] AS name, count(*) OVER (PARTITION BY string_split(name, '.')[2]) AS n FROM f) s USING (name))
-SELECT q.o || '-' || q.i AS ref_id, b.id AS function_id, b.rank::INT AS rank FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o, i ORDER BY rank, row_ord) AS k FROM m) b ON q.o = b.o AND q.i = b.i AND b.k = 1""")
+  UNION ALL SELECT q.name, caller, id, row_ord, CASE WHEN n = 1 THEN 5 WHEN file = caller THEN 6 ELSE 7 END FROM q JOIN (SELECT id, file, row_ord, string_split(name, '.')[2] AS name, count(*) OVER (PARTITION BY string_split(name, '.')[2]) AS n FROM f) s USING (name)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, caller ORDER BY rank, row_ord) AS k FROM m) WHERE k = 1)"""
+
+
+@query(f"""WITH {_FUNCTIONS_SQL}, a AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref_id, (CASE l_linenumber % 2 WHEN 0 THEN string_split(p_type, ' ')[1] || '.' ELSE '' END) || p_brand AS name,
+  'src/' || lower(p_brand) || '/' || (p_size + l_linenumber % 3) || '.js' AS caller FROM lineitem JOIN part ON l_partkey = p_partkey), q AS (SELECT DISTINCT name, caller FROM a), {_BEST_SQL}
+SELECT ref_id, b.id AS function_id, b.rank::INT AS rank FROM a LEFT JOIN best b USING (name, caller)""")
 def resolve_ranked(spark, d):
     n = F.col("l_linenumber")
-    x = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     name = F.concat(F.when(n % 2 == 0, F.concat(F.split("p_type", " ")[0], F.lit("."))).otherwise(""), "p_brand")
     caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + n % 3).cast("string"), F.lit(".js"))
     refs = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), name.alias("name"), caller.alias("caller_file")).distinct()
@@ -290,9 +293,18 @@ def metrics_join(spark, d):
     return resolve.attach_metrics(routes, spans.route_metrics(_spans(spark, d), ["ts", "event_id"])).select("metric_key", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-@query(f"WITH {_EDGES_SQL} SELECT src, dst FROM e")
+@query(f"""WITH {_FUNCTIONS_SQL}, x AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
+c AS (SELECT DISTINCT a.name AS caller_name, string_split(b.name, '.')[2] AS callee_name, a.file AS caller FROM x JOIN f a ON x.a = a.id JOIN f b ON x.b = b.id),
+q AS (SELECT caller_name AS name, caller FROM c UNION SELECT callee_name, caller FROM c), {_BEST_SQL}
+SELECT DISTINCT s.id AS caller_id, t.id AS callee_id FROM c JOIN best s ON s.name = c.caller_name AND s.caller = c.caller JOIN best t ON t.name = c.callee_name AND t.caller = c.caller""")
 def call_edges(spark, d):
-    return _edges(spark, d)
+    f = _functions(spark, d)
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    x = x.withColumn("b", F.lead("a").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "a"))).where("b is not null")
+    ends = [f.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"), F.col("file").alias(f"{k}_file")) for k in ("a", "b")]
+    c = x.join(ends[0], "a").join(ends[1], "b")
+    calls = c.select(F.col("a_name").alias("from"), F.element_at(F.split("b_name", r"\."), -1).alias("name"), F.col("a_file").alias("file")).distinct()
+    return resolve.call_edges(calls.withColumn("call_id", F.concat_ws("|", "from", "name", "file")), f)
 
 
 @query("""SELECT event_id, event_type AS name, (event_type NOT IN ('map', 'click')) AND event_type IN ('view', 'purchase') AS relevant FROM events""")
@@ -341,14 +353,22 @@ def index_summary(spark, d):
 _REACH = "g AS (SELECT DISTINCT 1::BIGINT AS node, 0 AS depth UNION SELECT e.{dst}, depth + 1 FROM g JOIN e ON g.node = e.{src} WHERE depth < {n}), m AS (SELECT node, min(depth) AS depth FROM g GROUP BY node)"
 
 
-@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=3)} SELECT node, depth FROM m")
+_STEP = "g{i} AS (SELECT node, min(depth) AS depth FROM (SELECT node, depth FROM g{j} UNION ALL SELECT e.{dst}, depth + 1 FROM g{j} JOIN e ON g{j}.node = e.{src} WHERE depth = {j}) GROUP BY node)"
+
+
+def _levels_sql(src: str, dst: str, n: int) -> str:
+    """A frontier a level: each node once, at its smallest distance from node 1."""
+    return ", ".join(["g0 AS (SELECT 1::BIGINT AS node, 0 AS depth)", *[_STEP.format(i=i, j=i - 1, src=src, dst=dst) for i in range(1, n + 1)]])
+
+
+@query(f"WITH {_EDGES_SQL}, {_levels_sql('src', 'dst', 8)} SELECT node, depth FROM g8")
 def trace_forward_set(spark, d):
-    return graph.trace_forward(_edges(spark, d), _root(spark), 3)[0].select("node", "depth")
+    return graph.trace_forward(_edges(spark, d), _root(spark), 8)[0].select("node", "depth")
 
 
-@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='dst', dst='src', n=2)} SELECT e.src, e.dst FROM e JOIN m ON e.dst = m.node WHERE depth < 2 AND src <> dst")
+@query(f"WITH {_EDGES_SQL}, {_levels_sql('dst', 'src', 4)} SELECT e.src, e.dst FROM e JOIN g4 m ON e.dst = m.node WHERE depth < 4 AND src <> dst")
 def trace_backward_bfs(spark, d):
-    return graph.trace_backward(_edges(spark, d), _root(spark), 2)[1].select("src", "dst")
+    return graph.trace_backward(_edges(spark, d), _root(spark), 4)[1].select("src", "dst")
 
 
 @query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)} SELECT e.src, e.dst FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)")
@@ -361,11 +381,18 @@ def _small_levels(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(_edges(spark, d), _root(spark), 2).select("node", F.col("depth").alias("level"))
 
 
-@query(f"WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)} SELECT depth AS level, count(*) AS n FROM m GROUP BY depth")
+@query("""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), s AS (SELECT s_suppkey FROM supplier JOIN n ON s_nationkey = n_nationkey), m AS (SELECT count(*) AS n FROM supplier)
+SELECT 'r1' AS node, 0 AS level UNION ALL SELECT 'n' || n_nationkey, 1 FROM n UNION ALL SELECT 's' || s_suppkey, 2 FROM s
+UNION ALL SELECT 'c' || c_custkey, 3 FROM customer, m WHERE c_custkey % n + 1 IN (SELECT s_suppkey FROM s)""")
 def graph_levels(spark, d):
-    e = _edges(spark, d)
-    near = graph.reach(e, _root(spark), 2)
-    return graph.levels(graph.induced(near, e), _root(spark), 2).groupBy("level").agg(F.count("*").alias("n"))
+    key = lambda p, c: F.concat(F.lit(p), c)
+    suppliers = table(spark, d, "supplier")
+    n = suppliers.agg(F.count("*").alias("n"))
+    down = table(spark, d, "nation").select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"))
+    # Nothing leads from the root to these two kinds; they lead into it.
+    into = suppliers.select(key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"))
+    further = table(spark, d, "customer").join(F.broadcast(n)).select(key("c", "c_custkey").alias("src"), key("s", F.col("c_custkey") % F.col("n") + 1).alias("dst"))
+    return graph.levels(down.unionByName(into).unionByName(further), spark.createDataFrame([("r1",)], "root string"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES_SQL}, {_REACH.format(src='src', dst='dst', n=2)}, r AS (SELECT depth, count(*) AS n FROM m GROUP BY depth), w AS (SELECT max(n * 260 - 40) AS widest, max(depth) AS deepest FROM r)
@@ -375,13 +402,20 @@ def graph_layout(spark, d):
     return graph.layout(_small_levels(spark, d))
 
 
-@query("SELECT r_regionkey::BIGINT AS root, r_regionkey || '>' || (100 + n_nationkey) || coalesce('>' || (1000 + c_custkey), '') AS path FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey")
+@query("""WITH n AS (SELECT n_regionkey AS r, n_nationkey AS n FROM nation), c AS (SELECT r, n, min(c_custkey) OVER (PARTITION BY n) AS first, c_custkey FROM n JOIN customer ON c_nationkey = n),
+h AS (SELECT r, n % 3 AS h, min(n) AS n FROM n GROUP BY ALL), e AS (SELECT r, min((n, h)) AS x FROM h GROUP BY r)
+SELECT r::BIGINT AS root, r || '>' || (100 + n) || '>' || (1000 + c_custkey) AS path FROM c
+UNION ALL SELECT r, r || '>' || (100 + x[1]) || '>' || (500 + x[2]) || '>900' FROM e""")
 def path_enumeration(spark, d):
     n, c = table(spark, d, "nation"), table(spark, d, "customer")
-    down = n.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
-    leaf = c.select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
+    edge = lambda t, a, b: t.select(a.cast("long").alias("src"), b.cast("long").alias("dst"))
+    nation = F.col("n_nationkey") + 100
+    hub = F.col("n_nationkey") % 3 + 500
+    edges = edge(n, F.col("n_regionkey"), nation).unionByName(edge(c, F.col("c_nationkey") + 100, F.col("c_custkey") + 1000))
+    # Diamonds over three hubs to one end, and a way back from each nation.
+    edges = edges.unionByName(edge(n, nation, hub)).unionByName(edge(n, hub, F.lit(900))).unionByName(edge(n, nation, F.col("n_regionkey")))
     roots = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("root"))
-    return graph.paths(down.unionByName(leaf), roots, 5).select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.paths(edges, roots, 5).select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -393,10 +427,52 @@ def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-@query("""SELECT 'edge:calls' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'edge:handles', count(*) FROM orders UNION ALL SELECT 'edge:requests', count(*) FROM lineitem UNION ALL SELECT 'edge:imports', count(*) FROM customer
-UNION ALL SELECT 'node:function', count(*) FROM orders UNION ALL SELECT 'node:route', count(*) FROM customer UNION ALL SELECT 'node:apiCall', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'node:file', count(DISTINCT c_nationkey) FROM customer""")
+def _tree(spark: SparkSession, d: str) -> linker.Linked:
+    """Parts as functions, order lines as calls, orders as routes, events as UI events, customers as API calls, suppliers as imports."""
+    p, x, o, e, c, s = (table(spark, d, t) for t in ("part", "lineitem", "orders", "events", "customer", "supplier"))
+    text = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string") if not isinstance(k, str) else F.col(k).cast("string"))
+    functions = p.select(text("p", "p_partkey").alias("id"), text("name", F.col("p_partkey") % 50).alias("name"), text("f", F.col("p_partkey") % 7).alias("file"), F.lit(0).alias("file_ord"), F.col("p_partkey").alias("row_ord"))
+    calls = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), text("f", F.col("l_partkey") % 7).alias("file"), text("name", F.col("l_suppkey") % 60).alias("from"), F.when(F.col("l_linenumber") % 3 > 0, text("p", "l_partkey")).otherwise(F.lit("none")).alias("callee_id")).distinct()
+    routes = o.select(text("r", "o_orderkey").alias("route_id"), F.lit("GET").alias("method"), text("/o/", "o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 2 == 0, text("p", F.col("o_orderkey") % 100 + 1)).alias("handler_id"))
+    events = e.select(text("e", "event_id").alias("event_id"), F.when(F.col("event_id") % 4 == 0, text("p", F.col("event_id") % 100 + 1)).alias("handler_id"), F.array(text("p", F.col("user_id") % 300 + 1), F.lit("none")).alias("call_ids"))
+    api = c.select(text("a", "c_custkey").alias("api_id"), F.when(F.col("c_custkey") % 5 == 0, "POST").otherwise("get").alias("method"), text("/api/o/", "c_custkey").alias("key"), text("f", F.col("c_custkey") % 7).alias("file"), text("name", F.col("c_custkey") % 50).alias("from"))
+    return linker.link(functions, calls, routes, events, api, s.select(text("f", "s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 2 == 0, text("f", F.col("s_suppkey") + 1)).alias("resolved")))
+
+
+_TREE_SQL = """
+f AS (SELECT p_partkey AS k, 'p' || p_partkey AS id, 'name' || p_partkey % 50 AS name, 'f' || p_partkey % 7 AS file FROM part), last AS (SELECT file, name, 'p' || max(k) AS id FROM f GROUP BY file, name),
+c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'f' || l_partkey % 7 AS file, 'name' || l_suppkey % 60 AS name, CASE WHEN l_linenumber % 3 > 0 THEN 'p' || l_partkey ELSE 'none' END AS callee FROM lineitem),
+cf AS (SELECT c.*, f.id AS target, last.id AS caller FROM c LEFT JOIN f ON c.callee = f.id LEFT JOIN last ON c.file = last.file AND c.name = last.name),
+a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, 'f' || c_custkey % 7 AS file, 'name' || c_custkey % 50 AS name FROM customer),
+ar AS (SELECT k, o_orderkey FROM a LEFT JOIN orders ON o_orderkey = k AND method = 'GET'),
+edges AS (SELECT coalesce(caller, file || '::' || name) AS src, target AS dst, 'calls' AS type FROM cf WHERE target IS NOT NULL
+  UNION ALL SELECT 'r' || o_orderkey, f.id, 'handles' FROM orders JOIN f ON f.id = 'p' || (o_orderkey % 100 + 1) WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 'e' || event_id, f.id, 'handles' FROM events JOIN f ON f.id = 'p' || (event_id % 100 + 1) WHERE event_id % 4 = 0
+  UNION ALL SELECT 'e' || event_id, f.id, 'calls' FROM events JOIN f ON f.id = 'p' || (user_id % 300 + 1)
+  UNION ALL SELECT 'a' || k, 'r' || o_orderkey, 'requests' FROM ar WHERE o_orderkey IS NOT NULL
+  UNION ALL SELECT last.id, 'a' || k, 'calls' FROM a JOIN last USING (file, name)
+  UNION ALL SELECT 'file::f' || s_suppkey, 'file::f' || (s_suppkey + 1), 'imports' FROM supplier WHERE s_suppkey % 2 = 0)"""
+
+
+@query(f"""WITH {_TREE_SQL} SELECT (SELECT count(*) FROM f) AS total_functions, (SELECT count(*) FROM c) AS total_calls, (SELECT count(*) FROM events) AS total_events, (SELECT count(*) FROM orders) AS total_routes, (SELECT count(*) FROM a) AS total_api_calls,
+(SELECT count(*) FROM cf WHERE target IS NOT NULL) AS resolved_calls, (SELECT count(*) FROM cf WHERE target IS NULL) AS unresolved_calls, (SELECT count(*) FROM ar WHERE o_orderkey IS NOT NULL) AS resolved_api_calls, (SELECT count(*) FROM ar WHERE o_orderkey IS NULL) AS unresolved_api_calls""")
 def linker_stats(spark, d):
-    return stats.linker_stats(*_linked(spark, d))
+    return _tree(spark, d).stats
+
+
+@query(f"WITH {_TREE_SQL} SELECT src, dst, type FROM edges")
+def linker_graph(spark, d):
+    return _tree(spark, d).edges
+
+
+@query(f"WITH {_TREE_SQL} SELECT type, count(*) AS n FROM (SELECT id, 'function' AS type FROM f UNION ALL SELECT 'r' || o_orderkey, 'route' FROM orders UNION ALL SELECT 'e' || event_id, 'event' FROM events UNION ALL SELECT 'a' || k, 'apiCall' FROM a UNION SELECT unnest([src, dst]), 'file' FROM edges WHERE type = 'imports') GROUP BY type")
+def linker_nodes(spark, d):
+    return _tree(spark, d).nodes.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 3 = 0)""")
+def linker_unresolved(spark, d):
+    return _tree(spark, d).unresolved_calls.select("call_id")
 
 
 @query("""SELECT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst, 'requests' AS type FROM lineitem""")
@@ -404,10 +480,27 @@ def linker_union_graph(spark, d):
     return graph.edges_of(_linked(spark, d)[1], "requests")
 
 
-@query("SELECT p_partkey AS node, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS num FROM part")
+@query(f"""WITH {_EDGES_SQL}, n AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS num FROM part)
+SELECT 'node' AS what, node AS a, num AS b FROM n UNION ALL SELECT 'edge', s.num, t.num FROM e JOIN n s ON e.src = s.node JOIN n t ON e.dst = t.node""")
 def numeric_ids(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("ord"))
-    return graph.numeric_graph(nodes, spark.createDataFrame([], "src long, dst long"))[0]
+    numbered, edges = graph.numeric_graph(nodes, _edges(spark, d))
+    return numbered.select(F.lit("node").alias("what"), F.col("node").alias("a"), F.col("num").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("src_num").alias("a"), F.col("dst_num").alias("b")))
+
+
+@query("""WITH t AS (SELECT n_regionkey AS r, n_nationkey AS n, s_suppkey AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey),
+w AS (SELECT r_regionkey AS r, -1 AS n, -1 AS s, 0 AS x, 'r' || r_regionkey AS label, 'function' AS type FROM region UNION ALL SELECT DISTINCT r, n, -1, 0, 'n' || n, 'route' FROM t
+  UNION ALL SELECT r, n, s, 0, 's' || s, 'function' FROM t WHERE s IS NOT NULL UNION ALL SELECT r, n, s, 1, 's' || s || '.send()', 'external' FROM t WHERE s % 2 = 0)
+SELECT 'r' || r AS root, (row_number() OVER (PARTITION BY r ORDER BY n, s, x))::INT AS step, type, label FROM w""")
+def trace_forward_exact(spark, d):
+    key = lambda p, c: F.concat(F.lit(p), c)
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    ids = table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit("function").alias("type")).unionByName(n.select(key("n", "n_nationkey").alias("id"), F.lit("route").alias("type"))).unionByName(s.select(key("s", "s_suppkey").alias("id"), F.lit("function").alias("type")))
+    typed = ids.select("id", F.col("id").alias("name"), F.lit("a.js").alias("file"), F.lit(1).alias("start_line"), "type")
+    act = lambda t, src, ord_, kind, to: t.select(src.alias("src"), F.lit(1).alias("phase"), F.lpad(ord_.cast("string"), 12, "0").alias("ord"), F.lit(kind).alias("kind"), to.alias("key"), to.alias("label"), F.lit("a.js").alias("file"), F.lit(1).alias("line"), F.when(F.lit(kind == "call"), to).alias("target"))
+    nation, supplier = key("n", "n_nationkey"), key("s", "s_suppkey")
+    acts = act(n, key("r", "n_regionkey"), F.col("n_nationkey"), "call", nation).unionByName(act(s, key("n", "s_nationkey"), F.col("s_suppkey"), "call", supplier)).unionByName(act(s.where("s_suppkey % 2 = 0"), supplier, F.col("s_suppkey"), "external", F.concat(supplier, F.lit(".send()"))))
+    return trace.walk(acts, typed, typed.where("id like 'r%'").select(F.col("id").alias("root"))).where("what = 'step'").select("root", F.col("n").alias("step"), "type", "label")
 
 
 # Statistics.

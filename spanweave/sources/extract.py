@@ -17,17 +17,28 @@ from spanweave.operators.checkpoints import cut
 
 #: Calls that are noise (by receiver, and without one), words before a bracket that call nothing, router names to start with, route verbs.
 NOISE_MEMBERS = {
-    "console": "log warn error info debug trace assert group groupEnd time timeEnd", "Object": "keys values entries assign freeze create defineProperty getOwnPropertyNames fromEntries", "Array": "isArray from of", "JSON": "stringify parse",
-    "Math": "floor ceil round max min abs random sqrt pow log", "Promise": "resolve reject all race allSettled any", "Number": "isInteger isFinite isNaN parseInt parseFloat", "String": "fromCharCode fromCodePoint",
+    "console": ["log", "warn", "error", "info", "debug", "trace", "assert", "group", "groupEnd", "time", "timeEnd"],
+    "Object": ["keys", "values", "entries", "assign", "freeze", "create", "defineProperty", "getOwnPropertyNames", "fromEntries"],
+    "Array": ["isArray", "from", "of"],
+    "JSON": ["stringify", "parse"],
+    "Math": ["floor", "ceil", "round", "max", "min", "abs", "random", "sqrt", "pow", "log"],
+    "Promise": ["resolve", "reject", "all", "race", "allSettled", "any"],
+    "Number": ["isInteger", "isFinite", "isNaN", "parseInt", "parseFloat"],
+    "String": ["fromCharCode", "fromCodePoint"],
 }
-NOISE_GLOBALS = (
-    "toString valueOf hasOwnProperty isPrototypeOf propertyIsEnumerable push pop shift unshift splice slice concat join reverse sort flat flatMap trim trimStart trimEnd padStart padEnd split replace replaceAll includes startsWith endsWith "
-    "indexOf lastIndexOf find findIndex filter map reduce reduceRight forEach some every keys values entries setTimeout setInterval clearTimeout clearInterval requestAnimationFrame cancelAnimationFrame "
-    "parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent require Symbol BigInt Boolean Number String"
-).split()
-KEYWORDS = "if for while switch catch function return typeof await super import with do else void delete in of new class async get set static constructor".split()
+NOISE_GLOBALS = [
+    "toString", "valueOf", "hasOwnProperty", "isPrototypeOf", "propertyIsEnumerable", "push", "pop", "shift", "unshift", "splice", "slice", "concat", "join", "reverse", "sort", "flat",
+    "flatMap", "trim", "trimStart", "trimEnd", "padStart", "padEnd", "split", "replace", "replaceAll", "includes", "startsWith", "endsWith", "indexOf", "lastIndexOf", "find", "findIndex",
+    "filter", "map", "reduce", "reduceRight", "forEach", "some", "every", "keys", "values", "entries", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "requestAnimationFrame",
+    "cancelAnimationFrame", "parseInt", "parseFloat", "isNaN", "isFinite", "encodeURI", "decodeURI", "encodeURIComponent", "decodeURIComponent", "require", "Symbol", "BigInt", "Boolean",
+    "Number", "String",
+]
+KEYWORDS = [
+    "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "with", "do", "else", "void", "delete", "in", "of", "new", "class", "async", "get",
+    "set", "static", "constructor",
+]
 ROUTER_NAMES = ["app", "router", "server", "fastify", "api", "r"]
-VERBS = "get post put patch delete head options use all".split()
+VERBS = ["get", "post", "put", "patch", "delete", "head", "options", "use", "all"]
 
 _ID = r"[A-Za-z_$][\w$]*"
 _STRING = r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"""
@@ -108,18 +119,75 @@ def within(rows: DataFrame, functions: DataFrame, strictly: bool = False) -> Dat
     return hit.groupBy(*rows.columns).agg(F.coalesce(F.max_by("f_name", "f_start"), F.lit(None if strictly else "module")).alias("caller"))
 
 
+def _joined_path(folder: Column, relative: Column) -> Column:
+    """A relative path from a folder, without its . and .. segments."""
+    parts = F.filter(F.concat(F.split(folder, "/"), F.split(relative, "/")), lambda x: ~x.isin("", "."))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def extract_imports(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(file, source, name, imported_as, type, is_local, resolved): names that import and require lines bind, with the file that a local source is.
+
+    type: named, default, namespace or module; resolved: the first of the source as it is, with an extension, or an
+    index file in it, that is among the files.
+    """
+    lines = cut(source_lines(files)) if lines is None else lines
+    sides = [rf"^\s*import\s+(.+?)\s+from\s+{_QUOTED}", rf"^\s*(?:const|let|var)\s+(.+?)\s*=\s*require\(\s*{_QUOTED}\s*\)"]
+    hit = [F.struct(F.regexp_extract("code", p, 1).alias("left"), F.regexp_extract("code", p, 2).alias("source")) for p in sides]
+    d = lines.select("file", F.explode(F.array(*hit)).alias("h")).where("h.source <> ''").select("file", "h.left", "h.source")
+    inner = F.filter(F.transform(F.split(F.regexp_extract("left", r"\{(.*)\}", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    pair = lambda x: F.struct(F.regexp_extract(x, rf"^({_ID})", 1).alias("name"), F.regexp_extract(x, rf"({_ID})$", 1).alias("imported_as"), F.lit("named").alias("type"))
+    rest = F.trim(F.regexp_replace("left", r"\{.*\}|,", ""))
+    bare = F.regexp_replace(rest, r"^\*\s+as\s+", "")
+    kind = F.when(rest.startswith("*"), "namespace").when(rest == "", None).otherwise("default")
+    single = F.array(F.struct(F.when(kind == "default", "default").otherwise(F.lit(None).cast("string")).alias("name"), bare.alias("imported_as"), kind.alias("type")))
+    d = d.select("file", "source", F.explode(F.concat(F.transform(inner, pair), F.filter(single, lambda x: x["type"].isNotNull()))).alias("i")).select("file", "source", "i.*").where("imported_as <> ''")
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    d = d.withColumn("is_local", F.col("source").startswith(".")).withColumn("_base", F.when(F.col("source").startswith("."), _joined_path(folder, F.col("source"))))
+    tried = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
+    ways = d.select("_base").where("_base is not null").distinct().select("_base", F.posexplode(F.array(*[F.concat("_base", F.lit(t)) for t in tried])).alias("way", "path"))
+    known = ways.join(files.select("path").distinct(), "path").groupBy("_base").agg(F.min_by("path", "way").alias("resolved"))
+    return d.join(known, "_base", "left").drop("_base")
+
+
+def with_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """calls(file, name, object) with callee_function_id and is_external, by symbols: a function of the file, else one of the file that an import of the name, or of the object, leads to.
+
+    is_external: the name or object comes from an import that isn't local.
+    """
+    short = F.element_at(F.split("name", r"\."), -1)
+    at = functions.select("file", F.explode(F.array_distinct(F.array("name", short))).alias("name"), F.struct(F.col("start_line"), F.col("id")).alias("at")).groupBy("file", "name").agg(F.max("at").alias("at"))
+    own = at.select("file", "name", F.col("at.id").alias("_own"))
+    bound = imports.groupBy("file", F.col("imported_as").alias("_bound")).agg(F.first("resolved").alias("_to"), F.first("name").alias("_as"), F.first("is_local").alias("_local"))
+    keyed = calls.withColumn("_bound", F.coalesce("object", "name")).join(bound, ["file", "_bound"], "left")
+    wanted = F.when(F.col("object").isNull() & ~F.coalesce(F.col("_as"), F.lit("default")).isin("default"), F.col("_as")).otherwise(F.col("name"))
+    there = at.select(F.col("file").alias("_to"), F.col("name").alias("_wanted"), F.col("at.id").alias("_there"))
+    found = keyed.withColumn("_wanted", wanted).join(there, ["_to", "_wanted"], "left").join(own, ["file", "name"], "left")
+    local = F.when(F.col("object").isNull() | (F.col("object") == "this"), F.col("_own"))
+    return found.withColumn("callee_function_id", F.coalesce(local, "_there")).withColumn("is_external", F.coalesce(~F.col("_local"), F.lit(False))).drop("_bound", "_to", "_as", "_local", "_wanted", "_there", "_own")
+
+
 def extract_calls(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(file, start_line, pos, callee, name, object, type, from): calls and constructors that aren't noise, with the function around them."""
+    """(file, start_line, pos, callee, name, object, type, is_callback, from): calls and constructors that aren't noise, with the function around them.
+
+    An identifier that is an argument of a call is a call of its own (callback), noise apart.
+    """
     lines = cut(source_lines(files)) if lines is None else lines
-    names = F.regexp_extract_all("bare", F.lit(rf"((?:\bnew\s+)?{_ID}(?:\??\.{_ID})*)\s*\("), F.lit(1))
-    c = lines.select("file", "line", "bare", F.posexplode(names).alias("pos", "raw"))
+    head = rf"((?:\bnew\s+)?{_ID}(?:\??\.{_ID})*)\s*\("
+    opened = F.regexp_extract_all("bare", F.lit(head), F.lit(1))
+    # An identifier right after a bracket or comma and before the next one is an argument; parameter lists stand before => or {.
+    handed = F.regexp_extract_all(F.regexp_replace("bare", r"\([^()]*\)\s*(?::[^={]+)?(?==>|\{)", " "), F.lit(rf"(?<=[\w$]\(|,)\s*({_ID})\s*(?=[,)])"), F.lit(1))
+    raw = F.concat(F.transform(opened, lambda x: F.struct(x.alias("raw"), F.lit(False).alias("is_callback"))), F.transform(F.array_distinct(handed), lambda x: F.struct(x.alias("raw"), F.lit(True).alias("is_callback"))))
+    c = lines.select("file", "line", "bare", F.posexplode(raw).alias("pos", "x")).select("file", "line", "bare", "pos", "x.*")
+    c = c.where(~F.col("is_callback") | ~F.col("bare").rlike(r"^\s*(import|export\s*\{)"))
     c = c.withColumn("callee", F.replace(F.regexp_replace("raw", r"^new\s+", ""), F.lit("?."), F.lit(".")))
     parts = F.split("callee", r"\.")
     c = c.withColumn("name", F.element_at(parts, -1)).withColumn("object", F.when(F.size(parts) > 1, F.element_at(parts, -2)))
-    kind = F.when(F.col("raw").rlike(r"^new\s"), "constructor").when(F.col("object").isNotNull(), "member").otherwise("direct")
-    noise = F.coalesce(F.col("object").isNull() & F.col("name").isin(NOISE_GLOBALS + KEYWORDS), F.lit(False))
+    kind = F.when(F.col("is_callback"), "callback").when(F.col("raw").rlike(r"^new\s"), "constructor").when(F.col("object").isNotNull(), "member").otherwise("direct")
+    noise = F.coalesce(F.col("object").isNull() & F.col("name").isin(NOISE_GLOBALS + KEYWORDS + ["null", "undefined", "true", "false", "this"]), F.lit(False))
     for obj, members in NOISE_MEMBERS.items():
-        noise = noise | F.coalesce((F.col("object") == obj) & F.col("name").isin(members.split()), F.lit(False))
+        noise = noise | F.coalesce((F.col("object") == obj) & F.col("name").isin(members), F.lit(False))
     c = c.withColumn("type", kind).where(~noise).drop("raw", "bare")
     own = functions.select("file", F.col("start_line").alias("line"), F.element_at(F.split("name", r"\."), -1).alias("name"))
     c = c.join(own, ["file", "line", "name"], "left_anti")
@@ -202,6 +270,7 @@ def extract_events(files: DataFrame, lines: DataFrame | None = None) -> DataFram
 #: The extractors by category; each takes (files, functions, lines). More can be added.
 EXTRACTORS = {
     "functions": lambda files, functions, lines: functions,
+    "imports": lambda files, functions, lines: extract_imports(files, lines),
     "calls": extract_calls,
     "api_calls": extract_api_calls,
     "routes": extract_routes,
@@ -214,3 +283,14 @@ def extract_all(files: DataFrame) -> dict[str, DataFrame]:
     lines = cut(source_lines(files))
     functions = cut(extract_functions(files, lines))
     return {name: run(files, functions, lines) for name, run in EXTRACTORS.items()}
+
+
+def extractor_counts(tables: dict[str, DataFrame], errors: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(extractor, rows, errors): how many rows each gave, and how many of them were refused."""
+    out = None
+    for name, d in tables.items():
+        bad = (errors or {}).get(name)
+        one = d.agg(F.count("*").alias("rows")).select(F.lit(name).alias("extractor"), "rows")
+        one = one.join(F.broadcast(bad.agg(F.count("*").alias("errors")))) if bad is not None else one.withColumn("errors", F.lit(0).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out

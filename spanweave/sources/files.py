@@ -13,13 +13,13 @@ EXTENSIONS = [".js", ".jsx", ".ts", ".tsx"]
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, file_ord, content) of the source files below root, without ignored names and declaration files.
 
-    file_ord is a rank by path within the scan, taken from a hash-free order: the path itself sorts.
+    file_ord orders the files: it is the path itself, which needs no global numbering.
     """
     root = root.rstrip("/")
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}").load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^/+", "/")
     relative = F.substr(path, F.lit(len(root) + 2))
-    d = d.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    d = d.select(relative.alias("path"), relative.alias("file_ord"), F.decode("content", "UTF-8").alias("content"))
     return d.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))) & ~F.col("path").endswith(".d.ts"))
 
 

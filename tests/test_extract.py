@@ -68,3 +68,19 @@ def test_events(spark):
     files, lines, _ = facts(spark)
     got = {(r["event"], r["element"], r["handler"], tuple(r["calls_inside"])) for r in X.extract_events(files, lines).collect()}
     assert {("onClick", "button", "save", ()), ("onClick", "a", "go", ("go",)), ("onSelect", "Item", "conditional", ("pick", "drop"))} <= got
+
+
+def test_imports_callees_and_callbacks(spark):
+    main = "import run, { a as b, c } from './lib/x';\nimport * as all from '../up';\nconst { d } = require('./lib');\nimport ext from 'pkg';\nfunction go(list) {\n  b(1);\n  all.z();\n  list.each(own, 2);\n  d(ext.thing(q));\n}\nfunction own(x) { return c(x); }\n"
+    files = spark.createDataFrame([("src/m.js", main), ("src/lib/x.js", "export function a() {\n}\nexport function c() {\n}\n"), ("up.ts", "export function z() {\n}\n"), ("src/lib/index.js", "function d() {\n}\n")], "path string, content string")
+    lines = X.source_lines(files).cache()
+    f = X.extract_functions(files, lines).cache()
+    imports = X.extract_imports(files, lines)
+    got = {(r["name"], r["imported_as"], r["type"], r["resolved"]) for r in imports.collect()}
+    assert got == {("a", "b", "named", "src/lib/x.js"), ("c", "c", "named", "src/lib/x.js"), ("default", "run", "default", "src/lib/x.js"), (None, "all", "namespace", "up.ts"), ("d", "d", "named", "src/lib/index.js"), ("default", "ext", "default", None)}
+    calls = X.with_callees(X.extract_calls(files, f, lines), f, imports).where("file = 'src/m.js'").collect()
+    ids = {r["name"]: r["id"] for r in f.collect()}
+    callee = {r["callee"]: (r["callee_function_id"], r["is_external"]) for r in calls}
+    assert callee["b"] == (ids["a"], False) and callee["all.z"] == (ids["z"], False) and callee["d"] == (ids["d"], False) and callee["c"] == (ids["c"], False) and callee["ext.thing"] == (None, True) and callee["list.each"] == (None, False)
+    assert {(r["callee"], r["from"]) for r in calls if r["is_callback"]} == {("own", "go"), ("q", "go"), ("x", "own")}
+    assert {r["extractor"]: (r["rows"], r["errors"]) for r in X.extractor_counts({"functions": f, "imports": imports}, {"functions": f.limit(1)}).collect()} == {"functions": (6, 1), "imports": (6, 0)}

@@ -45,10 +45,13 @@ def test_clamp_depth():
     assert [S.clamp_depth(x) for x in (None, 0, -3, 5, 500)] == [8, 8, 8, 5, 100]
 
 
-def test_s4_archives(spark):
+def test_s3_s4_archives(spark):
     a = lambda u: one(spark, S.archive_url(F.col("u"), F.lit(None).cast("string")), u=u)
     assert a("https://gitlab.com/o/r.git") == "https://gitlab.com/o/r/-/archive/master/r-master.zip"
-    assert a("https://github.com/o/r/") == "https://github.com/o/r/archive/refs/heads/main.zip"
+    assert a("bitbucket.org/o/r") == "https://bitbucket.org/o/r/get/master.zip"
+    assert a("https://github.com/o/gitlab-tools/") == "https://codeload.github.com/o/gitlab-tools/zip/refs/heads/main"
+    p = lambda u: tuple(one(spark, S.split_repo_url(F.col("u"), F.lit("7")), u=u))
+    assert [p(u) for u in ("https://H.org/a/b.git?x", "h.org/a", "h.org", "http://", None)] == [("h.org", "a", "b"), ("h.org", "a", "repo-7"), ("h.org", "unknown", "repo-7"), ("local", "local", "project-7"), ("local", "local", "project-7")]
 
 
 def test_x6_collector(spark):
@@ -75,6 +78,9 @@ def test_j4_routes(spark):
     routes = spark.createDataFrame([("r1", "GET", "/users", 0), ("r2", "POST", "/users", 1), ("r3", "GET", "/users/:id", 2), ("r4", "ALL", "/x/:a/y", 3), ("r5", "GET", "/a.b/:c", 4)], "route_id string, method string, path string, ord int")
     calls = [(0, "POST", "/users"), (1, "DELETE", "/users"), (2, "GET", "/users/42"), (3, "POST", "/users/42"), (4, "PUT", "/x/1/y"), (5, None, "https://h/api/users"), (6, "GET", "dynamic:/users"), (7, "GET", "/acb/1"), (8, "GET", None)]
     got = {r["call_id"]: (r["route_id"], r["rank"]) for r in resolve.match_routes(spark.createDataFrame(calls, "call_id int, method string, url string"), routes).collect()}
+    again = spark.createDataFrame([("w1", "ANY", "/:a/:b", 5), ("w2", "ANY", "/:c/:d", 6), ("w3", "GET", "/:a/y", 7)], "route_id string, method string, path string, ord int")
+    asked = spark.createDataFrame([(0, "GET", "/p/q"), (1, "GET", "/p/y"), (2, "GET", "/p/y"), (3, "get", "https://h/p/y?x=1")], "call_id int, method string, url string")
+    assert {r["call_id"]: r["route_id"] for r in resolve.match_routes(asked, again).collect()} == {0: "w1", 1: "w1", 2: "w1", 3: "w1"}
     assert got == {0: ("r2", 0), 1: ("r1", 1), 2: ("r3", 2), 3: (None, None), 4: ("r4", 2), 5: ("r1", 3), 6: (None, None), 7: (None, None), 8: (None, None)}
 
 
@@ -94,6 +100,9 @@ def test_graphs(spark):
     assert {r["node"] for r in nodes.collect()} == {"b", "c", "d"}
     assert {r["node"]: r["level"] for r in graph.levels(e, root).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert sorted(r["path"] for r in graph.paths(e, root).collect()) == [["a", "b", "c"]]
+    # A diamond below a cycle, many times over: each end once, by the smallest of the shortest paths.
+    wide = spark.createDataFrame([(f"{i}{k}", f"{i + 1}{j}") for i in range(9) for k in "xyz" for j in "xyz"] + [("a", "0x"), ("0x", "a"), ("a", "0y"), ("9x", "end")], "src string, dst string")
+    assert sorted(r["path"] for r in graph.paths(wide, root).collect()) == [["a", "0x", *[f"{i}x" for i in range(1, 10)], "end"], ["a", "0x", *[f"{i}x" for i in range(1, 9)], "9y"], ["a", "0x", *[f"{i}x" for i in range(1, 9)], "9z"]]
     assert graph.reach(e.limit(0), root, 3).count() == 1
 
 
@@ -160,3 +169,19 @@ def test_links_by_key(spark):
     assert [(r["function_id"], r["name"]) for r in resolve.calls_of(fs, calls).collect()] == [("a.js::run::1", "x")]
     edges = spark.createDataFrame([("e", "a", "handles"), ("a", "b", "calls"), ("b", "c", "imports")], "src string, dst string, type string")
     assert [r["path"] for r in graph.trace_ui_to_backend(edges, spark.createDataFrame([("e",)], "root string")).collect()] == [["e", "a", "b"]]
+
+
+def test_ask_and_definition(spark):
+    q = spark.createDataFrame([("f", "code", "why?"), ("f", "code", "why?"), ("f", "", "how?"), ("g", "x", "boom")], "label string, code string, question string")
+
+    def client(prompt):
+        if "boom" in prompt:
+            raise ValueError
+        return " since "
+
+    got = sorted((r["label"], r["question"], r["answer"]) for r in explain.ask(q, client).collect())
+    assert got == [("f", "how?", explain.MISSING), ("f", "why?", " since "), ("f", "why?", " since "), ("g", "boom", explain.NO_ANSWER)]
+    fs = spark.createDataFrame([("1", "A.run", "a.js", 0, 0, 2, 3)], "id string, name string, file string, file_ord int, row_ord int, start_line int, end_line int")
+    asked = spark.createDataFrame([("q", "run", None), ("z", "none", None)], "ref_id string, name string, caller_file string")
+    tree = spark.createDataFrame([("a.js", "1\n2\n3")], "path string, content string")
+    assert {r["ref_id"]: (r["file"], r["start_line"], r["code"]) for r in resolve.function_definition(asked, fs, tree).collect()} == {"q": ("a.js", 2, "2\n3"), "z": (None, None, None)}
