@@ -1,4 +1,7 @@
-"""Licence templates: public licence texts and notices, as fixed values."""
+"""Licence templates: public licence texts and notices, as fixed values; whole texts of long licences are files beside this one."""
+
+from functools import cache
+from pathlib import Path
 
 #: Fixed values: (licence, text). Several texts can name one licence.
 TEMPLATES = [
@@ -65,3 +68,9 @@ TEMPLATES = [
         form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     ),
 ]
+
+
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of each file in full_licences."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "full_licences").glob("*.txt"))]

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.licence_texts import TEMPLATES
+from spanweave.llm.licence_texts import TEMPLATES, full_texts
 from spanweave.llm.staging import let
 
+#: Templates with more bigrams than this are found by their densest run.
+LONG = 300
 UNITS = ["line", "paragraph", "text", "run"]
 _MATCH = "struct<dice:double,template:int,unit:int,pos:int>"
 
@@ -57,42 +60,84 @@ def _matches(unit: Column, kind: int, pos: Column, threshold: float) -> Column:
     return let(_unit_words(unit), by_words)
 
 
+def fewest_words(text: str, threshold: float) -> int:
+    """How many of a template's words a text must have at least to reach the threshold with it.
+
+    A text lacks at most a third of the template's bigrams (at 0.8). Each missing word but one takes a bigram of its
+    own away; and the words that are there, taken from the one in most bigrams on, must be in so many bigrams
+    together that no more than those are gone.
+    """
+    bigrams = template_bigrams(text)
+    least, _ = size_bounds(len(bigrams), threshold)
+    lacking = len(bigrams) - least
+    in_bigrams = Counter(w for b in bigrams for w in set(b.split()))
+    open_, heavy = sum(in_bigrams.values()) - 2 * lacking, 0
+    for n in sorted(in_bigrams.values(), reverse=True):
+        if open_ <= 0:
+            break
+        open_, heavy = open_ - n, heavy + 1
+    return max(len(in_bigrams) - lacking - 1, heavy)
+
+
+def _listed(values: list[str]) -> Column:
+    """An array of literals that have no line breaks, as one."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def _runs(text: Column, threshold: float) -> Column:
-    """The best run of words anywhere in a text for each template that one reaches, without runs inside a larger template's."""
+    """The best run of words anywhere in a text for each template that one reaches, without runs inside a larger template's.
+
+    Templates of up to LONG bigrams: of all runs. Longer ones: the run with most bigrams of the template, those
+    that aren't its own taken off, found in one pass.
+    """
+    every = [*TEMPLATES, *full_texts()]
 
     def literal(i: int, words: list[str]) -> Column:
-        t, v = template_bigrams(TEMPLATES[i][1]), sorted(set(words))
+        t, v = template_bigrams(every[i][1]), sorted(set(words))
         least, most = size_bounds(len(t), threshold)
-        # Each missing word but one takes a bigram of its own away, and len(t) - least can be missing.
-        fields = {"t": F.array(*map(F.lit, t)), "v": F.array(*map(F.lit, v)), "i": F.lit(i), "least": F.lit(least), "most": F.lit(most + len(words) - 1 - len(t)), "need": F.lit(len(v) - (len(t) - least) - 1)}
+        fields = {"t": _listed(t), "v": _listed(v), "i": F.lit(i), "least": F.lit(least), "most": F.lit(most + len(words) - 1 - len(t)), "need": F.lit(fewest_words(every[i][1], threshold)), "long": F.lit(len(t) > LONG)}
         return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    by_template = [_template_words(t) for _, t in TEMPLATES]
+    by_template = [_template_words(t) for _, t in every]
     templates = F.array(*[literal(i, w) for i, w in enumerate(by_template)])
-    vocabulary = F.array(*map(F.lit, sorted({x for w in by_template for x in w})))
+    vocabulary = _listed(sorted({x for w in by_template for x in w}))
     # A licence's template in a run of a larger one's place is part of that one.
-    names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    names = _listed([n for n, _ in every])
     within = lambda x, y: (F.get(names, x["i"]) != F.get(names, y["i"])) & (y["size"] > x["size"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])
 
-    def best(b: Column, t: Column) -> Column:
-        def run(s: Column, e: Column) -> Column:
-            dice = let(F.slice(b, s + 1, e - s + 1), lambda g: 2.0 * F.size(F.array_intersect(g, t["t"])) / (F.size(F.array_distinct(g)) + F.size(t["t"])))
-            return F.struct(dice.alias("dice"), (-s).alias("first"), s.alias("s"), e.alias("e"), t["i"].alias("i"), F.size(t["t"]).alias("size"))
+    def run(b: Column, t: Column, s: Column, e: Column) -> Column:
+        dice = let(F.slice(b, s + 1, e - s + 1), lambda g: 2.0 * F.size(F.array_intersect(g, t["t"])) / (F.size(F.array_distinct(g)) + F.size(t["t"])))
+        return F.struct(dice.alias("dice"), (-s).alias("first"), s.alias("s"), e.alias("e"), t["i"].alias("i"), F.size(t["t"]).alias("size"))
 
+    def best(b: Column, t: Column) -> Column:
         def from_each(p: Column) -> Column:
             ends = lambda s, a: F.filter(F.slice(p, a + t["least"], F.greatest(F.size(p) - a - t["least"] + 1, F.lit(0))), lambda e: e - s < t["most"])
-            return F.array_max(F.flatten(F.transform(p, lambda s, a: F.transform(ends(s, a), lambda e: run(s, e)))))
+            return F.array_max(F.flatten(F.transform(p, lambda s, a: F.transform(ends(s, a), lambda e: run(b, t, s, e)))))
 
         return let(F.filter(F.transform(b, lambda x, j: F.when(F.array_contains(t["t"], x), j)), lambda j: j.isNotNull()), from_each)
 
+    def densest(b: Column, t: Column) -> Column:
+        """The run with the largest sum of 1 for each bigram of the template and -1 for each other one."""
+        steps = F.transform(b, lambda x, j: F.struct(j.alias("j"), F.when(F.array_contains(t["t"], x), 1).otherwise(-1).alias("v")))
+        start = F.struct(*[F.lit(0).alias(k) for k in ("sum", "from", "most", "s", "e")])
+
+        def step(a: Column, x: Column) -> Column:
+            on = a["sum"] > 0
+            now, since = F.when(on, a["sum"]).otherwise(0) + x["v"], F.when(on, a["from"]).otherwise(x["j"])
+            better = now > a["most"]
+            return F.struct(now.alias("sum"), since.alias("from"), F.when(better, now).otherwise(a["most"]).alias("most"), F.when(better, since).otherwise(a["s"]).alias("s"), F.when(better, x["j"]).otherwise(a["e"]).alias("e"))
+
+        return let(F.aggregate(steps, start, step), lambda r: F.when(r["most"] > 0, run(b, t, r["s"], r["e"])))
+
     def search(w: Column, may: Column) -> Column:
         bigrams = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-        found = let(bigrams, lambda b: F.filter(F.transform(may, lambda t: best(b, t)), lambda x: x["dice"] >= threshold))
+        found = let(bigrams, lambda b: F.filter(F.transform(may, lambda t: F.when(t["long"], densest(b, t)).otherwise(best(b, t))), lambda x: x["dice"] >= threshold))
         outer = let(found, lambda r: F.filter(r, lambda x: ~F.exists(r, lambda y: within(x, y))))
         return F.transform(outer, lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("template"), F.lit(3).alias("unit"), x["s"].alias("pos")))
 
     none = F.array().cast(f"array<{_MATCH}>")
-    may = lambda w: let(F.array_intersect(w, vocabulary), lambda k: F.filter(templates, lambda t: (F.size(k) >= t["need"]) & (F.size(F.array_intersect(k, t["v"])) >= t["need"])))
+    fits = lambda n, k, t: (n > t["least"]) & (F.size(k) >= t["need"]) & (F.size(F.array_intersect(k, t["v"])) >= t["need"])
+    may = lambda w: let(F.array_intersect(w, vocabulary), lambda k: F.filter(templates, lambda t: fits(F.size(w), k, t)))
     return let(_unit_words(text), lambda w: let(may(w), lambda m: F.when(F.size(m) == 0, none).otherwise(search(w, m))))
 
 
@@ -101,8 +146,9 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Compared are every line, every paragraph (lines between blank ones) and the whole text, each in lower case
     with all but ASCII letters and digits as single spaces, as sets of word bigrams; then, for licences that none of
-    these reaches, every run of the text's words that begins and ends with a template's bigrams and has no more
-    of them than its size bound (a licence over several paragraphs, or a notice inside other text). A run inside
+    these reaches, runs of the text's words that begin and end with a template's bigrams (a licence over several
+    paragraphs, a notice inside other text, or the whole text of a long licence): every run within the size
+    bound, or for a template of more than LONG bigrams the densest run. A run inside
     the run of another licence's larger template doesn't count. licences: every licence
     that a unit reaches with a Dice coefficient of at least threshold, sorted and joined by commas. licence,
     dice, unit (line, paragraph, text or run) and pos (its index from 0, a run's
@@ -116,7 +162,7 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     each = lambda units, kind: F.flatten(F.transform(units, lambda x, i: _matches(x, kind, i, threshold)))
     lines = each(F.split(text, "\n"), 0)
     paragraphs = each(F.split(text, r"\n[\x20\x09\x0D]*\n[\x20\x09\x0A\x0D]*"), 1)
-    names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    names = _listed([n for n, _ in (*TEMPLATES, *full_texts())])
     whole = F.concat(lines, paragraphs, _matches(text, 2, F.lit(0), threshold))
     named = lambda m: F.transform(m, lambda x: F.get(names, x["template"]))
     others = lambda m: let(named(m), lambda n: F.filter(_runs(text, threshold), lambda x: ~F.array_contains(n, F.get(names, x["template"]))))

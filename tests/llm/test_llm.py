@@ -249,6 +249,68 @@ def test_licences_inside_other_text(spark):
     assert all(got[i]["unit"] == "run" and got[i]["dice"] == 1.0 for i in range(9)) and got[8]["pos"] == 30
 
 
+def test_full_licences_in_other_text(spark):
+    """Whole texts of long licences, with other text around, with changed words, and cut short."""
+    from spanweave.llm.licence_texts import full_texts
+
+    rng = np.random.default_rng(8)
+    texts, want = [], []
+    for name, t in full_texts():
+        w = t.split()
+        changed = [x if rng.random() > 0.05 else "other" for x in w]
+        texts += [t, f"{words(300, 1)}\n\n{t}\n\n{words(2500, 2)}", f"{words(90, 3)} {' '.join(changed)} {words(50, 4)}", " ".join(w[: len(w) // 3])]
+        want += [name, name, name, None]
+    got = {r["doc_id"]: r for r in licence_scan(docs_of(spark, texts)).collect()}
+    assert [w is None or w in got[i]["licences"].split(",") for i, w in enumerate(want)] == [True] * len(want)
+    assert [(i, w, got[i]["licence"], got[i]["dice"]) for i, w in enumerate(want) if w and not (got[i]["licence"] == w and got[i]["dice"] > 0.84)] == []
+    assert all(full_texts()[i // 4][0] not in got[i]["licences"].split(",") for i in range(3, len(want), 4))
+
+
+def test_licence_units_by_brute_force(spark):
+    """Lines, paragraphs and whole texts against short templates, in plain Python with its own normalisation."""
+
+    def grams(text):
+        w = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+        return {(a, b) for a, b in zip(w, w[1:], strict=False)}
+
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(6)
+    for _, t in TEMPLATES:
+        w = t.split()
+        docs += [" ".join(x for x in w if rng.random() > drop) for drop in (0.0, 0.05, 0.12, 0.2)] + [f"{words(30)}\n\n{t}\n\n{words(20)}"]
+    got = {r["doc_id"]: r for r in licence_scan(docs_of(spark, docs)).collect()}
+    sets = [(n, grams(t)) for n, t in TEMPLATES]
+    for i, d in enumerate(docs):
+        units = [*d.split("\n"), *re.split(r"\n[ \t\r]*\n[ \t\n\r]*", d), d]
+        hits = {n: max((2 * len(u & t) / (len(u) + len(t)) for u in map(grams, units) if u), default=0.0) for n, t in sorted(sets, key=lambda s: s[0])}
+        best = collections.defaultdict(float)
+        for n, t in sets:
+            best[n] = max([best[n], *[2 * len(u & t) / (len(u) + len(t)) for u in map(grams, units) if u]])
+        assert {n for n, s in best.items() if s >= 0.8} <= set(filter(None, got[i]["licences"].split(","))), i
+        if got[i]["unit"] and got[i]["unit"] != "run":
+            assert abs(got[i]["dice"] - max(best.values())) < 1e-12
+        assert set(hits) == {n for n, _ in sets}
+
+
+def test_secret_base_by_brute_force(spark):
+    """Base spans by Python's own expressions, written from the contract."""
+    rules = {
+        "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(9)
+    bits = ["PassWord", "token", "api_key", "APIKEY", "secret", '"', "'", " ", " = ", ":", "=", "abc", "AKIA", "Q" * 16, "deadbeef" * 3, "é", "\U0001f600", "\n", "x/y+z", "a" * 24, "AKIA" + "Z" * 20]
+    docs += ["".join(rng.choice(bits, 25)) for _ in range(300)]
+    got = {r["doc_id"]: r for r in secret_report(docs_of(spark, docs)).collect()}
+    for i, d in enumerate(docs):
+        spans = [(m.start(), k, m.end(), name) for k, (name, (p, good)) in enumerate(rules.items()) for m in p.finditer(d) if good(m)]
+        listed = ",".join(f"{name}:{a}:{z}" for a, _, z, name in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), (i, d)
+        assert [got[i][f"n_{k}"] for k in rules] == [sum(s[3] == k for s in spans) for k in rules]
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
