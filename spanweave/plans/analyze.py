@@ -115,3 +115,14 @@ def analyze(facts: Facts, entries: DataFrame, direction: str = "forward", depth:
     steps = resolve.filter_flow(steps)
     count = stats.backward_stats if direction == "backward" else stats.forward_stats
     return Flow(nodes, edges, steps, count(steps, ["root"]))
+
+
+def trace_roots(facts: Facts):
+    """A function from a stream's detected root, a direction and a depth to (nodes, edges) of its flow."""
+
+    def run(root: dict, direction: str, depth: int) -> tuple[DataFrame, DataFrame]:
+        entries = facts.files.sparkSession.createDataFrame([(root["root_name"], root["file"])], "entry string, file_hint string")
+        flow = analyze(facts, entries, direction, depth)
+        return flow.nodes, flow.edges
+
+    return run

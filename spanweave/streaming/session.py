@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanweave.functions.scalars import DEFAULT_DEPTH
+from spanweave.functions.scalars import DEFAULT_DEPTH, live_node_id
+from spanweave.operators.graph import numeric_graph
 from spanweave.operators.spans import flatten_otlp, root_candidates, waterfall, with_static
+from spanweave.sources.files import graph_json
 
 Sink = Callable[[str, DataFrame], None]
+#: From a root (root_name, is_route, trace_id, file, line), a direction and a depth to (nodes, edges) of its flow.
+Trace = Callable[[dict, str, int], tuple[DataFrame, DataFrame]]
 
 
 def json_bodies(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -59,8 +63,29 @@ def pulses(spans: DataFrame) -> DataFrame:
     ).orderBy("offset_ms", "node_id")
 
 
-def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str) -> StreamingQuery:
-    """Run bodies(value) through a session; sink gets ("spans" | "root" | "pulse_batch", DataFrame) of each batch."""
+def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, json) of a flow's nodes(node, depth, label, type, file, start_line) and edges(src, dst), numbered from 0 by distance and then by node.
+
+    A node's live_id is what pulses have as node_id.
+    """
+    d = nodes.dropDuplicates(["node"])
+    numbered, links = numeric_graph(d.select("node", F.col("depth").alias("ord")), edges.select("src", "dst").distinct())
+    own = live_node_id(F.col("file"), F.col("start_line"), F.col("node"))
+    return graph_json(d.join(numbered, "node").select(F.col("num").alias("id"), "label", "type", "file", "start_line", own.alias("live_id")), links)
+
+
+def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None) -> StreamingQuery:
+    """Run bodies(value) through a session; sink gets ("spans" | "root" | "graph" | "pulse_batch", DataFrame) of each batch.
+
+    With trace, a detected root is followed by its flow's graph; where tracing fails, ("graph_error", its message) is
+    sent, the stream goes on and the session stays disarmed.
+    """
+
+    def follow(spark: SparkSession, root: dict) -> None:
+        try:
+            sink("graph", live_graph(*trace(root, session.direction, session.depth)))
+        except Exception as e:
+            sink("graph_error", spark.createDataFrame([(root["root_name"], str(e)[:500])], "root_name string, error string"))
 
     def batch(df: DataFrame, _: int) -> None:
         spans = with_static(flatten_otlp(df)).persist()
@@ -69,6 +94,8 @@ def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str) -> S
             root = session.detect(spans)
             if root is not None:
                 sink("root", df.sparkSession.createDataFrame([(root["root_name"], root["is_route"], root["trace_id"])], "root_name string, is_route boolean, trace_id string"))
+                if trace is not None:
+                    follow(df.sparkSession, root)
             sink("pulse_batch", pulses(spans))
         finally:
             spans.unpersist()

@@ -1,10 +1,12 @@
 import collections
+import json
 
 from pyspark.sql import functions as F
 
 from spanweave.operators import trace
 from spanweave.operators.spans import route_metrics
-from spanweave.plans.analyze import Facts, analyze, facts_of, linked_tree, typed_actions
+from spanweave.plans.analyze import analyze, facts_of, linked_tree, trace_roots, typed_actions
+from spanweave.streaming import session as st
 
 TREE = {
     "ui/a.jsx": "import { send } from './send';\nimport axios from 'axios';\nexport function Page() {\n  return <button onClick={save}>x</button>;\n}\nexport function save() {\n  axios.get('/ping');\n  send(1);\n  later(done);\n}\nfunction done() {\n}\n",
@@ -110,3 +112,26 @@ def test_linked_tree(spark):
     assert s["total_functions"] == 8 and s["total_calls"] == s["resolved_calls"] + s["unresolved_calls"] and s["resolved_calls"] >= 5
     assert (s["total_api_calls"], s["resolved_api_calls"], s["unresolved_api_calls"], s["total_routes"], s["total_events"]) == (2, 1, 1, 1, 1)
     assert g.unresolved_calls.count() == s["unresolved_calls"] and g.unresolved_api_calls.count() == 1
+
+
+def test_stream_sends_the_root_s_graph(spark, tmp_path):
+    span = {"traceId": "t1", "spanId": "s", "name": "POST /users", "startTimeUnixNano": "1000000", "endTimeUnixNano": "3000000", "attributes": [{"key": k, "value": {"stringValue": v}} for k, v in (("http.method", "POST"), ("http.route", "/users"))]}
+    for i, trace in enumerate(("t1", "t2")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span | {"traceId": trace}]}]}]}))
+    for follow, kind in ((trace_roots(facts_of(tree(spark))), "graph"), (lambda *a: 1 / 0, "graph_error")):
+        session, got = st.Session(), collections.defaultdict(list)
+        session.arm()
+        q = st.start(st.json_bodies(spark, str(tmp_path / "in")), session, lambda k, d, got=got: got[k].append(d.collect()), str(tmp_path / kind), follow)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        assert len(got["root"]) == 1 and len(got["spans"]) == 2 and not session.armed and len(got[kind]) == 1
+        if kind == "graph":
+            rows = [(r["kind"], json.loads(r["json"])) for r in got["graph"][0]]
+            nodes = {x["label"]: x for k, x in rows if k == "node" and x["type"] != "external" and x["label"] != "POST /users"}
+            assert set(nodes) == {"create", "insert", "check"} and nodes["create"]["live_id"] == "api/r.js:3"
+            ids = sorted(x["id"] for k, x in rows if k == "node")
+            links = {(x["src_num"], x["dst_num"]) for k, x in rows if k == "edge"}
+            assert ids == list(range(len(ids))) and (nodes["create"]["id"], nodes["insert"]["id"]) in links
