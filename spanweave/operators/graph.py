@@ -77,6 +77,19 @@ def layout(levelled: DataFrame, backward: bool = False) -> DataFrame:
     )
 
 
+def backward_layout(nodes: DataFrame, edges: DataFrame, root: DataFrame, max_steps: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(layout upside down, edges between laid out nodes) of nodes(node, ord) that the levels from root(root) reach.
+
+    A root that is no node is replaced by the first node. Nodes that neither come after nor lead into the root's levels are left out.
+    """
+    known = root.join(nodes.select(F.col("node").alias("root")), "root", "left_semi")
+    first = nodes.agg(F.min_by("node", F.struct("ord", "node")).alias("root")).where("root is not null")
+    start = cut(known.withColumn("_r", F.lit(0)).unionByName(first.withColumn("_r", F.lit(1))).orderBy("_r").limit(1).select("root"))
+    own = cut(induced(nodes, edges))
+    levelled = cut(levels(own, start, max_steps))
+    return layout(levelled, backward=True), induced(levelled, own)
+
+
 def paths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
     """(root, path): for each root the path to every node without further edges, at most max_depth edges away.
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanweave.functions.scalars import DEFAULT_DEPTH, live_node_id
 from spanweave.operators.graph import numeric_graph
-from spanweave.operators.spans import flatten_otlp, root_candidates, waterfall, with_static
+from spanweave.operators.spans import flatten_otlp, keep_latest_traces, root_candidates, route_metrics, trace_summaries, waterfall, with_static
 from spanweave.sources.files import graph_json
 
 Sink = Callable[[str, DataFrame], None]
@@ -63,6 +63,45 @@ def pulses(spans: DataFrame) -> DataFrame:
     ).orderBy("offset_ms", "node_id")
 
 
+@dataclass
+class TraceStore:
+    """Spans of a stream's batches as a table in a shared folder, of which the cap traces that arrived last are kept.
+
+    A batch that is run again replaces itself. An evicted trace that goes on stays evicted until compact() has
+    dropped its rows; after that its next span makes it a new one. Route metrics count every span ever stored, so
+    compact() keeps what metrics need and drops the rest of evicted traces.
+    """
+
+    spark: SparkSession
+    path: str
+    cap: int = 1000
+
+    def add(self, spans: DataFrame, batch: int) -> None:
+        spans.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
+
+    def spans(self) -> DataFrame:
+        """The spans of the traces kept, with the batch in which they came."""
+        return keep_latest_traces(self._all().where("attributes is not null"), ["batch", "start_ns", "span_id"], self.cap)
+
+    def summaries(self) -> DataFrame:
+        return trace_summaries(self.spans().withColumn("start", F.col("start_ns")), ["batch", "start_ns", "span_id"])
+
+    def metrics(self) -> DataFrame:
+        ms = (F.col("end_ns") - F.col("start_ns")) / 1_000_000
+        return route_metrics(self._all().withColumn("duration_ms", ms), ["batch", "start_ns", "span_id"])
+
+    def compact(self, into: str) -> TraceStore:
+        """A store in another folder: the traces kept whole; of other spans with a route what metrics need, without attributes."""
+        kept = self.spans()
+        rest = self._all().where("method is not null and route is not null").join(kept.select("trace_id").distinct(), "trace_id", "left_anti")
+        needed = ["trace_id", "span_id", "method", "route", "start_ns", "end_ns", "batch"]
+        kept.unionByName(rest.select(*needed), allowMissingColumns=True).write.partitionBy("batch").mode("overwrite").parquet(into)
+        return TraceStore(self.spark, into, self.cap)
+
+
 def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, json) of a flow's nodes(node, depth, label, type, file, start_line) and edges(src, dst), numbered from 0 by distance and then by node.
 
@@ -74,11 +113,11 @@ def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph_json(d.join(numbered, "node").select(F.col("num").alias("id"), "label", "type", "file", "start_line", own.alias("live_id")), links)
 
 
-def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None) -> StreamingQuery:
+def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None, store: TraceStore | None = None) -> StreamingQuery:
     """Run bodies(value) through a session; sink gets ("spans" | "root" | "graph" | "pulse_batch", DataFrame) of each batch.
 
     With trace, a detected root is followed by its flow's graph; where tracing fails, ("graph_error", its message) is
-    sent, the stream goes on and the session stays disarmed.
+    sent, the stream goes on and the session stays disarmed. With store, each batch's spans are added to it.
     """
 
     def follow(spark: SparkSession, root: dict) -> None:
@@ -87,9 +126,11 @@ def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trac
         except Exception as e:
             sink("graph_error", spark.createDataFrame([(root["root_name"], str(e)[:500])], "root_name string, error string"))
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spans = with_static(flatten_otlp(df)).persist()
         try:
+            if store is not None:
+                store.add(spans, number)
             sink("spans", spans)
             root = session.detect(spans)
             if root is not None:

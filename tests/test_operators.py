@@ -185,3 +185,36 @@ def test_ask_and_definition(spark):
     asked = spark.createDataFrame([("q", "run", None), ("z", "none", None)], "ref_id string, name string, caller_file string")
     tree = spark.createDataFrame([("a.js", "1\n2\n3")], "path string, content string")
     assert {r["ref_id"]: (r["file"], r["start_line"], r["code"]) for r in resolve.function_definition(asked, fs, tree).collect()} == {"q": ("a.js", 2, "2\n3"), "z": (None, None, None)}
+
+
+def test_trace_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.json").write_text(_body(_span(f"t{i}", "load", 10 * i, 10 * i + 4_000_000, http_method="get", http_route="/x"), _span("t0", f"again{i}", 10 * i + 1, 10 * i + 2)))
+    store = st.TraceStore(spark, str(tmp_path / "store"), cap=2)
+    q = st.start(st.json_bodies(spark, str(tmp_path / "in")), st.Session(), lambda *a: None, str(tmp_path / "cp"), store=store)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    # Files come in order of their time; whichever came, the two last new traces are kept and every hit counts.
+    kept = {r["trace_id"] for r in store.spans().collect()}
+    assert len(kept) == 2 and store.summaries().count() == 2
+    m = store.metrics().head()
+    assert (m["metric_key"], m["hits"], m["average_ms"]) == ("GET:/x", 5, 4.0)
+    small = store.compact(str(tmp_path / "small"))
+    assert small.metrics().collect() == store.metrics().collect() and {r["trace_id"] for r in small.spans().collect()} == kept
+    assert sorted(small.spans().select("trace_id", "span_id").collect()) == sorted(store.spans().select("trace_id", "span_id").collect())
+    spans_again = spark.read.parquet(f"{store.path}/batch=0")
+    store.add(spans_again.limit(0), 99)
+    assert store.metrics().head()["hits"] == 5
+
+
+def test_backward_layout(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "a"), ("a", "x"), ("y", "z")], "src string, dst string")
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate("abcdxyz")], "node string, ord int")
+    for root in ("a", "gone"):
+        rows, edges = graph.backward_layout(nodes, e, spark.createDataFrame([(root,)], "root string"))
+        got = {r["node"]: (r["level"], r["y"]) for r in rows.collect()}
+        assert {k: v for k, (v, _) in got.items()} == {"a": 0, "x": 1, "b": 1, "d": 1, "c": 2}
+        assert got["a"][1] > got["b"][1] > got["c"][1] == 0 and edges.count() == 4
