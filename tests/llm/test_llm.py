@@ -396,6 +396,18 @@ def test_packing_windows_hold_targets(spark):
     assert n > 10 and worst < 2
 
 
+def test_packing_by_shuffle(spark, monkeypatch):
+    """Beyond the bounds of a broadcast, every join by shuffling gives the same pieces."""
+    import spanweave.llm.packing as P
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").repartition(3).persist()
+    near = sorted(map(tuple, pack(d, tokenizer_path(), size=128).collect()))
+    monkeypatch.setattr(P, "sized", lambda small: small.hint("merge"))
+    far = pack(d, tokenizer_path(), size=128)
+    assert sorted(map(tuple, far.collect())) == near and len(near) > 1000
+    d.unpersist()
+
+
 def test_packing_many_sources(spark):
     """More sources than one task's rows: no queue is shared, and those without weight follow the others."""
     from tokenizers import Tokenizer
