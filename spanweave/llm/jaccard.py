@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from spanweave.llm.components import components
 from spanweave.llm.staging import discard, sized, staged
 
-#: Sampled tokens of a set: the smallest hash in each of so many ranges of the hash.
+#: Sampled tokens of a set: the smallest hash in each of so many ranges of the hash; of a set with at most so many
+#: shingles the smallest under each of so many hash functions.
 TOKENS = 64
 #: A bucket with so many sets is compared pair by pair.
 SMALL = 64
@@ -56,10 +57,11 @@ def shingles(flat: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np
     return doc, _mix(h)
 
 
-def sampled_tokens(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
-    """docs x TOKENS: a token of each hash range; two sets agree on it with the probability of their similarity.
+def sampled_tokens(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(docs x TOKENS, docs): a token of each hash range, and whether a range had none of its own.
 
-    A range without a token borrows from the next one that has some.
+    Two sets agree on a token with the probability of their similarity. A range without a token borrows from the
+    next one that has some, so that the tokens of a set with few shingles depend on each other.
     """
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     best = np.full(docs * TOKENS, none)
@@ -69,7 +71,32 @@ def sampled_tokens(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     twice = np.concatenate([there, np.where(there < TOKENS, there + TOKENS, 4 * TOKENS)], axis=1)
     nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :TOKENS]
     out = np.take_along_axis(best, nearest % TOKENS, axis=1) + (nearest - np.arange(TOKENS)).astype(np.uint64) * _ODD[1]
-    return (_mix(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return _short(out), (best == none).any(axis=1)
+
+
+def least_tokens(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """sets x TOKENS: of each set, whose hashes begin at starts, the least one under each of TOKENS hash functions.
+
+    Two sets agree on each token with the probability of their similarity, whatever the others are.
+    """
+    out = np.empty((len(starts), TOKENS), dtype=np.uint64)
+    turns = np.arange(1, TOKENS + 1, dtype=np.uint64) * _ODD[0]
+    for k in range(TOKENS if len(starts) else 0):
+        out[:, k] = np.minimum.reduceat(_mix(h + turns[k]), starts)
+    return _short(out)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (_mix(h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a set's number and a hash, each once, by set."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[once], h[once]
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +109,26 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = z
 
 
-def _with_tokens(n: int):
+def _with_tokens(n: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             w = b.column("w")
             ends = w.offsets.to_numpy() - w.offsets[0].as_py()
             doc, h = shingles(w.flatten().to_numpy(zero_copy_only=False), ends, n)
-            tokens = sampled_tokens(doc, h, b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TOKENS), pa.array(tokens.ravel()))
+            ranged, gaps = sampled_tokens(doc, h, b.num_rows)
+            # A set whose tokens fill every range has TOKENS shingles at least.
+            doc, h = _distinct(doc[gaps[doc]], h[gaps[doc]])
             sizes = np.bincount(doc, minlength=b.num_rows)
-            sizes[sizes > TOKENS] = 0
-            few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h[sizes[doc] > 0].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "k1", "k2", "n")] + [lists, few], names=["doc_id", "k1", "k2", "n", "tokens", "few"])
+            small = (sizes > 0) & (sizes <= TOKENS)
+            doc, h = doc[small[doc]], h[small[doc]]
+            sizes[~small] = 0
+            least = np.zeros_like(ranged)
+            least[small] = least_tokens(h, (np.cumsum(sizes) - sizes)[small])
+            # A small set similar to a larger one has tokens of both kinds.
+            kept = np.repeat(np.stack([~small | (sizes >= threshold * TOKENS), small], axis=1), TOKENS, axis=1)
+            tokens = np.concatenate([ranged, least], axis=1)[kept]
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(v)) for k, v in ((kept.sum(axis=1), tokens), (sizes, h.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("doc_id", "k1", "k2", "n")] + lists, names=["doc_id", "k1", "k2", "n", "tokens", "few"])
 
     return run
 
@@ -142,11 +177,7 @@ def _pairs_within(hit: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 def _shared(doc: np.ndarray, h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, m x m sizes of intersections) of m sets given as pairs of a set's number and a hash, repeats allowed."""
-    order = np.lexsort((doc, h))
-    doc, h = doc[order], h[order]
-    once = np.ones(len(h), dtype=bool)
-    once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    doc, h = doc[once], h[once]
+    h, doc = _distinct(h, doc)
     sizes = np.bincount(doc, minlength=m)
     new = np.ones(len(h), dtype=bool)
     new[1:] = h[1:] != h[:-1]
@@ -171,14 +202,18 @@ def _near_in_bucket(least: float, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["path", "x", "y"]):
             node = g.column("node").to_numpy()
-            tokens = g.column("tokens").combine_chunks().flatten().to_numpy().reshape(len(node), TOKENS)
-            same = np.zeros((len(node), len(node)), dtype=np.int16)
-            for k in range(TOKENS):
-                same += tokens[:, k, None] == tokens[None, :, k]
-            hit = same >= least * TOKENS
             few = g.column("few").combine_chunks()
             sizes = np.diff(few.offsets.to_numpy())
             small = np.flatnonzero(sizes)
+            hit = np.zeros((len(node), len(node)), dtype=bool)
+            if len(small) < len(node):  # a bucket by ranges: their tokens come first
+                lists = g.column("tokens").combine_chunks()
+                firsts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                tokens = lists.flatten().to_numpy()[firsts[:, None] + np.arange(TOKENS)]
+                same = np.zeros(hit.shape, dtype=np.int16)
+                for k in range(TOKENS):
+                    same += tokens[:, k, None] == tokens[None, :, k]
+                hit = same >= least * TOKENS
             if len(small) > 1:  # sets as small as the samples are compared whole
                 found, common = _shared(np.repeat(np.arange(len(small)), sizes[small]), few.flatten().to_numpy(zero_copy_only=False), len(small))
                 hit[np.ix_(small, small)] = _similar(found, common, threshold)
@@ -225,28 +260,36 @@ def _in_blocks(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, node, m): the buckets with two sets or more in which the chosen paths of all runs end, written."""
+    """(path, node, m): the buckets with two sets or more in which the chosen paths of all runs end, written.
+
+    Paths over the tokens of ranges and over the least tokens are runs of their own; a set with both kinds has
+    them one after the other, and skip is where a path's kind begins.
+    """
+    columns = ["node", "tokens", "path", "skip"]
 
     def split(d: DataFrame, level: int) -> DataFrame:
         branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
-        d = d.select("node", "tokens", "path", branch.alias("j")).withColumn("c", F.pmod(F.xxhash64("path", F.lit(level), "j"), F.lit(TOKENS)).cast("int"))
-        return d.select("node", F.xxhash64("path", "c", F.get("tokens", F.col("c"))).alias("path")).distinct()
+        d = d.select(*columns, branch.alias("j")).withColumn("c", F.pmod(F.xxhash64("path", F.lit(level), "j"), F.lit(TOKENS)).cast("int"))
+        return d.select("node", "skip", F.xxhash64("path", "c", F.get("tokens", F.col("skip") + F.col("c"))).alias("path")).distinct()
 
+    small, both = F.size("few") > 0, F.size("tokens") > TOKENS
+    first, last = F.when(small & ~both, runs + 1).otherwise(1), F.when(small, 2 * runs).otherwise(runs)
+    started = sets.select("node", "tokens", both.alias("both"), F.explode(F.sequence(first, last).cast("array<bigint>")).alias("path"))
+    active = started.withColumn("skip", F.when(F.col("both") & (F.col("path") > runs), TOKENS).otherwise(0)).select(*columns)
     ends: DataFrame | None = None
     levels: list[DataFrame] = []
-    active = sets.select("node", "tokens", F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"))
     for level in range(DEPTH):
         rows = staged(split(active, level), "paths")
         levels.append(rows)
         # Written before the joins, so that a bucket with many sets can be split as a skewed one.
         sizes = staged(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         levels.append(sizes)
-        last = level == DEPTH - 1
-        done = rows.join(sizes if last else sizes.where(F.col("m") <= SMALL), "path").select("path", "node", "m")
+        last_level = level == DEPTH - 1
+        done = rows.join(sizes if last_level else sizes.where(F.col("m") <= SMALL), "path").select("path", "node", "m")
         ends = done if ends is None else ends.unionByName(done)
-        if not last:
+        if not last_level:
             large = rows.join(sizes.where(F.col("m") > SMALL), "path", "left_semi")
-            active = large.join(sets.select("node", "tokens"), "node")
+            active = large.join(sets.select("node", "tokens"), "node").select(*columns)
     ends = staged(ends, "buckets")
     discard(*levels)
     return ends
@@ -263,7 +306,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     Documents with the same words are joined by a hash of them and take part once. Each run starts with all sets
     in one bucket; a bucket with more than SMALL sets is split on BRANCHES sampled tokens, DEPTH times at most,
     and the rest of a larger one is compared in blocks. The runs are as many as a pair at the threshold needs to
-    meet in one with probability target_recall. Sets that agree on half of their sampled tokens form clusters
+    meet in one with probability target_recall. Sets of at most TOKENS shingles are split on tokens that are
+    sampled independently, so that this holds for them too; those that may be similar to larger sets take part in
+    the runs of both. Sets that agree on half of their sampled tokens form clusters
     (sets of at most TOKENS shingles are compared whole), and within a cluster every pair is verified on whole sets.
 
     Nulls: a null text is empty; a document with a null doc_id has a class_id from the others of its class, or null.
@@ -273,7 +318,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
     w = word_hashes(F.col("text"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("w"))
     keyed = keyed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").alias("n"), "w")
-    each = staged(keyed.mapInArrow(_with_tokens(n), "doc_id long, k1 long, k2 long, n int, tokens array<int>, few array<bigint>"), "tokens")
+    each = staged(keyed.mapInArrow(_with_tokens(n, threshold), "doc_id long, k1 long, k2 long, n int, tokens array<int>, few array<bigint>"), "tokens")
     classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("few").alias("few"))
     classes = staged(classes.withColumn("node", F.col("k1")), "classes")
 

@@ -186,6 +186,23 @@ def test_jaccard_short_texts(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_jaccard_finds_pairs_of_all_sizes(spark, monkeypatch):
+    """Lone pairs at the threshold, where every bucket is split as often as it may be."""
+    import spanweave.llm.jaccard as J
+
+    monkeypatch.setattr(J, "SMALL", 1)
+    rng, texts = np.random.default_rng(5), []
+    for shared, union in ((4, 5), (8, 10), (16, 20), (48, 60), (52, 65), (80, 100)):
+        for _ in range(60):
+            w = [f"w{x}" for x in rng.integers(0, 1 << 40, union + 4)]
+            texts += [" ".join(w[: shared + 4]), " ".join(w)]
+    # More than 64 shingles, of which fewer are distinct.
+    w = [f"w{x}" for x in rng.integers(0, 1 << 40, 50)]
+    texts += [" ".join(w), " ".join(w + w[:46])]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(i - i % 2, 1) for i in range(len(texts))]
+
+
 def test_jaccard_large_group_in_blocks(spark, monkeypatch):
     import spanweave.llm.jaccard as J
 
