@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.byte_pairs import decode, encode
+from spanweave.llm.hard_negatives import hard_negatives
 from spanweave.llm.html_text import extract_text
 from spanweave.llm.jaccard import jaccard_classes
 from spanweave.llm.licence_texts import TEMPLATES
@@ -15,6 +17,7 @@ from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.neighbours import nearest
 from spanweave.llm.packing import pack
+from spanweave.llm.prefix_trie import prefix_trie
 from spanweave.llm.quality import quality_rules
 from spanweave.llm.secrets import ACCESS, ASSIGN, CLIENT, ENDPOINT, HEX, SECRET, secret_report
 from spanweave.llm.tokens import count_tokens, tokenizer_path
@@ -181,6 +184,61 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n,
+             xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                             lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295) % 4 AS h
+      FROM c GROUP BY conv_id),
+t AS (SELECT k.conv_id, c.pos AS depth, role, text FROM k JOIN c ON c.conv_id = k.base AND c.pos <= k.h
+      UNION ALL SELECT k.conv_id, least(k.h, coalesce(b.n, 0)) + c.pos - k.h, role, text
+                FROM k JOIN c ON c.conv_id = k.conv_id AND c.pos > k.h LEFT JOIN k b ON b.conv_id = k.base),
+p AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+             md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM t
+      UNION ALL SELECT conv_id, 0, 0, 'root' FROM k),
+n AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS m, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY node),
+u AS (SELECT n.*, a.node AS parent FROM n LEFT JOIN p a ON a.conv_id = n.m AND a.depth = n.depth - 1),
+f AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.node, count(*) FILTER (WHERE f.node IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.words)::BIGINT AS saved_tokens
+      FROM u JOIN p a ON a.conv_id = u.m AND a.depth <= u.depth LEFT JOIN f ON f.node = u.node GROUP BY a.node),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM p JOIN l USING (conv_id, depth) GROUP BY node)
+SELECT u.m AS conv_id, u.depth, q.m AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u JOIN s ON s.node = u.node LEFT JOIN n q ON q.node = u.parent LEFT JOIN f ON f.node = u.node LEFT JOIN e ON e.node = u.node
+"""
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    d = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return d.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    q = F.transform(e, lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").where(finite).select("vec_id", label.alias("label"), q.alias("q")))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -193,6 +251,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_html_extraction": op10_html_extraction,
+        "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+        "op12_byte_level_bpe": op12_byte_level_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -203,4 +264,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": OP4_SQL,
         "op5_license_scans": _op5_sql(),
         "op7_mixing": OP7_SQL,
+        "op11_conversation_prefix_trie": OP11_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
