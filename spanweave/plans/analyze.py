@@ -43,7 +43,7 @@ class Flow:
 
 def _place(line: Column, pos: Column | None = None) -> Column:
     """An order of places in a file that sorts as text."""
-    return F.concat_ws(":", "file", F.lpad(line.cast("string"), 9, "0"), F.lpad((F.lit(0) if pos is None else pos).cast("string"), 6, "0"))
+    return F.concat_ws(":", "file", F.lpad(line.cast("string"), 9, "0"), F.lpad((F.lit(0) if pos is None else pos).cast("string"), 9, "0"))
 
 
 def facts_of(files: DataFrame) -> Facts:
@@ -51,7 +51,7 @@ def facts_of(files: DataFrame) -> Facts:
     t = extract_all(files)
     functions = cut(t["functions"].withColumn("file_ord", F.col("file")).withColumn("row_ord", F.col("start_line")))
     line = F.col("start_line")
-    calls = with_callees(t["calls"], functions, t["imports"]).withColumn("ord", _place(line, F.col("pos"))).withColumn("call_id", F.concat_ws("#", "ord", "callee"))
+    calls = with_callees(t["calls"], functions, t["imports"], t["exports"]).withColumn("ord", _place(line, F.col("pos"))).withColumn("call_id", F.concat_ws("#", "ord", "callee"))
     api = t["api_calls"].withColumn("ord", _place(line)).withColumn("call_id", F.concat_ws("#", "ord", "method", "url"))
     routes = t["routes"].where("method <> 'USE'").withColumn("ord", _place(line)).withColumnRenamed("id", "route_id")
     handler = t["ui_events"].withColumn("from", F.element_at(F.split("handler", r"\."), -1))

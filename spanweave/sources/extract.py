@@ -1,9 +1,8 @@
-"""Extractors: functions, calls, API calls, routes and UI events of JS/TS files, as DataFrame operations on lines.
+"""Extractors: functions, calls, API calls, routes and UI events of JS/TS files, as DataFrame operations on tokens and lines.
 
-They read the text by lines and braces, not by a syntax tree. Covered: functions named in a declaration, a
-variable, an exports assignment or a class body; calls and constructors by name; fetch and HTTP clients with a
-literal URL or template; routes whose path is a literal; handlers written on one line. Not covered: names found by
-types, statements that break a name from its bracket over lines, computed URLs other than templates.
+Functions, calls, API calls, routes and exports are found in the table of tokens (sources/tokens.py), whatever lines
+they go over; imports, routers' names and UI events in lines. There is no syntax tree and there are no types: names
+are what they are called, and a URL is what resolved_url makes of its expression.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from pyspark.sql.window import Window
 
 from spanweave.functions.scalars import content_hash, join_paths, merge_base_url, normalize_path, normalize_url, path_params, route_match_key
 from spanweave.operators.checkpoints import cut
+from spanweave.operators.pointers import closure, follow
+from spanweave.operators.sweep import stab
+from spanweave.sources.tokens import neighbours, next_sibling, segments, tokens
 
 #: Calls that are noise (by receiver, and without one), words before a bracket that call nothing, router names to start with, route verbs.
 NOISE_MEMBERS = {
@@ -82,41 +84,94 @@ def _ends(starts: DataFrame, lines: DataFrame) -> DataFrame:
     return same.unionByName(ended.select("file", "line", *keys, F.coalesce("end_line", "line").alias("end_line")))
 
 
-def extract_functions(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(id, content_hash, file, name, start_line, end_line, type, is_async, is_exported, is_default_export, parent_function)."""
-    lines = cut(source_lines(files)) if lines is None else lines
-    code = F.col("bare")
-    kinds = [
-        ("declaration", rf"(?:^|[\s;])function\s*\*?\s*({_ID})\s*\("),
-        ("arrow", rf"(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|{_ID})\s*(?::[^=]+)?=>"),
-        ("expression", rf"(?:const|let|var)\s+({_ID})\s*=\s*(?:async\s+)?function\b"),
-        ("exportAssignment", rf"(?:^|\W)exports\.({_ID})\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|{_ID}\s*=>)"),
-        ("objectMethod", rf"^\s*({_ID})\s*:\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>)"),
-        ("getter", rf"^\s*(?:static\s+)?get\s+({_ID})\s*\(\s*\)\s*\{{"),
-        ("setter", rf"^\s*(?:static\s+)?set\s+({_ID})\s*\([^()]*\)\s*\{{"),
-        ("method", rf"^\s*(?:static\s+)?(?:async\s+)?\*?({_ID})\s*\([^()]*\)\s*(?::[^{{]+)?\{{"),
-    ]
-    first = F.array(*[F.struct(F.lit(k).alias("type"), F.regexp_extract(code, p, 1).alias("name")) for k, p in kinds])
-    found = lines.withColumn("f", F.get(F.filter(first, lambda x: (x["name"] != "") & ~x["name"].isin([k for k in KEYWORDS if k != "constructor"])), F.lit(0))).where("f is not null")
-    found = found.select("file", "line", F.col("f.type").alias("type"), F.col("f.name").alias("name"), code.rlike(r"\basync\b").alias("is_async"), code.rlike(r"^\s*export\b").alias("is_exported"), code.rlike(r"^\s*export\s+default\b").alias("is_default_export"))
-    functions = _ends(found, lines)
-    classes = _ends(lines.select("file", "line", F.regexp_extract("bare", rf"\bclass\s+({_ID})", 1).alias("owner")).where("owner <> ''"), lines)
-    inside = functions.alias("f").join(classes.select(F.col("file").alias("c_file"), F.col("line").alias("c_line"), F.col("end_line").alias("c_end"), "owner"), (F.col("file") == F.col("c_file")) & (F.col("line") > F.col("c_line")) & (F.col("line") <= F.col("c_end")), "left")
-    named = inside.groupBy("file", "line", "type", "name", "is_async", "is_exported", "is_default_export", "end_line").agg(F.max_by("owner", "c_line").alias("owner"))
-    in_class = F.col("owner").isNotNull() & F.col("type").isin("method", "getter", "setter")
-    named = named.where(in_class | (F.col("type") != "method"))
-    named = named.withColumn("name", F.when(in_class, F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))).withColumn("type", F.when(in_class & (F.col("type") == "method"), "classMethod").otherwise(F.col("type")))
-    named = cut(named.select("file", "name", F.col("line").alias("start_line"), "end_line", "type", "is_async", "is_exported", "is_default_export"))
-    outer = within(named.select("file", F.col("start_line").alias("line"), "name"), named, strictly=True).select("file", F.col("line").alias("start_line"), "name", F.col("caller").alias("parent_function"))
-    return named.join(outer, ["file", "start_line", "name"]).withColumn("id", F.concat_ws("::", "file", "name", "start_line")).withColumn("content_hash", content_hash(F.col("file"), F.col("name"), F.col("start_line"), F.col("end_line")))
+#: What stands before a function that is a value.
+_VALUE = ["=", "(", ",", ":", "return", "=>", "?", "&&", "||", "??", "[", "!", "new", "typeof", "await", "+", "yield", "void", "${", "..."]
+_STATEMENT = ["const", "let", "var", "function", "class", "export", "import", "return", "if", "for", "while", "switch", "try", "throw"]
+
+
+def code_tokens(files: DataFrame) -> DataFrame:
+    """The tokens of files with their neighbours, written once for all extractors."""
+    return cut(neighbours(tokens(files)))
+
+
+def _named(start_line: Column, col: Column) -> list[Column]:
+    """(name, type of a function that is assigned to it, exported) of a function by the tokens q1 ... q5 before it."""
+    q = lambda i: F.col(f"q{i}")
+    declares = lambda c: F.coalesce(c.isin("const", "let", "var", ","), F.lit(False))
+    plain, typed = (q(1) == "=") & declares(q(3)), (q(1) == "=") & (q(3) == ":") & declares(q(5))
+    exports = (q(1) == "=") & (q(3) == ".") & (q(4) == "exports")
+    key = (q(1) == ":") & q(3).isin("{", ",")
+    name = F.when(plain | exports | key, q(2)).when(typed, q(4)).otherwise(F.concat(F.lit("anonymous_L"), start_line, F.lit("_C"), col))
+    kind = F.when(exports, "exportAssignment").when(key, "method")
+    return [name.alias("name"), kind.alias("own_type"), F.coalesce(exports | (plain & (q(4) == "export")) | (q(1) == "default"), F.lit(False)).alias("is_exported"), F.coalesce(q(1) == "default", F.lit(False)).alias("is_default_export"), (~(plain | typed | exports | key)).alias("unnamed")]
+
+
+def extract_functions(files: DataFrame, lines: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(id, content_hash, file, name, start_line, end_line, type, is_async, is_exported, is_default_export, parent_function, start_seq, end_seq).
+
+    Declarations, function expressions and arrow functions (named by their variable, key or export, else by their
+    place), methods, getters and setters; heads and bodies may go over lines. found: code_tokens(files).
+    lines isn't read. A function's tokens go from start_seq to end_seq.
+    """
+    t = code_tokens(files) if found is None else found
+    text, after = F.col("text"), F.col("after")
+    term = (F.col("kind") == "punct") & text.isin(",", ";") | (text.isin(_STATEMENT) & (F.col("pl1") < F.col("line")))
+    t = t.withColumn("term", next_sibling(term, F.struct(F.col("seq"), F.col("pl1").alias("line"))))
+    body = F.when(F.col("n1") == "{", F.struct(F.col("n1_mate").alias("seq"), F.col("n1_mate_line").alias("line")))
+    until = F.coalesce(body, F.when(F.col("term").isNotNull(), F.struct((F.col("term.seq") - 1).alias("seq"), F.col("term.line").alias("line"))), F.struct((F.col("close") - 1).alias("seq"), F.col("close_line").alias("line")))
+    arrow = (text == "=>") & (F.col("kind") == "punct")
+    t = t.withColumn("arrow_end", F.when(arrow, until))
+    stops = (F.col("kind") == "punct") & text.isin("=>", ";", ",", "=", "{", "?")
+    t = t.withColumn("next_stop", next_sibling(stops, F.struct(text.alias("text"), F.col("arrow_end").alias("end"))))
+    t = t.withColumn("next_brace", next_sibling((text == "{") & (F.col("kind") == "punct"), F.struct(F.col("mate").alias("seq"), F.col("mate_line").alias("line"))))
+    last = t.groupBy(F.col("file").alias("l_file")).agg(F.max("line").alias("last_line"), F.max("seq").alias("last_seq"))
+
+    is_async = F.col("p1") == "async"
+    shifted = [F.when(is_async, F.col(f"p{i + 1}")).otherwise(F.col(f"p{i}")).alias(f"q{i}") for i in range(1, 6)]
+    opener = (text == "(") & ((after == "=>") | ((after == ":") & ~F.coalesce(F.col("p1") == "?", F.lit(False)))) & (F.col("next_stop.text") == "=>")
+    single = (F.col("kind") == "name") & (F.col("n1") == "=>") & ~F.coalesce((F.col("p1") == ":") & (F.col("p2") == ")"), F.lit(False))
+    function = (F.col("kind") == "name") & (text == "function") & ~F.coalesce(F.col("p1").isin(".", "?."), F.lit(False))
+    own_name = F.when(F.col("n1") == "*", F.col("n2")).otherwise(F.col("n1"))
+    d = t.where(opener | single | function).select("*", *shifted, is_async.alias("_async"), F.when(function, "function").otherwise("arrow").alias("form"))
+    d = d.withColumn("end", F.when(F.col("form") == "function", F.col("next_brace")).otherwise(F.col("next_stop.end")))
+    value = F.coalesce(F.col("q1").isin(_VALUE), F.lit(False)) | (own_name == "(")
+    declared = (F.col("form") == "function") & ~value
+    d = d.select("*", *_named(F.when(is_async, F.col("pl1")).otherwise(F.col("line")).cast("string"), F.when(is_async, F.col("pc1")).otherwise(F.col("col")).cast("string")))
+    exported = F.coalesce((F.col("q1") == "export") | (F.col("q1") == "default"), F.lit(False))
+    d = d.select(
+        "file", F.when(declared, own_name).otherwise(F.col("name")).alias("name"), F.when(declared, "declaration").otherwise(F.coalesce("own_type", F.when(F.col("form") == "arrow", "arrow").otherwise("expression"))).alias("type"),
+        (F.col("seq") - F.col("_async").cast("int")).alias("start_seq"), F.when(is_async, F.col("pl1")).otherwise(F.col("line")).alias("line"), "end", F.coalesce("_async", F.lit(False)).alias("is_async"),
+        F.when(declared, exported).otherwise(F.col("is_exported")).alias("is_exported"), F.when(declared, F.coalesce(F.col("q1") == "default", F.lit(False))).otherwise(F.col("is_default_export")).alias("is_default_export"),
+    )
+    owner = F.when(F.col("p2") == "class", F.col("p1")).when((F.col("p2") == "extends") & (F.col("p4") == "class"), F.col("p3")).when((F.col("p4") == "extends") & (F.col("p6") == "class"), F.col("p5"))
+    classes = t.where((text == "{") & owner.isNotNull()).select("file", F.col("seq").alias("parent"), owner.alias("owner"))
+    head = (F.col("kind") == "name") & (F.col("n1") == "(") & F.col("n1_after").isin("{", ":") & ~text.isin([k for k in KEYWORDS if k not in ("constructor", "get", "set", "static", "async", "of")])
+    called = F.coalesce(F.col("p1").isin("function", ".", "?.", "new", "=", "=>", "(", ":", "?", "return", "await", "&&", "||", "?") | ((F.col("p1") == "*") & (F.col("p2") == "function")), F.lit(False))
+    m = t.where(head & ~called & F.col("parent").isNotNull() & ((F.col("n1_after") == "{") | (F.col("next_brace").isNotNull()))).join(classes, ["file", "parent"], "left")
+    m = m.where(F.col("owner").isNotNull() | ((F.col("n1_after") == "{") & F.col("p1").isin("{", ",", "async", "get", "set", "*")))
+    kind = F.when(F.col("p1") == "get", "getter").when(F.col("p1") == "set", "setter").when(F.col("owner").isNotNull(), "classMethod").otherwise("objectMethod")
+    no = F.lit(False)
+    m = m.where((F.col("owner").isNotNull()) | (text != "constructor")).select("file", F.concat_ws(".", "owner", "text").alias("name"), kind.alias("type"), F.col("seq").alias("start_seq"), "line", F.col("next_brace").alias("end"), F.coalesce(is_async, no).alias("is_async"), no.alias("is_exported"), no.alias("is_default_export"))
+    named = d.unionByName(m).join(last, F.col("file") == F.col("l_file"))
+    named = named.select("file", "name", F.col("line").alias("start_line"), F.coalesce("end.line", "last_line").alias("end_line"), "type", "is_async", "is_exported", "is_default_export", "start_seq", F.coalesce("end.seq", "last_seq").alias("end_seq"))
+    # A place with a name is one function.
+    first = Window.partitionBy("file", "name", "start_line").orderBy("start_seq")
+    named = cut(named.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
+    outer = stab(named, named, "file", "start_seq", "start_seq", "end_seq", "name", strictly=True).drop("hit_start", "hit_end").withColumnRenamed("hit_name", "parent_function")
+    return outer.withColumn("id", F.concat_ws("::", "file", "name", "start_line")).withColumn("content_hash", content_hash(F.col("file"), F.col("name"), F.col("start_line"), F.col("end_line")))
 
 
 def within(rows: DataFrame, functions: DataFrame, strictly: bool = False) -> DataFrame:
-    """rows(file, line) with caller: the innermost function around the line, or module. Both sides meet by file."""
-    f = functions.select(F.col("file").alias("f_file"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"), F.col("name").alias("f_name"))
-    begins = F.col("line") > F.col("f_start") if strictly else F.col("line") >= F.col("f_start")
-    hit = rows.join(f, (F.col("file") == F.col("f_file")) & begins & (F.col("line") <= F.col("f_end")), "left")
-    return hit.groupBy(*rows.columns).agg(F.coalesce(F.max_by("f_name", "f_start"), F.lit(None if strictly else "module")).alias("caller"))
+    """rows(file, line) with caller: the innermost function around the line, or module; by one sweep of a file's lines."""
+    hit = stab(rows, functions, "file", "line", "start_line", "end_line", "name", strictly=strictly).drop("hit_start", "hit_end")
+    return hit.withColumn("caller", F.coalesce("hit_name", F.lit(None if strictly else "module"))).drop("hit_name")
+
+
+def caller_of(rows: DataFrame, functions: DataFrame) -> DataFrame:
+    """rows(file, seq) with from: the innermost function around the token that has a name of its own, or module."""
+    named = functions.where(~F.col("name").startswith("anonymous_L"))
+    hit = stab(rows, named, "file", "seq", "start_seq", "end_seq", "name").drop("hit_start", "hit_end")
+    return hit.withColumn("from", F.coalesce("hit_name", F.lit("module"))).drop("hit_name")
 
 
 def _joined_path(folder: Column, relative: Column) -> Column:
@@ -126,6 +181,16 @@ def _joined_path(folder: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
+def resolved_sources(d: DataFrame, files: DataFrame) -> DataFrame:
+    """d(file, source) with is_local and resolved: the first of a local source as it is, with an extension, or an index file in it, that is among files."""
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    d = d.withColumn("is_local", F.col("source").startswith(".")).withColumn("_base", F.when(F.col("source").startswith("."), _joined_path(folder, F.col("source"))))
+    tried = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
+    ways = d.select("_base").where("_base is not null").distinct().select("_base", F.posexplode(F.array(*[F.concat("_base", F.lit(t)) for t in tried])).alias("way", "path"))
+    known = ways.join(files.select("path").distinct(), "path").groupBy("_base").agg(F.min_by("path", "way").alias("resolved"))
+    return d.join(known, "_base", "left").drop("_base")
+
+
 def extract_imports(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(file, source, name, imported_as, type, is_local, resolved): names that import and require lines bind, with the file that a local source is.
 
@@ -143,76 +208,208 @@ def extract_imports(files: DataFrame, lines: DataFrame | None = None) -> DataFra
     kind = F.when(rest.startswith("*"), "namespace").when(rest == "", None).otherwise("default")
     single = F.array(F.struct(F.when(kind == "default", "default").otherwise(F.lit(None).cast("string")).alias("name"), bare.alias("imported_as"), kind.alias("type")))
     d = d.select("file", "source", F.explode(F.concat(F.transform(inner, pair), F.filter(single, lambda x: x["type"].isNotNull()))).alias("i")).select("file", "source", "i.*").where("imported_as <> ''")
-    folder = F.regexp_replace("file", "[^/]*$", "")
-    d = d.withColumn("is_local", F.col("source").startswith(".")).withColumn("_base", F.when(F.col("source").startswith("."), _joined_path(folder, F.col("source"))))
-    tried = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
-    ways = d.select("_base").where("_base is not null").distinct().select("_base", F.posexplode(F.array(*[F.concat("_base", F.lit(t)) for t in tried])).alias("way", "path"))
-    known = ways.join(files.select("path").distinct(), "path").groupBy("_base").agg(F.min_by("path", "way").alias("resolved"))
-    return d.join(known, "_base", "left").drop("_base")
+    return resolved_sources(d, files)
 
 
-def with_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls(file, name, object) with callee_function_id and is_external, by symbols: a function of the file, else one of the file that an import of the name, or of the object, leads to.
+def extract_exports(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(file, name, local, source, resolved): names that a file exports from another one, or of its own bindings (null source); name and local are * where all go on."""
+    t = code_tokens(files) if found is None else found
+    stars = t.where("kind = 'name' and text = 'export' and n1 = '*' and n2 = 'from'").select("file", F.lit("*").alias("name"), F.lit("*").alias("local"), F.col("n3").alias("source"))
+    lists = t.withColumn("source", F.when(F.col("after") == "from", next_sibling(F.col("kind") == "string", F.col("text")))).where("text = '{' and p1 = 'export'")
+    lists = lists.select("file", F.col("seq").alias("parent"), "source")
+    e = segments(t, lists).join(lists, ["file", "parent"])
+    named = e.select("file", F.element_at("toks", -1)["text"].alias("name"), F.get("toks", F.lit(0))["text"].alias("local"), "source")
+    return resolved_sources(stars.unionByName(named), files).select("file", "name", "local", "source", "resolved")
 
-    is_external: the name or object comes from an import that isn't local.
+
+def exported_functions(functions: DataFrame, imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """(file, name, id): the function that each name stands for in a file, its own or through any number of re-exports.
+
+    A file's own function comes first, then a name in an export list, then the nearest file whose names go on
+    through export *. Chains are followed by pointer doubling; one that runs in a circle stands for nothing.
     """
     short = F.element_at(F.split("name", r"\."), -1)
-    at = functions.select("file", F.explode(F.array_distinct(F.array("name", short))).alias("name"), F.struct(F.col("start_line"), F.col("id")).alias("at")).groupBy("file", "name").agg(F.max("at").alias("at"))
-    own = at.select("file", "name", F.col("at.id").alias("_own"))
+    own = functions.select("file", F.explode(F.array_distinct(F.array("name", short))).alias("name"), F.struct("start_seq" if "start_seq" in functions.columns else "start_line", "id").alias("at"))
+    default = functions.where("is_default_export").select("file", F.lit("default").alias("name"), F.struct("start_seq" if "start_seq" in functions.columns else "start_line", "id").alias("at"))
+    own = cut(own.unionByName(default).groupBy("file", "name").agg(F.max("at")["id"].alias("id")))
+    bound = imports.where("resolved is not null and name is not null").select("file", F.col("imported_as").alias("local"), F.struct(F.col("resolved").alias("file"), "name").alias("by"))
+    listed = exports.where("name <> '*'").join(bound, ["file", "local"], "left")
+    to = F.when(F.col("source").isNotNull(), F.struct(F.col("resolved").alias("file"), F.col("local").alias("name"))).otherwise(F.coalesce("by", F.struct("file", F.col("local").alias("name"))))
+    listed = cut(listed.select("file", "name", to.alias("next")).where("next.file is not null and not (file = next.file and name = next.name)"))
+    star = exports.where("name = '*' and resolved is not null and resolved <> file").select(F.col("file").alias("src"), F.col("resolved").alias("dst")).distinct()
+    onward = closure(star)
+    names = own.select("file", "name").unionByName(listed.select("file", "name")).distinct().where("name <> 'default' and not name like 'anonymous\\_L%'")
+    spread = onward.join(names.withColumnRenamed("file", "dst"), "dst").select(F.col("src").alias("file"), "name", F.struct(F.col("dst").alias("file"), "name").alias("next"), (F.col("distance") + 1).alias("rank"))
+    ways = listed.withColumn("rank", F.lit(1).cast("long")).unionByName(spread).join(own, ["file", "name"], "left_anti")
+    chosen = ways.groupBy("file", "name").agg(F.min(F.struct("rank", "next"))["next"].alias("next"))
+    node = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
+    pointers = chosen.select(node("file", "name").alias("node"), "next", F.lit(None).cast("string").alias("target")).unionByName(own.select(node("file", "name").alias("node"), F.lit(None).cast("struct<file:string,name:string>").alias("next"), F.col("id").alias("target")))
+    return follow(pointers).select("node.file", "node.name", F.col("target").alias("id")).where("id is not null")
+
+
+def with_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """calls(file, name, object) with callee_function_id and is_external, by symbols: a function of the file, else the one that an import of the name, or of the object, leads to, also through re-exports.
+
+    is_external: the name or object comes from an import that isn't local.
+    """
+    if exports is None:
+        exports = imports.sparkSession.createDataFrame([], "file string, name string, local string, source string, resolved string")
+    known = cut(exported_functions(functions, imports, exports))
+    own = known.join(functions.select("file", "id"), ["file", "id"], "left_semi").select("file", "name", F.col("id").alias("_own"))
     bound = imports.groupBy("file", F.col("imported_as").alias("_bound")).agg(F.first("resolved").alias("_to"), F.first("name").alias("_as"), F.first("is_local").alias("_local"))
     keyed = calls.withColumn("_bound", F.coalesce("object", "name")).join(bound, ["file", "_bound"], "left")
-    wanted = F.when(F.col("object").isNull() & ~F.coalesce(F.col("_as"), F.lit("default")).isin("default"), F.col("_as")).otherwise(F.col("name"))
-    there = at.select(F.col("file").alias("_to"), F.col("name").alias("_wanted"), F.col("at.id").alias("_there"))
-    found = keyed.withColumn("_wanted", wanted).join(there, ["_to", "_wanted"], "left").join(own, ["file", "name"], "left")
+    wanted = F.when(F.col("object").isNull() & F.col("_as").isNotNull(), F.col("_as")).otherwise(F.col("name"))
+    there = known.select(F.col("file").alias("_to"), F.col("name").alias("_wanted"), F.col("id").alias("_there"))
+    by_name = known.select(F.col("file").alias("_to"), "name", F.col("id").alias("_named"))  # a default import whose file exports a function of that name
+    found = keyed.withColumn("_wanted", wanted).join(there, ["_to", "_wanted"], "left").join(by_name, ["_to", "name"], "left").join(own, ["file", "name"], "left")
     local = F.when(F.col("object").isNull() | (F.col("object") == "this"), F.col("_own"))
-    return found.withColumn("callee_function_id", F.coalesce(local, "_there")).withColumn("is_external", F.coalesce(~F.col("_local"), F.lit(False))).drop("_bound", "_to", "_as", "_local", "_wanted", "_there", "_own")
+    fallback = F.when(F.col("object").isNull() & (F.col("_as") == "default"), F.col("_named"))
+    return found.withColumn("callee_function_id", F.coalesce(local, "_there", fallback)).withColumn("is_external", F.coalesce(~F.col("_local"), F.lit(False))).drop("_bound", "_to", "_as", "_local", "_wanted", "_there", "_named", "_own")
+
+
+def _call_sites(t: DataFrame) -> DataFrame:
+    """The brackets of calls, with name, object (this or a name right before it), first line and whether new stands before."""
+    member = F.col("p2").isin(".", "?.")
+    single = member & (F.col("pk3") == "name") & ~F.coalesce(F.col("p4").isin(".", "?."), F.lit(False))
+    obj = F.when(single, F.col("p3"))
+    made = F.when(member, F.when(obj.isNotNull(), F.col("p4") == "new")).otherwise(F.col("p2") == "new")
+    site = (F.col("text") == "(") & (F.col("kind") == "punct") & (F.col("pk1") == "name")
+    return t.where(site).select(
+        "file", "seq", "parent", "mate", F.col("mate_line").alias("end_line"), F.col("p1").alias("name"), obj.alias("object"), F.coalesce(member, F.lit(False)).alias("member"), F.coalesce(made, F.lit(False)).alias("made"),
+        F.when(obj.isNotNull(), F.col("pl3")).otherwise(F.col("pl1")).alias("line"), "col", *[f"p{i}" for i in range(2, 7)], "after",
+    )
 
 
-def extract_calls(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(file, start_line, pos, callee, name, object, type, is_callback, from): calls and constructors that aren't noise, with the function around them.
+def extract_calls(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(file, start_line, end_line, pos, callee, name, object, type, is_callback, from): calls and constructors that aren't noise, with the named function around them.
 
-    An identifier that is an argument of a call is a call of its own (callback), noise apart.
+    A call may go over lines. Its object is this or the name right before its own; a longer chain has none. An
+    identifier that is an argument of a call is a call of its own (callback), noise apart. pos: the column.
     """
-    lines = cut(source_lines(files)) if lines is None else lines
-    head = rf"((?:\bnew\s+)?{_ID}(?:\??\.{_ID})*)\s*\("
-    opened = F.regexp_extract_all("bare", F.lit(head), F.lit(1))
-    # An identifier right after a bracket or comma and before the next one is an argument; parameter lists stand before => or {.
-    handed = F.regexp_extract_all(F.regexp_replace("bare", r"\([^()]*\)\s*(?::[^={]+)?(?==>|\{)", " "), F.lit(rf"(?<=[\w$]\(|,)\s*({_ID})\s*(?=[,)])"), F.lit(1))
-    raw = F.concat(F.transform(opened, lambda x: F.struct(x.alias("raw"), F.lit(False).alias("is_callback"))), F.transform(F.array_distinct(handed), lambda x: F.struct(x.alias("raw"), F.lit(True).alias("is_callback"))))
-    c = lines.select("file", "line", "bare", F.posexplode(raw).alias("pos", "x")).select("file", "line", "bare", "pos", "x.*")
-    c = c.where(~F.col("is_callback") | ~F.col("bare").rlike(r"^\s*(import|export\s*\{)"))
-    c = c.withColumn("callee", F.replace(F.regexp_replace("raw", r"^new\s+", ""), F.lit("?."), F.lit(".")))
-    parts = F.split("callee", r"\.")
-    c = c.withColumn("name", F.element_at(parts, -1)).withColumn("object", F.when(F.size(parts) > 1, F.element_at(parts, -2)))
-    kind = F.when(F.col("is_callback"), "callback").when(F.col("raw").rlike(r"^new\s"), "constructor").when(F.col("object").isNotNull(), "member").otherwise("direct")
-    noise = F.coalesce(F.col("object").isNull() & F.col("name").isin(NOISE_GLOBALS + KEYWORDS + ["null", "undefined", "true", "false", "this"]), F.lit(False))
+    t = code_tokens(files) if found is None else found
+    sites = _call_sites(t)
+    method = F.coalesce(F.col("p2").isin("function", "*"), F.lit(False)) & ~F.col("member")
+    c = sites.where(~method & ~F.col("name").isin([k for k in KEYWORDS if k not in ("get", "set", "of")]) | F.col("member"))
+    heads = functions.where(F.col("type").isin("classMethod", "objectMethod", "getter", "setter")).select("file", (F.col("start_seq") + 1).alias("seq"))
+    c = c.join(heads, ["file", "seq"], "left_anti")
+    kind = F.when(F.col("made"), "constructor").when(F.col("member"), "member").otherwise("direct")
+    direct = c.select("file", "seq", "line", "end_line", "col", "name", "object", kind.alias("type"), F.lit(False).alias("is_callback"))
+    argument = (F.col("kind") == "name") & F.col("p1").isin("(", ",") & F.col("n1").isin(",", ")")
+    handed = t.where(argument).join(c.select("file", F.col("seq").alias("parent")), ["file", "parent"], "left_semi")
+    handed = handed.select("file", "seq", "line", F.col("line").alias("end_line"), "col", F.col("text").alias("name"), F.lit(None).cast("string").alias("object"), F.lit("callback").alias("type"), F.lit(True).alias("is_callback"))
+    c = direct.unionByName(handed).withColumn("callee", F.concat_ws(".", "object", "name"))
+    noise = F.coalesce(F.col("object").isNull() & F.col("name").isin(NOISE_GLOBALS + [k for k in KEYWORDS if k not in ("get", "set", "of")] + ["null", "undefined", "true", "false", "this"]), F.lit(False))
+    noise = noise & ((F.col("type") != "member") | F.col("name").isin(NOISE_GLOBALS))
     for obj, members in NOISE_MEMBERS.items():
         noise = noise | F.coalesce((F.col("object") == obj) & F.col("name").isin(members), F.lit(False))
-    c = c.withColumn("type", kind).where(~noise).drop("raw", "bare")
-    own = functions.select("file", F.col("start_line").alias("line"), F.element_at(F.split("name", r"\."), -1).alias("name"))
-    c = c.join(own, ["file", "line", "name"], "left_anti")
-    d = within(c, functions).withColumnsRenamed({"caller": "from", "line": "start_line"})
-    first = Window.partitionBy("file", "callee", "from", "start_line").orderBy("pos")
-    return d.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    d = caller_of(c.where(~noise), functions)
+    first = Window.partitionBy("file", "callee", "from", "line").orderBy("seq")
+    d = d.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return d.select("file", F.col("line").alias("start_line"), "end_line", F.col("col").alias("pos"), "callee", "name", "object", "type", "is_callback", "from")
 
 
-def extract_api_calls(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(file, start_line, lib, method, url, normalized_url, route_match_key, base_url, is_dynamic, from): fetch, axios and client instances."""
-    lines = cut(source_lines(files)) if lines is None else lines
-    base = rf"({_ID})\s*=\s*(?:await\s+)?{_ID}\.create\(\s*\{{[^}}]*baseURL\s*:\s*{_QUOTED}"
-    clients = lines.select("file", F.regexp_extract("code", base, 1).alias("client"), F.regexp_extract("code", base, 2).alias("base_url")).where("client <> ''").groupBy(F.col("file").alias("c_file"), "client").agg(F.first("base_url").alias("base_url"))
-    call = rf"(?:^|[^\w$.])(fetch|{_ID})(?:\.(get|post|put|patch|delete|head|options|request))?\s*\(\s*({_STRING})(.*)$"
-    x = lambda i: F.regexp_extract("code", call, i)
-    d = lines.select("file", "line", x(1).alias("lib"), x(2).alias("verb"), x(3).alias("raw"), x(4).alias("rest")).where("raw <> ''").join(clients, (F.col("client") == F.col("lib")) & (F.col("c_file") == F.col("file")), "left").drop("c_file")
-    d = d.where(((F.col("lib").isin("fetch", "axios")) | F.col("client").isNotNull()) & ((F.col("verb") != "") | F.col("lib").isin("fetch", "axios")))
-    template = F.col("raw").startswith("`") & F.col("raw").contains("${")
-    text = F.expr("substring(raw, 2, length(raw) - 2)")
-    url = F.when(template, F.concat(F.lit("dynamic:"), F.regexp_replace(text, r"\$\{[^}]*\}", ":param"))).otherwise(text)
-    literal = F.upper(F.regexp_extract("rest", rf"method\s*:\s*{_QUOTED}", 1))
-    method = F.when(F.col("verb") != "", F.upper("verb")).when(literal != "", literal).when(F.col("rest").rlike(r"method\s*:"), "DYNAMIC").otherwise("GET")
-    d = d.withColumn("url", merge_base_url(F.col("base_url"), url)).withColumn("method", method).withColumn("normalized_url", normalize_url(F.col("url")))
-    d = d.withColumn("route_match_key", route_match_key(F.col("normalized_url"))).withColumn("is_dynamic", F.col("url").startswith("dynamic:"))
-    return within(d.select("file", "line", "lib", "method", "url", "normalized_url", "route_match_key", "base_url", "is_dynamic"), functions).withColumnsRenamed({"caller": "from", "line": "start_line"})
+def http_clients(sites: DataFrame, options: DataFrame) -> DataFrame:
+    """(file, name, seq, base_url): names assigned from the create of a known client, which is axios or one of them, with their base URLs.
+
+    A client's parent is the last one of that name created before it (an as-of join within the file); its base URL
+    is merged into its own. Clients are resolved from axios on, a round for each level of inheritance.
+    """
+    name = F.when(F.col("p4") == "=", F.col("p5")).when((F.col("p4") == "await") & (F.col("p5") == "="), F.col("p6"))
+    made = sites.where((F.col("name") == "create") & F.col("object").isNotNull() & name.isNotNull()).select("file", "seq", name.alias("name"), F.col("object").alias("maker"))
+    base = options.where("key = 'baseURL' and idx = 0").select("file", F.col("call").alias("seq"), F.col("text").alias("own"))
+    made = cut(as_of(made.join(base, ["file", "seq"], "left"), made.select("file", "seq", "name", F.col("seq").alias("parent_seq")), "maker", "parent_seq"))
+    known = cut(made.where("parent_seq is null and maker = 'axios'").select("file", "name", "seq", F.nullif("own", F.lit("")).alias("base_url")))
+    while True:
+        above = known.select("file", F.col("seq").alias("parent_seq"), F.col("base_url").alias("above"))
+        more = made.join(above, ["file", "parent_seq"]).join(known.select("file", "seq"), ["file", "seq"], "left_anti")
+        more = cut(more.select("file", "name", "seq", F.when(F.coalesce("own", F.lit("")) != "", merge_base_url(F.col("above"), F.col("own"))).otherwise(F.col("above")).alias("base_url")))
+        if more.isEmpty():
+            return known
+        known = cut(known.unionByName(more))
+
+
+def as_of(uses: DataFrame, definitions: DataFrame, by: str, value: str) -> DataFrame:
+    """uses(file, seq, by) with value of the last of definitions(file, seq, name, value) of that name before it in its file.
+
+    Both are sorted together by file, name and place; a use takes what it follows, so no pairs are made.
+    """
+    u = uses.withColumn("_def", F.lit(False)).withColumn("name_", F.col(by))
+    d = definitions.select("file", "seq", F.col("name").alias("name_"), F.struct(F.col(value)).alias("_v"), F.lit(True).alias("_def"))
+    before = Window.partitionBy("file", "name_").orderBy("seq", F.col("_def").cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    both = u.unionByName(d, allowMissingColumns=True).withColumn("_found", F.last("_v", ignorenulls=True).over(before)).where("not _def")
+    return both.select(*uses.columns, F.col("_found")[value].alias(value))
+
+
+def resolved_url(toks: Column) -> Column:
+    """(url, is_dynamic, static_prefix) of an expression's tokens: a literal as it is, else dynamic: and what is known of it.
+
+    Of a template the holes are :param; an identifier is its name. Of a sum of two its literal parts, of a longer
+    one the last; anything else is unknown.
+    """
+    loose = ["?", "||", "&&", "??", "==", "===", "!=", "!==", "=", "=>", "<", ">", "<=", ">=", ":", "in", "instanceof"]
+    plus = F.filter(toks, lambda x: (x["text"] == "+") & (x["kind"] == "punct"))
+    others = F.exists(toks, lambda x: (x["kind"] != "string") & (x["kind"] != "template") & x["text"].isin(loose))
+    side = lambda keep: F.filter(toks, keep)
+    first = side(lambda x: x["seq"] < F.coalesce(F.get(plus, F.lit(0))["seq"], F.lit(1 << 30)))
+    last = side(lambda x: x["seq"] > F.coalesce(F.element_at(plus, -1)["seq"], F.lit(-1)))
+    head = lambda p: F.get(p, F.lit(0))
+    alone = lambda p: (F.size(p) == 1) | ((F.size(p) == 2) & (head(p)["kind"] == "template"))
+    literal = lambda p: F.when(alone(p) & ((head(p)["kind"] == "string") | ((head(p)["kind"] == "template") & ~head(p)["text"].contains("${}"))), head(p)["text"])
+    holes = F.when(alone(toks) & (head(toks)["kind"] == "template"), head(toks)["text"])
+    name = F.when(alone(toks) & (head(toks)["kind"] == "name"), head(toks)["text"])
+    summed = F.concat(F.when(F.size(plus) == 1, F.coalesce(literal(first), F.lit(""))).otherwise(F.lit("")), F.coalesce(literal(last), F.lit(":param")))
+    dynamic = F.when(F.size(plus) > 0, F.when(others, "unknown").otherwise(summed)).otherwise(F.coalesce(F.replace(holes, F.lit("${}"), F.lit(":param")), name, F.lit("unknown")))
+    fixed = F.when(F.size(plus) == 0, literal(toks))
+    prefix = F.coalesce(fixed, F.when((F.size(plus) == 1) & ~others, literal(first)), F.nullif(F.regexp_extract(holes, r"^(.*?)\$\{", 1), F.lit("")))
+    return F.struct(F.coalesce(fixed, F.concat(F.lit("dynamic:"), dynamic)).alias("url"), fixed.isNull().alias("is_dynamic"), prefix.alias("static_prefix"))
+
+
+def _options(t: DataFrame, arguments: DataFrame) -> DataFrame:
+    """(file, call, idx, key, toks, text): the entries of object literals that are arguments of calls; text of those that are a string."""
+    braces = arguments.where((F.get("toks", F.lit(0))["text"] == "{") & (F.size("toks") == 2)).select("file", F.col("parent").alias("call"), F.col("idx").alias("arg"), F.get("toks", F.lit(0))["seq"].alias("parent"))
+    e = segments(t, braces).join(braces, ["file", "parent"]).where(F.get("toks", F.lit(1))["text"] == ":")
+    rest = F.slice("toks", 3, F.greatest(F.size("toks") - 2, F.lit(0)))
+    only = F.when((F.size(rest) == 1) & (F.get(rest, F.lit(0))["kind"] == "string"), F.get(rest, F.lit(0))["text"])
+    return e.select("file", "call", F.col("arg").alias("idx"), F.get("toks", F.lit(0))["text"].alias("key"), rest.alias("toks"), only.alias("text"))
+
+
+def extract_api_calls(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(file, start_line, end_line, lib, method, method_is_dynamic, url, normalized_url, route_match_key, base_url, static_prefix, is_dynamic, from): fetch, axios and client instances.
+
+    fetch(url, {method}), client(url), client({url, method}) and client.verb(url), over any number of lines; URLs as
+    resolved_url has them, below the base URL of the client that the name stands for at that place.
+    """
+    t = code_tokens(files) if found is None else found
+    sites = cut(_call_sites(t))
+    verbs = [v for v in VERBS if v not in ("use", "all")] + ["request"]
+    creates = sites.where("name = 'create' and object is not null")
+    fetches = sites.where("name = 'fetch' and not member").withColumn("client", F.lit(None).cast("string"))
+    plain = sites.where("not member and not made and name <> 'fetch'").withColumn("client", F.col("name"))
+    members = sites.where(F.col("object").isNotNull() & F.lower("name").isin(verbs)).withColumn("client", F.col("object"))
+    named = sites.where("name = 'create'").select("file", F.coalesce(F.when(F.col("p4") == "=", F.col("p5")), F.col("p6")).alias("client")).unionByName(sites.select("file").distinct().withColumn("client", F.lit("axios"))).distinct()
+    uses = cut(fetches.unionByName(plain.unionByName(members).join(named, ["file", "client"], "left_semi").select(*fetches.columns)))
+    arguments = cut(segments(t, uses.unionByName(creates, allowMissingColumns=True).select("file", F.col("seq").alias("parent"))))
+    options = cut(_options(t, arguments))
+    clients = http_clients(sites, options)
+    d = as_of(uses, clients.select("file", "seq", "name", F.struct("base_url").alias("at")), "client", "at")
+    d = d.where((F.col("name") == "fetch") & ~F.col("member") | (F.col("client") == "axios") | F.col("at").isNotNull())
+    first = arguments.where("idx = 0").select("file", F.col("parent").alias("seq"), "toks")
+    given = options.where("key = 'url' and idx = 0").select("file", F.col("call").alias("seq"), F.col("toks").alias("url_toks"))
+    how = options.where("key = 'method'").select("file", F.col("call").alias("seq"), "idx", F.upper("text").alias("option"), F.lit(True).alias("has_option"))
+    bare = F.col("client").isNotNull() & ~F.col("member")
+    d = d.withColumn("idx", F.when(bare, F.lit(0)).otherwise(F.lit(1)).cast("long")).join(first, ["file", "seq"]).join(given, ["file", "seq"], "left").join(how, ["file", "seq", "idx"], "left")
+    object_ = F.get("toks", F.lit(0))["text"] == "{"
+    d = d.withColumn("u", resolved_url(F.when(bare & object_, F.col("url_toks")).otherwise(F.col("toks")))).where(~(bare & object_) | F.col("url_toks").isNotNull())
+    d = d.where(~bare | object_ | ~F.col("u.is_dynamic"))
+    from_option = F.when(F.col("has_option"), F.coalesce("option", F.when(bare, F.lit("GET")).otherwise(F.lit("DYNAMIC"))))
+    method = F.when(F.col("client").isNotNull() & F.col("member"), F.upper("name")).otherwise(F.coalesce(from_option, F.lit("GET")))
+    lib = F.when(F.col("client").isNull(), "fetch").when(F.col("client") == "axios", "axios").otherwise("axiosInstance")
+    base_url = F.when(F.col("client").isNotNull(), F.col("at.base_url"))
+    d = d.select("file", "seq", "line", "end_line", lib.alias("lib"), method.alias("method"), (method == "DYNAMIC").alias("method_is_dynamic"), merge_base_url(base_url, F.col("u.url")).alias("url"), base_url.alias("base_url"), "u.static_prefix", "u.is_dynamic")
+    d = d.withColumn("normalized_url", normalize_url(F.col("url"))).withColumn("route_match_key", route_match_key(F.col("normalized_url")))
+    d = caller_of(d, functions).withColumnRenamed("line", "start_line")
+    once = Window.partitionBy("file", "method", "normalized_url", "from", "start_line").orderBy("seq")
+    return d.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r", "seq")
 
 
 def router_names(lines: DataFrame) -> DataFrame:
@@ -228,18 +425,24 @@ def router_names(lines: DataFrame) -> DataFrame:
         known = cut(known.unionByName(more))
 
 
-def extract_routes(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(id, file, start_line, router, method, path, raw_path, base_path, handler, middleware, params): verbs on routers below their mount prefixes, and exported verbs of file-convention routes."""
+def extract_routes(files: DataFrame, functions: DataFrame, lines: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(id, file, start_line, router, method, path, raw_path, base_path, handler, middleware, params): verbs on routers below their mount prefixes, and exported verbs of file-convention routes.
+
+    A route may go over lines; its handlers are names, calls (by what is called) or inline.
+    """
     lines = cut(source_lines(files)) if lines is None else lines
-    call = rf"(?:^|[^\w$.])({_ID})\.({'|'.join(VERBS)})\s*\(\s*{_QUOTED}\s*,?\s*(.*)$"
-    x = lambda i: F.regexp_extract("code", call, i)
-    d = lines.select("file", "line", x(1).alias("router"), x(2).alias("verb"), x(3).alias("raw_path"), x(4).alias("rest")).where("router <> ''").join(router_names(lines), ["file", "router"], "left_semi")
-    mounted = rf"^({_ID})\s*\)"
-    mounts = d.where("verb = 'use'").select("file", F.regexp_extract("rest", mounted, 1).alias("router"), F.col("raw_path").alias("base_path")).where("router <> ''").distinct()
-    args = F.filter(F.transform(F.split(F.regexp_replace("rest", r"\)\s*;?\s*$", ""), r",\s*(?![^()]*\))"), lambda a: F.trim(a)), lambda a: a != "")
-    named = F.transform(args, lambda a: F.when(a.rlike(rf"^{_ID}(\.{_ID})*$"), a).otherwise(F.regexp_extract(a, rf"^({_ID}(?:\.{_ID})*)\(.*\)$", 1)))
-    named = F.transform(named, lambda a: F.coalesce(F.nullif(a, F.lit("")), F.lit("inline")))
-    d = d.join(mounts, ["file", "router"], "left").withColumn("path", join_paths(F.col("base_path"), F.col("raw_path"))).withColumn("_a", named)
+    t = code_tokens(files) if found is None else found
+    sites = _call_sites(t).where(F.col("name").isin(VERBS) & F.col("object").isNotNull()).withColumn("router", F.col("object")).join(router_names(lines), ["file", "router"], "left_semi")
+    args = segments(t, sites.select("file", F.col("seq").alias("parent"))).withColumn("u", resolved_url(F.col("toks")))
+    head = F.get("toks", F.lit(0))
+    dotted = F.array_join(F.transform("toks", lambda x: x["text"]), "")
+    called = F.array_join(F.transform(F.slice("toks", 1, F.greatest(F.size("toks") - 2, F.lit(0))), lambda x: x["text"]), "")
+    chain = rf"^{_ID}(\.{_ID})*$"
+    named = F.when(dotted.rlike(chain) & (head["kind"] == "name"), dotted).when((F.element_at("toks", -1)["text"] == ")") & called.rlike(chain), called).otherwise("inline")
+    args = args.groupBy("file", F.col("parent").alias("seq")).agg(F.max(F.when((F.col("idx") == 0) & ~F.col("u.is_dynamic"), F.col("u.url"))).alias("raw_path"), F.transform(F.sort_array(F.collect_list(F.when(F.col("idx") > 0, F.struct("idx", named.alias("a"))))), lambda x: x["a"]).alias("_a"))
+    d = cut(sites.withColumnRenamed("name", "verb").join(args, ["file", "seq"]).where("raw_path is not null").select("file", "line", "router", "verb", "raw_path", "_a"))
+    mounts = d.where("verb = 'use'").select("file", F.element_at(F.filter("_a", lambda a: a.rlike(rf"^{_ID}$") & (a != "inline")), -1).alias("router"), F.col("raw_path").alias("base_path")).where("router is not null").distinct()
+    d = d.join(mounts, ["file", "router"], "left").withColumn("path", join_paths(F.col("base_path"), F.col("raw_path")))
     d = d.withColumn("handler", F.when(F.size("_a") > 0, F.element_at("_a", -1))).withColumn("middleware", F.slice("_a", 1, F.greatest(F.size("_a") - 1, F.lit(0)))).withColumn("method", F.upper("verb"))
     cols = ["file", F.col("line").alias("start_line"), "router", "method", "path", "raw_path", "base_path", "handler", "middleware"]
     exported = functions.where("is_exported and upper(name) in ('GET','POST','PUT','PATCH','DELETE','HEAD','OPTIONS')").where(F.col("file").rlike(r"/(api|app)/|(^|/)route\.[jt]sx?$"))
@@ -267,22 +470,23 @@ def extract_events(files: DataFrame, lines: DataFrame | None = None) -> DataFram
     return d.select("file", "start_line", "pos", "event", "element", handler.alias("handler"), calls.alias("calls_inside"), computed.alias("is_dynamic"), conditional.alias("is_conditional"))
 
 
-#: The extractors by category; each takes (files, functions, lines). More can be added.
+#: The extractors by category; each takes (files, functions, lines, tokens). More can be added.
 EXTRACTORS = {
-    "functions": lambda files, functions, lines: functions,
-    "imports": lambda files, functions, lines: extract_imports(files, lines),
+    "functions": lambda files, functions, lines, found: functions,
+    "imports": lambda files, functions, lines, found: extract_imports(files, lines),
+    "exports": lambda files, functions, lines, found: extract_exports(files, found),
     "calls": extract_calls,
     "api_calls": extract_api_calls,
     "routes": extract_routes,
-    "ui_events": lambda files, functions, lines: extract_events(files, lines),
+    "ui_events": lambda files, functions, lines, found: extract_events(files, lines),
 }
 
 
 def extract_all(files: DataFrame) -> dict[str, DataFrame]:
-    """The fact tables of a source tree by category; lines and functions are found once for all."""
-    lines = cut(source_lines(files))
-    functions = cut(extract_functions(files, lines))
-    return {name: run(files, functions, lines) for name, run in EXTRACTORS.items()}
+    """The fact tables of a source tree by category; lines, tokens and functions are found once for all."""
+    lines, found = cut(source_lines(files)), code_tokens(files)
+    functions = cut(extract_functions(files, lines, found))
+    return {name: run(files, functions, lines, found) for name, run in EXTRACTORS.items()}
 
 
 def extractor_counts(tables: dict[str, DataFrame], errors: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.operators.sweep import stab
+
 #: Names that end a scan's way, and the extensions of source files.
 IGNORED = ["node_modules", ".git", "dist", "build", "coverage", ".next", "out", "public", ".cache"]
 EXTENSIONS = [".js", ".jsx", ".ts", ".tsx"]
@@ -52,10 +54,9 @@ def inside_root(path: Column, root: str) -> Column:
 
 
 def covering(elements: DataFrame, points: DataFrame) -> DataFrame:
-    """points(file, line) with the outermost of elements(file, start_line, end_line, depth) around the line, or the whole file (null ends)."""
-    hit = points.join(elements, "file").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    best = hit.groupBy("file", "line").agg(F.min_by(F.struct("start_line", "end_line"), F.struct("depth", "start_line")).alias("e"))
-    return points.join(best.select("file", "line", "e.*"), ["file", "line"], "left")
+    """points(file, line) with the outermost of elements(file, start_line, end_line) around the line, or the whole file (null ends); by one sweep."""
+    hit = stab(points, elements, "file", "line", "start_line", "end_line", F.lit(None), innermost=False)
+    return hit.withColumn("start_line", F.col("hit_start").cast("int")).withColumn("end_line", F.col("hit_end").cast("int")).drop("hit_start", "hit_end", "hit_name")
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
