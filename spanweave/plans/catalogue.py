@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.functions import scalars as S
-from spanweave.operators import facts, graph, linker, resolve, spans, stats, trace
+from spanweave.operators import facts, graph, linker, pointers, resolve, spans, stats, sweep, trace
 from spanweave.session import table
-from spanweave.sources.files import line_slice, lines
+from spanweave.sources.extract import as_of
+from spanweave.sources.files import covering, line_slice, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,11 +194,62 @@ def code_slice(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(lines(F.col("text"))).alias("n_lines"), line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("code"))
 
 
-@query("""SELECT i, raw, owner, repo FROM (VALUES (0, 'git@github.com:a/b.git', 'a', 'b'), (1, 'https://www.github.com/a/b-c/tree?x#y', 'a', 'b-c'), (2, 'github.com/O_o/r.js', 'O_o', 'r.js'),
-(3, 'https://example.com/a/b', NULL, NULL), (4, 'github.com/a', NULL, NULL), (5, 'www.github.com/a/b?z', 'a', 'b'), (6, 'https://github.com/a b/c', NULL, NULL)) AS t(i, raw, owner, repo)""")
+_REPO_SQL = """raws AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.github.com' || path || '?x#y' WHEN 1 THEN 'git@github.com:' || substr(path, 2) || '.git' WHEN 2 THEN url ELSE 'github.com' || path END AS raw,
+ list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
+named AS (SELECT page_id, raw, parts[1] || CASE WHEN page_id % 4 = 1 AND len(parts) = 1 THEN '.git' ELSE '' END AS owner, regexp_replace(parts[2], '[.]git$', '', 'i') AS repo FROM raws),
+judged AS (SELECT *, page_id % 4 <> 2 AND regexp_matches(owner, '^[A-Za-z0-9_.-]+$') AND regexp_matches(repo, '^[A-Za-z0-9_.-]+$') AS good FROM named)"""
+
+
+@query(f"WITH {_ROUTES_SQL}, {_REPO_SQL} SELECT page_id, raw, CASE WHEN good THEN owner END AS owner, CASE WHEN good THEN repo END AS repo FROM judged")
 def repo_url_parse(spark, d):
-    raw = ["git@github.com:a/b.git", "https://www.github.com/a/b-c/tree?x#y", "github.com/O_o/r.js", "https://example.com/a/b", "github.com/a", "www.github.com/a/b?z", "https://github.com/a b/c"]
-    return spark.createDataFrame(list(enumerate(raw)), "i int, raw string").withColumn("r", S.parse_repo_url(F.col("raw"))).select("i", "raw", "r.owner", "r.repo")
+    """Pages' paths as repositories in the ways that a repository is written, every fourth on another host."""
+    n, path = F.col("page_id") % 4, F.col("path")
+    raw = F.when(n == 0, F.concat(F.lit("https://www.github.com"), path, F.lit("?x#y"))).when(n == 1, F.concat(F.lit("git@github.com:"), F.expr("substring(path, 2)"), F.lit(".git"))).when(n == 2, F.col("url")).otherwise(F.concat(F.lit("github.com"), path))
+    return _paths(spark, d).withColumn("raw", raw).withColumn("r", S.parse_repo_url(F.col("raw"))).select("page_id", "raw", "r.owner", "r.repo")
+
+
+# Places in code: a user's events in the order of their ids are a file's lines.
+
+
+_PLACES_SQL = "f AS (SELECT user_id, event_id AS a, event_id + 40 + event_id % 700 AS z FROM events WHERE event_type = 'purchase')"
+
+
+def _places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("file"), F.col("event_id").alias("line")), e.where("event_type = 'purchase'").select(F.col("user_id").alias("file"), F.col("event_id").alias("start_line"), (F.col("event_id") + 40 + F.col("event_id") % 700).alias("end_line"))
+
+
+@query(f"WITH {_PLACES_SQL} SELECT e.user_id AS file, event_id AS line, max(a)::BIGINT AS start_line FROM events e LEFT JOIN f ON e.user_id = f.user_id AND event_id BETWEEN a AND z GROUP BY ALL")
+def innermost_interval(spark, d):
+    points, intervals = _places(spark, d)
+    return sweep.stab(points, intervals, "file", "line", "start_line", "end_line", F.lit(None)).select("file", "line", F.col("hit_start").alias("start_line"))
+
+
+@query(f"WITH {_PLACES_SQL} SELECT e.user_id AS file, event_id AS line, min(a)::INT AS start_line, arg_min(z, a)::INT AS end_line FROM events e LEFT JOIN f ON e.user_id = f.user_id AND event_id BETWEEN a AND z GROUP BY ALL")
+def covering_element(spark, d):
+    points, intervals = _places(spark, d)
+    return covering(intervals, points)
+
+
+@query("""SELECT c.event_id, p.event_id AS definition FROM (SELECT * FROM events WHERE event_type = 'click') c
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.event_id > p.event_id""")
+def last_definition(spark, d):
+    """The last assignment before each use of a name."""
+    e = table(spark, d, "events").select(F.lit("one").alias("file"), F.col("event_id").alias("seq"), F.col("user_id").alias("name"), F.col("event_id").alias("definition"), "event_type")
+    uses, definitions = e.where("event_type = 'click'").select("file", "seq", "name"), e.where("event_type = 'purchase'").select("file", "seq", "name", "definition")
+    return as_of(uses, definitions, "name", "definition").select(F.col("seq").alias("event_id"), "definition")
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), c AS (SELECT c_custkey, CASE WHEN c_acctbal > 8000 THEN NULL ELSE c_custkey * 31 % n + 1 END AS next FROM customer, n),
+w(src, here) AS (SELECT c_custkey, c_custkey FROM c UNION SELECT src, next FROM w JOIN c ON here = c_custkey WHERE next IS NOT NULL)
+SELECT c.c_custkey AS node, t.here AS target FROM c LEFT JOIN (SELECT src, here FROM w JOIN c ON here = c_custkey WHERE next IS NULL) t ON t.src = c.c_custkey""")
+def alias_targets(spark, d):
+    """Chains of aliases, some in circles: a customer stands for another one until one has enough on their account."""
+    c = table(spark, d, "customer")
+    n = F.broadcast(c.agg(F.count("*").alias("n")))
+    end = F.col("c_acctbal") > 8000
+    chain = c.join(n).select(F.col("c_custkey").alias("node"), F.when(~end, F.col("c_custkey") * 31 % F.col("n") + 1).alias("next"), F.when(end, F.col("c_custkey")).alias("target"))
+    return pointers.follow(chain)
 
 
 # Facts.
@@ -224,10 +276,10 @@ def route_duplicates(spark, d):
     return facts.later_rows(_paths(spark, d).select(_template(F.col("path")).alias("path"), "page_id"), ["path"], ["page_id"])
 
 
-@query("SELECT role AS key, array_to_string(list(turn ORDER BY conv_id, turn), ',') AS turns FROM conversations GROUP BY role")
+@query("SELECT conv_id AS key, array_to_string(list(role ORDER BY turn), ',') AS turns FROM conversations GROUP BY conv_id")
 def grouped_in_order(spark, d):
-    g = facts.grouped(table(spark, d, "conversations"), "role", "turn", ["conv_id", "turn"])
-    return g.select(F.col("role").alias("key"), F.array_join(F.col("values").cast("array<string>"), ",").alias("turns"))
+    g = facts.grouped(table(spark, d, "conversations"), "conv_id", "role", ["turn"])
+    return g.select(F.col("conv_id").alias("key"), F.array_join(F.col("values").cast("array<string>"), ",").alias("turns"))
 
 
 @query("SELECT source AS file, lang AS category, count(*) AS n FROM documents GROUP BY source, lang")
