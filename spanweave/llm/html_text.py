@@ -47,6 +47,7 @@ LAYOUT = {
     "section", "site", "slot", "sticky", "stories", "text", "title", "to", "tools", "top", "unit", "us", "wrap", "wrapper",
 }
 HEADS = {"header", "masthead"}
+_MARKS = LIKELY | LAYOUT | SURE | HEADS
 #: Of the marks, what readers wrote; they can be longer than the article.
 COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 WITH = {"no", "has", "with", "without"}
@@ -76,7 +77,11 @@ class _Element:
         body = tag in ("body", "html", "article", "main")
         self.never = (parent is not None and parent.never) or tag in NEVER
         likely = [own for own in names if not LIKELY.isdisjoint(own)]
-        sure = bool(words & SURE) or any(LIKELY.union(LAYOUT, SURE, HEADS).issuperset(own) for own in likely)
+        if self.inside:  # a word marks only with nothing but layout beside it, and a likely one only by its links
+            likely = [own for own in names if not LIKELY.union(SURE).isdisjoint(own)]
+            sure = any(_MARKS.issuperset(own) and not SURE.isdisjoint(own) or _MARKS.issuperset(own) and len(own) > 1 for own in likely)
+        else:
+            sure = bool(words & SURE) or any(_MARKS.issuperset(own) for own in likely)
         self.mark = tag == "form" or (not body and sure) or (head and not self.inside)
         self.maybe = not self.mark and not body and bool(likely)
         self.remarks = (parent is not None and parent.remarks) or (not body and bool(words & COMMENTS))

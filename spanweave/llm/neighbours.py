@@ -237,8 +237,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, certainty: float
     sample = [np.array(r[0], dtype=float) for r in points.sample(min(1.0, SAMPLE / max(n, 1)), seed).select("embedding").limit(2 * SAMPLE).collect()]
     fitted = np.array([x @ directions(len(x), seed) for x in sample]).reshape(-1, PROJECTED)
     planes = Planes(fitted, min(CELLS, math.ceil(n / block)))
-    kept = "cid long, first long, embedding array<float>, proj array<double>, size int, cell int"
-    celled = lambda d: d.select("cid", "first", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_celled(seed, planes), kept)
+    number = "float" if dict(points.dtypes)["embedding"] == "array<float>" else "double"  # floats are moved as they are
+    kept = f"cid long, first long, embedding array<{number}>, proj array<double>, size int, cell int"
+    celled = lambda d: d.select("cid", "first", F.col("embedding").cast(f"array<{number}>").alias("embedding")).mapInArrow(_celled(seed, planes), kept)
     cells = staged(celled(points), "cells")
     queries = v.where(F.col("vec_id") % every == 0)
     asked = staged(celled(queries.select("embedding").distinct().withColumn("cid", F.xxhash64("embedding")).withColumn("first", F.lit(0).cast("long"))), "queries")
@@ -265,7 +266,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, certainty: float
     home = meet(asked.withColumn("bound", F.lit(float("inf"))).withColumn("block", F.lit(0)))
     bounds = home.groupBy("qid").agg(F.sort_array(F.collect_list("dist")).alias("d")).select(F.col("qid").alias("cid"), F.coalesce(F.get("d", F.lit(k)), F.lit(float("inf"))).alias("bound"))
     more = asked.join(bounds, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    others = more.mapInArrow(_elsewhere(boxes, limit), "cid long, first long, embedding array<float>, proj array<double>, size int, bound double, cell int")
+    others = more.mapInArrow(_elsewhere(boxes, limit), f"cid long, first long, embedding array<{number}>, proj array<double>, size int, bound double, cell int")
     others = others.join(F.broadcast(blocks), ["size", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     rest = more.join(F.broadcast(blocks), ["size", "cell"]).where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).drop("blocks")
     found = home.unionByName(meet(others.unionByName(rest)))

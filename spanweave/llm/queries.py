@@ -115,7 +115,7 @@ x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM k WHERE (doc_i
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed_lines,
              coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS text
       FROM l LEFT JOIN x USING (doc_id, pos) GROUP BY l.doc_id)
-SELECT doc_id, text, n_lines, n_removed_lines FROM o
+SELECT doc_id, text, n_lines, n_removed_lines FROM o UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
 

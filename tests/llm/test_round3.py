@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spanweave.llm import byte_pairs, hard_negatives, prefix_trie
 from spanweave.llm import queries as Q
+from spanweave.llm.html_text import extract_text
+from spanweave.llm.neighbours import nearest
 from spanweave.llm.tokens import tokenizer_path
 
 VOCABULARY = tokenizer_path("byte_bpe_multi_50k.tiktoken")
@@ -206,3 +208,21 @@ def test_zone_maps_skip_blocks(spark):
     finally:
         hard_negatives.Candidates._read = real
     assert asked[True] < 0.35 * asked["all"] and asked[False] < 0.7 * asked["all"], asked
+
+
+def test_words_of_names_inside_the_article(spark):
+    """A word alone, or beside words about something else, drops nothing inside an article; with layout or only marks it does."""
+    text = "A long paragraph of the article itself, with enough words to be read as such. " * 4
+    kept = ["cookie-recipe", "informed-consent", "navigation-history", "modal-logic", "ad-hoc", "related", "form"]
+    gone = ["ad", "ads banner", "cookie-banner", "newsletter-box", "comments", "share-buttons", "related-posts"]
+    page = lambda c: f"<html><body><article><p>{text}</p><section class='{c}'><p>The part in question.</p></section></article></body></html>"
+    d = spark.createDataFrame([(i, f"http://h{i}.com/x", page(c)) for i, c in enumerate(kept + gone)], "page_id long, url string, html string")
+    got = {r["page_id"]: "part in question" in r["text"] for r in extract_text(d).collect()}
+    assert {c for i, c in enumerate(kept + gone) if got[i]} == set(kept)
+
+
+def test_neighbours_of_double_vectors(spark):
+    """Distances are of the vectors as they are given, also where floats can't hold them."""
+    v = {0: [1.0, 0.0], 1: [1.0 + 1e-12, 0.0], 2: [1.2, 0.0], 3: [1e39, 0.0], 4: [1.0, 0.3]}
+    got = {r["vec_id"]: r["score"] for r in nearest(spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: float(np.sqrt(((np.array(x) - np.array(v[0])) ** 2).sum())) for i, x in v.items() if i}
