@@ -113,9 +113,12 @@ def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph_json(d.join(numbered, "node").select(F.col("num").alias("id"), "label", "type", "file", "start_line", own.alias("live_id")), links)
 
 
-def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None, store: TraceStore | None = None) -> StreamingQuery:
+def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None, store: TraceStore | None = None, prefix: str = "static") -> StreamingQuery:
     """Run bodies(value) through a session; sink gets ("spans" | "root" | "graph" | "pulse_batch", DataFrame) of each batch.
 
+    prefix: of the attributes with a span's place (prefix.file, prefix.line, prefix.function). Where a batch fails the
+    session is as it was before, so that the batch's next run finds the same root.
+
     With trace, a detected root is followed by its flow's graph; where tracing fails, ("graph_error", its message) is
     sent, the stream goes on and the session stays disarmed. With store, each batch's spans are added to it.
     """
@@ -127,7 +130,8 @@ def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trac
             sink("graph_error", spark.createDataFrame([(root["root_name"], str(e)[:500])], "root_name string, error string"))
 
     def batch(df: DataFrame, number: int) -> None:
-        spans = with_static(flatten_otlp(df)).persist()
+        spans = with_static(flatten_otlp(df), prefix).persist()
+        before = (session.armed, session.handled, list(session.roots))
         try:
             if store is not None:
                 store.add(spans, number)
@@ -138,6 +142,9 @@ def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trac
                 if trace is not None:
                     follow(df.sparkSession, root)
             sink("pulse_batch", pulses(spans))
+        except Exception:
+            session.armed, session.handled, session.roots[:] = before
+            raise
         finally:
             spans.unpersist()
 
