@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: The columns without which a fact of a category is an error, and the columns that identify it in its file.
-REQUIRED = {"functions": ["name", "startLine"], "calls": ["callee", "startLine"], "api_calls": ["url", "startLine"], "routes": ["method", "path"], "ui_events": ["event", "startLine"], "imports": ["source"]}
-IDENTITY = {"functions": ["id"], "calls": ["calleeFunctionId", "callee", "startLine", "endLine"], "api_calls": ["method", "normalizedUrl", "startLine"], "routes": ["id"], "ui_events": ["event", "startLine"], "imports": ["source", "importedAs"]}
+REQUIRED = {"functions": ["name", "start_line"], "calls": ["callee", "start_line"], "api_calls": ["url", "start_line"], "routes": ["method", "path"], "ui_events": ["event", "start_line"], "imports": ["source"]}
+IDENTITY = {"functions": ["id"], "calls": ["callee_function_id", "callee", "start_line", "end_line"], "api_calls": ["method", "normalized_url", "start_line"], "routes": ["id"], "ui_events": ["event", "start_line"], "imports": ["source", "imported_as"]}
 
 
 def first_wins(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -29,14 +31,30 @@ def split_valid(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFram
 
 
 def collect_facts(df: DataFrame, category: str, order: list[str] = ["row_ord"]) -> tuple[DataFrame, DataFrame]:  # noqa: B006
-    """(valid rows, first of each identity in its file; errors). A row without startLine takes line."""
-    if "line" in df.columns and "startLine" in df.columns:
-        df = df.withColumn("startLine", F.coalesce("startLine", "line"))
+    """(valid rows, first of each identity in its file; errors). A row without start_line takes line. Names may be in camel case."""
+    snake = {c: re.sub(r"(?<=[a-z])[A-Z]", lambda m: "_" + m.group().lower(), c) for c in df.columns}
+    df = df.withColumnsRenamed(snake)
+    if "line" in df.columns and "start_line" in df.columns:
+        df = df.withColumn("start_line", F.coalesce("start_line", "line"))
     valid, errors = split_valid(df, REQUIRED[category])
     keys: list[str | Column] = [c for c in IDENTITY[category] if c in df.columns]
-    if category == "calls":  # a resolved callee is one fact of its file, whatever its place
-        keys = [F.coalesce("calleeFunctionId", F.concat_ws(":", "callee", "startLine", "endLine"))]
-    return first_wins(valid, ["file", *keys], order), errors
+    if category == "calls" and "callee_function_id" in df.columns:  # a resolved callee is one fact of its file, whatever its place
+        keys = [F.coalesce("callee_function_id", F.concat_ws(":", "callee", "start_line", "end_line"))]
+    back = {v: k for k, v in snake.items()}
+    return first_wins(valid, ["file", *keys], order).withColumnsRenamed(back), errors.withColumnsRenamed(back)
+
+
+def collect_all(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables of valid facts, each once in its file; errors(category, file, entry, reason)) of the extractors' tables; other categories go through."""
+    out, errors = dict(tables), None
+    for category in REQUIRED:
+        if category in tables:
+            d = tables[category]
+            place = [c for c in ("start_line", "pos", "start_seq") if c in d.columns]
+            out[category], bad = collect_facts(d, category, [*place, *sorted(set(d.columns) & {"id", "name", "url", "source", "imported_as"})])
+            bad = bad.select(F.lit(category).alias("category"), "file", F.to_json(F.struct(*d.columns)).alias("entry"), "reason")
+            errors = bad if errors is None else errors.unionByName(bad)
+    return out, errors
 
 
 def summary(facts: dict[str, DataFrame]) -> DataFrame:

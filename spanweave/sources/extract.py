@@ -7,6 +7,9 @@ are what they are called, and a URL is what resolved_url makes of its expression
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -489,11 +492,49 @@ def extract_all(files: DataFrame) -> dict[str, DataFrame]:
     return {name: run(files, functions, lines, found) for name, run in EXTRACTORS.items()}
 
 
+def per_file(extract_file: Callable[[str, str], Iterable[tuple]], schema: str) -> Callable[..., DataFrame]:
+    """An extractor of a function from (path, content) to rows of schema, which has no column file or error.
+
+    It gives (file, schema, error): a file at which the function fails gives one row with the error and no others.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    found = [(path, *r, None) for r in extract_file(path, content or "")]
+                except Exception as e:
+                    found = [(path, *[None] * len(names), f"{type(e).__name__}: {e}"[:500])]
+                yield pd.DataFrame(found, columns=["file", *names, "error"])
+
+    return lambda files, functions, lines, found: files.select("path", "content").mapInPandas(rows, f"file string, {schema}, error string")
+
+
+def extract_alone(files: DataFrame, extractors: dict[str, Callable[..., DataFrame]] | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables, errors(file, error)) by extractor: one that fails, as a whole (a null file) or at a file, leaves the others alone."""
+    lines, found = cut(source_lines(files)), code_tokens(files)
+    functions = cut(extract_functions(files, lines, found))
+    tables, errors = {}, {}
+    for name, run in (EXTRACTORS if extractors is None else extractors).items():
+        try:
+            d = run(files, functions, lines, found)
+        except Exception as e:
+            errors[name] = files.sparkSession.createDataFrame([(None, f"{type(e).__name__}: {e}"[:500])], "file string, error string")
+            continue
+        if "error" in d.columns:
+            d = cut(d)
+            errors[name], d = d.where("error is not null").select("file", "error"), d.where("error is null").drop("error")
+        tables[name] = d
+    return tables, errors
+
+
 def extractor_counts(tables: dict[str, DataFrame], errors: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(extractor, rows, errors): how many rows each gave, and how many of them were refused."""
+    """(extractor, rows, errors): how many rows each gave, and how many errors; one that gave no table has 0 rows."""
     out = None
-    for name, d in tables.items():
+    for name in [*tables, *(n for n in errors or {} if n not in tables)]:
         bad = (errors or {}).get(name)
+        d = tables[name] if name in tables else bad.limit(0)
         one = d.agg(F.count("*").alias("rows")).select(F.lit(name).alias("extractor"), "rows")
         one = one.join(F.broadcast(bad.agg(F.count("*").alias("errors")))) if bad is not None else one.withColumn("errors", F.lit(0).cast("long"))
         out = one if out is None else out.unionByName(one)

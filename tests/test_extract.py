@@ -233,3 +233,33 @@ def test_chains_and_circles(spark):
     assert got == {**dict.fromkeys(range(501), "end"), 600: None, 601: None, 700: None}
     pairs = {tuple(r) for r in closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src int, dst int")).collect()}
     assert pairs == {(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 1, 2), (2, 4, 2), (3, 1, 1), (3, 2, 2), (3, 4, 1)}
+
+
+def test_extractors_fail_alone(spark):
+    files = spark.createDataFrame([("a.js", "go();\n"), ("b.js", "bad"), ("c.js", None)], "path string, content string")
+
+    def words(path, content):
+        if content == "bad":
+            raise ValueError("no such code")
+        return [(w, len(w)) for w in content.split()]
+
+    def broken(*a):
+        raise KeyError("whole")
+
+    tables, errors = X.extract_alone(files, {**X.EXTRACTORS, "words": X.per_file(words, "word string, size int"), "broken": broken})
+    assert set(tables) == {*X.EXTRACTORS, "words"} and [tuple(r) for r in tables["words"].collect()] == [("a.js", "go();", 5)]
+    assert {(n, r["file"], r["error"]) for n, d in errors.items() for r in d.collect()} == {("words", "b.js", "ValueError: no such code"), ("broken", None, "KeyError: 'whole'")}
+    counts = {r["extractor"]: (r["rows"], r["errors"]) for r in X.extractor_counts(tables, errors).collect()}
+    assert counts["calls"] == (1, 0) and counts["words"] == (1, 1) and counts["broken"] == (0, 1)
+
+
+def test_facts_through_the_collector(spark):
+    from spanweave.operators.facts import collect_all
+
+    files = spark.createDataFrame([("a.js", "function f() { g(1); g(2); fetch('/x'); }\nfunction f() {}\nfetch('');\n")], "path string, content string")
+    t = X.extract_all(files)
+    t["calls"] = X.with_callees(t["calls"], t["functions"], t["imports"], t["exports"])
+    none = t["routes"].limit(0).unionByName(spark.createDataFrame([("a.js", "GET")], "file string, method string"), allowMissingColumns=True)
+    facts, errors = collect_all({**t, "routes": none})
+    assert {k: d.count() for k, d in facts.items()} == {"functions": 2, "imports": 0, "exports": 0, "calls": 3, "api_calls": 1, "routes": 0, "ui_events": 0}
+    assert {(r["category"], r["file"], r["reason"]) for r in errors.collect()} == {("routes", "a.js", "missing path"), ("api_calls", "a.js", "missing url")}

@@ -143,3 +143,16 @@ def test_newest_answer_wins(spark):
     rows = [("c", 2, 20, "new"), ("c", 1, 10, "late and old"), ("d", 1, 5, "only")]
     got = state.newest(spark.createDataFrame(rows, "client string, request int, asked_at int, answer string")).collect()
     assert {r["client"]: r["answer"] for r in got} == {"c": "new", "d": "only"}
+
+
+def test_answers_within_the_watermark(spark, tmp_path):
+    """Copies of an answer are one; the newest request's answer stays when an older one comes later."""
+    (tmp_path / "in").mkdir()
+    said = lambda n, *rows: (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("client", "request", "asked_at", "answer"), r, strict=True))) for r in rows))
+    stream = lambda: state.latest_answers(spark.readStream.schema("client string, request long, asked_at timestamp, answer string").json(str(tmp_path / "in")))
+    said(0, ("c", 2, "2024-01-01T00:02:00Z", "new"), ("c", 2, "2024-01-01T00:02:00Z", "new"))
+    run(stream(), tmp_path, "answers")
+    said(1, ("c", 1, "2024-01-01T00:01:00Z", "old"), ("c", 2, "2024-01-01T00:02:00Z", "new"))
+    run(stream(), tmp_path, "answers")
+    table = spark.read.parquet(f"{tmp_path}/answers/b=*")
+    assert sorted(r["request"] for r in table.collect()) == [1, 2] and [r["answer"] for r in state.newest(table).collect()] == ["new"]
