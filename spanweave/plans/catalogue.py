@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from spanweave.functions import scalars as S
 from spanweave.operators import facts, graph, linker, pointers, resolve, spans, stats, sweep, trace
+from spanweave.plans.incremental import refresh
 from spanweave.session import table
 from spanweave.sources.extract import as_of
 from spanweave.sources.files import covering, line_slice, lines
@@ -301,12 +302,24 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, caller O
   'src/' || lower(p_brand) || '/' || (p_size + l_linenumber % 3) || '.js' AS caller FROM lineitem JOIN part ON l_partkey = p_partkey), q AS (SELECT DISTINCT name, caller FROM a), {_BEST_SQL}
 SELECT ref_id, b.id AS function_id, b.rank::INT AS rank FROM a LEFT JOIN best b USING (name, caller)""")
 def resolve_ranked(spark, d):
+    return resolve.resolve_functions(_references(spark, d), _functions(spark, d)).select("ref_id", "function_id", "rank")
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     name = F.concat(F.when(n % 2 == 0, F.concat(F.split("p_type", " ")[0], F.lit("."))).otherwise(""), "p_brand")
     caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + n % 3).cast("string"), F.lit(".js"))
-    refs = x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), name.alias("name"), caller.alias("caller_file")).distinct()
-    return resolve.resolve_functions(refs, _functions(spark, d)).select("ref_id", "function_id", "rank")
+    return x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), name.alias("name"), caller.alias("caller_file")).distinct()
+
+
+@query(SQL["resolve_ranked"])
+def resolve_refreshed(spark, d):
+    """What was resolved without the files of size 7, renewed when they come: as if all were resolved at once."""
+    refs, functions = _references(spark, d), _functions(spark, d)
+    added = F.col("file").endswith("/7.js")
+    old = functions.where(~added)
+    return refresh(resolve.resolve_functions(refs, old), refs, old, functions, functions.where(added).select("file").distinct()).select("ref_id", "function_id", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
