@@ -16,6 +16,8 @@ SKIP_NAMES = [
     "has", "get", "set", "add", "delete", "clear",
 ]
 ALLOWED_EXTERNALS = ["axios", "fetch", "mongoose", "prisma"]
+#: Most shapes of route patterns that are broadcast; more are joined by shuffling.
+MOST_SHAPES = 10_000
 
 
 def _segments(path: Column) -> Column:
@@ -122,9 +124,10 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     patterned = r.where(F.contains("path", F.lit(":"))).select("*", F.transform(parts, named).alias("shape"), F.array_join(F.filter(parts, lambda x: ~named(x)), "/").alias("literals"), route_pattern(F.col("path")).alias("pattern"))
     firsts = patterned.groupBy("shape", "literals", "pattern", "r_method").agg(F.min(F.struct("ord", "route_id")).alias("f")).select("shape", "literals", "pattern", "r_method", "f.ord", "f.route_id")
     shapes = patterned.select("shape", F.size("shape").alias("depth")).distinct()
+    shapes = F.broadcast(shapes) if shapes.limit(MOST_SHAPES + 1).count() <= MOST_SHAPES else shapes
     segments = F.split("clean", "/")
     literal = F.array_join(F.transform(F.filter(F.arrays_zip(segments.alias("s"), F.col("shape").alias("n")), lambda x: ~x["n"]), lambda x: x["s"]), "/")
-    shaped = c.withColumn("depth", F.size(segments)).join(F.broadcast(shapes), "depth").withColumn("literals", literal)
+    shaped = c.withColumn("depth", F.size(segments)).join(shapes, "depth").withColumn("literals", literal)
     by_pattern = shaped.join(firsts, ["shape", "literals"]).where(F.rlike("clean", F.col("pattern")) & (F.col("asked").isNull() | same | F.col("r_method").isin("ANY", "ALL")))
     by_pattern = by_pattern.withColumn("rank", F.lit(2)).withColumn("level", F.lit(0))
     full = F.array_remove(segments, "")

@@ -218,3 +218,13 @@ def test_backward_layout(spark):
         got = {r["node"]: (r["level"], r["y"]) for r in rows.collect()}
         assert {k: v for k, (v, _) in got.items()} == {"a": 0, "x": 1, "b": 1, "d": 1, "c": 2}
         assert got["a"][1] > got["b"][1] > got["c"][1] == 0 and edges.count() == 4
+
+
+def test_match_routes_by_shuffled_shapes(spark, monkeypatch):
+    """More shapes than are broadcast give the same matches."""
+    routes = spark.createDataFrame([("r1", "GET", "/a/:id", 1), ("r2", "POST", "/:x/b", 2), ("r3", "ANY", "/a/:id/c/:n", 3)], "route_id string, method string, path string, ord int")
+    calls = spark.createDataFrame([("c1", "GET", "/a/7"), ("c2", "POST", "/q/b"), ("c3", "PUT", "/a/1/c/2"), ("c4", "GET", "/none")], "call_id string, method string, url string")
+    want = {"c1": "r1", "c2": "r2", "c3": "r3", "c4": None}
+    for most in (10_000, 0):
+        monkeypatch.setattr(resolve, "MOST_SHAPES", most)
+        assert {r["call_id"]: r["route_id"] for r in resolve.match_routes(calls, routes).collect()} == want
