@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.licence_texts import TEMPLATES, full_texts
 from spanweave.llm.staging import let
 
-#: Templates with more bigrams than this are found by their densest run.
-LONG = 300
 UNITS = ["line", "paragraph", "text", "run"]
 _MATCH = "struct<dice:double,template:int,unit:int,pos:int>"
 
@@ -84,61 +85,95 @@ def _listed(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def _runs(text: Column, threshold: float) -> Column:
-    """The best run of words anywhere in a text for each template that one reaches, without runs inside a larger template's.
+def _best_run(row: np.ndarray, prev: np.ndarray, hit: np.ndarray, size: int, threshold: float, longest: int) -> tuple[float, int, int] | None:
+    """(dice, start, end) of the best of all runs of at most longest bigrams that start and end at a template's bigram.
 
-    Templates of up to LONG bigrams: of all runs. Longer ones: the run with most bigrams of the template, those
-    that aren't its own taken off, found in one pass.
+    prev: where each bigram was last before. A bigram counts for the runs that start behind its last place, so each
+    end adds 1 to the distinct bigrams of those starts at once. Only stretches in which some run can hold enough of
+    the template's bigrams are walked. Ties go to the earlier start, then to the later end.
     """
+    least, _ = size_bounds(size, threshold)
+    n = len(row)
+    at = np.arange(n)
+    nxt = np.full(n, n + longest)
+    nxt[prev[prev >= 0]] = at[prev >= 0]
+    # Distinct bigrams of the template in the window that ends at each place: new ones come, last ones go.
+    held = np.cumsum(hit & (at - prev >= longest) | hit & (prev < 0))
+    gone = np.cumsum(hit & (nxt - at >= longest))
+    held[longest:] -= gone[: max(n - longest, 0)]
+    best = None
+    full = np.flatnonzero(hit & (held >= least))
+    for stretch in np.split(full, np.flatnonzero(np.diff(full) >= longest) + 1) if len(full) else []:
+        low = max(int(stretch[0]) - longest + 1, 0)
+        starts = low + np.flatnonzero(hit[low : stretch[-1] + 1])
+        distinct, own = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        ends = np.arange(low, stretch[-1] + 1)
+        to = np.searchsorted(starts, ends, "right")
+        since = np.searchsorted(starts, np.maximum(prev[ends] + 1, low))
+        first = np.searchsorted(starts, ends - longest + 1)
+        for e, a, z, f in zip(ends.tolist(), np.maximum(since, first).tolist(), to.tolist(), first.tolist(), strict=True):
+            distinct[a:z] += 1
+            if not hit[e]:
+                continue
+            own[a:z] += 1
+            if f < z and own[f] >= least:
+                dice = 2.0 * own[f:z] / (distinct[f:z] + size)
+                k = int(dice.argmax())
+                found = (float(dice[k]), -int(starts[f + k]), e)
+                if found[0] >= threshold and (best is None or found > best):
+                    best = found
+    return best and (best[0], -best[1], best[2])
+
+
+def run_search(threshold: float) -> Callable[[Column, Column], Column]:
+    """A function of the words of texts and the templates that each may hold: the best run of each template."""
+    every = [(template_bigrams(t), len(_template_words(t))) for _, t in (*TEMPLATES, *full_texts())]
+
+    @F.pandas_udf("array<struct<dice:double,i:int,size:int,s:int,e:int>>")
+    def search(words: pd.Series, may: pd.Series) -> pd.Series:
+        def one(w: np.ndarray | None, templates: np.ndarray | None) -> list[dict]:
+            if w is None or templates is None:
+                return []
+            ids: dict[str, int] = {}
+            row = np.array([ids.setdefault(f"{a} {b}", len(ids)) for a, b in zip(w[:-1], w[1:], strict=True)], dtype=np.int64)
+            order = np.argsort(row, kind="stable")
+            prev = np.full(len(row), -1)
+            same = row[order][1:] == row[order][:-1]
+            prev[order[1:][same]] = order[:-1][same]
+            found = []
+            for i in templates:
+                t, n_words = every[i]
+                held = [ids[b] for b in t if b in ids]
+                least, most = size_bounds(len(t), threshold)
+                if len(held) < least:
+                    continue
+                flags = np.zeros(len(ids), dtype=bool)
+                flags[held] = True
+                r = _best_run(row, prev, flags[row], len(t), threshold, most + n_words - 1 - len(t))
+                if r:
+                    found.append({"dice": r[0], "i": int(i), "size": len(t), "s": r[1], "e": r[2]})
+            return found
+
+        return pd.Series([one(w, m) for w, m in zip(words, may, strict=True)])
+
+    return search
+
+
+def _may_hold(words: Column, threshold: float) -> Column:
+    """The templates, as numbers, of whose words a text has as many as a run of it needs; null where there are none."""
     every = [*TEMPLATES, *full_texts()]
+    by_template = [_template_words(t) for _, t in every]
 
-    def literal(i: int, words: list[str]) -> Column:
-        t, v = template_bigrams(every[i][1]), sorted(set(words))
-        least, most = size_bounds(len(t), threshold)
-        fields = {"t": _listed(t), "v": _listed(v), "i": F.lit(i), "least": F.lit(least), "most": F.lit(most + len(words) - 1 - len(t)), "need": F.lit(fewest_words(every[i][1], threshold)), "long": F.lit(len(t) > LONG)}
+    def literal(i: int, own: list[str]) -> Column:
+        least, _ = size_bounds(len(template_bigrams(every[i][1])), threshold)
+        fields = {"v": _listed(sorted(set(own))), "i": F.lit(i), "least": F.lit(least), "need": F.lit(fewest_words(every[i][1], threshold))}
         return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    by_template = [_template_words(t) for _, t in every]
     templates = F.array(*[literal(i, w) for i, w in enumerate(by_template)])
     vocabulary = _listed(sorted({x for w in by_template for x in w}))
-    # A licence's template in a run of a larger one's place is part of that one.
-    names = _listed([n for n, _ in every])
-    within = lambda x, y: (F.get(names, x["i"]) != F.get(names, y["i"])) & (y["size"] > x["size"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])
-
-    def run(b: Column, t: Column, s: Column, e: Column) -> Column:
-        dice = let(F.slice(b, s + 1, e - s + 1), lambda g: 2.0 * F.size(F.array_intersect(g, t["t"])) / (F.size(F.array_distinct(g)) + F.size(t["t"])))
-        return F.struct(dice.alias("dice"), (-s).alias("first"), s.alias("s"), e.alias("e"), t["i"].alias("i"), F.size(t["t"]).alias("size"))
-
-    def best(b: Column, t: Column) -> Column:
-        def from_each(p: Column) -> Column:
-            ends = lambda s, a: F.filter(F.slice(p, a + t["least"], F.greatest(F.size(p) - a - t["least"] + 1, F.lit(0))), lambda e: e - s < t["most"])
-            return F.array_max(F.flatten(F.transform(p, lambda s, a: F.transform(ends(s, a), lambda e: run(b, t, s, e)))))
-
-        return let(F.filter(F.transform(b, lambda x, j: F.when(F.array_contains(t["t"], x), j)), lambda j: j.isNotNull()), from_each)
-
-    def densest(b: Column, t: Column) -> Column:
-        """The run with the largest sum of 1 for each bigram of the template and -1 for each other one."""
-        steps = F.transform(b, lambda x, j: F.struct(j.alias("j"), F.when(F.array_contains(t["t"], x), 1).otherwise(-1).alias("v")))
-        start = F.struct(*[F.lit(0).alias(k) for k in ("sum", "from", "most", "s", "e")])
-
-        def step(a: Column, x: Column) -> Column:
-            on = a["sum"] > 0
-            now, since = F.when(on, a["sum"]).otherwise(0) + x["v"], F.when(on, a["from"]).otherwise(x["j"])
-            better = now > a["most"]
-            return F.struct(now.alias("sum"), since.alias("from"), F.when(better, now).otherwise(a["most"]).alias("most"), F.when(better, since).otherwise(a["s"]).alias("s"), F.when(better, x["j"]).otherwise(a["e"]).alias("e"))
-
-        return let(F.aggregate(steps, start, step), lambda r: F.when(r["most"] > 0, run(b, t, r["s"], r["e"])))
-
-    def search(w: Column, may: Column) -> Column:
-        bigrams = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-        found = let(bigrams, lambda b: F.filter(F.transform(may, lambda t: F.when(t["long"], densest(b, t)).otherwise(best(b, t))), lambda x: x["dice"] >= threshold))
-        outer = let(found, lambda r: F.filter(r, lambda x: ~F.exists(r, lambda y: within(x, y))))
-        return F.transform(outer, lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("template"), F.lit(3).alias("unit"), x["s"].alias("pos")))
-
-    none = F.array().cast(f"array<{_MATCH}>")
     fits = lambda n, k, t: (n > t["least"]) & (F.size(k) >= t["need"]) & (F.size(F.array_intersect(k, t["v"])) >= t["need"])
-    may = lambda w: let(F.array_intersect(w, vocabulary), lambda k: F.filter(templates, lambda t: fits(F.size(w), k, t)))
-    return let(_unit_words(text), lambda w: let(may(w), lambda m: F.when(F.size(m) == 0, none).otherwise(search(w, m))))
+    may = let(F.array_intersect(words, vocabulary), lambda k: F.transform(F.filter(templates, lambda t: fits(F.size(words), k, t)), lambda t: t["i"]))
+    return let(may, lambda m: F.when(F.size(m) > 0, m))
 
 
 def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -147,8 +182,8 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Compared are every line, every paragraph (lines between blank ones) and the whole text, each in lower case
     with all but ASCII letters and digits as single spaces, as sets of word bigrams; then, for licences that none of
     these reaches, runs of the text's words that begin and end with a template's bigrams (a licence over several
-    paragraphs, a notice inside other text, or the whole text of a long licence): every run within the size
-    bound, or for a template of more than LONG bigrams the densest run. A run inside
+    paragraphs, a notice inside other text, or the whole text of a long licence): every run that is at most as long
+    as the size bound and the template's own repetitions allow, for templates of every size. A run inside
     the run of another licence's larger template doesn't count. licences: every licence
     that a unit reaches with a Dice coefficient of at least threshold, sorted and joined by commas. licence,
     dice, unit (line, paragraph, text or run) and pos (its index from 0, a run's
@@ -157,6 +192,9 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Nulls: a null text is empty and has no match (licence null, dice 0); a null doc_id stays null. Each row has
     its result, repeated ones too. An empty table gives an empty result. Nothing is shuffled.
+
+    Units are compared and templates pruned by their words in SQL functions. Only texts with enough of a template's
+    words go to Python, in Arrow batches, where all their runs are searched.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     each = lambda units, kind: F.flatten(F.transform(units, lambda x, i: _matches(x, kind, i, threshold)))
@@ -165,8 +203,15 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     names = _listed([n for n, _ in (*TEMPLATES, *full_texts())])
     whole = F.concat(lines, paragraphs, _matches(text, 2, F.lit(0), threshold))
     named = lambda m: F.transform(m, lambda x: F.get(names, x["template"]))
-    others = lambda m: let(named(m), lambda n: F.filter(_runs(text, threshold), lambda x: ~F.array_contains(n, F.get(names, x["template"]))))
-    d = docs.select("doc_id", let(whole, lambda m: F.concat(m, others(m))).alias("_m"))
+    words = _unit_words(text)
+    d = docs.select("doc_id", whole.alias("_units"), let(words, lambda w: let(_may_hold(w, threshold), lambda m: F.when(m.isNotNull(), F.struct(w.alias("words"), m.alias("may"))))).alias("_s"))
+    d = d.select("doc_id", "_units", run_search(threshold)(F.col("_s.words"), F.col("_s.may")).alias("_runs"))
+    # A licence's template in a run of a larger one's place is part of that one.
+    within = lambda x, y: (F.get(names, x["i"]) != F.get(names, y["i"])) & (y["size"] > x["size"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])
+    outer = F.filter("_runs", lambda x: ~F.exists("_runs", lambda y: within(x, y)))
+    runs = F.transform(outer, lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("template"), F.lit(3).alias("unit"), x["s"].alias("pos")))
+    others = let(named(F.col("_units")), lambda n: F.filter(runs, lambda x: ~F.array_contains(n, F.get(names, x["template"]))))
+    d = d.select("doc_id", F.concat("_units", others).alias("_m"))
     best = F.get(F.sort_array(F.transform("_m", lambda x: F.struct((-x["dice"]).alias("d"), x["template"], x["unit"], x["pos"]))), F.lit(0))
     d = d.withColumn("_b", best)
     return d.select(

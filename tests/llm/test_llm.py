@@ -283,30 +283,87 @@ def test_full_licences_in_other_text(spark):
     assert all(full_texts()[i // 4][0] not in got[i]["licences"].split(",") for i in range(3, len(want), 4))
 
 
-def test_licence_units_by_brute_force(spark):
-    """Lines, paragraphs and whole texts against short templates, in plain Python with its own normalisation."""
+def licences_by_brute_force(text):
+    """(licences, best dice) of a text: every unit and every run, in plain Python with its own normalisation."""
+    from spanweave.llm.licence_texts import full_texts
 
     def grams(text):
         w = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
-        return {(a, b) for a, b in zip(w, w[1:], strict=False)}
-
+        return list(zip(w, w[1:], strict=False))
+
+    units = [set(grams(u)) for u in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n[ \t\n\r]*", text), text]]
+    found = [(n, 2 * len(u & t) / (len(u) + len(t))) for n, t in ((n, set(grams(t))) for n, t in TEMPLATES) for u in units if u]
+    found = [x for x in found if x[1] >= 0.8]
+    runs = []
+    b = grams(text)
+    for n, template in [*TEMPLATES, *full_texts()]:
+        t = set(grams(template))
+        longest = math.floor(len(t) * 1.5 + 1e-9) + len(grams(template)) - len(t)
+        best = (0.0,)
+        for s in [j for j, x in enumerate(b) if x in t] if len(set(b) & t) * 3 >= len(t) * 2 else []:
+            seen, own = set(), 0
+            for e in range(s, min(s + longest, len(b))):
+                if b[e] not in seen:
+                    seen.add(b[e])
+                    own += b[e] in t
+                if b[e] in t:
+                    best = max(best, (2 * own / (len(seen) + len(t)), -s, e))
+        if best[0] >= 0.8:
+            runs.append((n, *best, len(t)))
+    named = {n for n, _ in found}
+    outer = [r for r in runs if not any(q[0] != r[0] and q[4] > r[4] and -q[2] <= -r[2] and q[3] >= r[3] for q in runs)]
+    found += [(r[0], r[1]) for r in outer if r[0] not in named]
+    return {n for n, _ in found}, max((d for _, d in found), default=0.0)
+
+
+def test_licences_by_brute_force(spark):
+    """Equal both ways: texts of the corpus, templates with words dropped, and runs inside other text."""
     docs = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rng = np.random.default_rng(6)
     for _, t in TEMPLATES:
         w = t.split()
         docs += [" ".join(x for x in w if rng.random() > drop) for drop in (0.0, 0.05, 0.12, 0.2)] + [f"{words(30)}\n\n{t}\n\n{words(20)}"]
+        docs += [f"{words(40)} {' '.join(x for x in w if rng.random() > drop)} {words(25, 3)}" for drop in (0.05, 0.12, 0.2)]
+        docs += [f"{words(20)} {' '.join(w[: len(w) // 2])} {words(len(w) // 2 + 1, 4)} {t} {words(9, 5)} {t}"]
     got = {r["doc_id"]: r for r in licence_scan(docs_of(spark, docs)).collect()}
-    sets = [(n, grams(t)) for n, t in TEMPLATES]
     for i, d in enumerate(docs):
-        units = [*d.split("\n"), *re.split(r"\n[ \t\r]*\n[ \t\n\r]*", d), d]
-        hits = {n: max((2 * len(u & t) / (len(u) + len(t)) for u in map(grams, units) if u), default=0.0) for n, t in sorted(sets, key=lambda s: s[0])}
-        best = collections.defaultdict(float)
-        for n, t in sets:
-            best[n] = max([best[n], *[2 * len(u & t) / (len(u) + len(t)) for u in map(grams, units) if u]])
-        assert {n for n, s in best.items() if s >= 0.8} <= set(filter(None, got[i]["licences"].split(","))), i
-        if got[i]["unit"] and got[i]["unit"] != "run":
-            assert abs(got[i]["dice"] - max(best.values())) < 1e-12
-        assert set(hits) == {n for n, _ in sets}
+        want, dice = licences_by_brute_force(d)
+        assert (set(filter(None, got[i]["licences"].split(","))), got[i]["dice"]) == (want, pytest.approx(dice, abs=1e-12)), i
+
+
+def test_long_licences_in_parts(spark):
+    """Two copies with other text between, half a licence before a whole one, cuts at both ends, two licences in one text."""
+    from spanweave.llm.licence_texts import full_texts
+
+    full = {n: t.split() for n, t in full_texts()}
+    docs, want = [], []
+    for name in ("CC0-1.0", "Artistic-1.0", "MPL-2.0"):
+        w = full[name]
+        n, other = len(w), words(len(w), 6)
+        gap = " ".join(other.split()[: int(0.7 * n)])
+        docs += [" ".join([*w, gap, *w]), " ".join([*w[: n // 2], gap, *w]), " ".join([other, *w[: int(0.74 * n)], other]), " ".join([other, *w[int(0.26 * n) :], other]), " ".join([other, *w[: n // 2], other])]
+        want += [(name, 1.0), (name, 1.0), (name, None), (name, None), ("", 0.0)]
+    docs.append(" ".join([*full["CC0-1.0"], words(50), *full["GPL-2.0"]]))
+    want.append(("CC0-1.0,GPL-2.0", 1.0))
+    got = {r["doc_id"]: r for r in licence_scan(docs_of(spark, docs)).collect()}
+    for i, (names, dice) in enumerate(want):
+        assert got[i]["licences"] == names and (got[i]["dice"] == dice if dice is not None else 0.8 <= got[i]["dice"] < 0.9), (i, got[i])
+
+
+def test_best_run_by_all_runs():
+    """The search of runs against all runs, over rows of few different bigrams."""
+    from spanweave.llm.licences import _best_run
+
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        row = rng.integers(0, 14, rng.integers(1, 60))
+        own = set(rng.choice(14, 6, replace=False).tolist())
+        longest = int(rng.integers(9, 16))
+        prev = np.array([max((k for k in range(j) if row[k] == row[j]), default=-1) for j in range(len(row))])
+        hit = np.array([x in own for x in row.tolist()])
+        runs = [(2 * len(own & g) / (len(g) + 6), -s, e) for s in range(len(row)) for e in range(s, min(s + longest, len(row))) if hit[s] and hit[e] for g in [set(row[s : e + 1].tolist())]]
+        best = max(runs, default=(0, 0, 0))
+        assert _best_run(row, prev, hit, 6, 0.8, longest) == ((best[0], -best[1], best[2]) if best[0] >= 0.8 else None)
 
 
 def test_secret_base_by_brute_force(spark):
