@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.functions import scalars as S
+from spanweave.functions.answers import answer_parts
 from spanweave.operators import facts, graph, linker, pointers, resolve, spans, stats, sweep, trace
 from spanweave.plans.incremental import refresh
 from spanweave.session import table
@@ -602,6 +603,26 @@ def distinct_connections(spark, d):
     return stats.connection_counts(_edges(spark, d))
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'user ' || user_id WHEN 'signup' THEN 'signed up' WHEN 'purchase' THEN 'bought by ' || user_id
+WHEN 'click' THEN 'Unable to reach summarization service. Please try again.' ELSE 'Summary unavailable.' END AS purpose,
+CASE event_type WHEN 'purchase' THEN (props->>'k') || '|{"k":' || (props->>'k') || '}' WHEN 'error' THEN '' WHEN 'signup' THEN '' WHEN 'click' THEN '' ELSE props->>'k' END AS details,
+CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS n_calls FROM events""")
+def answer_shapes(spark, d):
+    """Events as answers: errors, texts, objects with either list, objects without a text, and broken bodies."""
+    k = F.get_json_object("props", "$.k")
+    shapes = {
+        "error": F.format_string('{"success": false, "error": "user %d"}', "user_id"),
+        "signup": F.lit('{"success": true, "explanation": "signed up"}'),
+        "purchase": F.format_string('{"success": 1, "explanation": {"purpose": "bought by %d", "steps": [%s, {"k": %s}], "details": ["-"], "calls": ["pay"]}}', "user_id", k, k),
+        "click": F.lit('{"success": '),
+    }
+    body = F.format_string('{"success": true, "explanation": {"purpose": 1, "details": ["%s"], "calls": "none"}}', k)
+    for name, shape in shapes.items():
+        body = F.when(F.col("event_type") == name, shape).otherwise(body)
+    e = table(spark, d, "events").select("event_id", answer_parts(body).alias("a"))
+    return e.select("event_id", "a.purpose", F.array_join("a.details", "|").alias("details"), F.size("a.calls").alias("n_calls"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
