@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def json_bodies(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+class Log(Protocol):
+    """Where a stream's messages are kept for clients, as clients.MessageLog does."""
+
+    def sink(self, number: int, onward: Sink) -> Sink: ...
+
+    def commit(self, number: int) -> None: ...
+
+
 @dataclass
 class Session:
     """State between micro-batches: whether a root is waited for, and the trace that was handled last."""
@@ -113,7 +122,7 @@ def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph_json(d.join(numbered, "node").select(F.col("num").alias("id"), "label", "type", "file", "start_line", own.alias("live_id")), links)
 
 
-def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None, store: TraceStore | None = None, prefix: str = "static") -> StreamingQuery:
+def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trace: Trace | None = None, store: TraceStore | None = None, prefix: str = "static", log: Log | None = None) -> StreamingQuery:
     """Run bodies(value) through a session; sink gets ("spans" | "root" | "graph" | "pulse_batch", DataFrame) of each batch.
 
     prefix: of the attributes with a span's place (prefix.file, prefix.line, prefix.function). Where a batch fails the
@@ -121,27 +130,31 @@ def start(bodies: DataFrame, session: Session, sink: Sink, checkpoint: str, trac
 
     With trace, a detected root is followed by its flow's graph; where tracing fails, ("graph_error", its message) is
     sent, the stream goes on and the session stays disarmed. With store, each batch's spans are added to it.
+    With log, the messages are kept there as well, and shown to its clients once the whole batch is done.
     """
 
-    def follow(spark: SparkSession, root: dict) -> None:
+    def follow(spark: SparkSession, root: dict, send: Sink) -> None:
         try:
-            sink("graph", live_graph(*trace(root, session.direction, session.depth)))
+            send("graph", live_graph(*trace(root, session.direction, session.depth)))
         except Exception as e:
-            sink("graph_error", spark.createDataFrame([(root["root_name"], str(e)[:500])], "root_name string, error string"))
+            send("graph_error", spark.createDataFrame([(root["root_name"], str(e)[:500])], "root_name string, error string"))
 
     def batch(df: DataFrame, number: int) -> None:
         spans = with_static(flatten_otlp(df), prefix).persist()
+        send = sink if log is None else log.sink(number, sink)
         before = (session.armed, session.handled, list(session.roots))
         try:
             if store is not None:
                 store.add(spans, number)
-            sink("spans", spans)
+            send("spans", spans)
             root = session.detect(spans)
             if root is not None:
-                sink("root", df.sparkSession.createDataFrame([(root["root_name"], root["is_route"], root["trace_id"])], "root_name string, is_route boolean, trace_id string"))
+                send("root", df.sparkSession.createDataFrame([(root["root_name"], root["is_route"], root["trace_id"])], "root_name string, is_route boolean, trace_id string"))
                 if trace is not None:
-                    follow(df.sparkSession, root)
-            sink("pulse_batch", pulses(spans))
+                    follow(df.sparkSession, root, send)
+            send("pulse_batch", pulses(spans))
+            if log is not None:
+                log.commit(number)
         except Exception:
             session.armed, session.handled, session.roots[:] = before
             raise
