@@ -227,6 +227,24 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    from spanweave.llm import components as C
+
+    rounds, written = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: (rounds.append(name), written(df, name))[1])
+    n = 10_000
+    path = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(n).select(F.lit(n + 5000).alias("a"), (F.col("id") + n).alias("b"))
+    got = components(path.unionByName(star)).groupBy("label").count().collect()
+    assert {(r["label"], r["count"]) for r in got} == {(0, n), (n, n)}
+    assert rounds.count("targets") <= 20
+    rounds.clear()
+    assert components(star).select("label").distinct().count() == 1 and rounds.count("targets") <= 2
+    odd = spark.createDataFrame([(None, 1), (2, None), (3, 3), (5, 4), (5, 4)], "a long, b long")
+    assert sorted(map(tuple, components(odd).collect())) == [(4, 4), (5, 4)]
+    assert components(odd.limit(0)).count() == 0
+
+
 def test_secret_positions_and_links(spark):
     key = "AKIA" + "Q" * 16
     strong = "wJalrXUtnFEMI7K7MDENG9bPxRfiCYEXAMPLEKEY"
