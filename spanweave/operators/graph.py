@@ -114,25 +114,6 @@ def trace_ui_to_backend(edges: DataFrame, events: DataFrame, max_depth: int = 20
     return paths(edges.where(F.col("type").isin("calls", "handles")), events, max_depth)
 
 
-def linked_graph(functions: DataFrame, routes: DataFrame, calls: DataFrame, handles: DataFrame, requests: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes(id, type), edges(src, dst, type)) of all kinds; equal edges stay, a node's first kind wins.
-
-    functions(id), routes(id); calls, handles, requests, imports: (src, dst). A request's source is an api call
-    and an import's ends are files.
-    """
-    kinds = [("function", functions.select("id")), ("route", routes.select("id")), ("apiCall", requests.select(F.col("src").alias("id"))), ("file", imports.select(F.explode(F.array("src", "dst")).alias("id")))]
-    nodes = None
-    for rank, (kind, d) in enumerate(kinds):
-        d = d.select("id", F.lit(kind).alias("type"), F.lit(rank).alias("rank"))
-        nodes = d if nodes is None else nodes.unionByName(d)
-    nodes = nodes.groupBy("id").agg(F.min_by("type", "rank").alias("type"))
-    edges = None
-    for kind, d in (("calls", calls), ("handles", handles), ("requests", requests), ("imports", imports)):
-        d = d.select("src", "dst", F.lit(kind).alias("type"))
-        edges = d if edges is None else edges.unionByName(d)
-    return nodes, edges
-
-
 def edges_of(edges: DataFrame, kind: str) -> DataFrame:
     return edges.where(F.col("type") == kind)
 

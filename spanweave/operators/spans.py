@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.functions.scalars import health, is_noise
+from spanweave.operators.checkpoints import cut
 
 SPANS = """resourceSpans array<struct<scopeSpans array<struct<spans array<struct<traceId string, spanId string, parentSpanId string, name string, startTimeUnixNano string, endTimeUnixNano string,
  attributes array<struct<key string, value struct<stringValue string, intValue string, boolValue boolean>>>>>>>>>"""
@@ -50,10 +51,21 @@ def route_metrics(spans: DataFrame, order: list[str]) -> DataFrame:
 
 
 def running_metrics(spans: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """spans with hits and mean_cents so far in their key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cents = F.round(F.col(value) * 100).cast("long")
-    return spans.withColumn("hits", F.count("*").over(w)).withColumn("mean_cents", F.sum(cents).over(w) / F.count("*").over(w))
+    """spans with hits and mean_cents so far in their key.
+
+    Spans are sorted by key and order into ranges, of which a frequent key has many; what a key has in the ranges
+    before is added to its running sums within one, so that no task holds a whole key. A null key is a key; a null
+    value counts as a hit and adds nothing.
+    """
+    ranged = cut(spans.withColumn("_cents", F.round(F.col(value) * 100).cast("long")).repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.sum("_cents").alias("_s"))
+    totals = totals.select("_k", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_s").over(before).alias("_s0"))
+    w = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = ranged.withColumn("_n1", F.count("*").over(w)).withColumn("_s1", F.sum("_cents").over(w))
+    d = d.join(totals, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    hits, cents = F.col("_n0") + F.col("_n1"), F.coalesce(F.col("_s0") + F.col("_s1"), "_s1", "_s0")
+    return d.withColumn("hits", hits).withColumn("mean_cents", cents / hits).drop("_cents", "_part", "_k", "_p", "_n0", "_s0", "_n1", "_s1")
 
 
 def trace_summaries(spans: DataFrame, order: list[str]) -> DataFrame:

@@ -36,9 +36,3 @@ def connection_counts(edges: DataFrame) -> DataFrame:
     """(connections, nodes): distinct pairs and distinct ends of edges(src, dst)."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).agg(F.countDistinct("node").alias("nodes"))
     return edges.agg(F.countDistinct("src", "dst").alias("connections")).join(F.broadcast(ends))
-
-
-def linker_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(what, n): nodes and edges of each type."""
-    n, e = (d.groupBy("type").agg(F.count("*").alias("n")).select(F.concat(F.lit(p), "type").alias("what"), "n") for d, p in ((nodes, "node:"), (edges, "edge:")))
-    return n.unionByName(e)

@@ -484,15 +484,6 @@ def path_enumeration(spark, d):
     return graph.paths(edges, roots, 5).select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o, x, c = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "customer")
-    key = lambda p, col: F.concat(F.lit(p), F.col(col))
-    return graph.linked_graph(
-        o.select(key("o", "o_orderkey").alias("id")), c.select(key("c", "c_custkey").alias("id")), x.select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst")),
-        o.select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst")), x.select(key("s", "l_suppkey").alias("src"), key("o", "l_orderkey").alias("dst")), c.select(key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst")),
-    )
-
-
 def _tree(spark: SparkSession, d: str) -> linker.Linked:
     """Parts as functions, order lines as calls, orders as routes, events as UI events, customers as API calls, suppliers as imports."""
     p, x, o, e, c, s = (table(spark, d, t) for t in ("part", "lineitem", "orders", "events", "customer", "supplier"))
@@ -541,9 +532,14 @@ def linker_unresolved(spark, d):
     return _tree(spark, d).unresolved_calls.select("call_id")
 
 
-@query("""SELECT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst, 'requests' AS type FROM lineitem""")
+@query(f"""WITH {_TREE_SQL}, n AS (SELECT id, 'function' AS type FROM f UNION ALL SELECT 'r' || o_orderkey, 'route' FROM orders UNION ALL SELECT 'e' || event_id, 'event' FROM events
+UNION ALL SELECT 'a' || k, 'apiCall' FROM a UNION SELECT unnest([src, dst]), 'file' FROM edges WHERE type = 'imports')
+SELECT src, s.type AS src_type, dst, t.type AS dst_type, edges.type FROM edges LEFT JOIN n s ON src = s.id LEFT JOIN n t ON dst = t.id""")
 def linker_union_graph(spark, d):
-    return graph.edges_of(_linked(spark, d)[1], "requests")
+    """Edges of all kinds with their ends' kinds; a caller that is no function of its file has none."""
+    linked = _tree(spark, d)
+    end = lambda c: linked.nodes.select(F.col("id").alias(c), F.col("type").alias(f"{c}_type"))
+    return linked.edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left").select("src", "src_type", "dst", "dst_type", "type")
 
 
 @query(f"""WITH {_EDGES_SQL}, n AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS num FROM part)
@@ -569,6 +565,88 @@ def trace_forward_exact(spark, d):
     return trace.walk(acts, typed, typed.where("id like 'r%'").select(F.col("id").alias("root"))).where("what = 'step'").select("root", F.col("n").alias("step"), "type", "label")
 
 
+def _loops(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(acts, typed functions): regions call nations, these their suppliers and a shared helper; suppliers call their region again, and API calls with shared handlers."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    key = lambda p, c: F.concat(F.lit(p), c)
+    region, nation, supplier, helper = key("r", "n_regionkey"), key("n", "n_nationkey"), key("s", "s_suppkey"), F.lit("h")
+    handler = key("g", F.col("s_suppkey") % 4)
+    at = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+
+    def act(t: DataFrame, src: F.Column, phase: int, ord_: F.Column, kind: str, label: F.Column, prefix: str = "", target: F.Column | None = None) -> DataFrame:
+        to = label if kind == "call" else F.lit(None).cast("string") if target is None else target
+        return t.select(src.alias("src"), F.lit(phase).alias("phase"), ord_.alias("ord"), F.lit(kind).alias("kind"), key(prefix, label).alias("key"), label.alias("label"), F.lit("a.js").alias("file"), F.lit(1).alias("line"), to.alias("target"))
+
+    of_region = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = [
+        act(n, region, 1, at("n_nationkey"), "call", nation),
+        act(s, key("n", "s_nationkey"), 1, at("s_suppkey"), "call", supplier),
+        act(n, nation, 1, F.lit("~"), "call", helper),
+        act(n, nation, 2, F.lit("0"), "event", F.concat(F.lit("click on <"), nation, F.lit(">")), "evt:"),
+        act(n, helper, 1, F.lit("0"), "external", F.lit("h.log()"), "ext:").distinct(),
+        act(s.where("s_suppkey % 3 = 0"), supplier, 0, F.lit("0"), "api", key("GET /s/", F.col("s_suppkey") % 4), "api:", handler),
+        act(of_region, supplier, 1, F.lit("0"), "call", region),
+        act(s.where("s_suppkey % 2 = 0"), supplier, 1, F.lit("1"), "external", F.concat(supplier, F.lit(".send()")), "ext:"),
+    ]
+    acts = parts[0]
+    for p in parts[1:]:
+        acts = acts.unionByName(p)
+    ids = [n.select(region.alias("id")), n.select(nation.alias("id")), s.select(supplier.alias("id")), s.select(handler.alias("id")), n.select(helper.alias("id"))]
+    all_ids = ids[0]
+    for i in ids[1:]:
+        all_ids = all_ids.unionByName(i)
+    return acts, all_ids.distinct().select("id", F.col("id").alias("name"), F.lit("a.js").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("function").alias("type"))
+
+
+# What a walk meets, in its order (i, ph, k, x): the node that is placed and the edge to tell.
+_LOOPS_SQL = """n AS (SELECT 'r' || n_regionkey AS r, 'n' || n_nationkey AS n, n_nationkey AS i FROM nation),
+s AS (SELECT r, n, i, 's' || s_suppkey AS s, s_suppkey AS k, 'api:GET /s/' || s_suppkey % 4 AS api, 'g' || s_suppkey % 4 AS g FROM supplier JOIN n ON s_nationkey = i),
+w AS (SELECT DISTINCT r, -1 AS i, 0 AS ph, 0 AS k, 0 AS x, 'function' AS type, r AS label, r AS node, 0 AS depth, NULL AS a, NULL AS b FROM n
+  UNION ALL SELECT r, i, 0, 0, 0, 'function', n, n, 1, r, n FROM n
+  UNION ALL SELECT r, i, 1, k, 0, 'function', s, s, 2, n, s FROM s
+  UNION ALL SELECT r, i, 1, k, 1, 'api', api[5:], api, 2, s, api FROM s WHERE k % 3 = 0
+  UNION ALL SELECT r, i, 1, k, 2, 'function', g, g, 3, api, g FROM s WHERE k % 3 = 0
+  UNION ALL SELECT r, i, 1, k, 3, 'external', s || '.send()', 'ext:' || s || '.send()', 2, s, 'ext:' || s || '.send()' FROM s WHERE k % 2 = 0
+  UNION ALL SELECT r, i, 2, 0, 0, 'function', 'h', 'h', 2, n, 'h' FROM n
+  UNION ALL SELECT r, i, 2, 0, 1, 'external', 'h.log()', 'ext:h.log()', 2, 'h', 'ext:h.log()' FROM n
+  UNION ALL SELECT r, i, 3, 0, 0, 'event', 'click on <' || n || '>', 'evt:click on <' || n || '>', 1, 'evt:click on <' || n || '>', n FROM n)"""
+
+
+@query(f"""WITH {_LOOPS_SQL}, e AS (SELECT r, what, type, label, a, b, min((i, ph, k, x)) AS place FROM (SELECT r, i, ph, k, x, 'node' AS what, type, label, node AS a, NULL AS b FROM w
+UNION ALL SELECT r, i, ph, k, x, 'step', type, label, node, NULL FROM w UNION ALL SELECT r, i, ph, k, x, 'edge', NULL, NULL, a, b FROM w WHERE a IS NOT NULL) GROUP BY ALL)
+SELECT r AS root, what, (row_number() OVER (PARTITION BY r, what ORDER BY place))::INT AS n, type, label, a, b FROM e""")
+def trace_walk_loops(spark, d):
+    """Nodes, edges and steps in a walk's order where functions are shared and call back: who is on the way isn't entered again, who was left isn't expanded again."""
+    acts, typed = _loops(spark, d)
+    return trace.walk(acts, typed, typed.where("id like 'r%'").select(F.col("id").alias("root"))).select("root", "what", "n", "type", "label", "a", "b")
+
+
+@query(f"""WITH {_LOOPS_SQL} SELECT r AS root, 'node' AS what, type, node AS a, NULL AS b, min(depth)::INT AS depth FROM w GROUP BY ALL
+UNION ALL SELECT DISTINCT r, 'edge', NULL, a, b, NULL::INT FROM (SELECT r, a, b FROM w WHERE a IS NOT NULL UNION ALL SELECT r, s, r FROM s)""")
+def trace_forward_typed(spark, d):
+    """The same as sets: nodes at their smallest distance, edges with those that lead back."""
+    acts, typed = _loops(spark, d)
+    nodes, edges, _ = trace.trace_forward(acts, typed, typed.where("id like 'r%'").select(F.col("id").alias("root")))
+    none = lambda t: F.lit(None).cast(t)
+    nodes = nodes.select("root", F.lit("node").alias("what"), "type", F.col("node").alias("a"), none("string").alias("b"), F.col("depth").cast("int").alias("depth"))
+    return nodes.unionByName(edges.select("root", F.lit("edge").alias("what"), none("string").alias("type"), F.col("src").alias("a"), F.col("dst").alias("b"), none("int").alias("depth")))
+
+
+@query(f"""WITH {_LOOPS_SQL}, c AS (SELECT DISTINCT g, s, n, r FROM s WHERE k % 3 = 0), o AS (SELECT DISTINCT c.g, s.s, s.r FROM c JOIN s USING (r) WHERE NOT EXISTS (SELECT 1 FROM c AS own WHERE own.g = c.g AND own.s = s.s)),
+m AS (SELECT DISTINCT g AS root, g AS node, 0 AS depth FROM c UNION SELECT g, s, 1 FROM c UNION SELECT g, n, 2 FROM c UNION SELECT g, r, 3 FROM c UNION SELECT g, s, 4 FROM o UNION SELECT g, 'evt:click on <' || n || '>', 2 FROM c)
+SELECT root, 'node' AS what, node AS a, NULL AS b, depth FROM m
+UNION ALL SELECT DISTINCT root, 'edge', a, b, NULL::INT FROM (SELECT g AS root, s AS a, g AS b FROM c UNION SELECT g, n, s FROM c UNION SELECT g, r, n FROM c
+  UNION SELECT g, 'evt:click on <' || n || '>', n FROM c UNION SELECT c.g, s.s, c.r FROM c JOIN s USING (r))""")
+def trace_backward_typed(spark, d):
+    """What leads to the handlers of API calls within four levels, round the callbacks, with the UI events on the way."""
+    acts, typed = _loops(spark, d)
+    called = acts.where("kind = 'api'").select(F.col("target").alias("root")).distinct()
+    nodes, edges, _ = trace.trace_backward(acts, typed, called)
+    none = lambda t: F.lit(None).cast(t)
+    nodes = nodes.select("root", F.lit("node").alias("what"), F.col("node").alias("a"), none("string").alias("b"), F.col("depth").cast("int").alias("depth"))
+    return nodes.unionByName(edges.select("root", F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), none("int").alias("depth")))
+
+
 # Statistics.
 
 

@@ -228,3 +228,32 @@ def test_match_routes_by_shuffled_shapes(spark, monkeypatch):
     for most in (10_000, 0):
         monkeypatch.setattr(resolve, "MOST_SHAPES", most)
         assert {r["call_id"]: r["route_id"] for r in resolve.match_routes(calls, routes).collect()} == want
+
+
+def test_running_metrics_over_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        data = [("hot" if i % 3 else None, i, None if i % 10 == 0 else i / 100) for i in range(500)]
+        d = spans.running_metrics(spark.createDataFrame(data, "k string, at long, v double"), "k", "v", ["at"])
+        got = {r["at"]: (r["hits"], r["mean_cents"]) for r in d.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, so_far = {}, {}
+    for k, at, v in data:
+        hits, cents = so_far.get(k, (0, None))
+        hits, cents = hits + 1, cents if v is None else (cents or 0) + at
+        so_far[k] = (hits, cents)
+        want[at] = (hits, None if cents is None else cents / hits)
+    assert got == want
+    empty = spark.createDataFrame([], "k string, at long, v double")
+    assert spans.running_metrics(empty, "k", "v", ["at"]).columns == ["k", "at", "v", "hits", "mean_cents"]
+    assert spans.running_metrics(empty, "k", "v", ["at"]).count() == 0
+
+
+def test_lookups(spark):
+    edges = spark.createDataFrame([("a", "b", "calls"), ("b", "a", "handles"), ("c", "b", None)], "src string, dst string, type string")
+    assert [tuple(r) for r in graph.outgoing(edges, "a").collect()] == [("a", "b", "calls")]
+    assert sorted(r["src"] for r in graph.incoming(edges, "b").collect()) == ["a", "c"]
+    assert graph.edges_of(edges, "handles").count() == 1
+    of = spans.spans_of(spark.createDataFrame([("t", 1), ("t", 2), (None, 3)], "trace_id string, n int"), "t")
+    assert sorted(r["n"] for r in of.collect()) == [1, 2]
