@@ -53,16 +53,16 @@ def resolve_functions(refs: DataFrame, functions: DataFrame) -> DataFrame:
     2 with the caller's path tail; 3 in the caller's folder or below; 4 the first of that name; then, for names
     that no function has, those that end in .name: 5 the only one; 6 with the caller's tail; 7 the first.
 
-    Each function gives a few keys (its file, tail and folders), and the first function of each name and key is
-    found by an aggregation; a reference meets at most one row of a key. So a name that many functions share and
-    many references use makes no pairs.
+    The first function of each name and file gives a few keys (its file, tail and folders), and the first of each
+    name and key is found by an aggregation; a reference meets at most one row of a key. So a name that many
+    functions share and many references use makes no pairs, and functions are shuffled before they get their keys.
     """
-    f = functions.select("id", "name", "file", F.struct("file_ord", "row_ord", "id").alias("at"))
+    f = functions.groupBy("name", "file").agg(F.min(F.struct("file_ord", "row_ord", "id")).alias("at"), F.count("*").alias("n"))
     # Each dotted suffix of a name, so that "a.b.c" is found by "c" and by "b.c".
     parts = F.split("name", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct((i > 1).alias("short"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("name")))
-    named = f.select("at", "file", F.explode(suffixes).alias("s")).select("at", F.col("s.short").alias("short"), F.col("s.name").alias("name"), F.explode(_place_keys(F.col("file"), True)).alias("k"))
-    firsts = named.groupBy("name", "short", F.col("k.rank").alias("place"), F.col("k.key").alias("key")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    named = f.select("at", "n", "file", F.explode(suffixes).alias("s")).select("at", "n", F.col("s.short").alias("short"), F.col("s.name").alias("name"), F.explode(_place_keys(F.col("file"), True)).alias("k"))
+    firsts = named.groupBy("name", "short", F.col("k.rank").alias("place"), F.col("k.key").alias("key")).agg(F.min("at").alias("at"), F.sum("n").alias("n"))
     asked = refs.select("name", "caller_file").distinct().select("name", "caller_file", F.explode(_place_keys(F.col("caller_file"), False)).alias("k"))
     hit = asked.select("name", "caller_file", F.col("k.rank").alias("place"), F.col("k.key").alias("key")).join(firsts, ["name", "place", "key"])
     alone = (F.col("place") == 4) & (F.col("n") == 1)

@@ -16,7 +16,7 @@ from spanweave.functions import scalars as S
 from spanweave.functions.answers import answer_parts
 from spanweave.operators import facts, graph, linker, pointers, resolve, spans, stats, sweep, trace
 from spanweave.plans.incremental import refresh
-from spanweave.session import table
+from spanweave.session import table, tasks_of
 from spanweave.sources.extract import as_of
 from spanweave.sources.files import covering, line_slice, lines
 
@@ -307,11 +307,15 @@ def resolve_ranked(spark, d):
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    name = F.concat(F.when(n % 2 == 0, F.concat(F.split("p_type", " ")[0], F.lit("."))).otherwise(""), "p_brand")
-    caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + n % 3).cast("string"), F.lit(".js"))
-    return x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), name.alias("name"), caller.alias("caller_file")).distinct()
+    """Order lines are made distinct by their keys, before they have texts, and each distinct part has one row for even and one for odd lines."""
+    lines = table(spark, d, "lineitem")
+    tasks, keys = tasks_of(lines), ["l_orderkey", "l_linenumber", "l_partkey"]
+    lines = lines.select(*keys).where("l_partkey is not null").repartition(tasks, "l_partkey").distinct().withColumn("even", F.coalesce(F.col("l_linenumber") % 2 == 0, F.lit(False)))
+    names = F.explode(F.array(F.struct(F.lit(True).alias("of_even"), F.concat(F.split("p_type", " ")[0], F.lit("."), "p_brand").alias("name")), F.struct(F.lit(False).alias("of_even"), F.col("p_brand").alias("name"))))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", names.alias("x")).select("l_partkey", "x.of_even", "x.name", "p_brand", "p_size").repartition(tasks, "l_partkey").distinct()
+    caller = F.concat(F.lit("src/"), F.lower("p_brand"), F.lit("/"), (F.col("p_size") + F.col("l_linenumber") % 3).cast("string"), F.lit(".js"))
+    # The join is by the part alone, so that both sides stay where they are.
+    return lines.join(parts.hint("shuffle_hash"), "l_partkey").where(F.when(F.col("even"), F.col("of_even")).otherwise(~F.col("of_even"))).select(F.concat_ws("-", *keys).alias("ref_id"), "name", caller.alias("caller_file"))
 
 
 @query(SQL["resolve_ranked"])
@@ -320,7 +324,8 @@ def resolve_refreshed(spark, d):
     refs, functions = _references(spark, d), _functions(spark, d)
     added = F.col("file").endswith("/7.js")
     old = functions.where(~added)
-    return refresh(resolve.resolve_functions(refs, old), refs, old, functions, functions.where(added).select("file").distinct()).select("ref_id", "function_id", "rank")
+    changed = functions.where(added).select("file").distinct()
+    return refresh(resolve.resolve_functions(refs, old), refs, old, functions, changed).select("ref_id", "function_id", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
@@ -364,8 +369,8 @@ c AS (SELECT DISTINCT a.name AS caller_name, string_split(b.name, '.')[2] AS cal
 q AS (SELECT caller_name AS name, caller FROM c UNION SELECT callee_name, caller FROM c), {_BEST_SQL}
 SELECT DISTINCT s.id AS caller_id, t.id AS callee_id FROM c JOIN best s ON s.name = c.caller_name AND s.caller = c.caller JOIN best t ON t.name = c.callee_name AND t.caller = c.caller""")
 def call_edges(spark, d):
-    f = _functions(spark, d)
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    f, lines = _functions(spark, d), table(spark, d, "lineitem")
+    x = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
     x = x.withColumn("b", F.lead("a").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "a"))).where("b is not null")
     ends = [f.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"), F.col("file").alias(f"{k}_file")) for k in ("a", "b")]
     c = x.join(ends[0], "a").join(ends[1], "b")

@@ -20,5 +20,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+#: Rows of a table that a task sorts or hashes by key at most on average.
+ROWS_A_TASK = 500_000
+
+
+def tasks_of(rows: DataFrame) -> int:
+    """Partitions for shuffling a table by key: more of them as it grows, so that a task's memory stays the same. A table of Parquet is counted from its footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
