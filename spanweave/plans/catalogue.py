@@ -370,7 +370,7 @@ q AS (SELECT caller_name AS name, caller FROM c UNION SELECT callee_name, caller
 SELECT DISTINCT s.id AS caller_id, t.id AS callee_id FROM c JOIN best s ON s.name = c.caller_name AND s.caller = c.caller JOIN best t ON t.name = c.callee_name AND t.caller = c.caller""")
 def call_edges(spark, d):
     f, lines = _functions(spark, d), table(spark, d, "lineitem")
-    x = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    x = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a")).repartition(tasks_of(lines), "l_orderkey")
     x = x.withColumn("b", F.lead("a").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "a"))).where("b is not null")
     ends = [f.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"), F.col("file").alias(f"{k}_file")) for k in ("a", "b")]
     c = x.join(ends[0], "a").join(ends[1], "b")
