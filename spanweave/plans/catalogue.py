@@ -325,7 +325,7 @@ def resolve_refreshed(spark, d):
     added = F.col("file").endswith("/7.js")
     old = functions.where(~added)
     changed = functions.where(added).select("file").distinct()
-    return refresh(resolve.resolve_functions(refs, old), refs, old, functions, changed).select("ref_id", "function_id", "rank")
+    return refresh(resolve.resolve_functions(refs, old), refs, old, functions, changed, tasks_of(table(spark, d, "lineitem"))).select("ref_id", "function_id", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanweave.operators.checkpoints import cut
 from spanweave.operators.linker import callers
 from spanweave.operators.resolve import resolve_functions
+from spanweave.session import tasks_of
 from spanweave.sources.extract import code_tokens, extract_calls, extract_functions
 
 _CALLS = ["ref_id", "file", "start_line", "pos", "callee", "name", "from"]
@@ -26,13 +27,13 @@ def _placed(functions: DataFrame) -> DataFrame:
     return functions.select("id", "name", "file", F.col("file").alias("file_ord"), F.col("start_line").alias("row_ord"))
 
 
-def refresh(before: DataFrame, refs: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+def refresh(before: DataFrame, refs: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame, tasks: int | None = None) -> DataFrame:
     """refs(ref_id, name, caller_file) with function_id, rank and recomputed, as resolve_functions over the new functions gives them.
 
     before: (ref_id, function_id, rank) of the last time; old, new: functions; changed(file): files edited, added or
     gone. A reference's result depends on its own place and on the functions that its name can mean. So those in
     changed files, and those whose name a function of a changed file has or had, are resolved again, against the
-    functions of these names only; the others keep what they had.
+    functions of these names only; the others keep what they had. tasks: in how many tasks the others meet it.
     """
     moved = lambda d: d.join(changed, "file", "left_semi").select(F.explode(_suffixes(F.col("name"))).alias("name"))
     touched = cut(moved(old).unionByName(moved(new)).distinct())
@@ -42,7 +43,11 @@ def refresh(before: DataFrame, refs: DataFrame, old: DataFrame, new: DataFrame,
     asked = again.select("name").distinct()
     able = new.withColumn("_any", F.explode(_suffixes(F.col("name")))).join(asked.withColumnRenamed("name", "_any"), "_any", "left_semi").drop("_any").distinct()
     found = resolve_functions(again, able).withColumn("recomputed", F.lit(True))
-    same = refs.join(again.select("ref_id"), "ref_id", "left_anti").join(before.select("ref_id", "function_id", "rank"), "ref_id", "left")
+    same = keyed.join(changed, "file", "left_anti").join(touched, "name", "left_anti").select(*refs.columns)
+    had = before.select("ref_id", "function_id", "rank")
+    if tasks:
+        same, had = same.repartition(tasks, "ref_id"), had.repartition(tasks, "ref_id")
+    same = same.join(had, "ref_id", "left")
     return found.unionByName(same.withColumn("recomputed", F.lit(False)))
 
 
@@ -97,7 +102,8 @@ class CallIndex:
         save(kept("functions", functions, _FUNCTIONS), "functions")
         save(kept("calls", calls, _CALLS), "calls")
         refs = self._table("calls").select("ref_id", "name", F.col("file").alias("caller_file"))
+        tasks = tasks_of(self._table("calls"))
         none = refs.limit(0).select("ref_id", F.lit(None).cast("string").alias("function_id"), F.lit(None).cast("int").alias("rank"))
         old = _placed(self.functions).limit(0) if last is None else _placed(last.functions)
-        save(refresh(none if last is None else last.resolved, refs, old, _placed(self.functions), changed), "resolved")
+        save(refresh(none if last is None else last.resolved, refs, old, _placed(self.functions), changed, tasks), "resolved")
         return self
