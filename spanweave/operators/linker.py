@@ -29,10 +29,9 @@ def callers(refs: DataFrame, functions: DataFrame) -> DataFrame:
     return refs.join(last, (F.col("file") == F.col("_f")) & (F.col("from") == F.col("_n")), "left").withColumn("caller_id", F.col("at.id")).drop("_f", "_n", "at")
 
 
-def _ids(rows: DataFrame, key: str, target: str, functions: DataFrame) -> DataFrame:
+def _ids(rows: DataFrame, target: str, functions: DataFrame) -> DataFrame:
     """rows with function_id of the function that target names, null if none."""
-    found = link_functions(rows.select(F.col(key).alias("ref_id"), F.col(target).alias("target")).where("target is not null"), functions).where("function_id is not null")
-    return rows.join(found.select(F.col("ref_id").alias(key), "function_id").distinct(), key, "left")
+    return link_functions(rows.withColumn("target", F.col(target)), functions).drop("target", "rank")
 
 
 def link(functions: DataFrame, calls: DataFrame, routes: DataFrame, events: DataFrame, api_calls: DataFrame, imports: DataFrame) -> Linked:
@@ -45,17 +44,17 @@ def link(functions: DataFrame, calls: DataFrame, routes: DataFrame, events: Data
     events), requests (to all routes on the longest suffix of a key that any route has) and imports; equal ones stay.
     Ids and files that are null take no part in edges. Empty tables give counters of 0.
     """
-    calls = cut(_ids(callers(calls, functions), "call_id", "callee_id", functions))
+    calls = cut(_ids(callers(calls, functions), "callee_id", functions))
     requests = cut(link_api_calls(api_calls.select(F.col("api_id").alias("call_id"), "method", "key"), routes.select("route_id", "method", "key")))
-    inside = events.select("event_id", F.posexplode("call_ids").alias("pos", "callee_id")).withColumn("ref", F.concat_ws("#", "event_id", "pos"))
+    inside = events.select("event_id", F.explode("call_ids").alias("callee_id"))
     edge = lambda d, src, dst, kind: d.select(F.col(src).alias("src") if isinstance(src, str) else src.alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type")).where("src is not null and dst is not null")
     around: Column = F.coalesce("caller_id", F.concat_ws("::", "file", "from"))
     local = imports.where("resolved is not null").select(F.concat(F.lit("file::"), "file").alias("src"), F.concat(F.lit("file::"), "resolved").alias("dst"))
     parts = [
         edge(calls.where("function_id is not null"), around, "function_id", "calls"),
-        edge(_ids(routes, "route_id", "handler_id", functions), "route_id", "function_id", "handles"),
-        edge(_ids(events, "event_id", "handler_id", functions), "event_id", "function_id", "handles"),
-        edge(_ids(inside, "ref", "callee_id", functions), "event_id", "function_id", "calls"),
+        edge(_ids(routes, "handler_id", functions), "route_id", "function_id", "handles"),
+        edge(_ids(events, "handler_id", functions), "event_id", "function_id", "handles"),
+        edge(_ids(inside, "callee_id", functions), "event_id", "function_id", "calls"),
         edge(requests, "call_id", "route_id", "requests"),
         edge(callers(api_calls, functions), "caller_id", "api_id", "calls"),
         edge(local, "src", "dst", "imports"),
@@ -65,10 +64,11 @@ def link(functions: DataFrame, calls: DataFrame, routes: DataFrame, events: Data
         edges = edges.unionByName(p)
     kinds = [(functions, "id", "function"), (routes, "route_id", "route"), (events, "event_id", "event"), (api_calls, "api_id", "apiCall"), (local, "src", "file"), (local, "dst", "file")]
     nodes = None
-    for rank, (d, c, kind) in enumerate(kinds):
-        d = d.select(F.col(c).alias("id"), F.lit(kind).alias("type"), F.lit(rank).alias("rank"))
+    for rank, (d, c, _) in enumerate(kinds):
+        d = d.select(F.col(c).alias("id"), F.lit(rank).alias("rank"))
         nodes = d if nodes is None else nodes.unionByName(d)
-    nodes = nodes.where("id is not null").groupBy("id").agg(F.min_by("type", "rank").alias("type"))
+    nodes = nodes.where("id is not null").groupBy("id").agg(F.min("rank").alias("rank"))
+    nodes = nodes.select("id", F.get(F.array(*[F.lit(kind) for _, _, kind in kinds]), F.col("rank")).alias("type"))
     lost = calls.where("function_id is null").drop("caller_id", "function_id")
     lost_api = api_calls.join(requests.select(F.col("call_id").alias("api_id")).distinct(), "api_id", "left_anti")
     counted = [(functions, "total_functions"), (calls, "total_calls"), (events, "total_events"), (routes, "total_routes"), (api_calls, "total_api_calls"), (lost, "unresolved_calls"), (lost_api, "unresolved_api_calls")]

@@ -218,9 +218,10 @@ def link_functions(refs: DataFrame, functions: DataFrame) -> DataFrame:
     file_name = F.when(F.col("target").rlike("::.*::"), F.regexp_replace("target", "::[^:]*$", "")).otherwise(F.col("target"))
     bare = F.when(F.col("target").rlike("::.*::"), F.element_at(F.split(F.element_at(F.split("target", "::"), -2), r"\."), -1)).otherwise(last)
     tried = F.array(*[F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((F.col("target"), file_name, bare))])
-    hit = refs.select("ref_id", F.explode(tried).alias("k")).select("ref_id", "k.*").join(firsts, ["rank", "key"])
-    best = hit.groupBy("ref_id").agg(F.min(F.struct("rank", "at")).alias("b")).select("ref_id", F.col("b.at.id").alias("function_id"), F.col("b.rank").alias("rank"))
-    return refs.join(best, "ref_id", "left")
+    # Each distinct target is looked up once, however many references have it.
+    hit = refs.select("target").where("target is not null").distinct().select("target", F.explode(tried).alias("k")).select("target", "k.*").join(firsts, ["rank", "key"])
+    best = hit.groupBy("target").agg(F.min(F.struct("rank", "at")).alias("b")).select("target", F.col("b.at.id").alias("function_id"), F.col("b.rank").alias("rank"))
+    return refs.join(best, "target", "left")
 
 
 def pulses_on_nodes(pulses: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -36,3 +36,14 @@ def test_references_with_repeated_lines_and_parts(spark, tmp_path):
 def test_shuffles_grow_with_the_table(spark):
     assert tasks_of(spark.range(10)) == spark.sparkContext.defaultParallelism
     assert tasks_of(spark.range(20 * ROWS_A_TASK)) == 20
+
+
+def test_targets_are_looked_up_once(spark):
+    from spanweave.operators.resolve import link_functions
+
+    functions = spark.createDataFrame([("p1", "a.f", "x.js", 0, 1), ("p2", "g", "y.js", 0, 2)], "id string, name string, file string, file_ord int, row_ord int")
+    refs = spark.createDataFrame([("1", "p1"), ("1", "p2"), ("2", "p1"), ("3", None), ("4", "none"), ("5", "y.js::g"), ("6", "z.f")], "ref_id string, target string")
+    found = link_functions(refs, functions)
+    got = sorted((r["ref_id"], r["target"] or "", r["function_id"], r["rank"]) for r in found.collect())
+    # Rows that share a ref_id each have their own target's function.
+    assert got == [("1", "p1", "p1", 0), ("1", "p2", "p2", 0), ("2", "p1", "p1", 0), ("3", "", None, None), ("4", "none", None, None), ("5", "y.js::g", "p2", 1), ("6", "z.f", "p1", 2)]
