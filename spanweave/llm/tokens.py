@@ -25,6 +25,19 @@ STEP = 1 << 20
 #: Most distinct pre-tokens, and bytes of them, whose counts are broadcast; longer ones than LONG aren't.
 FREQUENT, FREQUENT_BYTES, LONG = 200_000, 8 << 20, 1024
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: A full stop, or a comma, that ends a part behind an ASCII letter: a pre-token of its own.
+_STOP, _COMMA = re.compile(rb"\.(?<=[a-zA-Z]\.)(?![^ \t\n\r\x0b\x0c])"), re.compile(rb",(?<=[a-zA-Z],)(?![^ \t\n\r\x0b\x0c])")
+
+
+def _plain(text: bytes) -> bytes:
+    """A text with the same ids and fewer distinct parts: ASCII letters in lower case, a last stop or comma apart.
+
+    A text that may have a special string keeps its letters, and so does one with U+0300 to U+037F, since NFC
+    composes some of those with small letters only (U+01F0).
+    """
+    if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+        text = text.lower()
+    return _COMMA.sub(b" ,", _STOP.sub(b" .", text))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -102,7 +115,7 @@ class Encoder:
             while at < len(text) or not text:
                 cut = _WHITE.search(text, at + STEP)
                 end = cut.start() if cut else len(text)
-                group.append((i, text[at:end].split()))
+                group.append((i, _plain(text[at:end]).split()))
                 size += end - at
                 at = end
                 if size >= STEP:
