@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from spanweave.llm.licence_texts import TEMPLATES, full_texts
 from spanweave.llm.staging import let
 
 UNITS = ["line", "paragraph", "text", "run"]
+_RUNS = "array<struct<dice:double,i:int,size:int,s:int,e:int>>"
 _MATCH = "struct<dice:double,template:int,unit:int,pos:int>"
 
 
@@ -86,7 +85,9 @@ def _listed(values: list[str]) -> Column:
 
 
 def _best_run(row: np.ndarray, prev: np.ndarray, hit: np.ndarray, size: int, threshold: float, longest: int) -> tuple[float, int, int] | None:
-    """(dice, start, end) of the best of all runs of at most longest bigrams that start and end at a template's bigram.
+    """(dice, start, end) of the best of all runs of at most longest bigrams that start and end at a template's bigram, without bounds.
+
+    The plain form of what _best_of finds in SQL functions, for tests.
 
     prev: where each bigram was last before. A bigram counts for the runs that start behind its last place, so each
     end adds 1 to the distinct bigrams of those starts at once. Only stretches in which some run can hold enough of
@@ -125,38 +126,97 @@ def _best_run(row: np.ndarray, prev: np.ndarray, hit: np.ndarray, size: int, thr
     return best and (best[0], -best[1], best[2])
 
 
-def run_search(threshold: float) -> Callable[[Column, Column], Column]:
-    """A function of the words of texts and the templates that each may hold: the best run of each template."""
-    every = [(template_bigrams(t), len(_template_words(t))) for _, t in (*TEMPLATES, *full_texts())]
-
-    @F.pandas_udf("array<struct<dice:double,i:int,size:int,s:int,e:int>>")
-    def search(words: pd.Series, may: pd.Series) -> pd.Series:
-        def one(w: np.ndarray | None, templates: np.ndarray | None) -> list[dict]:
-            if w is None or templates is None:
-                return []
-            ids: dict[str, int] = {}
-            row = np.array([ids.setdefault(f"{a} {b}", len(ids)) for a, b in zip(w[:-1], w[1:], strict=True)], dtype=np.int64)
-            order = np.argsort(row, kind="stable")
-            prev = np.full(len(row), -1)
-            same = row[order][1:] == row[order][:-1]
-            prev[order[1:][same]] = order[:-1][same]
-            found = []
-            for i in templates:
-                t, n_words = every[i]
-                held = [ids[b] for b in t if b in ids]
-                least, most = size_bounds(len(t), threshold)
-                if len(held) < least:
-                    continue
-                flags = np.zeros(len(ids), dtype=bool)
-                flags[held] = True
-                r = _best_run(row, prev, flags[row], len(t), threshold, most + n_words - 1 - len(t))
-                if r:
-                    found.append({"dice": r[0], "i": int(i), "size": len(t), "s": r[1], "e": r[2]})
-            return found
-
-        return pd.Series([one(w, m) for w, m in zip(words, may, strict=True)])
-
-    return search
+def _places(words: Column) -> Column:
+    """(b, p) of each place of a text: the bigram that begins there, and where the same one was last before (-1: nowhere)."""
+    bigrams = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda b, i: F.struct(F.concat_ws(" ", F.get(words, i), b).alias("b"), i.alias("i")))
+    last = lambda k, j, x: F.when(F.get(k, j - 1)["b"] == x["b"], F.get(k, j - 1)["i"]).otherwise(-1)
+    meet = let(F.sort_array(bigrams), lambda k: F.transform(k, lambda x, j: F.struct(x["i"], x["b"], last(k, j, x).alias("p"))))
+    return F.transform(F.sort_array(meet), lambda x: F.struct(x["b"], x["p"]))
+
+
+#: Starts that are bounded together, and parts into which a template's bigrams are dealt by a hash to look them up.
+STARTS, PARTS = 32, 64
+
+
+def _hits(places: Column, template: Column) -> Column:
+    """(i, p, h) of each place; h: whether its bigram is the template's."""
+    part = lambda b: F.pmod(F.hash(b), F.lit(PARTS))
+    held = F.array_intersect(F.transform(places, lambda x: x["b"]), template)
+    parts = let(held, lambda t: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.filter(t, lambda b: part(b) == k)))
+    return let(parts, lambda k: F.transform(places, lambda x, i: F.struct(i.alias("i"), x["p"], F.array_contains(F.get(k, part(x["b"])), x["b"]).alias("h"))))
+
+
+def _distinct_of(hits: Column, start: Column, length: Column) -> Column:
+    """The places from start on, at most length of them, whose bigrams a run from start hasn't had before."""
+    return F.filter(F.slice(hits, start + 1, length), lambda x: x["p"] < start)
+
+
+def _numbered(first: Column) -> Column:
+    """How many distinct bigrams the run to each of the template's first places has."""
+    return F.filter(F.transform(first, lambda x, k: F.when(x["h"], k + 1)), lambda k: k.isNotNull())
+
+
+def _dices(first: Column, size: Column, fewer: Column | None = None) -> Column:
+    """The Dice of the run to each of the template's first places; fewer: bounds of it for runs that may have so many bigrams less."""
+    distinct = lambda k, j: k if fewer is None else F.greatest(k - fewer, j + 1)
+    return F.transform(_numbered(first), lambda k, j: 2.0 * (j + 1) / (distinct(k, j) + size))
+
+
+def _best_of(hits: Column, t: Column, threshold: float) -> Column:
+    """struct(dice, s, e) of the best of all runs that start and end at a template's bigram, null without one; as _best_run.
+
+    A bigram counts for a run from s where it was last before s. A start needs enough of the template's places behind it
+    within the longest run. STARTS starts in order share a bound: a run from one of them has no more of the template's
+    bigrams than the run from the first of them, and lacks at most as many others as lie between. Only those whose
+    bound reaches the threshold and the first start of the highest bound are searched one by one.
+    """
+    longest, size = t["longest"], t["size"]
+    own = F.filter(F.transform(hits, lambda x: F.when(x["h"], x["i"])), lambda i: i.isNotNull())
+    starts = let(own, lambda o: F.filter(o, lambda i, j: F.get(o, j + t["least"] - 1) < i + longest))
+    exact = lambda s: F.array_max(_dices(_distinct_of(hits, s, longest), size))
+
+    def bounded(b: Column) -> Column:
+        wide = F.element_at(b, -1) - F.get(b, F.lit(0))
+        return let(wide, lambda w: F.struct(F.array_max(_dices(_distinct_of(hits, F.get(b, F.lit(0)), longest + w), size, w)).alias("d"), b.alias("b")))
+
+    def searched(blocks: Column) -> Column:
+        least = F.greatest(F.lit(threshold), exact(F.get(F.array_max(blocks)["b"], F.lit(0))))
+        left = let(least, lambda d: F.flatten(F.transform(F.filter(blocks, lambda x: x["d"] >= d), lambda x: x["b"])))
+        return F.array_max(F.transform(left, lambda s: F.struct(exact(s).alias("d"), (-s).alias("m"))))
+
+    def end_of(d: Column, s: Column) -> Column:
+        """The last end whose run has this Dice: the template's last place before the next bigram that is new."""
+
+        def of(first: Column) -> Column:
+            last = F.array_max(F.filter(F.transform(_numbered(first), lambda x, j: F.when(2.0 * (j + 1) / (x + size) == d, x)), lambda k: k.isNotNull()))
+            here = lambda k: F.filter(F.slice(hits, s + 1, longest), lambda x: x["h"] & F.coalesce(x["i"] < F.get(first, k)["i"], F.lit(True)))
+            return let(last, lambda k: F.element_at(here(k), -1)["i"])
+
+        return let(_distinct_of(hits, s, longest), of)
+
+    def found(x: Column) -> Column:
+        return F.when(x["d"] >= threshold, F.struct(x["d"].alias("dice"), (-x["m"]).alias("s"), end_of(x["d"], -x["m"]).alias("e")))
+
+    blocks = lambda o: F.transform(F.sequence(F.lit(0), F.size(o) - 1, F.lit(STARTS)), lambda i: bounded(F.slice(o, i + 1, STARTS)))
+    return let(starts, lambda o: F.when(F.size(o) > 0, let(let(blocks(o), searched), found)))
+
+
+def run_search(words: Column, may: Column, threshold: float) -> Column:
+    """The best run (dice, i, size, s, e) of each template that a text of these words may hold; null without any."""
+
+    def literal(text: str) -> Column:
+        own = template_bigrams(text)
+        least, most = size_bounds(len(own), threshold)
+        fields = {"v": _listed(own), "size": F.lit(len(own)), "least": F.lit(least), "longest": F.lit(most + len(_template_words(text)) - 1 - len(own))}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    templates = F.array(*[literal(t) for _, t in (*TEMPLATES, *full_texts())])
+
+    def one(places: Column, i: Column) -> Column:
+        best = lambda t: let(_hits(places, t["v"]), lambda h: let(_best_of(h, t, threshold), lambda r: F.when(r.isNotNull(), F.struct(r["dice"], i.alias("i"), t["size"], r["s"], r["e"]))))
+        return let(F.get(templates, i), best)
+
+    return let(_places(words), lambda x: F.filter(F.transform(may, lambda i: one(x, i)), lambda r: r.isNotNull()))
 
 
 def _may_hold(words: Column, threshold: float) -> Column:
@@ -193,8 +253,7 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Nulls: a null text is empty and has no match (licence null, dice 0); a null doc_id stays null. Each row has
     its result, repeated ones too. An empty table gives an empty result. Nothing is shuffled.
 
-    Units are compared and templates pruned by their words in SQL functions. Only texts with enough of a template's
-    words go to Python, in Arrow batches, where all their runs are searched.
+    All of it is SQL functions. Only in texts with enough of a template's words are runs searched.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     each = lambda units, kind: F.flatten(F.transform(units, lambda x, i: _matches(x, kind, i, threshold)))
@@ -205,7 +264,7 @@ def licence_scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = lambda m: F.transform(m, lambda x: F.get(names, x["template"]))
     words = _unit_words(text)
     d = docs.select("doc_id", whole.alias("_units"), let(words, lambda w: let(_may_hold(w, threshold), lambda m: F.when(m.isNotNull(), F.struct(w.alias("words"), m.alias("may"))))).alias("_s"))
-    d = d.select("doc_id", "_units", run_search(threshold)(F.col("_s.words"), F.col("_s.may")).alias("_runs"))
+    d = d.select("doc_id", "_units", F.coalesce(F.when(F.col("_s").isNotNull(), run_search(F.col("_s.words"), F.col("_s.may"), threshold)), F.array().cast(_RUNS)).alias("_runs"))
     # A licence's template in a run of a larger one's place is part of that one.
     within = lambda x, y: (F.get(names, x["i"]) != F.get(names, y["i"])) & (y["size"] > x["size"]) & (y["s"] <= x["s"]) & (y["e"] >= x["e"])
     outer = F.filter("_runs", lambda x: ~F.exists("_runs", lambda y: within(x, y)))
