@@ -14,7 +14,7 @@ from spanweave.llm.line_dedup import line_dedup
 from spanweave.llm.mixing import mix
 from spanweave.llm.packing import pack
 from spanweave.llm.quality import quality_rules
-from spanweave.llm.staging import staged
+from spanweave.llm.staging import discard, staged
 from spanweave.llm.tokens import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -68,8 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage over the previous one's written result, from the documents on."""
+    """Each stage over the previous one's written result, from the documents on; that result goes when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
