@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.llm.staging import sized, staged
-from spanweave.llm.tokens import TEXTS, encoder
+from spanweave.llm.tokens import encoder, slices
 
 #: Sequences of a queue that are made of one row.
 RUN = 4096
@@ -23,8 +23,7 @@ def _encode(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
         enc, part, sent = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], dtype=enc.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                b = batch.slice(at, TEXTS)
+            for b in slices(batch, "text"):
                 ids = [x + end for x in enc.ids(b.column("text").to_pylist())]
                 sizes = [len(x) // enc.kind.itemsize for x in ids]
                 sources, before = b.column("source").to_pylist(), []
@@ -109,8 +108,7 @@ def _cut(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = {2: "<u2", 4: "<u4"}
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                b = batch.slice(at, TEXTS)
+            for b in slices(batch, "ids"):
                 col = {k: b.column(k).to_numpy() for k in ("offset", "before", "n", "full", "tail")}
                 doc, start, length, k, offset, is_tail = pieces(col["offset"] + col["before"], col["n"], col["full"], col["tail"], size)
                 whole = [np.frombuffer(x, dtype=kind[w]).astype("<u4").tobytes() for x, w in zip(b.column("ids").to_pylist(), b.column("wide").to_pylist(), strict=True)]

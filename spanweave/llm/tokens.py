@@ -10,6 +10,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ from spanweave.llm.staging import discard, staged
 #: A line of letters that are one pre-token together, then ASCII punctuation, which is another; or any other line.
 _LINE = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
 _JOINED = 256
-#: Texts that a task encodes together, and bytes of them that it splits at a time.
-TEXTS = 512
+#: Texts that a task encodes together, bytes of them unless one has more, and bytes of them that it splits at a time.
+TEXTS, TEXT_BYTES = 512, 16 << 20
 STEP = 1 << 20
+#: Bytes of the parts that an encoder keeps.
+PART_BYTES = 64 << 20
 #: Most distinct pre-tokens, and bytes of them, whose counts are broadcast; longer ones than LONG aren't.
 FREQUENT, FREQUENT_BYTES, LONG = 200_000, 8 << 20, 1024
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -47,26 +50,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch's rows with up to TEXTS rows and TEXT_BYTES bytes of a binary column at a time, or one row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, a = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+    while a < batch.num_rows:
+        z = max(a + 1, min(a + TEXTS, int(np.searchsorted(ends, ends[a] + TEXT_BYTES, side="right")) - 1))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 class Encoder:
     """What a tokenizer makes of texts; the tokenizer drops white space and marks the last piece of each pre-token.
 
     A text is cut at ASCII white space, which no pre-token crosses. Each distinct part is encoded once; its ids
     (as bytes) are kept, or only their number. Parts of letters and punctuation share their pre-tokens. When the
-    parts kept reach max_parts, or the pre-tokens a third as many, they are dropped and gathered anew, so that memory
-    stays bounded.
+    parts kept reach max_parts, or the pre-tokens a third as many, they are dropped and gathered anew; when the parts
+    learned reach max_bytes (texts without white space are one part each), both are. So memory stays bounded.
     """
 
-    def __init__(self, path: str, counts: bool = False, max_parts: int = 1_000_000) -> None:
+    def __init__(self, path: str, counts: bool = False, max_parts: int = 1_000_000, max_bytes: int = PART_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.counts, self.max_parts = Tokenizer.from_file(path), counts, max_parts
+        self.tokenizer, self.counts, self.max_parts, self.max_bytes = Tokenizer.from_file(path), counts, max_parts, max_bytes
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.parts: dict[bytes, bytes | int] = {}
         self.words: dict[str, bytes | int] = {}
+        self.learned = 0
 
     def _kept(self, ids: list[int]) -> bytes | int:
         return len(ids) if self.counts else np.array(ids, dtype=self.kind).tobytes()
@@ -132,7 +146,10 @@ class Encoder:
         missing = new.difference(self.parts)
         if missing and len(self.parts) + len(missing) > self.max_parts:
             self.parts, missing = {}, new
+        if missing and self.learned + sum(map(len, missing)) > self.max_bytes:
+            self.parts, self.words, self.learned, missing = {}, {}, 0, new
         if missing:
+            self.learned += sum(map(len, missing))
             self._learn(missing)
         return group
 
